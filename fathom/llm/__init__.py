@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from fathom.llm import topk_search
+from fathom.llm import language_id, quality_rules, topk_search
 
 QUERIES = {
     "op1_topk_search": topk_search.query,
+    "op2_quality_rules": quality_rules.query,
+    "op3_language_id": language_id.query,
 }
 
 ORACLES = {
