@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from fathom.llm import language_id, packing, quality_rules, token_counts, topk_search, url_filters
+from fathom.llm import language_id, line_dedup, packing, quality_rules, token_counts, topk_search, url_filters
 
 QUERIES = {
     "op1_topk_search": topk_search.query,
     "op2_quality_rules": quality_rules.query,
     "op3_language_id": language_id.query,
+    "op4_line_dedup": line_dedup.query,
     "op6_url_filters": url_filters.query,
     "op7_token_counts": token_counts.query,
     "op10_best_fit_packing": packing.query,
@@ -15,5 +16,6 @@ QUERIES = {
 
 ORACLES = {
     "op1_topk_search": topk_search.ORACLE,
+    "op4_line_dedup": line_dedup.ORACLE,
     "op6_url_filters": url_filters.ORACLE,
 }
