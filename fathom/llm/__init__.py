@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fathom.llm import language_id, line_dedup, packing, quality_rules, token_counts, topk_search, url_filters
+from fathom.llm import language_id, license_scans, line_dedup, packing, quality_rules, source_mixing, token_counts, topk_search, url_filters
 
 QUERIES = {
     "op1_topk_search": topk_search.query,
@@ -11,6 +11,8 @@ QUERIES = {
     "op4_line_dedup": line_dedup.query,
     "op6_url_filters": url_filters.query,
     "op7_token_counts": token_counts.query,
+    "op8_source_mixing": source_mixing.query,
+    "op9_license_scans": license_scans.query,
     "op10_best_fit_packing": packing.query,
 }
 
