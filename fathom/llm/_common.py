@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,6 +59,11 @@ def lowered(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once: the optimizer would put a column's expression into each lambda that names it, to be computed for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def batches(spark: SparkSession, rows: int) -> None:
     """Rows of an Arrow batch at most; bytes are bounded too, so that long texts don't pile up."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

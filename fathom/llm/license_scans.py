@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm._common import lowered, table
+from fathom.llm._common import table
 
 #: Characters of words and between them, in a text of any case.
 WORD_CHAR, GAP_CHAR = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
@@ -60,8 +60,13 @@ TEMPLATES = (
     Template("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mozilla public license"),
     Template("unlicense", "This is free and unencumbered software released into the public domain.", "free and unencumbered software"),
 )
-#: A document without any of these words has no template's phrase and isn't looked at further.
-ANCHORS = r"(?i)licen[sc]e|granted|creative|copyright|redistribution|unencumbered|\bcc\b"
+#: A document without any of these has no template's phrase in its notice and isn't looked at further.
+ANCHORS = ("licen", "granted", "creative", "copyright", "redistribution", "unencumbered")
+
+
+def lowered(text: Column) -> Column:
+    """Lower-cased so that words of ASCII letters compare right; the one other character that would become such a letter is put aside first."""
+    return F.lower(F.replace(text, F.lit("\u212a"), F.lit("\u00e9")))
 
 
 def words_of(text: Column) -> Column:
@@ -122,11 +127,17 @@ def scan(documents: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> D
     weights = {w: math.log((total + 1) / (n + 1)) + 1e-3 for w, n in counts.items()}
     text = F.coalesce("text", F.lit(""))
     base = phrase_pattern(*BASE.values())
-    rows = documents.select("doc_id", text.alias("text"), count_words(text).alias("n_words"), F.when(text.rlike("(?i)license"), F.regexp_count(text, F.lit(base))).otherwise(0).cast("long").alias("n_base"))
+    rows = documents.select("doc_id", text.alias("text"), lowered(text).alias("low"))
+    places = F.when(F.contains(F.col("low"), F.lit("license")), F.regexp_count("text", F.lit(base))).otherwise(0).cast("long")
+    anchored = F.lit(False)
+    for word in ANCHORS:
+        anchored = anchored | F.contains(F.col("low"), F.lit(word))
+    words = F.when(anchored, words_of(F.col("low"))).otherwise(F.array().cast("array<string>"))
+    rows = rows.select("doc_id", "text", count_words(F.col("text")).alias("n_words"), places.alias("n_base"), words.alias("words"))
     before_first, before_last = F.split("text", base, 2)[0], F.regexp_extract("text", f"(?s)^(.*){base.removeprefix('(?i)')}".replace("(?s)", "(?si)", 1), 1)
     rows = rows.withColumn("first_word", F.when(F.col("n_base") > 0, count_words(before_first))).withColumn("last_word", F.when(F.col("n_base") > 0, count_words(before_last)))
     base_found = F.array_compact(F.array(*[F.when((F.col("n_base") > 0) & F.col("text").rlike(phrase_pattern(p)), F.lit(label)) for label, p in BASE.items()]))
-    rows = rows.withColumn("base", F.array_sort(base_found)).withColumn("words", F.when(F.col("text").rlike(ANCHORS), words_of(lowered(F.col("text")))).otherwise(F.array().cast("array<string>")))
+    rows = rows.withColumn("base", F.array_sort(base_found))
     idf = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
     present = F.array_intersect("words", F.array(*map(F.lit, vocabulary)))
     ranked = F.array_sort(F.transform(present, lambda w: F.struct((-F.element_at(idf, w)).alias("weight"), w.alias("word"))))

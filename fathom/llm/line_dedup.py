@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fathom.llm._common import WORD, drop_stored, n_words, stored, table
+from fathom.llm._common import WORD, drop_stored, let, n_words, stored, table
 
 #: Runs with fewer words stay.
 MIN_WORDS = 50
@@ -59,9 +59,8 @@ def _repeated(rows: DataFrame, name: str) -> DataFrame:
 
 def later_runs(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Runs that occur earlier, as _d, _h and _ranges: arrays of first and last place among the lines with words."""
-    texts = _keyed(documents).select(*DOC, _split(F.col("_row.text")).alias("_lines"))
-    words = F.transform(_filled(F.col("_lines")), lambda i: F.get(F.col("_lines"), i))
-    each = texts.select(*DOC, F.posexplode(words).alias("_s", "_line")).select(*DOC, "_s", n_words(F.col("_line")).alias("_w"), F.xxhash64("_line").alias("_name"))
+    words = F.filter(_split(F.col("_row.text")), lambda line: line.rlike(WORD))
+    each = _keyed(documents).select(*DOC, F.posexplode(words).alias("_s", "_line")).select(*DOC, "_s", n_words(F.col("_line")).alias("_w"), F.xxhash64("_line").alias("_name"))
     lines = stored(each.groupBy(*DOC, "_s").agg(F.first("_w").alias("_w"), F.first("_name").alias("_name")))
     level = stored(_repeated(lines.drop("_w"), "_name"))
     levels, k = [], 0
@@ -122,15 +121,18 @@ def deduped(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     ranges = later_runs(documents, min_words)
     rows = _keyed(documents).join(ranges, list(DOC), "left")
-    lines = _split(F.col("_row.text"))
-    filled = F.col("_filled")
-    gone = F.transform(F.array_distinct(F.flatten(F.transform("_ranges", lambda r: F.sequence(r["_from"], r["_to"])))), lambda s: F.get(filled, s))
-    rows = rows.select("_row", "_ranges", lines.alias("_lines"), F.when(F.col("_ranges").isNotNull(), _filled(lines)).alias("_filled"), n_lines(F.col("_row.text")).alias("_n_lines"))
-    rows = rows.withColumn("_gone", F.when(F.col("_ranges").isNotNull(), gone))
-    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col("_row.text")).otherwise(F.array_join(F.transform(left, lambda i: F.get("_lines", i)), "\n"))
+
+    def cut(lines: Column) -> Column:
+        places = F.flatten(F.transform("_ranges", lambda r: F.sequence(r["_from"], r["_to"])))
+        gone = let(_filled(lines), lambda filled: F.transform(F.array_distinct(places), lambda s: F.get(filled, s)))
+        left = lambda g: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), g)
+        return let(gone, lambda g: F.struct(F.array_join(F.transform(left(g), lambda i: F.get(lines, i)), "\n").alias("text"), F.size(g).alias("n")))
+
+    fixed = F.when(F.col("_ranges").isNotNull(), let(_split(F.col("_row.text")), cut))
+    rows = rows.select("_row", n_lines(F.col("_row.text")).alias("_n_lines"), fixed.alias("_fixed"))
+    text = F.when(F.col("_fixed").isNull(), F.col("_row.text")).otherwise(F.col("_fixed.text"))
     columns = [text.alias("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in documents.columns]
-    return rows.select(*columns, F.col("_n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("_n_deleted"))
+    return rows.select(*columns, F.col("_n_lines"), F.coalesce("_fixed.n", F.lit(0)).cast("long").alias("_n_deleted"))
 
 
 def n_lines(text: Column) -> Column:
