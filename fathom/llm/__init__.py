@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from fathom.llm import language_id, license_scans, line_dedup, packing, quality_rules, source_mixing, token_counts, topk_search, url_filters
+from fathom.llm import language_id, license_scans, line_dedup, near_dedup, packing, quality_rules, source_mixing, token_counts, topk_search, url_filters
 
 QUERIES = {
     "op1_topk_search": topk_search.query,
     "op2_quality_rules": quality_rules.query,
     "op3_language_id": language_id.query,
     "op4_line_dedup": line_dedup.query,
+    "op5_near_dedup": near_dedup.query,
     "op6_url_filters": url_filters.query,
     "op7_token_counts": token_counts.query,
     "op8_source_mixing": source_mixing.query,

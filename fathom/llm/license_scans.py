@@ -70,8 +70,8 @@ def lowered(text: Column) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    """Words of a lower-cased text."""
-    return F.regexp_extract_all(text, F.lit(f"{WORD_CHAR}++"), F.lit(0))
+    """Words of a lower-cased text; splitting at the gaps is several times faster than extracting."""
+    return F.filter(F.split(text, f"{GAP_CHAR}++", -1), lambda w: w != "")
 
 
 def count_words(text: Column) -> Column:

@@ -141,9 +141,10 @@ def n_lines(text: Column) -> Column:
 
 
 def filtered(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """documents after line dedup, without those whose every line was a later copy."""
-    rows = deduped(documents, min_words)
-    return rows.where((F.col("_n_deleted") == 0) | (F.col("_n_deleted") < F.col("_n_lines"))).select(*[F.col(f"`{c}`") for c in documents.columns])
+    """documents after line dedup, without those whose every line was a later copy; n_chars, if there is one, follows a changed text."""
+    rows = deduped(documents, min_words).where((F.col("_n_deleted") == 0) | (F.col("_n_deleted") < F.col("_n_lines")))
+    counted = {"n_chars": F.when(F.col("_n_deleted") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(documents.schema["n_chars"].dataType)} if "n_chars" in documents.columns else {}
+    return rows.withColumns(counted).select(*[F.col(f"`{c}`") for c in documents.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
