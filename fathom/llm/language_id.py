@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -241,9 +242,6 @@ def filtered(documents: DataFrame) -> DataFrame:
 
 
 def _accepts(model: Model):
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
     def judged(texts: pd.Series) -> pd.Series:
         out = np.zeros(len(texts), dtype=bool)
         at = [i for i, t in enumerate(texts) if has_letter(t)]
@@ -253,7 +251,7 @@ def _accepts(model: Model):
             out[some] = scores >= MIN_SCORE
         return pd.Series(out)
 
-    return pandas_udf(judged, "boolean")
+    return F.pandas_udf(judged, "boolean")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
