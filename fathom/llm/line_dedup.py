@@ -120,7 +120,8 @@ def deduped(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     neither is a copy of the other. Other columns, of any name, stay.
     """
     ranges = later_runs(documents, min_words)
-    rows = _keyed(documents).join(ranges, list(DOC), "left")
+    # Merged at every size: whether the ranges could be sent to all executors would depend on how many lines repeat.
+    rows = _keyed(documents).join(ranges.hint("merge"), list(DOC), "left")
 
     def cut(lines: Column) -> Column:
         places = F.flatten(F.transform("_ranges", lambda r: F.sequence(r["_from"], r["_to"])))
