@@ -9,9 +9,11 @@ two sketches is concentrated about the sets' similarity.
 
 Texts with equal sets form a class. Classes that agree in all coordinates of
 a band are candidates. To find components no bucket is expanded into pairs:
-every class of a bucket is compared with the bucket's first class; buckets
-that are not one component then compare the classes outside their largest
-component with the others, block by block. Candidates whose sketches can't
+every class of a bucket is compared with the one that shares most buckets with
+others. Buckets that are not one component then compare, block by block, the
+classes outside their largest component with the others: first each with the
+nearest sketch of each component, then, where that doesn't join them, with all
+that are left. Candidates whose sketches can't
 belong to sets similar enough are dropped, the rest are confirmed on the whole
 sets.
 """
@@ -33,8 +35,8 @@ from fathom.llm.components import components
 
 #: Coordinates of a sketch, and of a band. At a similarity of 0.8 a pair shares no band with a probability below 1e-7.
 BINS, BAND = 128, 4
-#: Equal coordinates that a pair needs to be confirmed: pairs at 0.8 have 102 on average and this few with a probability below 1e-10.
-MATCHES = 66
+#: Equal coordinates that a pair needs to be confirmed: pairs at 0.8 have 102 on average and fewer with a probability below 1e-8.
+MATCHES = 76
 #: Classes on either side of a block of comparisons.
 BLOCK = 512
 #: Bits of the filter that brings the sets of candidates to the executors. If the corpus outgrows it, more sets pass, which costs time only.
@@ -188,22 +190,33 @@ def _likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a", "a"), "a").join(side("b", "b"), "b").where(fits).select("a", "b")
 
 
-def _crossing(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of an outsider and a member of another component whose sketches are near, in one block."""
-    outside, inside = block[block["outside"]], block[~block["outside"]]
-    found = []
-    if len(outside) and len(inside):
-        members, home, size = np.array(inside["sketch"].tolist(), dtype=np.int32), inside["component"].to_numpy(), inside["n"].to_numpy()
-        for c, own, n, s in zip(outside["class"], outside["component"], outside["n"], outside["sketch"], strict=True):
-            near = (home != own) & (np.minimum(size, n) * 100 >= np.maximum(size, n) * block["percent"].iloc[0])
-            at = np.flatnonzero(near)
-            at = at[(members[at] == np.asarray(s, dtype=np.int32)).sum(1) >= MATCHES]
-            found += [(min(c, x), max(c, x)) for x in inside["class"].to_numpy()[at]]
-    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+def _crosser(percent: int, nearest: bool) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    """Pairs of an outsider and a member of another component whose sketches are near, in one block; of each component all or the nearest."""
 
+    def pairs(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
+        outside, inside = block[block["outside"]], block[~block["outside"]]
+        left, right = [], []
+        if len(outside) and len(inside):
+            members, home, size, names = np.array(inside["sketch"].tolist(), dtype=np.int32), inside["component"].to_numpy(), inside["n"].to_numpy(), inside["class"].to_numpy()
+            for c, own, n, s in zip(outside["class"], outside["component"], outside["n"], outside["sketch"], strict=True):
+                at = np.flatnonzero((home != own) & (np.minimum(size, n) * 100 >= np.maximum(size, n) * percent))
+                equal = (members[at] == np.asarray(s, dtype=np.int32)).sum(1)
+                near = equal >= MATCHES
+                at, equal = at[near], equal[near]
+                if nearest and len(at) > 1:
+                    order = np.lexsort((names[at], -equal, home[at]))
+                    at = at[order]
+                    at = at[np.append(True, home[at][1:] != home[at][:-1])]
+                left.append(np.full(len(at), c, dtype=np.int64))
+                right.append(names[at])
+        x, y = (np.concatenate(z) if z else np.zeros(0, dtype=np.int64) for z in (left, right))
+        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
 
-def _unresolved(buckets: DataFrame, labels: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs (a, b) of different components that share a bucket.
+    return pairs
+
+
+def _unresolved(buckets: DataFrame, labels: DataFrame, sketches: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """Likely pairs (a, b) of different components that share a bucket; all, or each class's nearest of each component of a block.
 
     In a bucket of several components the classes outside the largest one are
     paired with all others, in blocks of both sides dealt by hashes.
@@ -218,8 +231,7 @@ def _unresolved(buckets: DataFrame, labels: DataFrame, sketches: DataFrame, perc
     columns = ["band", "class", "component", "n", "sketch"]
     outside = rows.where("component <> largest").select(*columns, F.lit(True).alias("outside"), part("others", 1).alias("p"), F.explode(every("all")).alias("q"))
     inside = rows.select(*columns, F.lit(False).alias("outside"), part("all", 2).alias("q"), F.explode(every("others")).alias("p"))
-    blocks = outside.unionByName(inside).withColumn("percent", F.lit(percent))
-    return blocks.groupBy("band", "p", "q").applyInPandas(_crossing, "a long, b long").distinct()
+    return outside.unionByName(inside).groupBy("band", "p", "q").applyInPandas(_crosser(percent, nearest), "a long, b long").distinct()
 
 
 def grouped(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -239,18 +251,26 @@ def grouped(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFr
     band = lambda i: F.xxhash64(i, F.slice("sketch", i * BAND + 1, BAND))
     bands = F.transform(F.sequence(F.lit(0), F.lit(BINS // BAND - 1)), band)
     placed = rows.where("class IS NOT NULL").select("class", F.explode(bands).alias("band")).distinct()
-    first = placed.groupBy("band").agg(F.min("class").alias("first"), F.count("*").alias("m")).where("m > 1").select("band", "first")
-    buckets = stored(placed.join(first, "band"))
+    shared = placed.groupBy("band").agg(F.count("*").alias("m")).where("m > 1")
+    met = stored(placed.join(shared, "band"))
+    # The original of many copies is near all of them and so meets most classes; its buckets need no second look.
+    weights = met.groupBy("class").agg(F.sum("m").alias("weight"))
+    centres = met.join(weights, "class").groupBy("band").agg(F.max(F.struct("weight", "class")).alias("top")).select("band", F.col("top.class").alias("first"))
+    buckets = stored(met.select("class", "band").join(centres, "band"))
+    drop_stored(met)
     # One sketch of each class; rows of a class have the same.
     in_buckets = buckets.select("class").distinct()
     sketches = stored(rows.join(representatives, ["class"]).where(rows["doc_id"].eqNullSafe(representatives["doc_id"])).select("class", "n", "sketch").join(in_buckets, "class", "left_semi"))
     stars = buckets.where("class <> first").select(F.least("class", "first").alias("a"), F.greatest("class", "first").alias("b")).distinct()
-    links = _confirmed(documents, stored(_likely(stars, sketches, percent)), representatives, shingle, percent)
+    tested = stored(_likely(stars, sketches, percent))
+    links = _confirmed(documents, tested, representatives, shingle, percent)
     labels = components(links)
-    more = stored(_unresolved(buckets.select("band", "class"), labels, sketches, percent))
-    if not more.isEmpty():
-        links = links.unionByName(_confirmed(documents, more, representatives, shingle, percent))
-        labels = components(links)
+    for nearest in (True, False):
+        more = stored(_unresolved(buckets.select("band", "class"), labels, sketches, percent, nearest).join(tested, ["a", "b"], "left_anti"))
+        if not more.isEmpty():
+            links = links.unionByName(_confirmed(documents, more, representatives, shingle, percent))
+            labels = components(links)
+            tested = tested.unionByName(more)
     drop_stored(buckets, sketches)
     homes = representatives.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     smallest = homes.groupBy("component").agg(F.min("doc_id").alias("smallest"))
