@@ -10,12 +10,12 @@ two sketches is concentrated about the sets' similarity.
 Texts with equal sets form a class. Classes that agree in all coordinates of
 a band are candidates. To find components no bucket is expanded into pairs:
 every class of a bucket is compared with the one that shares most buckets with
-others. Buckets that are not one component then compare, block by block, the
-classes outside their largest component with the others: first each with the
-nearest sketch of each component, then, where that doesn't join them, with all
-that are left. Candidates whose sketches can't
-belong to sets similar enough are dropped, the rest are confirmed on the whole
-sets.
+others. Of buckets that are not one component then, the classes outside the
+largest component are compared with all others, in blocks that hold the whole
+sets; buckets with the same largest component are compared together, so that
+classes which share many buckets meet once. Blocks return only links that join
+what they hadn't joined before. Candidates whose sketches can't belong to sets
+similar enough are dropped, the rest are confirmed on the whole sets.
 """
 
 from __future__ import annotations
@@ -24,7 +24,6 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,7 +37,7 @@ BINS, BAND = 128, 4
 #: Equal coordinates that a pair needs to be confirmed: pairs at 0.8 have 102 on average and fewer with a probability below 1e-8.
 MATCHES = 76
 #: Classes on either side of a block of comparisons.
-BLOCK = 512
+BLOCK = 256
 #: Bits of the filter that brings the sets of candidates to the executors. If the corpus outgrows it, more sets pass, which costs time only.
 FILTER_BITS = 1 << 26
 
@@ -160,7 +159,8 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """100 * size of the intersection >= percent * size of the union, of two sorted sets."""
     if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
         return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
+    at = np.searchsorted(a, b)
+    both = int((a[np.minimum(at, len(a) - 1)] == b).sum())
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
@@ -190,48 +190,58 @@ def _likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a", "a"), "a").join(side("b", "b"), "b").where(fits).select("a", "b")
 
 
-def _crosser(percent: int, nearest: bool) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
-    """Pairs of an outsider and a member of another component whose sketches are near, in one block; of each component all or the nearest."""
-
-    def pairs(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
-        outside, inside = block[block["outside"]], block[~block["outside"]]
-        left, right = [], []
-        if len(outside) and len(inside):
-            members, home, size, names = np.array(inside["sketch"].tolist(), dtype=np.int32), inside["component"].to_numpy(), inside["n"].to_numpy(), inside["class"].to_numpy()
-            for c, own, n, s in zip(outside["class"], outside["component"], outside["n"], outside["sketch"], strict=True):
-                at = np.flatnonzero((home != own) & (np.minimum(size, n) * 100 >= np.maximum(size, n) * percent))
-                equal = (members[at] == np.asarray(s, dtype=np.int32)).sum(1)
-                near = equal >= MATCHES
-                at, equal = at[near], equal[near]
-                if nearest and len(at) > 1:
-                    order = np.lexsort((names[at], -equal, home[at]))
-                    at = at[order]
-                    at = at[np.append(True, home[at][1:] != home[at][:-1])]
-                left.append(np.full(len(at), c, dtype=np.int64))
-                right.append(names[at])
-        x, y = (np.concatenate(z) if z else np.zeros(0, dtype=np.int64) for z in (left, right))
-        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
-
-    return pairs
-
-
-def _unresolved(buckets: DataFrame, labels: DataFrame, sketches: DataFrame, percent: int, nearest: bool) -> DataFrame:
-    """Likely pairs (a, b) of different components that share a bucket; all, or each class's nearest of each component of a block.
-
-    In a bucket of several components the classes outside the largest one are
-    paired with all others, in blocks of both sides dealt by hashes.
+def _joiner(percent: int) -> Callable[[tuple, pa.Table], pa.Table]:
+    """Links between an outsider and a class of another component in one block, of those that join two components there the first found."""
+
+    def links(key: tuple, block: pa.Table) -> pa.Table:
+        outside = block["outside"].to_numpy()
+        names, home, size = (block[c].to_numpy() for c in ("class", "component", "n"))
+        sketches = np.array(block["sketch"].to_pylist(), dtype=np.int32).reshape(len(names), BINS)
+        sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in block["set"]]
+        inside, parent, found = np.flatnonzero(~outside), {int(c): int(c) for c in home}, []
+
+        def root(c: int) -> int:
+            while parent[c] != c:
+                parent[c] = c = parent[parent[c]]
+            return c
+
+        for i in np.flatnonzero(outside):
+            at = inside[(home[inside] != home[i]) & (np.minimum(size[inside], size[i]) * 100 >= np.maximum(size[inside], size[i]) * percent)]
+            equal = (sketches[at] == sketches[i]).sum(1)
+            for j in at[equal >= MATCHES][np.argsort(-equal[equal >= MATCHES], kind="stable")]:
+                x, y = root(int(home[i])), root(int(home[j]))
+                if x != y and similar(sets[i], sets[j], percent):
+                    parent[x] = y
+                    found.append((int(names[i]), int(names[j])))
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    return links
+
+
+def _unresolved(documents: DataFrame, buckets: DataFrame, labels: DataFrame, sketches: DataFrame, representatives: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (a, b) between different components that share a bucket.
+
+    The classes outside a bucket's largest component are compared with all
+    others of the buckets with that component, in blocks of both sides dealt
+    by hashes.
     """
     homes = buckets.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     each = homes.groupBy("band", "component").agg(F.count("*").alias("m"))
-    of_bucket = each.groupBy("band").agg(F.sum("m").alias("all"), F.count("*").alias("homes"), F.max(F.struct("m", "component")).alias("top"))
-    mixed = of_bucket.where("homes > 1").select("band", F.col("top.component").alias("largest"), "all", (F.col("all") - F.col("top.m")).alias("others"))
-    rows = homes.join(mixed, "band").join(sketches.select("class", "n", "sketch"), "class")
+    of_bucket = each.groupBy("band").agg(F.count("*").alias("homes"), F.max(F.struct("m", "component")).alias("top"))
+    mixed = of_bucket.where("homes > 1").select("band", F.col("top.component").alias("largest"))
+    rows = stored(homes.join(mixed, "band").select("largest", "class", "component").distinct())
+    outer = (F.col("component") != F.col("largest")).cast("long")
+    totals = rows.groupBy("largest").agg(F.count("*").alias("all"), F.sum(outer).alias("others"))
+    wanted = rows.select("class").distinct()
+    sets = stored(_sets(documents, representatives.join(wanted, "class"), n).join(wanted, "class", "left_semi").select("class", "set"))
     part = lambda total, salt: F.pmod(F.xxhash64("class", F.lit(salt)), F.ceil(F.col(total) / BLOCK))
     every = lambda total: F.sequence(F.lit(0).cast("long"), (F.ceil(F.col(total) / BLOCK) - 1).cast("long"))
-    columns = ["band", "class", "component", "n", "sketch"]
-    outside = rows.where("component <> largest").select(*columns, F.lit(True).alias("outside"), part("others", 1).alias("p"), F.explode(every("all")).alias("q"))
-    inside = rows.select(*columns, F.lit(False).alias("outside"), part("all", 2).alias("q"), F.explode(every("others")).alias("p"))
-    return outside.unionByName(inside).groupBy("band", "p", "q").applyInPandas(_crosser(percent, nearest), "a long, b long").distinct()
+    dealt = rows.join(totals, "largest")
+    columns = ["largest", "class", "component"]
+    outside = dealt.where("component <> largest").select(*columns, F.lit(True).alias("outside"), part("others", 1).alias("p"), F.explode(every("all")).alias("q"))
+    inside = dealt.select(*columns, F.lit(False).alias("outside"), part("all", 2).alias("q"), F.explode(every("others")).alias("p"))
+    blocks = outside.unionByName(inside).join(sketches, "class").join(sets, "class")
+    return blocks.groupBy("largest", "p", "q").applyInArrow(_joiner(percent), "a long, b long").distinct()
 
 
 def grouped(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -265,12 +275,8 @@ def grouped(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFr
     tested = stored(_likely(stars, sketches, percent))
     links = _confirmed(documents, tested, representatives, shingle, percent)
     labels = components(links)
-    for nearest in (True, False):
-        more = stored(_unresolved(buckets.select("band", "class"), labels, sketches, percent, nearest).join(tested, ["a", "b"], "left_anti"))
-        if not more.isEmpty():
-            links = links.unionByName(_confirmed(documents, more, representatives, shingle, percent))
-            labels = components(links)
-            tested = tested.unionByName(more)
+    links = links.unionByName(stored(_unresolved(documents, buckets.select("band", "class"), labels, sketches, representatives, shingle, percent)))
+    labels = components(links)
     drop_stored(buckets, sketches)
     homes = representatives.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     smallest = homes.groupBy("component").agg(F.min("doc_id").alias("smallest"))
