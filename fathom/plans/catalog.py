@@ -2,5 +2,537 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fathom.functions import text as T
+from fathom.functions.fixed_values import GENERAL_NAMES, GENERAL_TERMS, PLACE_ALIASES
+from fathom.operators import assemble, literature
+from fathom.operators import graph as G
+from fathom.operators.traverse import closure, paths
+from fathom.sources import testgraph as S
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None) -> Callable:
+    """Registers a function under its name, with its SQL."""
+
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+PLACES = """SELECT 'CUST:' || c_custkey AS src, 'NATION:' || c_nationkey AS dst FROM customer
+  UNION ALL SELECT 'NATION:' || n_nationkey, 'REGION:' || n_regionkey FROM nation
+  UNION ALL SELECT 'REGION:' || r_regionkey, 'GEO:world' FROM region"""
+DISEASES = """SELECT 'PART:' || p_partkey AS src, 'BRAND:' || p_brand AS dst FROM part
+  UNION ALL SELECT 'PART:' || p_partkey, 'TYPE:' || p_type FROM part
+  UNION ALL SELECT DISTINCT 'BRAND:' || p_brand, 'DIS:root' FROM part
+  UNION ALL SELECT DISTINCT 'TYPE:' || p_type, 'DIS:root' FROM part"""
+PATHOGENS = "SELECT 'SUPP:' || s_suppkey AS src, 'PGRP:' || s_nationkey AS dst FROM supplier"
+ISA = f"{PLACES}\n  UNION ALL {DISEASES}\n  UNION ALL {PATHOGENS}"
+MENTIONS = """SELECT DISTINCT 'ORD:' || l_orderkey AS alert, 'PART:' || l_partkey AS node FROM lineitem
+  UNION ALL SELECT DISTINCT 'ORD:' || l_orderkey, 'SUPP:' || l_suppkey FROM lineitem
+  UNION ALL SELECT 'ORD:' || o_orderkey, 'CUST:' || o_custkey FROM orders"""
+ALERTS = "SELECT 'ORD:' || o_orderkey AS alert, strftime(o_orderdate, '%Y-%m-%d') AS timestamp FROM orders"
+
+
+def reach_sql(name: str, target: str, edges: str = ISA) -> str:
+    return f"{name} AS (SELECT '{target}' AS curie UNION SELECT e.src FROM {name} c JOIN ({edges}) e ON e.dst = c.curie)"
+
+
+def alerts_sql(filters: list[tuple[str, str, str]], where: str = "true", tail: str = "") -> str:
+    """SQL of find_alerts: (column, target, edges) each."""
+    ctes = ", ".join(reach_sql(f"r_{c}", target, edges) for c, target, edges in filters)
+    joins = " ".join(f"JOIN m m_{c} ON m_{c}.alert = a.alert JOIN r_{c} ON r_{c}.curie = m_{c}.node" for c, _, _ in filters)
+    columns = "".join(f", m_{c}.node AS {c}, '{target}' AS {c}_isa" for c, target, _ in filters)
+    return f"WITH RECURSIVE a AS ({ALERTS}), m AS ({MENTIONS}){', ' + ctes if ctes else ''} SELECT DISTINCT a.alert, a.timestamp{columns} FROM a {joins} WHERE {where} AND a.alert IN (SELECT alert FROM m) {tail}"
+
+
+# -- scans and filters
+
+
+@query("SELECT DISTINCT 'wdi:' || p_type AS curie, 'revenue of ' || p_type AS name FROM part")
+def scan_by_label(spark, d):
+    return S.graph(spark, d).labelled("indicator").select("curie", "name")
+
+
+@query("SELECT DISTINCT 'BRAND:' || p_brand AS curie, p_brand AS name FROM part WHERE contains(p_brand, '#1')")
+def filter_contains(spark, d):
+    return S.graph(spark, d).labelled("disease").where(F.col("curie").startswith("BRAND:") & F.col("name").contains("#1")).select("curie", "name")
+
+
+@query("SELECT 'PART:' || p_partkey AS curie, p_name AS name FROM part WHERE ('PART:' || p_partkey) IN ('PART:1', 'PART:7', 'PART:11', 'PART:999999')")
+def filter_prefix_in(spark, d):
+    return S.graph(spark, d).nodes.where(F.col("curie").startswith("PART:") & F.col("curie").isin("PART:1", "PART:7", "PART:11", "PART:999999", "SUPP:1")).select("curie", "name")
+
+
+@query(f"SELECT alert AS curie, timestamp FROM ({ALERTS}) WHERE alert = 'ORD:7'")
+def point_lookup(spark, d):
+    return S.graph(spark, d).labelled("alert").where(F.col("curie") == "ORD:7").select("curie", "timestamp")
+
+
+# -- traversal
+
+
+@query(f"WITH RECURSIVE {reach_sql('r', 'REGION:2')} SELECT curie FROM r")
+def isa_closure_region(spark, d):
+    return S.graph(spark, d).reach("REGION:2", "isa")
+
+
+PHENOTYPES = f"{ISA} UNION ALL SELECT 'PART:' || p_partkey, 'SIZE:' || p_size FROM part"
+
+
+@query(f"WITH RECURSIVE {reach_sql('r', 'SIZE:10', PHENOTYPES)} SELECT curie FROM r")
+def closure_alternated_types(spark, d):
+    return S.graph(spark, d).reach("SIZE:10", "has_phenotype", "isa")
+
+
+ROOTS = {"disease": "DIS:root", "geoloc": "GEO:world", "pathogen": "PGRP:3"}
+
+
+def flagged(spark: SparkSession, d: str) -> DataFrame:
+    """curie and is_disease, is_geoloc, is_pathogen by the hierarchy's roots."""
+    g = S.graph(spark, d)
+    roots = spark.createDataFrame(list(ROOTS.items()), "kind string, curie string")
+    under = closure(g.typed("isa"), roots.select("curie")).join(roots.select("kind", F.col("curie").alias("root")), "root")
+    flags = under.groupBy("curie").agg(*(F.bool_or(F.col("kind") == k).alias(f"is_{k}") for k in ROOTS))
+    ends = g.typed("isa").select(F.explode(F.array("src", "dst")).alias("curie")).distinct()
+    return ends.join(flags, "curie", "left").select("curie", *(F.coalesce(f"is_{k}", F.lit(False)).alias(f"is_{k}") for k in ROOTS))
+
+
+FLAGS_SQL = ", ".join(reach_sql(f"u_{k}", v) for k, v in ROOTS.items()) + f", ends AS (SELECT src AS curie FROM ({ISA}) UNION SELECT dst FROM ({ISA})), flags AS (SELECT curie, " + ", ".join(f"curie IN (SELECT curie FROM u_{k}) AS is_{k}" for k in ROOTS) + " FROM ends)"
+
+
+@query(f"""WITH RECURSIVE {FLAGS_SQL} SELECT curie,
+  CASE WHEN is_disease THEN 'disease' WHEN is_pathogen THEN 'pathogen' WHEN is_geoloc THEN 'geoloc' END AS by_hierarchy,
+  CASE WHEN is_disease THEN 'disease' WHEN is_geoloc THEN 'geoloc' WHEN is_pathogen THEN 'pathogen' ELSE 'other' END AS by_helper,
+  CASE WHEN is_pathogen THEN 'pathogen' WHEN is_geoloc THEN 'geoloc' WHEN is_disease THEN 'disease' END AS by_cooccurrence FROM flags""")
+def subtree_types(spark, d):
+    flags = (F.col("is_disease"), F.col("is_pathogen"), F.col("is_geoloc"))
+    return flagged(spark, d).select("curie", assemble.type_by_hierarchy(*flags).alias("by_hierarchy"), assemble.type_by_helper(*flags).alias("by_helper"), assemble.type_by_cooccurrence(*flags).alias("by_cooccurrence"))
+
+
+# -- alerts
+
+
+@query(alerts_sql([("geoloc", "REGION:2", PLACES)]))
+def alerts_by_geo(spark, d):
+    return G.find_alerts(S.graph(spark, d), geolocation="REGION:2")
+
+
+@query(alerts_sql([("disease", "BRAND:Brand#11", DISEASES)]))
+def alerts_by_disease(spark, d):
+    return G.find_alerts(S.graph(spark, d), disease="BRAND:Brand#11")
+
+
+@query(alerts_sql([("pathogen", "PGRP:3", PATHOGENS)]))
+def alerts_by_pathogen(spark, d):
+    return G.find_alerts(S.graph(spark, d), pathogen="PGRP:3")
+
+
+@query(alerts_sql([("symptom", "SIZE:10", PHENOTYPES)]))
+def alerts_by_symptom(spark, d):
+    return G.find_alerts(S.graph(spark, d), symptom="SIZE:10")
+
+
+@query(alerts_sql([("disease", "DIS:root", DISEASES), ("geoloc", "REGION:1", PLACES), ("pathogen", "PGRP:3", PATHOGENS)]))
+def alerts_multi_filter(spark, d):
+    return G.find_alerts(S.graph(spark, d), disease="DIS:root", geolocation="REGION:1", pathogen="PGRP:3")
+
+
+@query(alerts_sql([("geoloc", "GEO:world", PLACES)], "a.timestamp = '1996-03-01'"))
+def alerts_by_timestamp(spark, d):
+    return G.find_alerts(S.graph(spark, d), geolocation="GEO:world", timestamp="1996-03-01")
+
+
+@query(alerts_sql([], tail="ORDER BY 1, 2 LIMIT 25"))
+def alerts_base_pattern(spark, d):
+    return G.find_alerts(S.graph(spark, d), limit=25)
+
+
+@query(f"""WITH RECURSIVE m AS ({MENTIONS}), {reach_sql('r', 'REGION:2', PLACES)}
+SELECT DISTINCT m.alert, p.node AS part, 'SUPP:' || l_suppkey AS supplier FROM m JOIN r ON m.node = r.curie JOIN m p ON p.alert = m.alert
+JOIN (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) l ON p.node = 'PART:' || l.l_partkey WHERE l_suppkey = 3""")
+def match_chain(spark, d):
+    found = G.Match(S.graph(spark, d)).edge("alert", "mentions", "place").reaches("place", "isa", "REGION:2").edge("alert", "mentions", "part").edge("part", "has_pathogen", "supplier").node("supplier", "pathogen", F.col("curie") == "SUPP:3")
+    return found.returns("alert", "part", "supplier", distinct=True)
+
+
+# -- indicators
+
+
+@query("""WITH RECURSIVE e AS (""" + ISA + """), p AS (SELECT 'NATION:' || n_nationkey AS start, 'NATION:' || n_nationkey AS node, '' AS path FROM nation
+UNION ALL SELECT p.start, e.dst, CASE WHEN p.path = '' THEN e.dst ELSE p.path || ',' || e.dst END FROM p JOIN e ON e.src = p.node) SELECT start, path FROM p WHERE node = 'GEO:world'""")
+def indicator_paths_down(spark, d):
+    g = S.graph(spark, d)
+    places = g.nodes.where(F.col("curie").startswith("NATION:")).select("curie")
+    return paths(g.typed("isa"), places, 3).where("node = 'GEO:world'").select("start", F.array_join("path", ",").alias("path"))
+
+
+@query("""WITH RECURSIVE e AS (""" + DISEASES + """), p AS (SELECT 'PART:' || p_partkey AS start, 'PART:' || p_partkey AS node, '' AS path FROM part
+UNION ALL SELECT p.start, e.dst, CASE WHEN p.path = '' THEN e.dst ELSE p.path || ',' || e.dst END FROM p JOIN e ON e.src = p.node) SELECT start, path FROM p WHERE node = 'DIS:root'""")
+def indicator_paths_up(spark, d):
+    g = S.graph(spark, d)
+    parts = g.nodes.where(F.col("curie").startswith("PART:")).select("curie")
+    return paths(g.typed("isa"), parts, 3).where("node = 'DIS:root'").select("start", F.array_join("path", ",").alias("path"))
+
+
+REVENUE = """SELECT c_nationkey AS nation, p_type, CAST(year(l_shipdate) AS VARCHAR) AS year, CAST(round(sum(CAST(l_extendedprice AS DECIMAL(18,4))), 3) AS DOUBLE) AS value
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3"""
+
+
+@query(f"SELECT DISTINCT 'NATION:' || nation AS place, 'wdi:' || p_type AS indicator, 'NATION:' || nation AS path FROM ({REVENUE}) JOIN nation ON n_nationkey = nation WHERE n_regionkey = 2 AND contains('revenue of ' || p_type, 'A') UNION SELECT DISTINCT 'NATION:' || nation, 'wdi:' || p_type, 'NATION:' || nation || ',REGION:2' FROM ({REVENUE}) JOIN nation ON n_nationkey = nation WHERE n_regionkey = 2 AND contains('revenue of ' || p_type, 'A')")
+def indicator_union(spark, d):
+    """Indicators whose name contains a string, of places under a region and of the places they lie in: two branches, each with the path."""
+    g = S.graph(spark, d)
+    indicators = g.labelled("indicator").where(F.col("name").contains("A")).select(F.col("curie").alias("indicator"))
+    has = g.typed("has_indicator").select(F.col("src").alias("place"), F.col("dst").alias("indicator")).join(indicators, "indicator", "left_semi")
+    region = g.nodes.where("curie = 'REGION:2'").select("curie")
+    down = paths(g.typed("isa"), region, 2, backwards=True).join(has, F.col("node") == F.col("place")).select("place", "indicator", F.array_join("path", ",").alias("path"))
+    up = paths(g.typed("isa"), has.select(F.col("place").alias("curie")).distinct(), 1).where("node = 'REGION:2'").join(has, F.col("start") == F.col("place")).select("place", "indicator", F.concat_ws(",", "start", "path").alias("path"))
+    return down.unionByName(up).distinct()
+
+
+@query(f"SELECT nation, p_type, year, value FROM ({REVENUE})")
+def indicator_unpivot_map(spark, d):
+    """Wide yearly columns and back: pivot, fold into maps, explode."""
+    years = [str(y) for y in range(1995, 2003)]
+    wide = S.revenue(spark, d).groupBy("nation", "p_type").pivot("year", years).agg(F.first(F.col("value").cast("string")))
+    folded = assemble.year_values(wide, ["nation", "p_type"])
+    return folded.select("nation", "p_type", F.explode("years_data").alias("year", "value"))
+
+
+@query("SELECT 'REGION:' || r_regionkey AS curie, c.label FROM (VALUES ('Asia', 'ASIA'), ('EUROPE', 'EUROPE'), ('Nowhere', 'Nowhere'), ('Gambia, The', 'Gambia')) c(label, name) JOIN region ON r_name = c.name")
+def indicator_alias_join(spark, d):
+    """Places of an indicator table by their aliases, or else by name, joined with places of the graph."""
+    aliases = {**PLACE_ALIASES, "Asia": "ASIA"}
+    lookup = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair])
+    rows = spark.createDataFrame([("Asia",), ("EUROPE",), ("Nowhere",), ("Gambia, The",)], "label string").withColumn("name", F.coalesce(F.element_at(lookup, F.col("label")), "label"))
+    return rows.join(S.graph(spark, d).labelled("geoloc").where(F.col("curie").startswith("REGION:")), "name").select("curie", "label")
+
+
+@query("SELECT p_brand AS code, count(*) AS n FROM part WHERE p_size > 25 AND p_brand NOT IN (SELECT p_brand FROM part WHERE p_size = 1) GROUP BY 1")
+def series_anti_join(spark, d):
+    """Series of a second table whose codes the first one hasn't."""
+    part = S.table(spark, d, "part")
+    return part.where("p_size > 25").join(part.where("p_size = 1").select("p_brand").distinct(), "p_brand", "left_anti").groupBy(F.col("p_brand").alias("code")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_name AS name, min('PART:' || p_partkey) AS curie FROM part GROUP BY 1")
+def name_first_match(spark, d):
+    return S.graph(spark, d).nodes.where(F.col("curie").startswith("PART:")).groupBy("name").agg(F.min("curie").alias("curie"))
+
+
+# -- co-occurrence
+
+BRANDS = "SELECT DISTINCT l_orderkey AS doc, p_brand AS term FROM lineitem JOIN part ON l_partkey = p_partkey"
+PAIRS = f"t AS ({BRANDS}), c AS (SELECT a.term AS a, b.term AS b, count(*) AS count FROM t a JOIN t b ON a.doc = b.doc AND a.term < b.term GROUP BY 1, 2), s AS (SELECT a, b, count, ln(count) - ln((SELECT count(DISTINCT doc) FROM t)) AS score FROM c)"
+
+
+@query(f"WITH {PAIRS} SELECT a, b, count FROM c")
+def pair_cooccurrence(spark, d):
+    return assemble.cooccurrence(S.doc_term(spark, d)).select("a", "b", "count")
+
+
+@query(f"WITH {PAIRS} SELECT a, b, round(score, 6) AS score FROM s")
+def pair_log_score(spark, d):
+    return assemble.cooccurrence(S.doc_term(spark, d)).select("a", "b", F.round("score", 6).alias("score"))
+
+
+NUMBER = "CAST(regexp_extract({}, '([0-9]+)$', 1) AS BIGINT) % 4"
+
+
+@query(f"""WITH {PAIRS} SELECT a, b, count *
+  ((CASE WHEN {NUMBER.format('a')} = 1 AND {NUMBER.format('b')} = 2 OR {NUMBER.format('a')} = 0 AND {NUMBER.format('b')} = 2 OR {NUMBER.format('a')} = 1 AND {NUMBER.format('b')} = 0 THEN 1 ELSE 0 END) +
+   (CASE WHEN {NUMBER.format('b')} = 1 AND {NUMBER.format('a')} = 2 OR {NUMBER.format('b')} = 0 AND {NUMBER.format('a')} = 2 OR {NUMBER.format('b')} = 1 AND {NUMBER.format('a')} = 0 THEN 1 ELSE 0 END)) AS count
+FROM c WHERE {NUMBER.format('a')} < 3 AND {NUMBER.format('b')} < 3 AND {NUMBER.format('a')} <> {NUMBER.format('b')}""")
+def typed_pair_counts(spark, d):
+    """Pairs of a place and a pathogen, a disease and a pathogen, or a place and a disease, counted for each orientation that fits."""
+    kinds = lambda side: F.element_at(F.array(F.lit("disease"), F.lit("geoloc"), F.lit("pathogen"), F.lit("other")), (F.regexp_extract(side, r"(\d+)$", 1).cast("long") % 4 + 1).cast("int"))
+    wanted = [("geoloc", "pathogen"), ("disease", "pathogen"), ("geoloc", "disease")]
+    fits = lambda x, y: sum((((x == a) & (y == b)).cast("long") for a, b in wanted), F.lit(0))
+    a, b = kinds("a"), kinds("b")
+    rows = assemble.cooccurrence(S.doc_term(spark, d).where(~F.col("term").isin(*GENERAL_NAMES)))
+    return rows.withColumn("times", fits(a, b) + fits(b, a)).where("times > 0").select("a", "b", (F.col("count") * F.col("times")).alias("count"))
+
+
+QUERY_TERMS = ["Brand#1", "Brand#2", "Brand#3"]
+IN_QUERY = "('Brand#1', 'Brand#2', 'Brand#3')"
+
+
+@query(f"WITH {PAIRS} SELECT round(ln(sum(exp(score))), 6) AS score FROM s WHERE a IN {IN_QUERY} AND b IN {IN_QUERY}")
+def realism_score(spark, d):
+    terms = S.doc_term(spark, d).where(~F.col("term").isin(*GENERAL_TERMS))
+    return assemble.plausibility(assemble.cooccurrence(terms), QUERY_TERMS).select(F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {PAIRS} SELECT term, CASE WHEN max(CASE WHEN s.a IS NULL THEN NULL ELSE score END) > -4.5 THEN 'high' WHEN max(score) > -7 THEN 'medium' ELSE 'low' END AS class FROM (SELECT DISTINCT term FROM t) x LEFT JOIN s ON s.a = 'Brand#1' AND s.b = x.term GROUP BY term")
+def realism_class(spark, d):
+    """The class of each term's pair with one term."""
+    scores = assemble.cooccurrence(S.doc_term(spark, d)).where("a = 'Brand#1'")
+    terms = S.doc_term(spark, d).select("term").distinct()
+    rows = terms.join(scores, F.col("term") == F.col("b"), "left")
+    return rows.select("term", F.when(F.col("score") > -4.5, "high").when(F.col("score") > -7, "medium").otherwise("low").alias("class"))
+
+
+# -- text relations
+
+CURIES = [f"PART:{i}" for i in range(1, 120)] + [f"SUPP:{i}" for i in range(1, 9)] + ["BRAND:Brand#1", "SIZE:3"]
+LIST = ", ".join(f"'{c}'" for c in CURIES)
+LINKS = f"SELECT src, 'isa' AS type, dst FROM ({ISA}) UNION ALL SELECT DISTINCT 'PART:' || l_partkey, 'has_pathogen', 'SUPP:' || l_suppkey FROM lineitem UNION ALL SELECT 'PART:' || p_partkey, 'has_phenotype', 'SIZE:' || p_size FROM part"
+COMENTION = f"m AS ({MENTIONS}), pairs AS (SELECT a.alert, a.node AS a, b.node AS b FROM m a JOIN m b ON a.alert = b.alert AND a.node <> b.node WHERE a.node IN ({LIST}) AND b.node IN ({LIST}))"
+
+
+@query(f"SELECT src, type, dst FROM ({LINKS}) WHERE src IN ({LIST}) AND dst IN ({LIST})")
+def direct_relations(spark, d):
+    return G.text_relations(S.graph(spark, d), CURIES)[0]
+
+
+@query(f"WITH {COMENTION} SELECT alert, a, b FROM pairs")
+def comention_pairs(spark, d):
+    return G.text_relations(S.graph(spark, d), CURIES)[1]
+
+
+@query(f"WITH {COMENTION} SELECT alert, string_agg(DISTINCT a, ',' ORDER BY a) AS entities, count(DISTINCT a) AS n_entities FROM pairs GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 500")
+def top_alerts_by_entities(spark, d):
+    return G.text_relations(S.graph(spark, d), CURIES)[2]
+
+
+# -- literature
+
+MATRIX = "w AS (SELECT l_orderkey AS doc, p_brand AS term, CAST(sum(1 + (l_linestatus = 'O')::INT) AS BIGINT) AS weight FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"
+
+
+def choose(n: str, k: str) -> str:
+    return f"CASE WHEN {k} < 0 OR {k} > {n} THEN 0 ELSE exp(lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - {k} + 1)) END"
+
+
+def fisher_sql(terms: list[str], threshold: int) -> str:
+    inside = "term IN (" + ", ".join(f"'{t}'" for t in terms) + ")"
+    kind = "['disease', 'geoloc', 'pathogen', 'other'][" + NUMBER.format("term") + " + 1]"
+    k = len(terms)
+    passed = f"SELECT doc FROM w WHERE {inside} GROUP BY 1 HAVING sum(weight) >= {threshold}" if threshold else "SELECT DISTINCT doc FROM w"
+    return f"""WITH {MATRIX}, n AS (SELECT count(DISTINCT term) AS n FROM w), p AS ({passed}),
+e AS (SELECT doc, count(*) AS size, count(*) FILTER (WHERE {inside}) AS overlap,
+  count(DISTINCT {kind}) FILTER (WHERE {inside} AND {kind} <> 'other') AS relevant_coverage, count(DISTINCT {kind}) FILTER (WHERE {inside}) AS coverage
+  FROM w WHERE doc IN (SELECT doc FROM p) GROUP BY 1),
+f AS (SELECT e.*, n.n, CASE WHEN overlap = 0 THEN 1.0 ELSE (SELECT sum(({choose('size', 'i')}) * ({choose('(n.n - size)', f'({k} - i)')})) FROM (SELECT unnest(range(overlap, least({k}, size) + 1)) AS i)) / ({choose('n.n', str(k))}) END AS pval FROM e, n)
+SELECT doc, overlap, relevant_coverage, coverage, round(pval, 6) AS pval FROM f ORDER BY relevant_coverage DESC, coverage DESC, round(f.pval, 9), doc LIMIT 20"""
+
+
+def rank(spark: SparkSession, d: str, terms: list[str]) -> DataFrame:
+    return literature.ranked(S.doc_term(spark, d), terms, S.brand_type()).withColumn("pval", F.round("pval", 6))
+
+
+@query(fisher_sql(QUERY_TERMS, 2))
+def fisher_rank(spark, d):
+    return rank(spark, d, QUERY_TERMS)
+
+
+@query(fisher_sql(["Brand#2"], 0))
+def fisher_single_term(spark, d):
+    return rank(spark, d, ["Brand#2"])
+
+
+@query(f"WITH {MATRIX} SELECT doc, CAST(sum(weight) AS BIGINT) AS weight FROM w WHERE term IN ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4', 'Brand#5') GROUP BY 1 HAVING sum(weight) >= 3")
+def weighted_prefilter(spark, d):
+    return literature.prefiltered(S.doc_term(spark, d), [*QUERY_TERMS, "Brand#4", "Brand#5"])
+
+
+@query(f"WITH {MATRIX} SELECT doc, term, weight FROM w")
+def matrix_dup_sum(spark, d):
+    return literature.summed(S.doc_term(spark, d))
+
+
+# -- assembly and loading
+
+
+@query("SELECT 'N:' || p_size AS curie, min_by(p_name, p_partkey) AS name FROM part GROUP BY 1")
+def load_skip_duplicate_nodes(spark, d):
+    nodes = S.table(spark, d, "part").select(S.key("N:", "p_size").alias("curie"), F.col("p_name").alias("name"), "p_partkey")
+    edges = spark.createDataFrame([], "src string, type string, dst string")
+    return assemble.load(nodes, edges, "p_partkey")[0].select("curie", "name")
+
+
+@query("SELECT 'PART:' || l_partkey AS src, 'has_pathogen' AS type, 'SUPP:' || l_suppkey AS dst FROM lineitem WHERE l_suppkey % 3 <> 0 AND l_partkey % 5 <> 0")
+def load_skip_bad_edges(spark, d):
+    """Edges whose ends were left out of the nodes go; repeated edges stay."""
+    g = S.graph(spark, d)
+    number = F.split_part("curie", F.lit(":"), F.lit(2)).cast("long")
+    nodes = g.nodes.where(F.col("curie").startswith("PART:") & (number % 5 != 0) | F.col("curie").startswith("SUPP:") & (number % 3 != 0))
+    edges = S.table(spark, d, "lineitem").select(S.key("PART:", "l_partkey").alias("src"), F.lit("has_pathogen").alias("type"), S.key("SUPP:", "l_suppkey").alias("dst"))
+    return assemble.load(nodes, edges, "name")[1]
+
+
+@query(f"""WITH RECURSIVE {FLAGS_SQL} SELECT e.src, e.dst FROM ({ISA}) e JOIN flags c ON c.curie = e.src JOIN flags p ON p.curie = e.dst
+WHERE (NOT c.is_disease OR p.is_disease) AND (NOT c.is_geoloc OR p.is_geoloc) AND (NOT c.is_pathogen OR p.is_pathogen)""")
+def edge_type_consistency(spark, d):
+    flags = flagged(spark, d)
+    return assemble.consistent(S.graph(spark, d).typed("isa").select("src", "dst"), flags, ("is_disease", "is_geoloc", "is_pathogen"))
+
+
+@query("SELECT 'outbreak:' || o_custkey AS curie, min_by(o_orderpriority, o_orderkey) AS name FROM orders GROUP BY o_custkey")
+def outbreak_nodes_first_wins(spark, d):
+    rows = S.table(spark, d, "orders").select(S.key("outbreak:", "o_custkey").alias("curie"), F.col("o_orderpriority").alias("name"), "o_orderkey")
+    return assemble.first_per(rows, "curie", "o_orderkey").select("curie", "name")
+
+
+@query("SELECT 'alert:' || c_custkey AS curie, d AS timestamp FROM customer LEFT JOIN (SELECT o_custkey, strftime(min_by(o_orderdate, o_orderkey), '%Y-%m-%d') AS d FROM orders GROUP BY 1) ON o_custkey = c_custkey")
+def alert_nodes_left_join(spark, d):
+    """Alerts with the date of their first row in another table, null without one."""
+    first = assemble.first_per(S.table(spark, d, "orders"), "o_custkey", "o_orderkey").select("o_custkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("timestamp"))
+    return S.table(spark, d, "customer").join(first, F.col("c_custkey") == F.col("o_custkey"), "left").select(S.key("alert:", "c_custkey").alias("curie"), "timestamp")
+
+
+@query("SELECT DISTINCT 'MESH:B' || p_brand AS src, 'MESH:S' || s_nationkey AS dst FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE p_size % 2 = 0 AND s_suppkey % 3 <> 0")
+def xref_map_edges(spark, d):
+    """Pairs mapped to another namespace; pairs with an unmapped side go."""
+    pairs = S.table(spark, d, "lineitem").select(S.key("p:", "l_partkey").alias("a"), S.key("s:", "l_suppkey").alias("b"))
+    parts = S.table(spark, d, "part").where("p_size % 2 = 0").select(S.key("p:", "p_partkey").alias("id"), S.key("MESH:B", "p_brand").alias("target"))
+    suppliers = S.table(spark, d, "supplier").where("s_suppkey % 3 <> 0").select(S.key("s:", "s_suppkey").alias("id"), S.key("MESH:S", "s_nationkey").alias("target"))
+    pairs = pairs.where(~F.col("a").startswith("umls") & ~F.col("b").startswith("umls"))
+    return assemble.cross_referenced(pairs, parts.unionByName(suppliers))
+
+
+@query("SELECT DISTINCT upper('mesh:' || p_type) AS src, upper('mesh:d' || p_size) AS dst FROM part WHERE p_partkey % 2 = 0")
+def prefix_upper_edges(spark, d):
+    prefix = F.when(F.col("p_partkey") % 2 == 0, "mesh:").otherwise("umls:")
+    rows = S.table(spark, d, "part").select(F.concat(prefix, "p_type").alias("src"), F.concat(prefix, F.lit("d"), F.col("p_size").cast("string")).alias("dst"))
+    return rows.where(F.col("src").startswith("mesh") & F.col("dst").startswith("mesh")).select(F.upper("src").alias("src"), F.upper("dst").alias("dst")).distinct()
+
+
+@query("SELECT 'CUST:' || c_custkey AS curie, c_name AS name FROM customer WHERE c_name NOT IN (SELECT s_name FROM supplier) AND c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey < 5)")
+def geoname_anti_join(spark, d):
+    """Places that can't be grounded in the other vocabulary."""
+    grounded = S.table(spark, d, "supplier").where("s_suppkey < 5").select(F.col("s_nationkey").alias("c_nationkey")).distinct()
+    names = S.table(spark, d, "supplier").select(F.col("s_name").alias("c_name"))
+    rows = S.table(spark, d, "customer").join(grounded, "c_nationkey", "left_anti").join(names, "c_name", "left_anti")
+    return rows.select(S.key("CUST:", "c_custkey").alias("curie"), F.col("c_name").alias("name"))
+
+
+@query("SELECT 'CUST:' || c_custkey AS src, 'isa' AS type, CASE WHEN n_regionkey = 2 THEN 'MESH:' || n_name ELSE 'NATION:' || n_nationkey END AS dst FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def geoname_parent_rewrite(spark, d):
+    """Parents under their grounded curie where there is one."""
+    mesh = S.table(spark, d, "nation").where("n_regionkey = 2").select(S.key("NATION:", "n_nationkey").alias("dst"), S.key("MESH:", "n_name").alias("mesh"))
+    edges = S.graph(spark, d).typed("isa").where(F.col("src").startswith("CUST:"))
+    return edges.join(mesh, "dst", "left").select("src", "type", F.coalesce("mesh", "dst").alias("dst"))
+
+
+# -- autocomplete
+
+KEYED = "SELECT lower(name) AS key, max_by(name, curie) AS name, max(curie) AS curie FROM ({}) WHERE starts_with(lower(name), '{}') GROUP BY 1 ORDER BY 1 LIMIT {}"
+
+
+@query(KEYED.format("SELECT 'PART:' || p_partkey AS curie, p_name AS name FROM part UNION ALL SELECT DISTINCT 'BRAND:' || p_brand, p_brand FROM part UNION ALL SELECT DISTINCT 'TYPE:' || p_type, p_type FROM part UNION ALL SELECT DISTINCT 'SIZE:' || p_size, 'size ' || p_size FROM part", "b", 30))
+def autocomplete_prefix(spark, d):
+    return G.autocomplete(S.graph(spark, d).labelled("disease"), "B", 30)
+
+
+@query(KEYED.format("SELECT 'CUST:' || c_custkey AS curie, c_name AS name FROM customer", "cust", 100))
+def autocomplete_collision(spark, d):
+    return G.autocomplete(S.graph(spark, d).nodes.where(F.col("curie").startswith("CUST:")), "CUST", 500)
+
+
+@query(KEYED.format("SELECT 'NATION:' || n_nationkey AS curie, n_name AS name FROM nation", "", 20))
+def autocomplete_mesh_only(spark, d):
+    return G.autocomplete(S.graph(spark, d).labelled("geoloc").where(F.col("curie").startswith("NATION:")), "", 20)
+
+
+# -- extraction
+
+RAW = """SELECT doc_id AS id, 'Published Date: ' || strftime(DATE '2016-01-01' + CAST(doc_id % 1000 AS INT), '%Y-%m-%d') || ' 16:59:45 EDT' AS line, source, text, strftime(DATE '2016-01-01' + CAST(doc_id % 1000 AS INT), '%Y%m%d') || '.' || doc_id AS number FROM documents"""
+
+
+@query(f"SELECT id, CASE WHEN id % 7 <> 0 THEN number END AS archive_number, 'PRO/' || source || ' news' AS subject FROM ({RAW})")
+def header_regex(spark, d):
+    return S.alert_raw(spark, d).select("id", T.parsed_header(F.col("header")).alias("h")).select("id", "h.archive_number", "h.subject")
+
+
+@query("SELECT doc_id AS id, strftime(DATE '2016-01-01' + CAST(doc_id % 1000 AS INT), '%Y-%m-%d') || ' 16:59:45' AS date FROM documents")
+def header_timestamp(spark, d):
+    return S.alert_raw(spark, d).select("id", F.date_format(T.parsed_header(F.col("header"))["date"], "yyyy-MM-dd HH:mm:ss").alias("date"))
+
+
+JOINED = r"regexp_replace(array_to_string(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), ' '), '^$', '')"
+
+
+@query(f"SELECT doc_id AS id, 0 AS pos, 'Title ' || source AS title, {JOINED} AS content FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id, 1, 'Second', 'end of it' FROM documents WHERE doc_id % 3 <> 0")
+def section_parse(spark, d):
+    rows = S.alert_raw(spark, d).select("id", F.posexplode(T.sections(F.col("body"))).alias("pos", "s"))
+    return rows.select("id", "pos", "s.title", "s.content")
+
+
+@query(f"SELECT doc_id AS id, 'PRO/' || source || ' news' || chr(10) || chr(10) || CASE WHEN doc_id % 3 <> 0 THEN 'Title ' || source || chr(10) || chr(10) || {JOINED} || chr(10) || chr(10) || 'Second' || chr(10) || chr(10) || 'end of it' || chr(10) || chr(10) ELSE '' END AS full_text FROM documents")
+def alert_full_text(spark, d):
+    rows = S.alert_raw(spark, d).select("id", T.parsed_header(F.col("header")).alias("h"), T.sections(F.col("body")).alias("s"))
+    return rows.select("id", T.full_text(F.col("h.subject"), F.col("s")).alias("full_text"))
+
+
+@query("SELECT event_id, 'k' AS key, json_extract_string(props, '$.k') AS value FROM events")
+def key_drop_json(spark, d):
+    """Properties without bookkeeping keys."""
+    rows = S.table(spark, d, "events").select("event_id", F.map_concat(F.from_json("props", "map<string,string>"), F.create_map(F.lit("@id"), F.lit("x"), F.lit("@type"), F.lit("y"))).alias("p"))
+    return rows.select("event_id", F.explode(T.without_keys(F.col("p"), "@id", "@type")).alias("key", "value"))
+
+
+DICT = "dict(entry, db, id, name) AS (VALUES " + ", ".join(str(x) for x in S.DICTIONARY) + ")"
+SPANS = r"""w AS (SELECT doc_id AS doc, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM documents WHERE text IS NOT NULL),
+x AS (SELECT doc, ws, unnest(range(1, len(ws) + 1)) AS start FROM w),
+y AS (SELECT doc, start, n, array_to_string(ws[start:start + n - 1], ' ') AS surface FROM (SELECT *, unnest(range(1, least(2, len(ws) - start + 1) + 1)) AS n FROM x)),
+f AS (SELECT y.doc, y.start, y.n, y.surface, db, id, name FROM y JOIN dict ON surface = entry),
+k AS (SELECT * FROM f a WHERE n = (SELECT max(n) FROM f b WHERE b.doc = a.doc AND b.start = a.start) AND NOT EXISTS (SELECT 1 FROM f b WHERE b.doc = a.doc AND b.start < a.start AND b.start + b.n >= a.start + a.n))"""
+
+
+def found(spark: SparkSession, d: str) -> DataFrame:
+    return T.mentions(S.table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text"), S.dictionary(spark), 2)
+
+
+@query(f"WITH {DICT}, {SPANS} SELECT doc, surface, start, db, id, name FROM k")
+def ner_mentions(spark, d):
+    return found(spark, d)
+
+
+@query(f"WITH {DICT}, {SPANS} SELECT surface, db, id, name, count(*) AS count FROM k WHERE name NOT IN ({', '.join(repr(n) for n in GENERAL_NAMES)}) GROUP BY ALL")
+def ner_stats(spark, d):
+    return found(spark, d).where(~F.col("name").isin(*GENERAL_NAMES)).groupBy("surface", "db", "id", "name").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "surface", "db")
+
+
+@query(f"WITH {DICT}, {SPANS} SELECT doc, start, min_by(db, CASE db WHEN 'MESH' THEN 1 ELSE 2 END) AS db, min_by(id, CASE db WHEN 'MESH' THEN 1 ELSE 2 END) AS id FROM k WHERE db IN ('MESH', 'geonames') GROUP BY 1, 2")
+def ns_priority(spark, d):
+    """Of a place's entries the one in the first allowed namespace."""
+    order = F.array_position(F.array(F.lit("MESH"), F.lit("geonames")), F.col("db"))
+    rows = found(spark, d).where(F.col("db").isin("MESH", "geonames"))
+    return rows.groupBy("doc", "start").agg(F.min(F.struct(order.alias("o"), "db", "id")).alias("best")).select("doc", "start", "best.db", "best.id")
+
+
+@query("SELECT n_name AS name, CASE WHEN n_nationkey % 2 = 0 THEN 'MESH:' || n_nationkey WHEN n_nationkey % 3 = 0 THEN 'geonames:' || n_nationkey END AS curie FROM nation UNION ALL SELECT 'MESH:7', 'MESH:7'")
+def ground_name(spark, d):
+    nation = S.table(spark, d, "nation")
+    entries = nation.where("n_nationkey % 2 = 0").select(F.lower("n_name").alias("entry"), F.lit("MESH").alias("db"), S.key("MESH:", "n_nationkey").alias("curie"))
+    entries = entries.unionByName(nation.where("n_nationkey % 3 = 0").select(F.lower("n_name").alias("entry"), F.lit("geonames").alias("db"), S.key("geonames:", "n_nationkey").alias("curie")))
+    names = nation.select(F.col("n_name").alias("name")).unionByName(spark.createDataFrame([("MESH:7",)], "name string"))
+    return G.ground(names, entries, ["MESH", "geonames"])
+
+
+@query("SELECT event_type AS text, CASE WHEN user_id % 2 = 0 THEN CAST(user_id % 5 AS VARCHAR) END AS geoid, count(*) AS count FROM events GROUP BY 1, 2")
+def geo_stats(spark, d):
+    """Places by text and id; a missing id is a group."""
+    rows = S.table(spark, d, "events").select(F.array(F.struct(F.col("event_type").alias("text"), F.when(F.col("user_id") % 2 == 0, (F.col("user_id") % 5).cast("string")).alias("geoid"))).alias("geolocs"))
+    return rows.select(F.inline("geolocs")).groupBy("text", "geoid").agg(F.count("*").alias("count"))
+
+
+@query("SELECT event_type AS text, CASE WHEN user_id % 3 = 0 THEN '' ELSE strftime(date_trunc('month', ts), '%Y-%m') END AS intervals, count(*) AS count FROM events GROUP BY 1, 2")
+def timex_stats(spark, d):
+    """Times by text and their intervals joined; none is an empty string."""
+    intervals = F.when(F.col("user_id") % 3 == 0, F.array().cast("array<struct<start:string>>")).otherwise(F.array(F.struct(F.date_format("ts", "yyyy-MM").alias("start"))))
+    rows = S.table(spark, d, "events").select(F.array(F.struct(F.col("event_type").alias("text"), intervals.alias("intervals"))).alias("timexes")).select(F.inline("timexes"))
+    return rows.groupBy("text", F.array_join(F.transform("intervals", lambda x: x["start"]), ",").alias("intervals")).agg(F.count("*").alias("count"))
