@@ -127,7 +127,8 @@ def copies(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     the smallest hashes of _id get the extra copies, and rows that agree in
     these three are alike. Documents without words keep one copy.
     """
-    dealt = rows.withColumn("_part", F.pmod(F.xxhash64("_id"), F.lit(PARTS)))
+    # A source's name that is never null, so that the join deals rows out as the rank needs them and they move once.
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64("_id"), F.lit(PARTS))).withColumn("_name", F.coalesce(F.concat(F.lit("="), "_source"), F.lit("")))
     parts = stored(dealt.groupBy("_source", "_size", "_part").agg(F.count("*").alias("_n")))
     cells = stored(parts.groupBy("_source", "_size").agg(F.sum("_n").alias("_n")))
     wanted = stored(targets(cells.groupBy("_source").agg(F.sum(F.col("_n") * F.col("_size")).alias("_source_size")), weights))
@@ -143,11 +144,11 @@ def copies(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     cell = settled.select(F.col("_source").alias("_key"), F.col("_size").alias("_key_size"), F.col("_n").alias("_cell"), "_copies", "_target", "_source_size")
     shared = parts.join(cell, F.col("_source").eqNullSafe(F.col("_key")) & (F.col("_size") == F.col("_key_size"))).withColumn("_upto", F.sum("_n").over(order))
     share = (F.floor(over * F.col("_upto") / F.col("_cell")) - F.floor(over * (F.col("_upto") - F.col("_n")) / F.col("_cell"))).alias("_extra")
-    plan = stored(shared.select("_key", "_key_size", F.col("_part").alias("_key_part"), each.alias("_each"), share, "_target", "_source_size"))
+    plan = stored(shared.select(F.coalesce(F.concat(F.lit("="), "_key"), F.lit("")).alias("_name"), "_size", "_part", each.alias("_each"), share, "_target", "_source_size"))
     drop_stored(parts, cells, wanted, dual, settled)
-    joined = dealt.join(plan, F.col("_source").eqNullSafe(F.col("_key")) & (F.col("_size") == F.col("_key_size")) & (F.col("_part") == F.col("_key_part")))
-    rank = F.row_number().over(Window.partitionBy("_source", "_size", "_part").orderBy(F.xxhash64("_id", F.lit(1)), "_id"))
-    return joined.withColumn("_copies", (F.col("_each") + (rank <= F.col("_extra")).cast("long"))).drop("_key", "_key_size", "_key_part", "_each", "_extra", "_part")
+    joined = dealt.join(plan.hint("merge"), ["_name", "_size", "_part"])
+    rank = F.row_number().over(Window.partitionBy("_name", "_size", "_part").orderBy(F.xxhash64("_id", F.lit(1)), "_id"))
+    return joined.withColumn("_copies", (F.col("_each") + (rank <= F.col("_extra")).cast("long"))).drop("_name", "_each", "_extra", "_part")
 
 
 def mixed(documents: DataFrame) -> DataFrame:
