@@ -57,8 +57,14 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return near[np.lexsort((ids[near], -scores[near]))[:k]]
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.array(column.tolist(), dtype=np.int64).reshape(len(column), -1)
+def _matrix(column: pd.Series, width: int) -> np.ndarray:
+    """The vectors as rows, shorter ones filled up with 0."""
+    if (column.str.len() == width).all():
+        return np.array(column.tolist(), dtype=np.int64).reshape(len(column), width)
+    out = np.zeros((len(column), width), dtype=np.int64)
+    for row, v in zip(out, column, strict=True):
+        row[: len(v)] = v
+    return out
 
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -122,7 +128,9 @@ def _searcher(k: int):
     def of_pair(key: tuple, queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(queries) and len(block):
-            for query, ids, scores in search_block(queries["query"].to_numpy(), _matrix(queries["q"]), queries["floor"].to_numpy(dtype=float), block["id"].to_numpy(), _matrix(block["v"]), k):
+            width = int(max(queries["q"].str.len().max(), block["v"].str.len().max()))
+            q, v = _matrix(queries["q"], width), _matrix(block["v"], width)
+            for query, ids, scores in search_block(queries["query"].to_numpy(), q, queries["floor"].to_numpy(dtype=float), block["id"].to_numpy(), v, k):
                 found.append(pd.DataFrame({"query_id": query, "vec_id": ids, "score": scores}))
         return pd.concat(found) if found else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})
 
@@ -139,8 +147,8 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int, *, block_rows: int = 40
     """Each query's k highest inner products: query_id, rank (from 1), vec_id, score.
 
     vectors and queries have id long and v array<long>; other columns are
-    ignored. Rows without an id or with a null v take no part, nor do a
-    query's own id and vectors of another dimension than most of their block.
+    ignored. Rows without an id or with a null v take no part, nor does a
+    query's own id. Where dimensions differ, missing components count as 0.
     Of queries with the same id the one with the smallest array counts.
     Repeated vectors are all returned, ties to smaller ids. Empty tables give
     an empty result.
