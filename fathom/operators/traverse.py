@@ -28,17 +28,24 @@ def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     raise ValueError(f"closure deeper than {LEVELS} levels")
 
 
-def paths(edges: DataFrame, seeds: DataFrame, levels: int, backwards: bool = False) -> DataFrame:
+def paths(edges: DataFrame, seeds: DataFrame, levels: int | None, backwards: bool = False) -> DataFrame:
     """start, node, path: every path of up to `levels` edges from seeds.curie, the empty one included.
 
-    path has the nodes behind the start. An edge isn't used twice in a path;
+    Without a number of levels all paths are followed to their ends, at most
+    LEVELS edges long; longer ones raise. path has the nodes behind the start. An edge isn't used twice in a path;
     nodes may repeat.
     """
     a, b = ("dst", "src") if backwards else ("src", "dst")
     steps = edges.select(F.col(a).alias("a"), F.col(b).alias("b"), F.struct("src", "type", "dst").alias("edge"))
     level = seeds.select(F.col("curie").alias("start"), F.col("curie").alias("node"), F.array().cast("array<string>").alias("path"), F.array().cast("array<struct<src:string,type:string,dst:string>>").alias("used"))
     found = level
-    for _ in range(levels):
+    for _ in range(LEVELS + 1 if levels is None else levels):
         level = level.join(steps, F.col("node") == F.col("a")).where(~F.array_contains("used", F.col("edge"))).select("start", F.col("b").alias("node"), F.concat("path", F.array("b")).alias("path"), F.concat("used", F.array("edge")).alias("used"))
+        if levels is None:
+            level = materialised(level)
+            if level.isEmpty():
+                return found.drop("used")
         found = found.unionByName(level)
+    if levels is None:
+        raise ValueError(f"paths longer than {LEVELS} edges")
     return found.drop("used")
