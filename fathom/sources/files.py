@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fathom import schema
 from fathom.functions.text import full_text, parsed_header, sections
+from fathom.operators.services import last_alerts
 
 
 def raw_alerts(spark: SparkSession, path: str) -> DataFrame:
@@ -43,3 +44,8 @@ def write_tsv(rows: DataFrame, path: str) -> None:
     """Distinct rows in the order of all columns, with a header."""
     names = [f"`{c}`" for c in rows.columns]
     rows.distinct().orderBy(*names).write.mode("overwrite").csv(path, sep="\t", header=True, quote='"', escape='"')
+
+
+def write_alerts(alerts: DataFrame, path: str) -> None:
+    """JSON lines, one per archive number; of a repeated number the last file's alert."""
+    last_alerts(alerts).write.mode("overwrite").json(path)
