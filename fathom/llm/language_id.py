@@ -180,7 +180,8 @@ def fit(documents: DataFrame) -> Model | None:
     At most PER_LANGUAGE rows of a language and about PER_SAMPLE of all are
     taken, in the order of a hash of doc_id; they reach the driver as sparse
     features. A language's rows are ranked by partial limits, so that a
-    frequent one isn't gathered in one task.
+    frequent one isn't gathered in one task. Of rows that share a doc_id the
+    one with the smallest lang and text is learned from.
     """
     batches(documents.sparkSession, 256)
     usable = documents.select("doc_id", "lang", "text").where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
@@ -191,7 +192,9 @@ def fit(documents: DataFrame) -> Model | None:
     ids = [r[0] for r in chosen.collect()]  # at most each * languages
     if not ids:
         return None
-    sample = usable.where(F.col("doc_id").isin(ids)).select("lang", "text").mapInArrow(_learned, "lang string, places binary, x binary")
+    # One row of each id, so that rows which share one don't all reach the driver.
+    once = usable.where(F.col("doc_id").isin(ids)).groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("row"))
+    sample = once.select("row.lang", "row.text").mapInArrow(_learned, "lang string, places binary, x binary")
     rows = sorted(map(tuple, sample.collect()), key=lambda r: (r[0], bytes(r[1]), bytes(r[2])))
     if not rows:
         return None
