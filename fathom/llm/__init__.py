@@ -20,5 +20,6 @@ QUERIES = {
 ORACLES = {
     "op1_topk_search": topk_search.ORACLE,
     "op4_line_dedup": line_dedup.ORACLE,
+    "op5_near_dedup": near_dedup.ORACLE,
     "op6_url_filters": url_filters.ORACLE,
 }

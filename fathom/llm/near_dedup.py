@@ -298,3 +298,32 @@ def filtered(documents: DataFrame) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op5: all of `documents`, by shingles of four words."""
     return grouped(table(spark, sf_dir, "documents"), shingle=4)
+
+
+ORACLE = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')))) END AS s FROM words
+), classes AS MATERIALIZED (
+  SELECT min(doc_id) AS c, s, len(s) AS n, list(doc_id) AS members FROM sets WHERE len(s) > 0 GROUP BY s
+), shingles AS MATERIALIZED (
+  SELECT c, n, unnest(s) AS shingle FROM classes
+), links AS MATERIALIZED (
+  SELECT a.c AS a, b.c AS b FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.c < b.c AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), edges AS MATERIALIZED (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT c AS node, c AS other FROM classes
+  UNION
+  SELECT r.node, e.b FROM reach r JOIN edges e ON r.other = e.a
+), homes AS (
+  SELECT node, min(other) AS component_id FROM reach GROUP BY node
+), found AS (
+  SELECT unnest(k.members) AS doc_id, h.component_id FROM classes k JOIN homes h ON k.c = h.node
+)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(f.component_id, s.doc_id) AS component_id, s.doc_id = coalesce(f.component_id, s.doc_id) AS kept
+FROM sets s LEFT JOIN found f ON s.doc_id = f.doc_id
+"""
