@@ -97,7 +97,8 @@ def _rounded(cells: DataFrame) -> DataFrame:
     Extra copies are given out systematically in the order of size, so that
     the tokens given differ from the fractional ones by about half the largest
     document of the source; then what is missing or too much is given or
-    taken, the largest size that fits it first.
+    taken, the largest size that fits it first, and last one document that
+    goes past the target if that leaves less.
     """
     whole = F.floor("_rate")
     extra = F.col("_n") * (F.col("_rate") - whole)
@@ -105,13 +106,16 @@ def _rounded(cells: DataFrame) -> DataFrame:
     upto = F.sum(extra).over(order)
     given = F.floor(upto + 0.5) - F.floor(upto - extra + 0.5)
     current = stored(cells.withColumn("_copies", F.least(F.col("_n") * MOST, F.col("_n") * whole + F.greatest(given, F.lit(0)))))
-    for _ in range(CORRECTIONS):
+    for past in (*[False] * CORRECTIONS, True):
         left = current.groupBy("_source").agg((F.first("_target") - F.sum(F.col("_copies") * F.col("_size"))).alias("_left")).select(F.col("_source").alias("_key"), "_left")
         open_ = current.join(left, F.col("_source").eqNullSafe(F.col("_key")))
         room = F.when(F.col("_left") > 0, F.col("_n") * MOST - F.col("_copies")).otherwise(F.col("_copies"))
         times = F.least(room, F.floor(F.abs("_left") / F.greatest("_size", F.lit(1)))).cast("long")
+        if past:  # one more document, if it goes past the target by less than what is off now
+            times = F.when((room > 0) & (F.col("_size") < 2 * F.abs("_left")), F.lit(1)).otherwise(F.lit(0)).cast("long")
         usable = F.when((F.col("_size") > 0) & (times > 0), F.col("_size"))
-        best = open_.groupBy("_key").agg(F.max(usable).alias("_best"), F.first("_left").alias("_left"))
+        # What is off then is below the sizes that can be moved, save after many rounds, so the smallest comes nearest.
+        best = open_.groupBy("_key").agg((F.min if past else F.max)(usable).alias("_best"), F.first("_left").alias("_left"))
         moved = current.join(best, F.col("_source").eqNullSafe(F.col("_key")), "left").withColumn("_copies", F.col("_copies") + F.when(F.col("_size") == F.col("_best"), F.signum("_left").cast("long") * times).otherwise(F.lit(0)))
         new = stored(moved.select(*current.columns))
         drop_stored(current)
