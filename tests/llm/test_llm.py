@@ -12,6 +12,7 @@ from tokenizers import Tokenizer
 
 import public_tokenizers
 from fathom.llm import language_id, license_scans, line_dedup, near_dedup, packing, quality_rules, source_mixing, token_counts, topk_search, url_filters
+from fathom.llm.components import components
 from fathom.llm.tokenizer import token_ids
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, _copies string"
@@ -130,6 +131,22 @@ def test_near_dedup_against_brute_force(spark):
     assert near_dedup.filtered(docs(spark, *texts).limit(0)).count() == 0
 
 
+def test_chain_of_1000_documents_is_one_component(spark):
+    w = words(1000 * 10 + 120, 11)
+    texts = [" ".join(w[10 * i : 10 * i + 120]) for i in range(1000)]
+    sets = [near_dedup.shingles(t, 4, near_dedup.Words()) for t in texts]
+    assert all(near_dedup.similar(a, b, 80) for a, b in zip(sets, sets[1:])) and not any(near_dedup.similar(a, b, 80) for a, b in zip(sets, sets[2:]))
+    assert {(r.component_id, r.kept) for r in near_dedup.grouped(docs(spark, *texts), shingle=4).collect()} == {(0, True), (0, False)}
+
+
+def test_components_of_a_path_of_1000_nodes(spark):
+    r = random.Random(3)
+    nodes = [r.getrandbits(62) for _ in range(1000)]
+    edges = spark.createDataFrame([*zip(nodes, nodes[1:]), (7, 5), (5, 5), (5, 6)], "a long, b long")
+    got = {x.node: x.component for x in components(edges).collect()}
+    assert got == {n: min(nodes) for n in nodes} | {5: 5, 6: 5, 7: 5}
+
+
 def test_urls():
     cases = {"HTTP://WWW.Example.com/en/a?x": "www.example.com/en/", "https://m.example.com/en/": "example.com/en/", "http://a.net/es/#x": "net/es/", "http://a.com": None, "net/es/": None, None: None, "http://xnet/es/": None, "a://b.com/q": "com/"}
     import tempfile
