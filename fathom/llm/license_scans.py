@@ -2,10 +2,10 @@
 
 Short licence notices are indexed as postings word -> (template, position).
 Document frequencies of the indexed words over the whole corpus give their
-IDF. Of each document the indexed words with the highest IDF are looked up;
-places where they stand at the same relative positions as in a template
-intersect, and a template counts once enough of its words meet in one place
-and its mandatory phrase stands in the document.
+IDF. In a document that holds a template's mandatory phrase all words of that
+template are looked up; places where they stand at the same relative positions
+as in the template intersect, and the template counts once words of enough
+weight meet in one place.
 
 The index and the frequencies hold as many entries as the templates have
 words, whatever the corpus; documents aren't shuffled.
@@ -25,8 +25,8 @@ from fathom.llm._common import table
 WORD_CHAR, GAP_CHAR = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 #: Phrases of the base labels.
 BASE = {"mit": "mit license", "apache": "apache license", "gpl": "general public license"}
-#: Rare words of a document that are looked up, the share of a template's weight that has to meet in one place, and the least number of its words.
-RARE_WORDS, SHARE, LEAST_WORDS = 24, 0.6, 3
+#: The share of a template's weight that has to meet in one place, and the least number of its words.
+SHARE, LEAST_WORDS = 0.6, 3
 
 
 @dataclass(frozen=True)
@@ -92,8 +92,8 @@ def _frequencies(documents: DataFrame, words: list[str]) -> tuple[int, dict[str,
     return counts.get("", 0), {w: counts.get(w, 0) for w in words}
 
 
-def _met(words: Column, rare: Column, template: Template, weights: dict[str, float]) -> Column:
-    """Share of the template's weight that stands in one place of the document, by the words in rare."""
+def _met(words: Column, template: Template, weights: dict[str, float]) -> Column:
+    """Share of the template's weight that stands in one place of the document, by all of its words."""
     own = template.words()
     postings: dict[str, list[int]] = {}
     for at, word in enumerate(own):
@@ -101,7 +101,7 @@ def _met(words: Column, rare: Column, template: Template, weights: dict[str, flo
     total = sum(weights[w] for w in own)
     index = F.create_map(*[x for w, places in postings.items() for x in (F.lit(w), F.array(*[F.struct(F.lit(p).alias("at"), F.lit(weights[w]).alias("weight")) for p in places]))])
     held = F.array(*map(F.lit, postings))
-    hits = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(F.array_intersect(rare, held), x["w"]))
+    hits = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(held, x["w"]))
     shifted = F.flatten(F.transform(hits, lambda x: F.transform(F.element_at(index, x["w"]), lambda p: F.struct((x["i"] - p["at"]).alias("shift"), p["weight"].alias("weight")))))
     # In the order of the shift each place's words are neighbours: add up runs and keep the heaviest.
     start = F.struct(F.lit(None).cast("int").alias("shift"), F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.lit(0.0).alias("best"))
@@ -138,11 +138,7 @@ def scan(documents: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> D
     rows = rows.withColumn("first_word", F.when(F.col("n_base") > 0, count_words(before_first))).withColumn("last_word", F.when(F.col("n_base") > 0, count_words(before_last)))
     base_found = F.array_compact(F.array(*[F.when((F.col("n_base") > 0) & F.col("text").rlike(phrase_pattern(p)), F.lit(label)) for label, p in BASE.items()]))
     rows = rows.withColumn("base", F.array_sort(base_found))
-    idf = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
-    present = F.array_intersect("words", F.array(*map(F.lit, vocabulary)))
-    ranked = F.array_sort(F.transform(present, lambda w: F.struct((-F.element_at(idf, w)).alias("weight"), w.alias("word"))))
-    rows = rows.withColumn("rare", F.transform(F.slice(ranked, 1, RARE_WORDS), lambda x: x["word"]))
-    shares = F.array(*[F.when((F.size("rare") >= LEAST_WORDS) & F.col("text").rlike(phrase_pattern(t.phrase)), _met(F.col("words"), F.col("rare"), t, weights)).otherwise(0.0) for t in templates])
+    shares = F.array(*[F.when((F.size("words") >= LEAST_WORDS) & F.col("text").rlike(phrase_pattern(t.phrase)), _met(F.col("words"), t, weights)).otherwise(0.0) for t in templates])
     rows = rows.withColumn("shares", shares)
     by_method = F.array_compact(F.array(*[F.when(F.get("shares", F.lit(i)) >= SHARE, F.lit(t.label)) for i, t in enumerate(templates)]))
     best = F.array_max(F.transform("shares", lambda x: F.when(x >= SHARE, x).otherwise(0.0)))

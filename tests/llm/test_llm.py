@@ -200,6 +200,15 @@ def test_licenses(spark, odd):
     assert {r.doc_id: r.base_labels for r in license_scans.scan(odd).collect()}[6] == "mit"
 
 
+def test_notices_in_a_row_and_among_other_words(spark):
+    notices = [t for t in license_scans.TEMPLATES if t.label in ("cc0", "bsd", "isc", "mpl", "unlicense") or t.phrase.startswith("permission is")]
+    others = sorted({w for t in license_scans.TEMPLATES for w in t.words()})
+    bsd = next(t.text for t in notices if t.label == "bsd")
+    texts = ["\n\n".join(t.text for t in notices), " ".join(others[:80]) + " x " + bsd + " x " + " ".join(others[80:]), *(" ".join(words(30, i)) for i in range(20))]
+    got = {r.doc_id: (r.labels, r.score) for r in license_scans.scan(docs(spark, *texts)).collect()}
+    assert got[0] == ("bsd,cc0,isc,mit,mpl,unlicense", 1.0) and got[1] == ("bsd", 1.0) and got[2] == ("", 0.0)
+
+
 def test_token_ids_equal_the_library():
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     for text in ["", " a  b\n\n", "<|endoftext|>x", "ÄÖ😀 don't 12345", "\u00a0\u2003 x"]:
