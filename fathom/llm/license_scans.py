@@ -60,8 +60,6 @@ TEMPLATES = (
     Template("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mozilla public license"),
     Template("unlicense", "This is free and unencumbered software released into the public domain.", "free and unencumbered software"),
 )
-#: A document without any of these has no template's phrase in its notice and isn't looked at further.
-ANCHORS = ("licen", "granted", "creative", "copyright", "redistribution", "unencumbered")
 
 
 def lowered(text: Column) -> Column:
@@ -84,6 +82,14 @@ def phrase_pattern(*phrases: str) -> str:
     return f"(?i)(?<!{WORD_CHAR})(?:{either})(?!{WORD_CHAR})"
 
 
+def _holds(phrase: str) -> Column:
+    """Whether the phrase's words stand consecutively in text. The pattern is tried only if low holds each of the words, the longest first."""
+    held = F.lit(True)
+    for word in sorted(set(phrase.split()), key=lambda w: (-len(w), w)):
+        held = held & F.contains(F.col("low"), F.lit(word))
+    return F.when(held, F.col("text").rlike(phrase_pattern(phrase))).otherwise(False)
+
+
 def _frequencies(documents: DataFrame, words: list[str]) -> tuple[int, dict[str, int]]:
     """Number of documents, and of those that hold each of words; at most as many rows as words reach the driver."""
     found = F.array_intersect(words_of(lowered(F.coalesce("text", F.lit("")))), F.array(*map(F.lit, words)))
@@ -129,16 +135,16 @@ def scan(documents: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> D
     base = phrase_pattern(*BASE.values())
     rows = documents.select("doc_id", text.alias("text"), lowered(text).alias("low"))
     places = F.when(F.contains(F.col("low"), F.lit("license")), F.regexp_count("text", F.lit(base))).otherwise(0).cast("long")
-    anchored = F.lit(False)
-    for word in ANCHORS:
-        anchored = anchored | F.contains(F.col("low"), F.lit(word))
-    words = F.when(anchored, words_of(F.col("low"))).otherwise(F.array().cast("array<string>"))
-    rows = rows.select("doc_id", "text", count_words(F.col("text")).alias("n_words"), places.alias("n_base"), words.alias("words"))
+    # Only documents with some template's phrase can get a label by the method; others aren't split into words.
+    phrases = sorted({t.phrase for t in templates})
+    rows = rows.withColumn("phrases", F.array(*map(_holds, phrases)))
+    words = F.when(F.array_contains("phrases", True), words_of(F.col("low"))).otherwise(F.array().cast("array<string>"))
+    rows = rows.select("doc_id", "text", count_words(F.col("text")).alias("n_words"), places.alias("n_base"), "phrases", words.alias("words"))
     before_first, before_last = F.split("text", base, 2)[0], F.regexp_extract("text", f"(?s)^(.*){base.removeprefix('(?i)')}".replace("(?s)", "(?si)", 1), 1)
     rows = rows.withColumn("first_word", F.when(F.col("n_base") > 0, count_words(before_first))).withColumn("last_word", F.when(F.col("n_base") > 0, count_words(before_last)))
     base_found = F.array_compact(F.array(*[F.when((F.col("n_base") > 0) & F.col("text").rlike(phrase_pattern(p)), F.lit(label)) for label, p in BASE.items()]))
     rows = rows.withColumn("base", F.array_sort(base_found))
-    shares = F.array(*[F.when((F.size("words") >= LEAST_WORDS) & F.col("text").rlike(phrase_pattern(t.phrase)), _met(F.col("words"), t, weights)).otherwise(0.0) for t in templates])
+    shares = F.array(*[F.when(F.get("phrases", F.lit(phrases.index(t.phrase))), _met(F.col("words"), t, weights)).otherwise(0.0) for t in templates])
     rows = rows.withColumn("shares", shares)
     by_method = F.array_compact(F.array(*[F.when(F.get("shares", F.lit(i)) >= SHARE, F.lit(t.label)) for i, t in enumerate(templates)]))
     best = F.array_max(F.transform("shares", lambda x: F.when(x >= SHARE, x).otherwise(0.0)))

@@ -209,6 +209,12 @@ def test_notices_in_a_row_and_among_other_words(spark):
     assert got[0] == ("bsd,cc0,isc,mit,mpl,unlicense", 1.0) and got[1] == ("bsd", 1.0) and got[2] == ("", 0.0)
 
 
+def test_notices_without_the_word_license(spark):
+    texts = ["Text available under CC BY-SA 4.0", "CC BY 4.0", "cc by\n4 0, of a license", "CC BY", *("licensed under " + " ".join(words(30, i)) for i in range(20))]
+    got = {r.doc_id: (r.labels, r.score >= license_scans.SHARE) for r in license_scans.scan(docs(spark, *texts)).collect()}
+    assert [got[i] for i in range(5)] == [("cc-by-sa", True), ("cc-by", True), ("cc-by", True), ("", False), ("", False)]
+
+
 def test_token_ids_equal_the_library():
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     for text in ["", " a  b\n\n", "<|endoftext|>x", "ÄÖ😀 don't 12345", "\u00a0\u2003 x"]:
