@@ -105,7 +105,7 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return (values >> np.uint64(32)).astype(np.uint32)
 
 
-def _sketched(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _sketched(n: int, *keep: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
         for part in parts:
@@ -115,7 +115,7 @@ def _sketched(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
                 sizes.append(len(hashes))
                 keys.append(class_of(hashes) if len(hashes) else None)
                 sketches.append(sketch(hashes).view(np.int32) if len(hashes) else None)
-            yield pa.record_batch([part.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(sketches, pa.list_(pa.int32()))], names=["doc_id", "n", "class", "sketch"])
+            yield pa.record_batch([part.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(sketches, pa.list_(pa.int32())), *part.columns[2:]], names=["doc_id", "n", "class", "sketch", *keep])
 
     return rows
 
@@ -244,19 +244,11 @@ def _unresolved(documents: DataFrame, buckets: DataFrame, labels: DataFrame, ske
     return blocks.groupBy("largest", "p", "q").applyInArrow(_joiner(percent), "a long, b long").distinct()
 
 
-def grouped(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of documents (doc_id, text).
-
-    Words are separated by ASCII white space and compare with A-Z lower-cased.
-    Documents are linked if the similarity of their sets of word shingles is
-    percent / 100 or more; component_id is the smallest doc_id reachable and
-    kept tells whether it is the row's own. A null, empty or blank text has an
-    empty set and is linked with nothing. Rows without doc_id take part; if a
-    component has no other, its id is null and they are kept. Rows with the
-    same doc_id are told apart by their sets.
-    """
+def _linked(documents: DataFrame, shingle: int, percent: int, *keep: str) -> DataFrame:
+    """doc_id, n, class, component (a class), smallest (the component's smallest doc_id) and the long columns keep for each row of documents; without a set the last three before keep are null."""
     batches(documents.sparkSession, 256)
-    rows = stored(documents.select("doc_id", "text").mapInArrow(_sketched(shingle), "doc_id long, n long, class long, sketch array<int>"))
+    schema = ", ".join(["doc_id long, n long, class long, sketch array<int>", *(f"{c} long" for c in keep)])
+    rows = stored(documents.select("doc_id", "text", *keep).mapInArrow(_sketched(shingle, *keep), schema))
     representatives = stored(rows.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id")))
     band = lambda i: F.xxhash64(i, F.slice("sketch", i * BAND + 1, BAND))
     bands = F.transform(F.sequence(F.lit(0), F.lit(BINS // BAND - 1)), band)
@@ -280,19 +272,41 @@ def grouped(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFr
     drop_stored(buckets, sketches)
     homes = representatives.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     smallest = homes.groupBy("component").agg(F.min("doc_id").alias("smallest"))
-    found = homes.join(smallest, "component").select("class", "smallest")
-    out = rows.join(found, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("smallest")).alias("component_id"))
+    found = homes.join(smallest, "component").select("class", "component", "smallest")
+    return rows.join(found, "class", "left").select("doc_id", "n", "class", "component", "smallest", *keep)
+
+
+def grouped(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of documents (doc_id, text).
+
+    Words are separated by ASCII white space and compare with A-Z lower-cased.
+    Documents are linked if the similarity of their sets of word shingles is
+    percent / 100 or more; component_id is the smallest doc_id reachable and
+    kept tells whether it is the row's own. A null, empty or blank text has an
+    empty set and is linked with nothing. Rows without doc_id take part; if a
+    component has no other, its id is null and they are kept. Rows with the
+    same doc_id are told apart by their sets.
+    """
+    rows = _linked(documents, shingle, percent)
+    out = rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("smallest")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def filtered(documents: DataFrame) -> DataFrame:
-    """documents whose doc_id is the smallest of its component. Columns, of any name, stay as they are.
+    """One row of each component of documents, and the rows without words. Columns, of any name, stay as they are.
 
-    Rows that share a doc_id stay or go together: they are one document.
+    The row with the smallest doc_id stays, one without doc_id only if the
+    component has no other; of several with that doc_id the one with the
+    smallest class, then the first. Rows are numbered once and stored, so that
+    they keep their numbers.
     """
-    kept = grouped(documents).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    out = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_row"), F.col("doc_id").alias("_d"))
-    return out.join(kept, F.col("_d").eqNullSafe(F.col("_id")), "left_semi").select("_row.*")
+    whole = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_row")
+    numbered = stored(documents.select(whole, F.monotonically_increasing_id().alias("_at")))
+    rows = stored(_linked(numbered.select("_row.doc_id", "_row.text", "_at"), 5, 80, "_at"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "class", "_at")
+    first = rows.where("class IS NOT NULL").groupBy("component").agg(F.min(order).alias("first")).select("first._at")
+    kept = first.unionByName(rows.where("class IS NULL").select("_at"))
+    return numbered.join(kept, "_at", "left_semi").select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

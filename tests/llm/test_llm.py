@@ -131,6 +131,14 @@ def test_near_dedup_against_brute_force(spark):
     assert near_dedup.filtered(docs(spark, *texts).limit(0)).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    a, b, c = (" ".join(words(60, i)) for i in (21, 22, 23))
+    rows = [(None, a), (None, a + " x"), (1, b), (None, b), (None, b), (2, c), (2, c), (2, c + " x"), (1, " ".join(words(60, 24))), (None, None), (None, "")]
+    kept = near_dedup.filtered(docs(spark, *[t for _, t in rows], ids=[i or 0 for i, _ in rows]).withColumn("doc_id", F.expr("nullif(doc_id, 0)"))).collect()
+    own = Counter((r.doc_id, (r.text or "").removesuffix(" x")) for r in kept)
+    assert own == Counter([(None, a), (1, b), (2, c), (1, rows[8][1]), (None, ""), (None, "")])
+
+
 def test_chain_of_1000_documents_is_one_component(spark):
     w = words(1000 * 10 + 120, 11)
     texts = [" ".join(w[10 * i : 10 * i + 120]) for i in range(1000)]
