@@ -47,14 +47,16 @@ class Capacity:
 def pack(lengths: np.ndarray, capacity: Capacity) -> tuple[np.ndarray, np.ndarray]:
     """Bin and offset in it of each piece.
 
-    Bins are kept by their residual tokens; the newest bin of each level is
-    the level's candidate, so that a choice looks at capacity.tokens bins at
-    most. A piece over a capacity gets a bin of its own.
+    Bins are kept by their residual tokens; of each level the newest bin with
+    room is the level's candidate. Bins below the newest are looked at only if
+    that has no room in attention cost. A piece over a capacity gets a bin of
+    its own.
     """
     n, full = len(lengths), capacity.tokens
     bins, offsets = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
     stacks: list[list[tuple[int, int, int]]] = [[] for _ in range(full + 1)]  # (bin, residual documents, residual attention)
     documents, attention = np.full(full + 1, -1.0), np.full(full + 1, -1.0)
+    most = np.full(full + 1, -1.0)  # no bin of the level has more residual attention
     residual = np.arange(full + 1)
     w_tokens, w_documents, w_attention = (w / c**2 for w, c in zip(capacity.weights, (full, capacity.documents, capacity.attention), strict=True))
     opened = 0
@@ -63,6 +65,12 @@ def pack(lengths: np.ndarray, capacity: Capacity) -> tuple[np.ndarray, np.ndarra
         level = -1
         if size < full:
             room = slice(size, full + 1)
+            for k in np.flatnonzero((attention[room] < size * size) & (most[room] >= size * size)) + size:
+                places = [at for at, x in enumerate(stacks[k]) if x[2] >= size * size]
+                if places:  # the newest with room comes to the top
+                    stacks[k].append(stacks[k].pop(places[-1]))
+                    documents[k], attention[k] = stacks[k][-1][1:]
+                most[k] = max((x[2] for x in stacks[k]), default=-1)
             fits = np.flatnonzero((documents[room] >= 1) & (attention[room] >= size * size))
             if len(fits):
                 at = fits + size
@@ -82,6 +90,7 @@ def pack(lengths: np.ndarray, capacity: Capacity) -> tuple[np.ndarray, np.ndarra
         if free > 0 and docs > 0 and cost > 0:
             stacks[free].append((where, docs, cost))
             documents[free], attention[free] = docs, cost
+            most[free] = max(most[free], cost)
     return bins, offsets
 
 

@@ -243,6 +243,21 @@ def test_packing_round_trip(spark, odd):
         assert len(own) == 1 or sum(r.length**2 for r in own) <= 3000
 
 
+def test_packing_opens_a_sequence_only_if_none_has_room():
+    lengths = np.random.default_rng(5).integers(1, 50, 3000)
+    for capacity in (packing.Capacity(64, 64, 1200), packing.Capacity(64, 5, 900, (1.0, 0.5, 0.5), "dot"), packing.Capacity(64, 4, 4096)):
+        bins, _ = packing.pack(lengths, capacity)
+        left = []
+        for i in np.argsort(-lengths, kind="stable"):
+            need = np.array([lengths[i], 1, lengths[i] ** 2])
+            if bins[i] == len(left):
+                assert not (np.array(left).reshape(-1, 3) >= need).all(axis=1).any()
+                left.append(np.array([capacity.tokens, capacity.documents, capacity.attention]))
+            else:
+                assert (left[bins[i]] >= need).all()
+            left[bins[i]] = left[bins[i]] - need
+
+
 def test_pipeline_runs(spark):
     import corpus_pipeline
 
