@@ -41,7 +41,7 @@ PER_LANGUAGE, PER_SAMPLE, LEAST = 300, 6000, 20
 #: Features; and the pieces, in words, by which every sampled text is learned beside the whole, for short texts.
 DIMENSIONS = 4096
 PIECES = (2, 6, 20, 60)
-#: Below this score a prediction counts as rejected, as does `und`.
+#: Below this score a prediction counts as rejected, as does `und`. A class that wins all its votes scores 0.25 or more, so only vote cycles can fall below.
 MIN_SCORE = 0.2
 UNKNOWN = "und"
 
