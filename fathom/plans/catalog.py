@@ -206,8 +206,9 @@ def indicator_union(spark, d):
 @query(f"SELECT nation, p_type, year, value FROM ({REVENUE})")
 def indicator_unpivot_map(spark, d):
     """Wide yearly columns and back: pivot, fold into maps, explode."""
-    years = [str(y) for y in range(1995, 2003)]
-    wide = S.revenue(spark, d).groupBy("nation", "p_type").pivot("year", years).agg(F.first(F.col("value").cast("string")))
+    revenue = S.revenue(spark, d)
+    years = sorted(r[0] for r in S.table(spark, d, "lineitem").select(F.year("l_shipdate").cast("string")).distinct().collect() if r[0] is not None)
+    wide = revenue.groupBy("nation", "p_type").pivot("year", years).agg(F.first(F.col("value").cast("string")))
     folded = assemble.year_values(wide, ["nation", "p_type"])
     return folded.select("nation", "p_type", F.explode("years_data").alias("year", "value"))
 

@@ -105,6 +105,20 @@ def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
 
 
+def test_unpivot_map_covers_every_year(spark, tmp_path):
+    db = duckdb.connect()
+    for t in ("customer", "orders", "part"):
+        spark.read.parquet(f"{SMALL}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    lines = spark.read.parquet(f"{SMALL}/lineitem.parquet")
+    kind = lines.schema["l_shipdate"].dataType
+    lines.withColumn("l_shipdate", F.add_months("l_shipdate", F.when(F.col("l_orderkey") % 3 == 0, 120).when(F.col("l_orderkey") % 3 == 1, -120).otherwise(0)).cast(kind)).write.parquet(f"{tmp_path}/lineitem.parquet")
+    for t in ("customer", "orders", "part", "lineitem"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    wanted = db.execute(catalog.ORACLES["indicator_unpivot_map"]).fetchall()
+    assert sorted(map(tuple, catalog.QUERIES["indicator_unpivot_map"](spark, str(tmp_path)).collect())) == sorted(wanted)
+    assert {"1985", "2011"} <= {r[2] for r in wanted}
+
+
 @pytest.mark.parametrize("name", ["alerts_multi_filter", "indicator_paths_up", "typed_pair_counts", "fisher_rank", "section_parse", "ner_mentions"])
 def test_query_equals_sql(spark, name):
     db = duckdb.connect()
