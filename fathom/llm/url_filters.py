@@ -42,12 +42,18 @@ def split_url(url: str | None) -> tuple[str, str]:
     return host.translate(_LOWER), slash + path
 
 
+def distinct(rules: Iterable[tuple[str, str, str]]) -> list[tuple[str, str, str]]:
+    """rules with hosts lower-cased; a later rule for the same host and path replaces an earlier one."""
+    verdicts = {(host.translate(_LOWER), path): verdict for host, path, verdict in rules}
+    return [(host, path, verdict) for (host, path), verdict in verdicts.items()]
+
+
 def pack(rules: Iterable[tuple[str, str, str]]) -> bytes:
     """The index file of (host, path, verdict) rules: number of rules, number of prefix lengths, these lengths, sorted digests, offsets, strings.
 
     A later rule for the same host and path replaces an earlier one.
     """
-    verdicts = {(host.translate(_LOWER), path): verdict for host, path, verdict in rules}
+    verdicts = {(host, path): verdict for host, path, verdict in distinct(rules)}
     entries = sorted((xxhash.xxh64_intdigest((host + path).encode()), f"{host + path}\n{verdict}".encode()) for (host, path), verdict in verdicts.items())
     lengths = sorted({len(path) for _, path in verdicts})
     offsets = np.cumsum([0, *(len(s) for _, s in entries)])
@@ -124,6 +130,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     Repeated rows are judged each alike. There is no shuffle.
     """
     spark = pages.sparkSession
+    rules = distinct(rules)
     if len(rules) > MAX_RULES:
         return judge_joined(pages, spark.createDataFrame(rules, "host string, path string, verdict string"))
     batches(spark, 4096)
@@ -142,7 +149,8 @@ def judge_joined(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """As judge(), with the rules as a table (host, path, verdict) of any size.
 
     Every suffix of a host joins the rules of that host; a host's suffixes are
-    few. The paths are compared after the join.
+    few. The paths are compared after the join. A table has no order: of
+    several verdicts for one host and path the greatest counts.
     """
     url = F.coalesce("url", F.lit(""))
     rest = F.when(url.contains("://"), F.split(F.substring_index(F.substring_index(F.expr("substring(url, locate('://', url) + 3)"), "?", 1), "#", 1), "/", 2)).otherwise(F.array(F.lit("")))
@@ -151,10 +159,10 @@ def judge_joined(pages: DataFrame, rules: DataFrame) -> DataFrame:
     rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    one_each = rules.groupBy(F.col("host").alias("r_host"), F.col("path").alias("r_path")).agg(F.max("verdict").alias("r_verdict"))
-    fits = rows.withColumn("r_host", F.explode(suffixes)).join(one_each, "r_host").where(F.col("path").startswith(F.col("r_path")))
+    one_each = rules.groupBy(F.translate("host", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("r_host"), F.col("path").alias("r_path")).agg(F.max("verdict").alias("r_verdict"))
+    fits = rows.where("host <> ''").withColumn("r_host", F.explode(suffixes)).join(one_each, "r_host").where(F.col("path").startswith(F.col("r_path")))
     rule = F.concat("r_host", "r_path")
-    best = fits.groupBy("row").agg(F.max_by(F.struct(rule.alias("rule"), F.col("r_verdict").alias("verdict")), F.length(rule)).alias("best"))
+    best = fits.groupBy("row").agg(F.max_by(F.struct(rule.alias("rule"), F.col("r_verdict").alias("verdict")), F.struct(F.length(rule), F.length("r_host"))).alias("best"))
     return rows.join(best, "row", "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(DEFAULT)).alias("verdict"))
 
 

@@ -173,6 +173,16 @@ def test_url_table_equals_index(spark):
     assert sorted(map(repr, url_filters.judge(pages, url_filters.RULES).collect())) == sorted(map(repr, url_filters.judge_joined(pages, rules).collect()))
 
 
+def test_urls_are_judged_alike_on_both_sides_of_the_switch(spark, monkeypatch):
+    rules = [("Example.com", "/", "block"), ("example.COM", "/", "allow"), ("a.net", "/x", "allow"), ("A.net", "/x", "block"), ("", "", "block"), ("", "/", "block"), ("b.org", "/xy", "block"), ("a.b.org", "/", "allow"), ("c.de", "", "block")]
+    urls = ["http://www.EXAMPLE.com/", "http://a.net/x/y", "http:///x", "http://", "x", None, "", "http://a.b.org/xy", "http://z.b.org/xyz", "http://C.de", "http://q.de./"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    few = sorted(map(tuple, url_filters.judge(pages, rules).collect()))
+    monkeypatch.setattr(url_filters, "MAX_RULES", 0)
+    assert sorted(map(tuple, url_filters.judge(pages, rules).collect())) == few
+    assert [r[4] for r in few] == ["allow", "block", "allow", "allow", "allow", "allow", "allow", "allow", "block", "block", "block"]
+
+
 def test_token_ledger(spark, tmp_path):
     ledger = token_counts.TokenLedger(spark, str(tmp_path / "ledger"))
     schema = "doc_id long, tokenizer_version string, source string, lang string, n_tokens long, n_chars long"
