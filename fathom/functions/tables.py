@@ -9,10 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where the session has none, as in tests, a local folder is set."""
+    """spark.checkpoint.dir, the folder that driver and executors share.
+
+    Only a local session without one, as in tests, gets a temporary folder;
+    on a cluster executors couldn't read it, so a missing setting raises.
+    """
     context = spark.sparkContext
     if found := spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir():
         return found
+    if not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="fathom-"))
     return context.getCheckpointDir()
 
