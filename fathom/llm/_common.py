@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fathom.functions.tables import shared_folder as scratch_dir
+
 #: ASCII white space, the only separators of words here.
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 #: Java regex of a word; possessive, so that long words need no backtracking.
@@ -19,15 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir). Only where the session has none, as in tests, a local one is set."""
-    context = spark.sparkContext
-    if shared := spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir():
-        return shared
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="fathom-"))
-    return context.getCheckpointDir()
-
-
 def stored(df: DataFrame, *columns: str) -> DataFrame:
     """df written to a table in the shared folder and read again.
 
@@ -64,7 +56,45 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def batches(spark: SparkSession, rows: int) -> None:
-    """Rows of an Arrow batch at most; bytes are bounded too, so that long texts don't pile up."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def batches(spark: SparkSession) -> None:
+    """Rows of an Arrow batch at most; bytes are bounded too, so that long texts don't pile up.
+
+    All operators set the same values: a lazy plan takes those that hold when it runs.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
+#: A key with more than this share of all rows is hot: there are at most as many hot keys as its inverse.
+HOT_SHARE = 1 / 1000
+
+
+def spread_join(rows: DataFrame, right: DataFrame, key: list[str], total: int, how: str = "inner") -> DataFrame:
+    """rows joined with right (one row per key, with the key's number of rows as _n) so that no key fills a task.
+
+    Hot keys, 1000 at most whatever the data, are broadcast; the others meet
+    in an ordinary join. how is inner, left or left_semi; keys aren't null, _n goes.
+    """
+    hot = right.where(F.col("_n") > max(1.0, total * HOT_SHARE))
+    keys = F.broadcast(hot.select(*key))
+    few = rows.join(keys, key, "left_anti").join(right.where(F.col("_n") <= max(1.0, total * HOT_SHARE)).drop("_n"), key, how)
+    many = rows.join(keys if how == "left_semi" else F.broadcast(hot.drop("_n")), key, "left_semi" if how == "left_semi" else "inner")
+    return few.unionByName(many.select(*few.columns))
+
+
+def running(rows: DataFrame, order: list, *, total: str, name: str) -> DataFrame:
+    """rows with name: the sum of the column total over all rows before, in the order of unique keys.
+
+    Rows are dealt by ranges of the order and stored; each range is summed on
+    its own and shifted by the sums of the ranges before it, of which there
+    are as many as partitions. drop_stored() takes what is returned.
+    """
+    dealt = stored(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    ranges = dealt.groupBy("_range").agg(F.sum(total).alias("_sum"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = ranges.select("_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_shift"))
+    within = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = dealt.withColumn(name, F.coalesce(F.sum(total).over(within), F.lit(0))).join(F.broadcast(shifts), "_range")
+    out = out.withColumn(name, F.col(name) + F.col("_shift")).drop("_range", "_shift")
+    out._fathom_path = dealt._fathom_path
+    return out

@@ -183,7 +183,7 @@ def fit(documents: DataFrame) -> Model | None:
     frequent one isn't gathered in one task. Of rows that share a doc_id the
     one with the smallest lang and text is learned from.
     """
-    batches(documents.sparkSession, 256)
+    batches(documents.sparkSession)
     usable = documents.select("doc_id", "lang", "text").where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     n_langs = usable.agg(F.approx_count_distinct("lang")).first()[0]
     each = max(LEAST, min(PER_LANGUAGE, PER_SAMPLE // max(1, n_langs)))
@@ -230,7 +230,7 @@ def predict(documents: DataFrame, model: Model | None, *keep: str) -> DataFrame:
     text if nothing could be learned. Repeated rows are predicted each alike.
     There is no shuffle.
     """
-    batches(documents.sparkSession, 256)
+    batches(documents.sparkSession)
     kept = [documents.schema[c] for c in keep]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "lang_pred string", "score double"])
     return documents.select("text", *keep).mapInArrow(_predictor(model), schema)

@@ -1,25 +1,29 @@
 """License scans by a positional index of rare words.
 
-Short licence notices are indexed as postings word -> (template, position).
-Document frequencies of the indexed words over the whole corpus give their
-IDF. In a document that holds a template's mandatory phrase all words of that
-template are looked up; places where they stand at the same relative positions
-as in the template intersect, and the template counts once words of enough
-weight meet in one place.
-
-The index and the frequencies hold as many entries as the templates have
-words, whatever the corpus; documents aren't shuffled.
+Licence notices are indexed as postings word -> (template, position). Document
+frequencies of the indexed words over the whole corpus give their IDF. Of each
+template the highest-IDF words are looked up in every document: the fewest
+that together outweigh what a template may lack, so that no place with SHARE
+of its weight can be missed. Their postings, shifted by where the words stand,
+intersect in places; a place counts once words of enough weight stand at the
+template's relative positions there and the template's mandatory phrase stands
+in the document.
+
+The index holds as many entries as the templates have words, whatever the
+corpus; every place that the postings name is verified, however many there
+are. Documents aren't shuffled.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm._common import table
+from fathom.llm._common import let, table
 
 #: Characters of words and between them, in a text of any case.
 WORD_CHAR, GAP_CHAR = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
@@ -38,7 +42,8 @@ class Template:
     phrase: str
 
     def words(self) -> list[str]:
-        return "".join(c if c.isalnum() else " " for c in self.text.lower()).split()
+        """Words as those of a document: runs without ASCII other than letters and digits, in lower case."""
+        return re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", self.text.replace("\u212a", "\u00e9").lower())
 
 
 TEMPLATES = (
@@ -58,6 +63,11 @@ TEMPLATES = (
     Template("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "redistribution and use in source and binary forms"),
     Template("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "with or without fee is hereby granted"),
     Template("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mozilla public license"),
+    Template("apache", "you may not use this file except in compliance with the License. You may obtain a copy of the License at", "except in compliance with the license"),
+    Template("bsl", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "any person or organization obtaining a copy"),
+    Template("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.", "without any express or implied warranty"),
+    Template("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License", "eclipse public license"),
+    Template("proprietary", "All rights reserved.", "all rights reserved"),
     Template("unlicense", "This is free and unencumbered software released into the public domain.", "free and unencumbered software"),
 )
 
@@ -82,43 +92,49 @@ def phrase_pattern(*phrases: str) -> str:
     return f"(?i)(?<!{WORD_CHAR})(?:{either})(?!{WORD_CHAR})"
 
 
-def _holds(phrase: str) -> Column:
-    """Whether the phrase's words stand consecutively in text. The pattern is tried only if low holds each of the words, the longest first."""
-    held = F.lit(True)
-    for word in sorted(set(phrase.split()), key=lambda w: (-len(w), w)):
-        held = held & F.contains(F.col("low"), F.lit(word))
-    return F.when(held, F.col("text").rlike(phrase_pattern(phrase))).otherwise(False)
-
-
 def _frequencies(documents: DataFrame, words: list[str]) -> tuple[int, dict[str, int]]:
     """Number of documents, and of those that hold each of words; at most as many rows as words reach the driver."""
-    found = F.array_intersect(words_of(lowered(F.coalesce("text", F.lit("")))), F.array(*map(F.lit, words)))
+    found = F.array_distinct(F.filter(words_of(lowered(F.coalesce("text", F.lit("")))), lambda w: w.isin(*words)))
     rows = documents.select(F.explode(F.concat(F.array(F.lit("")), found)).alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()
     counts = {r["word"]: r["n"] for r in rows}
     return counts.get("", 0), {w: counts.get(w, 0) for w in words}
 
 
-def _met(words: Column, template: Template, weights: dict[str, float]) -> Column:
-    """Share of the template's weight that stands in one place of the document, by all of its words."""
-    own = template.words()
-    postings: dict[str, list[int]] = {}
-    for at, word in enumerate(own):
-        postings.setdefault(word, []).append(at)
-    total = sum(weights[w] for w in own)
-    index = F.create_map(*[x for w, places in postings.items() for x in (F.lit(w), F.array(*[F.struct(F.lit(p).alias("at"), F.lit(weights[w]).alias("weight")) for p in places]))])
-    held = F.array(*map(F.lit, postings))
-    hits = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(held, x["w"]))
-    shifted = F.flatten(F.transform(hits, lambda x: F.transform(F.element_at(index, x["w"]), lambda p: F.struct((x["i"] - p["at"]).alias("shift"), p["weight"].alias("weight")))))
-    # In the order of the shift each place's words are neighbours: add up runs and keep the heaviest.
-    start = F.struct(F.lit(None).cast("int").alias("shift"), F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.lit(0.0).alias("best"))
+def anchors(words: list[str], weights: dict[str, float]) -> list[int]:
+    """Positions of the highest-IDF words of a template that together weigh more than it may lack: a place with SHARE of its weight holds one of them."""
+    spare, taken, chosen = (1 - SHARE) * sum(weights[w] for w in words), 0.0, []
+    for at in sorted(range(len(words)), key=lambda i: (-weights[words[i]], words[i], i)):
+        chosen.append(at)
+        taken += weights[words[at]]
+        if taken > spare * (1 + 1e-9):
+            break
+    return chosen
+
+
+def _places(words: Column, templates: list[list[str]], weights: dict[str, float]) -> Column:
+    """(t, shift) of every place where an anchor of a template stands, from the postings of the anchors."""
+    postings: dict[str, list[tuple[int, int]]] = {}
+    for t, own in enumerate(templates):
+        for at in anchors(own, weights):
+            postings.setdefault(own[at], []).append((t, at))
+    index = F.create_map(*[x for w, places in postings.items() for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(at).alias("at")) for t, at in places]))])
+    hits = F.filter(F.transform(words, lambda w, i: F.when(w.isin(*postings), F.struct(w.alias("w"), i.alias("i")))), lambda x: x.isNotNull())
+    shifted = F.flatten(F.transform(hits, lambda x: F.transform(F.element_at(index, x["w"]), lambda p: F.struct(p["t"].alias("t"), (x["i"] - p["at"]).alias("shift")))))
+    return F.array_distinct(shifted)
+
+
+def _shares(words: Column, places: Column, templates: list[list[str]], weights: dict[str, float]) -> Column:
+    """(t, share) of each place: the share of the template's weight that stands at its relative positions there, by all of its words."""
+    whole = F.array(*[F.array(*[F.struct(F.lit(w).alias("w"), F.lit(weights[w]).alias("weight")) for w in own]) for own in templates])
+    totals = F.array(*[F.lit(sum(weights[w] for w in own)) for own in templates])
 
-    def add(state: Column, x: Column) -> Column:
-        same = F.coalesce(state["shift"] == x["shift"], F.lit(False))
-        weight = F.when(same, state["sum"]).otherwise(0.0) + x["weight"]
-        n = F.when(same, state["n"]).otherwise(0) + 1
-        return F.struct(x["shift"].alias("shift"), weight.alias("sum"), n.alias("n"), F.greatest(state["best"], F.when(n >= LEAST_WORDS, weight).otherwise(0.0)).alias("best"))
+    def share(place: Column) -> Column:
+        own = F.get(whole, place["t"])
+        met = F.transform(own, lambda x, j: F.when(F.get(words, place["shift"] + j) == x["w"], x["weight"]))
+        total = F.aggregate(met, F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n")), lambda s, x: F.struct((s["sum"] + F.coalesce(x, F.lit(0.0))).alias("sum"), (s["n"] + x.isNotNull().cast("int")).alias("n")))
+        return let(total, lambda s: F.struct(place["t"].alias("t"), F.when(s["n"] >= LEAST_WORDS, F.least(s["sum"] / F.get(totals, place["t"]), F.lit(1.0))).otherwise(0.0).alias("share")))
 
-    return F.least(F.aggregate(F.array_sort(shifted), start, add, lambda s: s["best"]) / total, F.lit(1.0))
+    return F.filter(F.transform(places, share), lambda x: x["share"] >= SHARE)
 
 
 def scan(documents: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
@@ -127,27 +143,27 @@ def scan(documents: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> D
     A null or empty text has no words, no place and empty labels. score is 1
     with a base label, else the greatest share of a template found, else 0.
     Repeated rows are scanned each alike; a null doc_id is returned as it is.
+    A template needs LEAST_WORDS words or more and a phrase; others raise.
     """
-    vocabulary = sorted({w for t in templates for w in t.words()})
-    total, counts = _frequencies(documents, vocabulary)
+    owns = [t.words() for t in templates]
+    if bad := next((t for t, own in zip(templates, owns, strict=True) if len(own) < LEAST_WORDS or not Template("", t.phrase, "").words()), None):
+        raise ValueError(f"a template of {LEAST_WORDS} words or more and a phrase expected: {bad}")
+    total, counts = _frequencies(documents, sorted({w for own in owns for w in own}) or [""])
     weights = {w: math.log((total + 1) / (n + 1)) + 1e-3 for w, n in counts.items()}
     text = F.coalesce("text", F.lit(""))
     base = phrase_pattern(*BASE.values())
-    rows = documents.select("doc_id", text.alias("text"), lowered(text).alias("low"))
-    places = F.when(F.contains(F.col("low"), F.lit("license")), F.regexp_count("text", F.lit(base))).otherwise(0).cast("long")
-    # Only documents with some template's phrase can get a label by the method; others aren't split into words.
-    phrases = sorted({t.phrase for t in templates})
-    rows = rows.withColumn("phrases", F.array(*map(_holds, phrases)))
-    words = F.when(F.array_contains("phrases", True), words_of(F.col("low"))).otherwise(F.array().cast("array<string>"))
-    rows = rows.select("doc_id", "text", count_words(F.col("text")).alias("n_words"), places.alias("n_base"), "phrases", words.alias("words"))
+    places = F.when(F.contains(lowered(text), F.lit("license")), F.regexp_count(text, F.lit(base))).otherwise(0).cast("long")
+    # The words are bound once: the optimizer would split the text anew for each lambda that names them.
+    found = let(words_of(lowered(text)), lambda w: F.struct(F.size(w).cast("long").alias("n"), (_shares(w, _places(w, owns, weights), owns, weights) if owns else F.array().cast("array<struct<t:int,share:double>>")).alias("met")))
+    rows = documents.select("doc_id", text.alias("text"), places.alias("n_base"), found.alias("found"))
     before_first, before_last = F.split("text", base, 2)[0], F.regexp_extract("text", f"(?s)^(.*){base.removeprefix('(?i)')}".replace("(?s)", "(?si)", 1), 1)
     rows = rows.withColumn("first_word", F.when(F.col("n_base") > 0, count_words(before_first))).withColumn("last_word", F.when(F.col("n_base") > 0, count_words(before_last)))
     base_found = F.array_compact(F.array(*[F.when((F.col("n_base") > 0) & F.col("text").rlike(phrase_pattern(p)), F.lit(label)) for label, p in BASE.items()]))
-    rows = rows.withColumn("base", F.array_sort(base_found))
-    shares = F.array(*[F.when(F.get("phrases", F.lit(phrases.index(t.phrase))), _met(F.col("words"), t, weights)).otherwise(0.0) for t in templates])
-    rows = rows.withColumn("shares", shares)
-    by_method = F.array_compact(F.array(*[F.when(F.get("shares", F.lit(i)) >= SHARE, F.lit(t.label)) for i, t in enumerate(templates)]))
-    best = F.array_max(F.transform("shares", lambda x: F.when(x >= SHARE, x).otherwise(0.0)))
+    labels = F.array(*[F.lit(t.label) for t in templates]) if templates else F.array().cast("array<string>")
+    patterns = F.array(*[F.lit(phrase_pattern(" ".join(Template("", t.phrase, "").words()))) for t in templates]) if templates else F.array().cast("array<string>")
+    # The mandatory phrase is looked for once words of enough weight have met.
+    good = F.filter(F.col("found.met"), lambda x: F.rlike("text", F.get(patterns, x["t"])))
+    rows = rows.select("doc_id", F.col("found.n").alias("n_words"), "n_base", "first_word", "last_word", F.array_sort(base_found).alias("base"), good.alias("good"))
     return rows.select(
         "doc_id",
         "n_words",
@@ -155,11 +171,33 @@ def scan(documents: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> D
         "first_word",
         "last_word",
         F.array_join("base", ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_distinct(F.concat("base", by_method))), ",").alias("labels"),
-        F.when(F.size("base") > 0, 1.0).otherwise(best).alias("score"),
+        F.array_join(F.array_sort(F.array_distinct(F.concat("base", F.transform("good", lambda x: F.get(labels, x["t"]))))), ",").alias("labels"),
+        F.when(F.size("base") > 0, 1.0).otherwise(F.coalesce(F.array_max(F.transform("good", lambda x: x["share"])), F.lit(0.0))).alias("score"),
     )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op9: all of `documents`, with document frequencies over all of them."""
     return scan(table(spark, sf_dir, "documents"))
+
+
+def base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op9 that SQL expresses too."""
+    return query(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+_W = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Words as arrays; a phrase's words stand consecutively.
+BASE_ORACLE = f"""
+WITH w AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_W}'), []) AS w FROM documents
+), p AS (
+  SELECT doc_id, w, list_filter(range(len(w)), lambda i: w[i + 1] = 'mit' AND w[i + 2] = 'license') AS mit,
+    list_filter(range(len(w)), lambda i: w[i + 1] = 'apache' AND w[i + 2] = 'license') AS apache,
+    list_filter(range(len(w)), lambda i: w[i + 1] = 'general' AND w[i + 2] = 'public' AND w[i + 3] = 'license') AS gpl FROM w
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(mit) + len(apache) + len(gpl) AS BIGINT) AS n_base,
+  list_min(list_concat(mit, apache, gpl)) AS first_word, list_max(list_concat(mit, apache, gpl)) AS last_word,
+  concat_ws(',', CASE WHEN len(apache) > 0 THEN 'apache' END, CASE WHEN len(gpl) > 0 THEN 'gpl' END, CASE WHEN len(mit) > 0 THEN 'mit' END) AS base_labels
+FROM p
+"""

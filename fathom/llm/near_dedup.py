@@ -166,7 +166,7 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 def _confirmed(documents: DataFrame, pairs: DataFrame, representatives: DataFrame, n: int, percent: int) -> DataFrame:
     """Those of pairs (a, b) of classes whose whole sets are similar, stored."""
-    batches(documents.sparkSession, 256)
+    batches(documents.sparkSession)
     asked = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     sets = stored(_sets(documents, representatives.join(asked, "class"), n).join(asked, "class", "left_semi"))
 
@@ -246,7 +246,7 @@ def _unresolved(documents: DataFrame, buckets: DataFrame, labels: DataFrame, ske
 
 def _linked(documents: DataFrame, shingle: int, percent: int, *keep: str) -> DataFrame:
     """doc_id, n, class, component (a class), smallest (the component's smallest doc_id) and the long columns keep for each row of documents; without a set the last three before keep are null."""
-    batches(documents.sparkSession, 256)
+    batches(documents.sparkSession)
     schema = ", ".join(["doc_id long, n long, class long, sketch array<int>", *(f"{c} long" for c in keep)])
     rows = stored(documents.select("doc_id", "text", *keep).mapInArrow(_sketched(shingle, *keep), schema))
     representatives = stored(rows.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id")))

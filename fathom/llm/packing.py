@@ -119,7 +119,7 @@ def _cutter(tokens: int, ranks: str) -> Callable[[Iterator[pa.RecordBatch]], Ite
 
 def pieces(documents: DataFrame, tokens: int, ranks: str = RANKS) -> DataFrame:
     """The pieces of each document: doc_id, piece, start, length and the checksum of its ids."""
-    batches(documents.sparkSession, 256)
+    batches(documents.sparkSession)
     return documents.select("doc_id", "text").mapInArrow(_cutter(tokens, ranks), PIECE_SCHEMA)
 
 

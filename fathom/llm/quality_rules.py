@@ -143,7 +143,7 @@ def quality(documents: DataFrame) -> DataFrame:
     fails the base rule and isn't kept. Repeated rows are judged each on their
     own; a null doc_id is returned as it is. There is no shuffle.
     """
-    batches(documents.sparkSession, 1024)
+    batches(documents.sparkSession)
     return documents.select("doc_id", "text").mapInArrow(_rows, SCHEMA)
 
 

@@ -117,7 +117,7 @@ def _counter(version: str, ranks: str):
 
 def counted(documents: DataFrame, version: str = "byte_bpe_50k", ranks: str = RANKS) -> DataFrame:
     """Upserts for every row of documents (doc_id, source, lang, text): tokens and characters of the whole text, 0 for a null one."""
-    batches(documents.sparkSession, 256)
+    batches(documents.sparkSession)
     rows = documents.select("doc_id", "source", "lang", "text", F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_chars"))
     return rows.mapInArrow(_counter(version, ranks), "doc_id long, tokenizer_version string, source string, lang string, n_tokens long, n_chars long")
 

@@ -154,7 +154,7 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int, *, block_rows: int = 40
     an empty result.
     """
     spark = vectors.sparkSession
-    batches(spark, 2048)
+    batches(spark)
     squared = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     bucket = F.when(squared > 0, F.floor(F.log2(squared) / 2 * lengths_per_doubling)).otherwise(F.lit(-(2**20))).cast("long")
     rows = vectors.where(F.col("id").isNotNull() & F.col("v").isNotNull()).select("id", "v", F.size("v").alias("dim"), bucket.alias("bucket"))

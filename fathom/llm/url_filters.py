@@ -133,7 +133,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     rules = distinct(rules)
     if len(rules) > MAX_RULES:
         return judge_joined(pages, spark.createDataFrame(rules, "host string, path string, verdict string"))
-    batches(spark, 4096)
+    batches(spark)
     name = _published(spark, pack(rules))
 
     def judged(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
