@@ -16,6 +16,9 @@ sets; buckets with the same largest component are compared together, so that
 classes which share many buckets meet once. Blocks return only links that join
 what they hadn't joined before. Candidates whose sketches can't belong to sets
 similar enough are dropped, the rest are confirmed on the whole sets.
+
+Sets hold 64-bit hashes and classes have 63-bit keys: among 10^11 different
+sets some 540 pairs would share a key and be taken for equal.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm._common import batches, drop_stored, stored, table
+from fathom.llm._common import batches, drop_stored, spread_join, stored, table
 from fathom.llm.components import components
 
 #: Coordinates of a sketch, and of a band. At a similarity of 0.8 a pair shares no band with a probability below 1e-7.
@@ -38,8 +41,8 @@ BINS, BAND = 128, 4
 MATCHES = 76
 #: Classes on either side of a block of comparisons.
 BLOCK = 256
-#: Bits of the filter that brings the sets of candidates to the executors. If the corpus outgrows it, more sets pass, which costs time only.
-FILTER_BITS = 1 << 26
+#: Bits for each candidate, and of all at most (128 MB), of the filter that brings the sets of candidates to the executors. Beyond, more sets pass, which costs time only.
+FILTER_EACH, FILTER_MOST = 32, 1 << 30
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: What is added to the shingles in each round.
@@ -120,39 +123,42 @@ def _sketched(n: int, *keep: str) -> Callable[[Iterator[pa.RecordBatch]], Iterat
     return rows
 
 
-def _place(doc_id: Column) -> Column:
-    return F.pmod(F.xxhash64(doc_id), F.lit(FILTER_BITS))
+def _place(doc_id: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(bits))
 
 
-def _wanted(ids: DataFrame) -> bytes:
-    """A bit for the hash of each doc_id. The bits are set in 64-bit words before they reach the driver: FILTER_BITS of them at most, whatever there is."""
-    place = _place(F.col("doc_id"))
+def _wanted(ids: DataFrame) -> tuple[int, bytes]:
+    """A bit for the hash of each doc_id, and how many bits. They are set in 64-bit words before they reach the driver: FILTER_MOST of them at most, whatever there is."""
+    bits = max(1 << 16, min(FILTER_MOST, 1 << (FILTER_EACH * ids.count()).bit_length()))
+    place = _place(F.col("doc_id"), bits)
     words = ids.select(F.floor(place / 64).cast("long").alias("word"), (place % 64).cast("int").alias("bit"))
     words = words.select("word", F.expr("shiftleft(1L, bit)").alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    out = np.zeros(bits // 64, dtype=np.int64)
     out[words["word"].to_numpy()] = words["bits"].to_numpy()
-    return out.tobytes()
+    return bits, out.tobytes()
 
 
-def _sets(documents: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """class, n and the whole set, as bytes, of the documents whose id may be in ids; others may come with them. Texts aren't shuffled."""
+def _sets(documents: DataFrame, ids: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """class and the whole set, as bytes, of each class in wanted, one row each, read from documents whose id may be in ids. Texts aren't shuffled."""
     spark = documents.sparkSession
-    filter_bits = spark.sparkContext.broadcast(_wanted(ids))
+    bits, data = _wanted(ids)
+    filter_bits = spark.sparkContext.broadcast(data)
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, bits = Words(), np.frombuffer(filter_bits.value, dtype=np.uint8)
         for part in parts:
             places = part.column(0).to_numpy()
-            keys, sizes, sets = [], [], []
+            keys, sets = [], []
             for i in np.flatnonzero((bits[places >> 3] >> (places & 7).astype(np.uint8)) & 1):
                 hashes = shingles(part.column(1)[int(i)].as_py(), n, known)
                 if len(hashes):
                     keys.append(class_of(hashes))
-                    sizes.append(len(hashes))
                     sets.append(hashes.tobytes())
-            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary())], names=["class", "n", "set"])
+            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], names=["class", "set"])
 
-    return documents.select(_place(F.col("doc_id")).alias("place"), "text").mapInArrow(rows, "class long, n long, set binary")
+    read = documents.select(_place(F.col("doc_id"), bits).alias("place"), "text").mapInArrow(rows, "class long, set binary")
+    # Rows that share a doc_id, or have none, give a class more than once.
+    return read.join(wanted, "class", "left_semi").dropDuplicates(["class"])
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -168,7 +174,7 @@ def _confirmed(documents: DataFrame, pairs: DataFrame, representatives: DataFram
     """Those of pairs (a, b) of classes whose whole sets are similar, stored."""
     batches(documents.sparkSession)
     asked = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    sets = stored(_sets(documents, representatives.join(asked, "class"), n).join(asked, "class", "left_semi"))
+    sets = stored(_sets(documents, representatives.join(asked, "class"), asked, n))
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -176,8 +182,7 @@ def _confirmed(documents: DataFrame, pairs: DataFrame, representatives: DataFram
             yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     left, right = sets.select(F.col("class").alias("a"), F.col("set").alias("x")), sets.select(F.col("class").alias("b"), F.col("set").alias("y"))
-    # Rows with equal doc_id and set give a set more than once, which the distinct pairs undo.
-    out = stored(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(rows, "a long, b long").distinct())
+    out = stored(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(rows, "a long, b long"))
     drop_stored(sets)
     return out
 
@@ -233,7 +238,7 @@ def _unresolved(documents: DataFrame, buckets: DataFrame, labels: DataFrame, ske
     outer = (F.col("component") != F.col("largest")).cast("long")
     totals = rows.groupBy("largest").agg(F.count("*").alias("all"), F.sum(outer).alias("others"))
     wanted = rows.select("class").distinct()
-    sets = stored(_sets(documents, representatives.join(wanted, "class"), n).join(wanted, "class", "left_semi").select("class", "set"))
+    sets = stored(_sets(documents, representatives.join(wanted, "class"), wanted, n))
     part = lambda total, salt: F.pmod(F.xxhash64("class", F.lit(salt)), F.ceil(F.col(total) / BLOCK))
     every = lambda total: F.sequence(F.lit(0).cast("long"), (F.ceil(F.col(total) / BLOCK) - 1).cast("long"))
     dealt = rows.join(totals, "largest")
@@ -249,7 +254,7 @@ def _linked(documents: DataFrame, shingle: int, percent: int, *keep: str) -> Dat
     batches(documents.sparkSession)
     schema = ", ".join(["doc_id long, n long, class long, sketch array<int>", *(f"{c} long" for c in keep)])
     rows = stored(documents.select("doc_id", "text", *keep).mapInArrow(_sketched(shingle, *keep), schema))
-    representatives = stored(rows.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id")))
+    representatives = stored(rows.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("_n")))
     band = lambda i: F.xxhash64(i, F.slice("sketch", i * BAND + 1, BAND))
     bands = F.transform(F.sequence(F.lit(0), F.lit(BINS // BAND - 1)), band)
     placed = rows.where("class IS NOT NULL").select("class", F.explode(bands).alias("band")).distinct()
@@ -260,9 +265,9 @@ def _linked(documents: DataFrame, shingle: int, percent: int, *keep: str) -> Dat
     centres = met.join(weights, "class").groupBy("band").agg(F.max(F.struct("weight", "class")).alias("top")).select("band", F.col("top.class").alias("first"))
     buckets = stored(met.select("class", "band").join(centres, "band"))
     drop_stored(met)
-    # One sketch of each class; rows of a class have the same.
+    # One sketch of each class that shares a bucket, however many rows have it; the first of a partition stands for the others before they move.
     in_buckets = buckets.select("class").distinct()
-    sketches = stored(rows.join(representatives, ["class"]).where(rows["doc_id"].eqNullSafe(representatives["doc_id"])).select("class", "n", "sketch").join(in_buckets, "class", "left_semi"))
+    sketches = stored(rows.select("class", "n", "sketch").join(in_buckets, "class", "left_semi").dropDuplicates(["class"]))
     stars = buckets.where("class <> first").select(F.least("class", "first").alias("a"), F.greatest("class", "first").alias("b")).distinct()
     tested = stored(_likely(stars, sketches, percent))
     links = _confirmed(documents, tested, representatives, shingle, percent)
@@ -272,8 +277,11 @@ def _linked(documents: DataFrame, shingle: int, percent: int, *keep: str) -> Dat
     drop_stored(buckets, sketches)
     homes = representatives.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     smallest = homes.groupBy("component").agg(F.min("doc_id").alias("smallest"))
-    found = homes.join(smallest, "component").select("class", "component", "smallest")
-    return rows.join(found, "class", "left").select("doc_id", "n", "class", "component", "smallest", *keep)
+    found = stored(homes.join(smallest, "component").select("class", "component", "smallest", "_n"))
+    named = rows.select("doc_id", "n", "class", *keep)
+    without = named.where("class IS NULL").select("doc_id", "n", "class", F.lit(None).cast("long").alias("component"), F.lit(None).cast("long").alias("smallest"), *keep)
+    # A set that a third of all rows share fills no task.
+    return spread_join(named.where("class IS NOT NULL"), found, ["class"], rows.count()).select(*without.columns).unionByName(without)
 
 
 def grouped(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
