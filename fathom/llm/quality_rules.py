@@ -18,11 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 from fathom.llm._common import batches, table
 
 #: Largest share of characters inside duplicated n-grams, by n-gram length.
-DUPLICATE_LIMITS = {5: 0.25, 6: 0.24, 7: 0.23, 8: 0.22, 9: 0.21, 10: 0.20}
+DUPLICATE_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
 #: Largest share of characters inside the n-gram that fills most of the text, of those found three times or more, by n-gram length.
-TOP_LIMITS = {2: 0.20, 3: 0.18, 4: 0.16}
+TOP_LIMITS = {2: 0.12, 3: 0.11, 4: 0.10}
 #: Largest share of characters in lines equal to an earlier line.
-LINE_LIMIT = 0.30
+LINE_LIMIT = 0.20
 #: The base rule's window, its least number of words and its largest share of repeated words.
 BASE_WINDOW, BASE_WORDS, BASE_SHARE = 5, 10, 0.20
 
@@ -150,3 +150,29 @@ def quality(documents: DataFrame) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op2: the rules over the whole of `documents`."""
     return quality(table(spark, sf_dir, "documents"))
+
+
+def base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op2 that SQL expresses too."""
+    return query(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+_W = r"[^\x20\x09-\x0D]+"
+BASE_ORACLE = rf"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, coalesce(regexp_extract_all(text, '{_W}'), []) AS w FROM documents
+), a AS (
+  SELECT doc_id, len(w) AS n_words, len(array_to_string(w, '')) AS word_chars, len(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM t
+), g AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM t WHERE len(w) >= 5)
+), r AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g) WHERE n > 1
+), c AS (
+  SELECT doc_id, count(DISTINCT place) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 5)) AS place FROM r) GROUP BY 1
+), o AS (
+  SELECT a.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM a LEFT JOIN c ON a.doc_id = c.doc_id
+)
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM o
+"""
