@@ -1,10 +1,15 @@
 """Line dedup: later copies of repeated line runs are deleted.
 
-Documents are sequences of line ids, blank lines left out. Distributed prefix
-doubling names the run of 1, 2, 4, ... lines at every position; a name stands
-for the interval of suffixes that share the run as a prefix, and positions
-whose interval holds no other suffix drop out before the next round. A run of
-any length is named by its two overlapping power-of-two blocks.
+Documents are sequences of line ids, blank lines left out; every line begins a
+suffix of its document. Distributed prefix doubling sorts the suffixes by
+their first 1, 2, 4, ... lines: the different prefixes of a level are sorted
+by ranges, and a suffix's rank is the number of suffixes with a smaller
+prefix, ties being dealt out by counts, so that a line which a third of all
+rows share fills no task. At each level the suffixes of one rank are an
+interval of the suffix array whose longest common prefix is at least the
+level's; intervals of one suffix drop out, and doubling ends when none is
+left. So a run of any length is named by the ranks of its two overlapping
+power-of-two blocks, and equal names are equal runs.
 
 A line is deleted if it lies in a run of MIN_WORDS words or more that occurs
 earlier, in the order of (doc_id, line). Such runs are covered exactly by the
@@ -13,10 +18,8 @@ maximal repeated run, the first such run from its start and, for each line
 behind that, the one that ends there lie inside it. So only these are looked
 up, two for each position.
 
-Names are 64-bit hashes instead of ranks in a sorted array: neighbours in a
-sorted array would have to meet in one ordered partition, which a line that a
-third of all rows share would fill, while equal names are counted by partial
-aggregates.
+Lines compare by their SHA-256 digests, of which no two texts are known to
+share one; ranks of longer runs are exact.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fathom.llm._common import WORD, drop_stored, let, n_words, stored, table
+from fathom.llm._common import WORD, drop_stored, let, n_words, running, spread_join, stored, table
 
 #: Runs with fewer words stay.
 MIN_WORDS = 50
@@ -52,26 +55,36 @@ def _filled(lines: Column) -> Column:
     return F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).rlike(WORD))
 
 
-def _repeated(rows: DataFrame, name: str) -> DataFrame:
-    """rows whose name occurs at two positions or more. Counts are partial before the shuffle; the join splits large keys."""
-    return rows.join(rows.groupBy(name).agg(F.count("*").alias("_n")).where("_n > 1").select(name), name, "left_semi")
+def _ranked(rows: DataFrame, prefix: list[str]) -> DataFrame:
+    """rows (stored) whose prefix two suffixes or more share, with _rank for the prefix: the number of such suffixes that sort before. Stored."""
+    # Counts are partial before the shuffle, and only different prefixes are sorted.
+    shared = rows.groupBy(*prefix).agg(F.count("*").alias("_n")).where("_n > 1")
+    sorted_ = running(shared, prefix, total="_n", name="_rank")
+    ranks = stored(sorted_)
+    out = stored(spread_join(rows, ranks, prefix, rows.count()).select(*DOC, "_s", "_rank"))
+    drop_stored(sorted_, ranks)
+    return out
 
 
-def later_runs(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Runs that occur earlier, as _d, _h and _ranges: arrays of first and last place among the lines with words."""
-    words = F.filter(_split(F.col("_row.text")), lambda line: line.rlike(WORD))
-    each = _keyed(documents).select(*DOC, F.posexplode(words).alias("_s", "_line")).select(*DOC, "_s", n_words(F.col("_line")).alias("_w"), F.xxhash64("_line").alias("_name"))
-    lines = stored(each.groupBy(*DOC, "_s").agg(F.first("_w").alias("_w"), F.first("_name").alias("_name")))
-    level = stored(_repeated(lines.drop("_w"), "_name"))
-    levels, k = [], 0
+def suffix_ranks(lines: DataFrame) -> list[DataFrame]:
+    """For each k the suffixes (_d, _h, _s) that share their first 2**k lines with others, and their _rank among these; lines has _line, a line's digest."""
+    level, levels = _ranked(lines, ["_line"]), []
     while not level.isEmpty():
         levels.append(level)
-        step = 2**k
-        right = level.select(*DOC, (F.col("_s") - step).alias("_s"), F.col("_name").alias("_next"))
-        longer = stored(level.join(right, [*DOC, "_s"]).select(*DOC, "_s", F.xxhash64("_name", "_next").alias("_name")))
-        level = stored(_repeated(longer, "_name"))
+        step = 2 ** (len(levels) - 1)
+        right = level.select(*DOC, (F.col("_s") - step).alias("_s"), F.col("_rank").alias("_next"))
+        longer = stored(level.join(right, [*DOC, "_s"]))
+        level = _ranked(longer.withColumnRenamed("_rank", "_head"), ["_head", "_next"])
         drop_stored(longer)
-        k += 1
+    return levels
+
+
+def later_runs(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """Runs that occur earlier, as _d, _h and _ranges: arrays of first and last place among the lines with words."""
+    words = F.filter(_split(F.col("_row.text")), lambda line: line.rlike(WORD))
+    each = _keyed(documents).select(*DOC, F.posexplode(words).alias("_s", "_text")).select(*DOC, "_s", n_words(F.col("_text")).alias("_w"), F.unhex(F.sha2(F.col("_text").cast("binary"), 256)).alias("_line"))
+    lines = stored(each.dropDuplicates([*DOC, "_s"]))
+    levels = suffix_ranks(lines.drop("_w"))
     spark = documents.sparkSession
     empty = "_d long, _h long, _ranges array<struct<_from:int,_to:int>>"
     if not levels:
@@ -98,23 +111,23 @@ def later_runs(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     size = F.col("_to") - F.col("_from") + 1
     runs = both.where(F.col("_words") >= min_words).drop("_words").distinct().withColumn("_k", F.floor(F.log2(size.cast("double")) + 1e-9).cast("int"))
     runs = runs.where(F.col("_k") < len(levels))
-    first = named.select(*DOC, "_k", F.col("_s").alias("_from"), F.col("_name").alias("_a"))
-    last = named.select(*DOC, "_k", F.col("_s").alias("_tail"), F.col("_name").alias("_b"))
+    first = named.select(*DOC, "_k", F.col("_s").alias("_from"), F.col("_rank").alias("_a"))
+    last = named.select(*DOC, "_k", F.col("_s").alias("_tail"), F.col("_rank").alias("_b"))
     tail = F.col("_to") + 1 - F.expr("shiftleft(1, _k)")
     runs = runs.join(first, [*DOC, "_k", "_from"]).withColumn("_tail", tail).join(last, [*DOC, "_k", "_tail"])
-    runs = stored(runs.select(*DOC, "_from", "_to", F.xxhash64(size, "_a", "_b").alias("_run")))
+    runs = stored(runs.select(*DOC, "_from", "_to", size.alias("_size"), "_a", "_b"))
     drop_stored(*levels, lines)
-    place = F.struct("_d", "_h", "_from")
-    earliest = runs.groupBy("_run").agg(F.min(place).alias("_first"), F.count("*").alias("_n")).where("_n > 1")
-    later = runs.join(earliest, "_run").where(place > F.col("_first"))
+    place, run = F.struct("_d", "_h", "_from"), ["_size", "_a", "_b"]
+    earliest = stored(runs.groupBy(*run).agg(F.min(place).alias("_first"), F.count("*").alias("_n")).where("_n > 1"))
+    later = spread_join(runs, earliest, run, runs.count()).where(place > F.col("_first"))
     return stored(later.groupBy(*DOC).agg(F.collect_list(F.struct("_from", "_to")).alias("_ranges")))
 
 
 def deduped(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """documents with the later copies of repeated runs cut out of text, and n_lines and n_deleted, the lines with words before and those deleted, as _n_lines, _n_deleted.
 
-    Lines end at newlines and are compared byte by byte; blank lines are
-    neither compared nor deleted. A null or empty text stays as it is.
+    Lines end at newlines and are compared by their SHA-256 digests; blank
+    lines are neither compared nor deleted. A null or empty text stays as it is.
     Earlier means a smaller doc_id (null last), then text hash, then line; rows
     with equal doc_id and text are one document and are treated alike, so that
     neither is a copy of the other. Other columns, of any name, stay.
@@ -142,7 +155,11 @@ def n_lines(text: Column) -> Column:
 
 
 def filtered(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """documents after line dedup, without those whose every line was a later copy; n_chars, if there is one, follows a changed text."""
+    """documents after line dedup, without those whose every line was a later copy; n_chars, if there is one, follows a changed text.
+
+    Null, empty and blank texts have no lines with words and stay; rows with
+    equal doc_id and text stay or go together.
+    """
     rows = deduped(documents, min_words).where((F.col("_n_deleted") == 0) | (F.col("_n_deleted") < F.col("_n_lines")))
     counted = {"n_chars": F.when(F.col("_n_deleted") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(documents.schema["n_chars"].dataType)} if "n_chars" in documents.columns else {}
     return rows.withColumns(counted).select(*[F.col(f"`{c}`") for c in documents.columns])
