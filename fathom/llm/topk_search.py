@@ -6,7 +6,9 @@ the longest vectors gives every query a k-th best product. A second pass turns
 that product, divided by the query's length and the block's greatest length,
 into a local cosine threshold per query and block:
 
-* above 1 no vector of the block can enter the result: the block is skipped;
+* above 1 no vector of the block can enter the result: the block is skipped.
+  Queries are grouped by that product over their length, and a group meets
+  only the blocks whose lengths reach it, so that skipped pairs are never sent;
 * from COORDINATE_FROM on, vectors whose largest query coordinates lie outside
   the interval that the threshold allows are dropped (coordinate pruning);
 * below it, vectors too short to reach the k-th best are dropped (length
@@ -36,9 +38,18 @@ SLACK = 1e-9
 EXACT = 2.0**53
 
 
+#: Components of all vectors of a block, and of all queries that meet it together.
+BLOCK_SIZE, QUERY_SIZE = 2**18, 2**20
+
+
 def quantized(x: Column, scale: int = 64) -> Column:
-    """floor(scale * x) of every component, computed in double precision."""
-    return F.transform(x, lambda v: F.floor(F.lit(float(scale)) * v.cast("double")).cast("long"))
+    """floor(scale * x) of every component, computed in double precision. A component beyond 64 bits raises when the row is read: its products couldn't be told."""
+
+    def one(v: Column) -> Column:
+        y = F.lit(float(scale)) * v.cast("double")
+        return F.when(F.abs(y) < 2.0**63, F.floor(y).cast("long")).when(y.isNotNull(), F.raise_error(F.lit("a component doesn't fit 64 bits")).cast("long"))
+
+    return F.transform(x, one)
 
 
 def usable(x: Column) -> Column:
@@ -67,12 +78,18 @@ def _matrix(column: pd.Series, width: int) -> np.ndarray:
     return out
 
 
+def _greatest(a: np.ndarray) -> float:
+    return max(float(a.max(initial=0)), -float(a.min(initial=0)))
+
+
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Integer products of all rows of a and b: by doubles where these are exact, else by 64-bit integers."""
-    bound = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1])
+    """Integer products of all rows of a and b: by doubles or 64-bit integers where these are exact, else by whole numbers of any size."""
+    bound = _greatest(a) * _greatest(b) * max(1, a.shape[1])
     if bound < EXACT:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a @ b.T
+    if bound < 2.0**62:
+        return a @ b.T
+    return a.astype(object) @ b.T.astype(object)
 
 
 def search_block(q_ids: np.ndarray, q: np.ndarray, floors: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -116,6 +133,10 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, floors: np.ndarray, c_ids: np
 
 
 def _take(query: int, ids: np.ndarray, scores: np.ndarray, floor: float, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    if scores.dtype == object:
+        if any(not -(2**63) <= x < 2**63 for x in scores):
+            raise OverflowError("a product doesn't fit 64 bits")
+        scores = scores.astype(np.int64)
     if not np.isnan(floor):
         good = scores >= floor
         ids, scores = ids[good], scores[good]
@@ -143,7 +164,7 @@ def _kept(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def topk(vectors: DataFrame, queries: DataFrame, k: int, *, block_rows: int = 4096, query_rows: int = 2048, lengths_per_doubling: int = 4) -> DataFrame:
+def topk(vectors: DataFrame, queries: DataFrame, k: int, *, block_rows: int | None = None, query_rows: int | None = None, lengths_per_doubling: int = 4) -> DataFrame:
     """Each query's k highest inner products: query_id, rank (from 1), vec_id, score.
 
     vectors and queries have id long and v array<long>; other columns are
@@ -151,47 +172,73 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int, *, block_rows: int = 40
     query's own id. Where dimensions differ, missing components count as 0.
     Of queries with the same id the one with the smallest array counts.
     Repeated vectors are all returned, ties to smaller ids. Empty tables give
-    an empty result.
+    an empty result. A score beyond 64 bits raises.
+
+    Each vector is sent to the query parts that it may matter to. Parts hold
+    query_rows queries, blocks block_rows vectors; by default as many as make
+    QUERY_SIZE and BLOCK_SIZE components.
     """
     spark = vectors.sparkSession
     batches(spark)
-    squared = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    bucket = F.when(squared > 0, F.floor(F.log2(squared) / 2 * lengths_per_doubling)).otherwise(F.lit(-(2**20))).cast("long")
+    lengths = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    none = -(2**20)
+    squared = lengths("v")
+    bucket = F.when(squared > 0, F.floor(F.log2(squared) / 2 * lengths_per_doubling)).otherwise(F.lit(none)).cast("long")
     rows = vectors.where(F.col("id").isNotNull() & F.col("v").isNotNull()).select("id", "v", F.size("v").alias("dim"), bucket.alias("bucket"))
-    # One row per length bucket reaches the driver: doubles have at most 2,100 doublings.
+    # One row per dimension and length bucket reaches the driver: doubles have at most 2,100 doublings.
     sizes = sorted(((r["dim"], r["bucket"], r["n"]) for r in rows.groupBy("dim", "bucket").agg(F.count("*").alias("n")).collect()), key=lambda r: (-r[1], r[0]))
-    layout, first_of, n_blocks = {}, 0, 0
+    layout, upto, first_of, n_blocks = {}, {}, 0, 0
     leading: list[int] = []
     for dim, b, n in sizes:
-        parts = -(-n // block_rows)
+        parts = -(-n // (block_rows or max(1, BLOCK_SIZE // max(1, dim))))
         layout[dim, b] = (n_blocks, parts)
         if first_of < k + 1:  # blocks that hold more than k vectors, the longest first
             leading.append(n_blocks)
             first_of += n // parts
         n_blocks += parts
-    if not n_blocks:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    cases = F.create_map(*[F.lit(x) for (dim, b), (start, parts) in layout.items() for x in (f"{dim}/{b}", start * 2**20 + parts)])
-    place = F.element_at(cases, F.concat_ws("/", "dim", "bucket"))
-    blocks = rows.select("id", "v", (F.shiftright(place, 20) + F.pmod(F.xxhash64("id"), place.bitwiseAND(2**20 - 1))).alias("block"))
+        upto[b] = n_blocks
     asked = queries.where(F.col("id").isNotNull() & F.col("v").isNotNull()).select(F.col("id").alias("query"), F.col("v").alias("q")).groupBy("query").agg(F.min("q").alias("q"))
-    query_parts = max(1, -(-asked.count() // query_rows))
-    asked = asked.withColumn("part", F.pmod(F.xxhash64("query", F.lit(1)), F.lit(query_parts)))
+    n_queries = asked.count() if n_blocks else 0
+    if not n_queries:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    at_once = query_rows or max(1, QUERY_SIZE // max(1, *(dim for dim, _, _ in sizes)))
+    table_of = lambda entries: F.create_map(*[F.lit(x) if i == 0 else F.struct(F.lit(x[0]).alias("a"), F.lit(x[1]).alias("b")) for e in entries for i, x in enumerate(e)])
+    place = F.element_at(table_of([(f"{dim}/{b}", at) for (dim, b), at in layout.items()]), F.concat_ws("/", "dim", "bucket"))
+    dealt = lambda place, *key: (place["a"] + F.pmod(F.xxhash64(*key), place["b"])).cast("long")
+    blocks = rows.select("id", "v", "bucket", dealt(place, "id").alias("block"))
     per_pair = _searcher(k)
 
-    def searched(wanted: DataFrame, which: Column, numbers: Column) -> DataFrame:
-        """wanted's query parts against the blocks numbered so: each part visits each block once, as one bounded group."""
-        left = wanted.withColumn("block", F.explode(numbers))
-        right = blocks.where(which).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1))))
-        pair = lambda df: df.withColumn("part", F.col("part").cast("long")).withColumn("block", F.col("block").cast("long")).groupBy("part", "block")
-        return pair(left).cogroup(pair(right)).applyInPandas(per_pair, "query_id long, vec_id long, score long")
-
-    lead = F.array(*[F.lit(x) for x in leading])
-    first = stored(_kept(searched(asked.withColumn("floor", F.lit(None).cast("double")), F.col("block").isin(leading), lead), k).drop("rank"))
-    floors = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("worst")).select(F.col("query_id").alias("query"), F.when(F.col("n") >= k, F.col("worst")).alias("floor"))
-    every = F.array_except(F.sequence(F.lit(0), F.lit(n_blocks - 1)), lead)
-    rest = searched(asked.join(floors, "query", "left"), ~F.col("block").isin(leading), every)
-    return _kept(first.unionByName(rest), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    def searched(left: DataFrame, right: DataFrame) -> DataFrame:
+        """Queries against vectors that have part and block: each pair of a part and a block meets once, as one bounded group."""
+        return left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInPandas(per_pair, "query_id long, vec_id long, score long")
+
+    numbers = lambda n: F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)
+    lead = F.array(*[F.lit(x).cast("long") for x in leading])
+    parts = max(1, -(-n_queries // at_once))
+    left = asked.select("query", "q", F.lit(None).cast("double").alias("floor"), F.pmod(F.xxhash64("query", F.lit(1)), F.lit(parts)).alias("part"), F.explode(lead).alias("block"))
+    right = blocks.where(F.col("block").isin(leading)).select("id", "v", "block", F.explode(numbers(F.lit(parts))).alias("part"))
+    first = stored(_kept(searched(left, right), k).drop("rank"))
+    floors = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("worst"))
+    # A little less than the k-th best, since a double can't hold every long.
+    floors = floors.select(F.col("query_id").alias("query"), F.when(F.col("n") >= k, F.col("worst") - F.abs("worst") * 4e-16).alias("floor"))
+    reach = F.col("floor") / F.greatest(F.sqrt(lengths("q")), F.lit(1e-300))
+    level = F.when(reach > 0, F.floor(F.log2(reach) * lengths_per_doubling) - 1).otherwise(F.lit(none)).cast("long")
+    wanted = stored(asked.join(floors, "query", "left").select("query", "q", "floor", F.coalesce(level, F.lit(none)).alias("level")))
+    # Levels ascend as parts are numbered and buckets descend as blocks are: what can meet are the first parts and the first blocks.
+    groups = sorted((r["level"], r["n"]) for r in wanted.groupBy("level").agg(F.count("*").alias("n")).collect())
+    n_parts, of_level, meets = 0, [], []
+    for lv, n in groups:
+        own = -(-n // at_once)
+        live = max((end for b, end in upto.items() if b >= lv), default=0)
+        of_level.append((lv, (n_parts, own)))
+        meets.append((lv, (live, 0)))
+        n_parts += own
+    live_parts = [(b, (sum(own for lv, (_, own) in of_level if lv <= b), 0)) for b in upto]
+    home, seen = F.element_at(table_of(of_level), F.col("level")), F.element_at(table_of(meets), F.col("level"))["a"]
+    left = wanted.where(seen > 0).select("query", "q", "floor", dealt(home, "query", F.lit(1)).alias("part"), F.explode(F.array_except(numbers(seen), lead)).alias("block"))
+    n_live = F.element_at(table_of(live_parts), F.col("bucket"))["a"]
+    right = blocks.where(~F.col("block").isin(leading) & (n_live > 0)).select("id", "v", "block", F.explode(numbers(n_live)).alias("part"))
+    return _kept(first.unionByName(searched(left, right)), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
