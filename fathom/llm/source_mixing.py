@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fathom.llm._common import drop_stored, n_words, stored, table
+from fathom.llm._common import drop_stored, n_words, running, stored, table
 
 #: Copies of a document at most; a source's target is bounded by as many times its size.
 MOST = 3
@@ -25,8 +25,8 @@ MOST = 3
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Parts into which the documents of a source and size are dealt, so that a common size isn't ranked in one task.
 PARTS = 1024
-#: Newton steps at most; a step outside the bracket becomes a bisection.
-STEPS = 60
+#: Newton steps at most; a step outside the bracket becomes a bisection, so that they converge long before. A mix that doesn't raises.
+STEPS = 200
 #: Tokens by which the fractional mix may miss a target, as a share of it; and rounds that correct the rounding.
 NEAR, CORRECTIONS = 1e-6, 4
 
@@ -37,21 +37,24 @@ def targets(totals: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFram
     Sources in the order of their code points, null last, take the weights in
     turn. All tokens are shared by weight; what goes beyond MOST times a
     source's size is shared among the others by weight, until none is above.
-    Sources without tokens get 0.
+    Sources without tokens get 0. Sources may be as many as documents: they
+    are numbered by ranges, and the level that a unit of weight gets is found
+    by sums over all sources, one for each round of resharing.
     """
-    by_name = Window.orderBy(F.col("_source").asc_nulls_last())
-    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int"))
-    rows = totals.withColumn("_weight", weight).withColumn("_cap", F.lit(float(MOST)) * F.col("_source_size"))
-    # Sources reach their caps in the order of cap / weight. The level at a source is what a unit of weight gets if all before it are full.
-    order = Window.orderBy(F.col("_cap") / F.col("_weight"), F.col("_source").asc_nulls_last())
-    everything, upto = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = F.sum("_cap").over(upto) - F.col("_cap")
-    behind = F.sum("_weight").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    rows = rows.withColumn("_level", (F.sum("_source_size").over(everything) - before) / behind)
-    open_ = F.when(F.col("_level") * F.col("_weight") <= F.col("_cap"), F.col("_level"))
-    rows = rows.withColumn("_water", F.first(open_, ignorenulls=True).over(everything))
-    filled = F.coalesce(F.least(F.col("_cap"), F.col("_water") * F.col("_weight")), F.col("_cap"))
-    return rows.select("_source", "_source_size", filled.alias("_target"))
+    numbered = running(totals.select("_source", "_source_size", F.lit(1).alias("_one")), [F.col("_source").asc_nulls_last()], total="_one", name="_place")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("_place"), F.lit(len(weights))) + 1).cast("int"))
+    rows = stored(numbered.select("_source", "_source_size", weight.alias("_weight"), (F.lit(MOST) * F.col("_source_size")).alias("_cap")))
+    drop_stored(numbered)
+    level, n_full = 0.0, -1
+    while True:
+        full = F.col("_cap") < F.lit(level) * F.col("_weight")
+        # Sums of whole numbers and decimals don't depend on their order.
+        caps, open_, n, size = rows.agg(F.sum(F.when(full, F.col("_cap"))), F.sum(F.when(~full, F.col("_weight").cast("decimal(28,9)"))), F.count(F.when(full, 1)), F.sum("_source_size")).first()
+        if n == n_full or not open_:
+            break
+        level, n_full = ((size or 0) - (caps or 0)) / float(open_), n
+    share = F.lit(level) * F.col("_weight") if open_ else F.col("_cap")
+    return rows.select("_source", "_source_size", F.least(F.col("_cap").cast("double"), share.cast("double")).alias("_target"))
 
 
 def _rate() -> Column:
@@ -61,20 +64,21 @@ def _rate() -> Column:
 
 
 def _solved(cells: DataFrame, wanted: DataFrame) -> DataFrame:
-    """_source, _lambda, _scale: the dual solution. Each Newton step is one aggregate over the cells."""
-    scale = cells.groupBy(F.col("_source").alias("_key")).agg((F.sum(F.col("_n") * F.col("_size") * F.col("_size").cast("double")) / F.greatest(F.sum(F.col("_n") * F.col("_size")), F.lit(1))).alias("_scale"))
+    """_source, _lambda, _scale: the dual solution. Each Newton step is one aggregate over the cells; sums are of decimals, which come out alike in any order, so that reruns take the same steps."""
+    exact = lambda x: F.sum(x.cast("decimal(38,6)")).cast("double")
+    scale = cells.groupBy(F.col("_source").alias("_key")).agg((exact(F.col("_n") * F.col("_size") * F.col("_size").cast("double")) / F.greatest(F.sum(F.col("_n") * F.col("_size")), F.lit(1))).alias("_scale"))
     full = F.col("_target") >= MOST * F.col("_source_size") * (1 - 1e-12)
     state = wanted.join(scale, F.col("_source").eqNullSafe(F.col("_key")))
     state = state.select("_source", "_target", F.greatest("_scale", F.lit(1.0)).alias("_scale"), F.when(~full, F.lit(0.0)).alias("_lambda"), F.lit(None).cast("double").alias("_low"), F.lit(None).cast("double").alias("_high"), full.alias("_done"))
     state = stored(state)
     for _ in range(STEPS):
         if state.where(~F.col("_done")).isEmpty():
-            break
+            return state
         s = state.where(~F.col("_done")).select(F.col("_source").alias("_key"), "_lambda", "_scale")
         rated = cells.join(s, F.col("_source").eqNullSafe(F.col("_key"))).withColumn("_r", _rate())
         tokens = F.col("_n") * F.col("_size")
         free = F.col("_lambda") * F.col("_size") / F.col("_scale") < math.log(MOST)
-        sums = rated.groupBy("_key").agg(F.sum(tokens * F.col("_r")).alias("_got"), F.sum(F.when(free, tokens * F.col("_size") / F.col("_scale") * F.col("_r")).otherwise(0.0)).alias("_slope"))
+        sums = rated.groupBy("_key").agg(exact(tokens * F.col("_r")).alias("_got"), exact(F.when(free, tokens * F.col("_size") / F.col("_scale") * F.col("_r")).otherwise(0.0)).alias("_slope"))
         off = F.col("_got") - F.col("_target")
         met = F.abs(off) <= F.lit(NEAR) * F.col("_target")
         low = F.when(off < 0, F.col("_lambda")).otherwise(F.col("_low"))
@@ -88,7 +92,7 @@ def _solved(cells: DataFrame, wanted: DataFrame) -> DataFrame:
         new = stored(step.select("_source", "_target", "_scale", following.alias("_lambda"), F.col("_new_low").alias("_low"), F.col("_new_high").alias("_high"), done.alias("_done")))
         drop_stored(state)
         state = new
-    return state
+    raise ArithmeticError(f"no mix within {NEAR} of the targets after {STEPS} steps")
 
 
 def _rounded(cells: DataFrame) -> DataFrame:
@@ -156,7 +160,11 @@ def copies(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
 
 
 def mixed(documents: DataFrame) -> DataFrame:
-    """documents with each row repeated by its copies, none if it has no copy. Its columns, of any name, stay."""
+    """documents with each row repeated by its copies, none if it has no copy. Its columns, of any name, stay.
+
+    Null and empty texts have no words and keep one copy; null sources are one
+    source; repeated rows take part each on their own.
+    """
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_row"), F.col("doc_id").alias("_id"), F.col("source").alias("_source"), n_words(F.col("text")).alias("_size"))
     repeated = copies(rows).where(F.col("_copies") > 0).select(F.explode(F.array_repeat("_row", F.col("_copies").cast("int"))).alias("_row"))
     return repeated.select("_row.*")
@@ -168,3 +176,29 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stored(rows)
     taken = copies(rows)
     return taken.select(F.col("_id").alias("doc_id"), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).alias("taken"))
+
+
+def shared_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op8 that SQL expresses too, and whether what the mix takes is a number of copies and near its source's target."""
+    rows = query(spark, sf_dir)
+    near = rows.groupBy(F.col("source_size").alias("_s"), F.col("target").alias("_t")).agg((F.abs(F.sum("taken") - F.first("target")) <= F.greatest(F.lit(0.05) * F.first("target"), F.lit(50.0))).alias("near"))
+    rows = rows.join(near, (F.col("source_size") == F.col("_s")) & (F.col("target") == F.col("_t")))
+    copies = (F.col("taken") <= MOST * F.col("size")) & ((F.col("size") == 0) | (F.col("taken") % F.greatest("size", F.lit(1)) == 0))
+    return rows.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), copies.alias("copies"), "near")
+
+
+SHARED_ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
+), s AS MATERIALIZED (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM d GROUP BY source
+), r AS (
+  SELECT 0 AS round, (SELECT CAST(sum(source_size) AS DOUBLE) / sum(weight) FROM s) AS level
+  UNION ALL
+  SELECT round + 1, (SELECT (sum(source_size) - coalesce(sum(3 * source_size) FILTER (WHERE 3 * source_size < level * weight), 0)) / sum(weight) FILTER (WHERE 3 * source_size >= level * weight) FROM s) FROM r WHERE round < 40
+), l AS (
+  SELECT max(level) AS level FROM r
+)
+SELECT d.doc_id, d.size, s.source_size, round(least(3.0 * s.source_size, l.level * s.weight), 3) AS target, true AS copies, true AS near
+FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source, l
+"""
