@@ -36,8 +36,8 @@ FAMILIES = {
     "semitic": "am ar he mt",
     "dravidian": "kn ml ta te",
 }
-#: Languages' sample: rows of each language, rows of all, and the least of each however many there are.
-PER_LANGUAGE, PER_SAMPLE, LEAST = 300, 6000, 20
+#: Languages' sample: rows of each language, rows of all, the least of each however many there are, and the languages, the most frequent first, that are learned at most.
+PER_LANGUAGE, PER_SAMPLE, LEAST, MOST_LANGUAGES = 300, 6000, 20, 256
 #: Features; and the pieces, in words, by which every sampled text is learned beside the whole, for short texts.
 DIMENSIONS = 4096
 PIECES = (2, 6, 20, 60)
@@ -179,16 +179,25 @@ def fit(documents: DataFrame) -> Model | None:
 
     At most PER_LANGUAGE rows of a language and about PER_SAMPLE of all are
     taken, in the order of a hash of doc_id; they reach the driver as sparse
-    features. A language's rows are ranked by partial limits, so that a
-    frequent one isn't gathered in one task. Of rows that share a doc_id the
-    one with the smallest lang and text is learned from.
+    features. A bound on the hash, from each language's number of ids, leaves
+    about twice as many ids before they are ranked, however many tasks there
+    are. Of rows that share a doc_id the one with the smallest lang and text
+    is learned from. Of more than MOST_LANGUAGES languages the most frequent
+    are learned.
     """
-    batches(documents.sparkSession)
+    spark = documents.sparkSession
+    batches(spark)
     usable = documents.select("doc_id", "lang", "text").where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    n_langs = usable.agg(F.approx_count_distinct("lang")).first()[0]
-    each = max(LEAST, min(PER_LANGUAGE, PER_SAMPLE // max(1, n_langs)))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = usable.select("doc_id", "lang").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= each).select("doc_id").distinct()
+    counts = usable.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    if not counts:
+        return None
+    each = max(LEAST, min(PER_LANGUAGE, PER_SAMPLE // len(counts)))
+    bounds = [(r["lang"], min(2**63 - 1, -(2**63) + int(2**64 * (2 * each + 60) / max(1, r["n"])))) for r in counts]
+    bounds = F.broadcast(spark.createDataFrame(bounds, "lang string, bound long"))
+    hashed = F.xxhash64("doc_id")
+    near = usable.select("doc_id", "lang").join(bounds, "lang").where(hashed <= F.col("bound")).select("doc_id", "lang").distinct()
+    order = Window.partitionBy("lang").orderBy(hashed, "doc_id")
+    chosen = near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= each).select("doc_id").distinct()
     ids = [r[0] for r in chosen.collect()]  # at most each * languages
     if not ids:
         return None
@@ -237,7 +246,11 @@ def predict(documents: DataFrame, model: Model | None, *keep: str) -> DataFrame:
 
 
 def filtered(documents: DataFrame) -> DataFrame:
-    """documents without the rows whose language can't be told; columns, of any name and type, stay as they are."""
+    """documents without the rows whose language can't be told; columns, of any name and type, stay as they are.
+
+    Null, empty and letterless texts go; repeated rows stay or go together. If
+    nothing can be learned, no language can be told and no row stays.
+    """
     model = fit(documents)
     if model is None:
         return documents.limit(0)
