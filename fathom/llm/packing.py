@@ -3,9 +3,9 @@
 Every document becomes token ids and an end token; longer ones are cut into
 full pieces behind a shorter first one. Pieces are then packed by vector
 best-fit, longest first: a bin has residual capacities of tokens, documents
-and attention cost (the sum of squared lengths), and of the bins with room
+and attention cost (the sum of squared lengths), and of all bins with room
 under every constraint the one with the least weighted residual norm, or the
-greatest weighted dot product, takes the piece.
+greatest weighted dot product, takes the piece; of several alike the oldest.
 
 Packing is done in groups of bounded size, dealt by row; each group leaves
 some bins part empty, so groups are large.
@@ -35,62 +35,56 @@ SCHEMA = f"{PIECE_SCHEMA}, sequence_id long, offset long"
 
 @dataclass(frozen=True)
 class Capacity:
-    """What a sequence holds, and how much each residual weighs in the choice of a bin."""
+    """What a sequence holds, and how much each residual weighs in the choice of a bin.
+
+    A sequence has at most `documents` pieces, so that its attention mask has
+    a bounded number of blocks, and costs at most `attention`, so that no
+    sequence of a batch is much slower than the others; a piece that alone
+    costs more has a sequence of its own.
+    """
 
     tokens: int = 1024
-    documents: int = 1024
-    attention: int = 1024 * 1024
-    weights: tuple[float, float, float] = (1.0, 1e-9, 1e-9)
+    documents: int = 32
+    attention: int = 1010 * 1010
+    weights: tuple[float, float, float] = (1.0, 1e-4, 1e-3)
     rule: str = "norm"
 
 
 def pack(lengths: np.ndarray, capacity: Capacity) -> tuple[np.ndarray, np.ndarray]:
     """Bin and offset in it of each piece.
 
-    Bins are kept by their residual tokens; of each level the newest bin with
-    room is the level's candidate. Bins below the newest are looked at only if
-    that has no room in attention cost. A piece over a capacity gets a bin of
-    its own.
+    Each piece looks at every open bin at once. Bins without any room left are
+    dropped from time to time. A piece over a capacity gets a bin of its own.
     """
-    n, full = len(lengths), capacity.tokens
+    n, full = len(lengths), np.array([capacity.tokens, capacity.documents, capacity.attention], dtype=np.int64)
     bins, offsets = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
-    stacks: list[list[tuple[int, int, int]]] = [[] for _ in range(full + 1)]  # (bin, residual documents, residual attention)
-    documents, attention = np.full(full + 1, -1.0), np.full(full + 1, -1.0)
-    most = np.full(full + 1, -1.0)  # no bin of the level has more residual attention
-    residual = np.arange(full + 1)
-    w_tokens, w_documents, w_attention = (w / c**2 for w, c in zip(capacity.weights, (full, capacity.documents, capacity.attention), strict=True))
-    opened = 0
-    for i in np.argsort(-lengths, kind="stable"):
+    left = np.zeros((3, max(1, n)), dtype=np.float64)  # residuals of the open bins, oldest first
+    names = np.zeros(max(1, n), dtype=np.int64)
+    factors = np.array(capacity.weights) / full.astype(float) ** 2
+    least = int(lengths.min()) if n else 0
+    open_ = opened = 0
+    for step, i in enumerate(np.argsort(-lengths, kind="stable")):
         size = int(lengths[i])
-        level = -1
-        if size < full:
-            room = slice(size, full + 1)
-            for k in np.flatnonzero((attention[room] < size * size) & (most[room] >= size * size)) + size:
-                places = [at for at, x in enumerate(stacks[k]) if x[2] >= size * size]
-                if places:  # the newest with room comes to the top
-                    stacks[k].append(stacks[k].pop(places[-1]))
-                    documents[k], attention[k] = stacks[k][-1][1:]
-                most[k] = max((x[2] for x in stacks[k]), default=-1)
-            fits = np.flatnonzero((documents[room] >= 1) & (attention[room] >= size * size))
-            if len(fits):
-                at = fits + size
-                if capacity.rule == "dot":
-                    level = int(at[np.argmax(w_tokens * size * residual[at] + w_documents * documents[at] + w_attention * size * size * attention[at])])
-                else:
-                    level = int(at[np.argmin(w_tokens * (residual[at] - size) ** 2 + w_documents * (documents[at] - 1) ** 2 + w_attention * (attention[at] - size * size) ** 2)])
-        if level < 0:
-            where, free, docs, cost = opened, full, capacity.documents, capacity.attention
-            opened += 1
+        need = (float(size), 1.0, float(size * size))
+        if step % 1024 == 1023:
+            alive = np.flatnonzero((left[0, :open_] >= least) & (left[1, :open_] >= 1) & (left[2, :open_] >= least * least))
+            left[:, : len(alive)], names[: len(alive)], open_ = left[:, alive], names[alive], len(alive)
+        tokens, documents, attention = left[:, :open_]
+        fits = np.flatnonzero(tokens >= size) if size < full[0] else np.zeros(0, dtype=np.int64)
+        if len(fits):
+            fits = fits[(documents[fits] >= 1) & (attention[fits] >= need[2])]
+        if len(fits):
+            if capacity.rule == "dot":
+                score = -sum(f * x * r[fits] for f, x, r in zip(factors, need, left, strict=True))
+            else:
+                score = sum(f * (r[fits] - x) ** 2 for f, x, r in zip(factors, need, left, strict=True))
+            at = int(fits[np.argmin(score)])
         else:
-            where, docs, cost = stacks[level].pop()
-            free = level
-            documents[level], attention[level] = stacks[level][-1][1:] if stacks[level] else (-1, -1)
-        bins[i], offsets[i] = where, full - free
-        free, docs, cost = free - size, docs - 1, cost - size * size
-        if free > 0 and docs > 0 and cost > 0:
-            stacks[free].append((where, docs, cost))
-            documents[free], attention[free] = docs, cost
-            most[free] = max(most[free], cost)
+            at, open_ = open_, open_ + 1
+            left[:, at], names[at] = full, opened
+            opened += 1
+        bins[i], offsets[i] = names[at], full[0] - int(left[0, at])
+        left[:, at] -= need
     return bins, offsets
 
 
@@ -148,5 +142,5 @@ def packed(documents: DataFrame, capacity: Capacity = Capacity(), ranks: str = R
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op10: all of `documents` in sequences of 1024 tokens; documents and attention cost of a sequence are bounded by its tokens."""
+    """op10: all of `documents` in sequences of 1024 tokens; sequences hold 32 pieces and cost 1010 * 1010 pairs of tokens at most, but for single longer pieces."""
     return packed(table(spark, sf_dir, "documents"))
