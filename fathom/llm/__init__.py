@@ -15,6 +15,11 @@ QUERIES = {
     "op8_source_mixing": source_mixing.query,
     "op9_license_scans": license_scans.query,
     "op10_best_fit_packing": packing.query,
+    # What SQL can say of operators that it can't express as a whole: the same results, fewer columns.
+    "quality_base_columns": quality_rules.base_columns,
+    "token_word_totals": token_counts.word_totals,
+    "mixing_shared_columns": source_mixing.shared_columns,
+    "license_base_columns": license_scans.base_columns,
 }
 
 ORACLES = {
@@ -22,4 +27,8 @@ ORACLES = {
     "op4_line_dedup": line_dedup.ORACLE,
     "op5_near_dedup": near_dedup.ORACLE,
     "op6_url_filters": url_filters.ORACLE,
+    "quality_base_columns": quality_rules.BASE_ORACLE,
+    "token_word_totals": token_counts.WORD_ORACLE,
+    "mixing_shared_columns": source_mixing.SHARED_ORACLE,
+    "license_base_columns": license_scans.BASE_ORACLE,
 }
