@@ -27,4 +27,11 @@ def materialised(df: DataFrame) -> DataFrame:
     """df written once and read again: a loop's plan stays short and survives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return together([path], df)
+
+
+def together(paths: list[str], like: DataFrame) -> DataFrame:
+    """Tables of one schema read as one."""
+    out = like.sparkSession.read.schema(like.schema).parquet(*paths)
+    out._paths = paths
+    return out

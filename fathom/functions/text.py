@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,28 +37,31 @@ def sections(body: Column) -> Column:
     lost if another opens or none ends it. An end before any opening stops the
     parse.
     """
-    lines = F.split(body, "\n", -1)
-    section = "array<struct<title:string,content:string>>"
-    start = F.struct(F.lit(0).alias("i"), F.lit(False).alias("open"), F.lit(False).alias("failed"), F.lit(None).cast("string").alias("title"), F.array().cast("array<string>").alias("content"), F.array().cast(section).alias("out"))
-
-    def step(s: Column, raw: Column) -> Column:
-        line = stripped(raw)
-        opens = line.startswith("---") | line.startswith("******")
-        ends = line == "--"
-        failed = s["failed"] | (ends & s["title"].isNull())
-        before = F.element_at(lines, F.when(s["i"] == 0, F.lit(-1)).otherwise(s["i"]))
-        ended = F.array(F.struct(s["title"].alias("title"), F.array_join(s["content"], " ").alias("content")))
-        go = ~failed
+    found = "array<struct<title:int,first:int,n:int>>"
+    start = F.struct(F.lit(None).cast("int").alias("opened"), F.lit(None).cast("int").alias("closed"), F.lit(False).alias("failed"), F.array().cast(found).alias("out"))
+
+    def step(s: Column, mark: Column) -> Column:
+        """Only places of lines are gathered; mark has a marker's place and whether it opens."""
+        go, opens = ~s["failed"], mark["opens"]
+        failed = s["failed"] | (~opens & s["opened"].isNull())
+        closed = F.coalesce(s["closed"], mark["at"])
+        ended = F.array(F.struct((s["opened"] - 1).alias("title"), (s["opened"] + 1).alias("first"), (closed - s["opened"] - 1).alias("n")))
         return F.struct(
-            (s["i"] + 1).alias("i"),
-            F.when(go & opens, True).when(go & ends, False).otherwise(s["open"]).alias("open"),
+            F.when(go & opens, mark["at"]).otherwise(s["opened"]).alias("opened"),
+            F.when(go & opens, F.lit(None).cast("int")).when(go, closed).otherwise(s["closed"]).alias("closed"),
             failed.alias("failed"),
-            F.when(go & opens, before).otherwise(s["title"]).alias("title"),
-            F.when(go & opens, F.array().cast("array<string>")).when(go & ~ends & s["open"], F.concat(s["content"], F.array(line))).otherwise(s["content"]).alias("content"),
-            F.when(go & ~opens & ends, F.concat(s["out"], ended)).otherwise(s["out"]).alias("out"),
+            F.when(~failed & ~opens, F.concat(s["out"], ended)).otherwise(s["out"]).alias("out"),
         )
 
-    return F.aggregate(lines, start, step, lambda s: s["out"])
+    def of_lines(lines: Column) -> Column:
+        kind = lambda line: F.when(line.startswith("---") | line.startswith("******"), True).when(line == "--", False)
+        marks = F.filter(F.transform(lines, lambda raw, i: F.struct(i.alias("at"), kind(stripped(raw)).alias("opens"))), lambda m: m["opens"].isNotNull())
+        places = F.aggregate(marks, start, step, lambda s: s["out"])
+        title = lambda p: F.element_at(lines, F.when(p["title"] < 0, F.lit(-1)).otherwise(p["title"] + 1))
+        content = lambda p: F.array_join(F.transform(F.slice(lines, p["first"] + 1, p["n"]), stripped), " ")
+        return F.transform(places, lambda p: F.struct(title(p).alias("title"), content(p).alias("content")))
+
+    return let(F.split(body, "\n", -1), of_lines)
 
 
 def full_text(subject: Column, parts: Column) -> Column:
@@ -69,23 +74,45 @@ def without_keys(properties: Column, *names: str) -> Column:
     return F.map_filter(properties, lambda k, v: ~k.isin(*names))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, also where use names it in a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+#: Greek letters as they are spelled out, in the order of the alphabet from U+03B1 on; the final sigma counts as sigma.
+GREEK = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma sigma tau upsilon phi chi psi omega".split()
+#: Roman numbers from one to twenty.
+ROMAN = "i ii iii iv v vi vii viii ix x xi xii xiii xiv xv xvi xvii xviii xix xx".split()
+
+
 def normalised(text: Column) -> Column:
-    """Lower case, dashes as spaces, runs of white space as one."""
-    return F.trim(F.regexp_replace(F.lower(F.translate(text, "-\u2010\u2011\u2012\u2013\u2014", "      ")), r"\s+", " "))
+    """A name as dictionaries hold it: lower case, dashes and other marks as spaces, Greek letters spelled out, Roman numbers behind another word as digits, single spaces."""
+    out = F.lower(text)
+    for i, name in enumerate(GREEK):
+        out = F.replace(out, F.lit(chr(0x3B1 + i)), F.lit(f" {name} "))
+    words = F.filter(F.split(out, r"[^\p{L}\p{N}]+", -1), lambda w: w != "")
+    numbers = F.create_map(*[F.lit(x) for n, r in enumerate(ROMAN, 1) for x in (r, str(n))])
+    return F.array_join(F.transform(words, lambda w, i: F.when((i > 0) & w.isin(*ROMAN), F.element_at(numbers, w)).otherwise(w)), " ")
+
+
+def trimmed_front(text: Column, characters: str) -> Column:
+    """text without the leading characters that are in a set."""
+    return F.ltrim(text, F.lit(characters))
 
 
 def mentions(documents: DataFrame, dictionary: DataFrame, longest: int) -> DataFrame:
     """doc, surface, start, db, id, name: the longest dictionary entries in doc, text, none inside another.
 
     dictionary has entry (lower-case words parted by single spaces), db, id,
-    name. Every run of up to `longest` words is a candidate; they join the
-    dictionary on the run, so that no document meets the whole dictionary.
+    name. Every run of up to `longest` words is a candidate, built in one pass;
+    they join the dictionary on the run, so that no document meets the whole
+    dictionary.
     """
     words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+", -1), lambda w: w != "")
     rows = documents.select("doc", words.alias("words")).where(F.size("words") > 0)
-    at = rows.select("doc", "words", F.explode(F.sequence(F.lit(1), F.size("words"))).alias("start"))
-    runs = at.select("doc", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("words") - F.col("start") + 1))).alias("n"), "words")
-    spans = runs.select("doc", "start", "n", F.array_join(F.slice("words", F.col("start"), F.col("n")), " ").alias("surface"))
+    run = lambda w, i, n: F.struct((i + 1).alias("start"), n.alias("n"), F.array_join(F.slice(w, i + 1, n), " ").alias("surface"))
+    runs = lambda w: F.flatten(F.transform(w, lambda _, i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size(w) - i)), lambda n: run(w, i, n))))
+    spans = rows.select("doc", F.inline(let(F.col("words"), runs)))
     found = spans.join(dictionary, spans["surface"] == dictionary["entry"]).drop("entry")
     reach = Window.partitionBy("doc").orderBy("start").rangeBetween(Window.unboundedPreceding, -1)
     same = Window.partitionBy("doc", "start").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

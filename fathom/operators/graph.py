@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fathom.functions.tables import materialised
 from fathom.operators.traverse import closure
 
 
@@ -72,17 +74,38 @@ class Match:
         return rows.orderBy(*names).limit(limit)
 
 
+#: Filters of find_alerts: column, label of both ends, types of edges between them.
+FILTERS = (("disease", "disease", ("isa",)), ("geoloc", "geoloc", ("isa",)), ("pathogen", "pathogen", ("isa",)), ("symptom", "disease", ("has_phenotype", "isa")))
+
+
 def find_alerts(graph: Graph, disease: str | None = None, geolocation: str | None = None, pathogen: str | None = None, symptom: str | None = None, timestamp: str | None = None, limit: int | None = None) -> DataFrame:
-    """Distinct alerts with a mention, and for each filter (a curie; empty means none) the mentioned node and what it is found under."""
+    """Distinct alerts with a mention, and for each filter (a curie; empty means none) the mentioned node and what it is found under.
+
+    Filters over the same types of edges share one closure, and mentions are
+    read once for all filters.
+    """
     alerts = graph.labelled("alert")
     if timestamp:
         alerts = alerts.where(F.col("timestamp") == timestamp)
+    rows = alerts.select(F.col("curie").alias("alert"), "timestamp")
     mentions = graph.typed("mentions").select(F.col("src").alias("alert"), F.col("dst").alias("node"))
-    rows = alerts.select(F.col("curie").alias("alert"), "timestamp").join(mentions, "alert", "left_semi")
-    for name, label, types, curie in (("disease", "disease", ("isa",), disease), ("geoloc", "geoloc", ("isa",), geolocation), ("pathogen", "pathogen", ("isa",), pathogen), ("symptom", "disease", ("has_phenotype", "isa"), symptom)):
-        if curie:
-            under = graph.reach(curie, *types, label=label).join(graph.labelled(label).select("curie"), "curie", "left_semi")
-            rows = rows.join(mentions.join(under.withColumnRenamed("curie", "node"), "node").withColumnRenamed("node", name), "alert").withColumn(f"{name}_isa", F.lit(curie))
+    wanted = [(*f, curie) for f, curie in zip(FILTERS, (disease, geolocation, pathogen, symptom), strict=True) if curie]
+    if not wanted:
+        rows = rows.join(mentions, "alert", "left_semi")
+    else:
+        found = []
+        for types in sorted({types for _, _, types, _ in wanted}):
+            own = [(name, label, curie) for name, label, t, curie in wanted if t == types]
+            ends = [graph.labelled(label).where(F.col("curie") == curie).select("curie") for _, label, curie in own]
+            reached = closure(graph.typed(*types), reduce(DataFrame.unionByName, ends))
+            for name, label, curie in own:
+                under = reached.where(F.col("root") == curie).join(graph.labelled(label).select("curie"), "curie", "left_semi")
+                # The target itself may lack the label although another filter's target is the same node.
+                under = under.join(graph.labelled(label).where(F.col("curie") == curie).select(F.col("curie").alias("root")), "root", "left_semi")
+                found.append(under.select(F.col("curie").alias("node"), F.lit(name).alias("filter")))
+        hits = materialised(mentions.join(reduce(DataFrame.unionByName, found), "node").select("filter", "alert", "node"))
+        for name, _, _, curie in wanted:
+            rows = rows.join(hits.where(F.col("filter") == name).select("alert", F.col("node").alias(name)), "alert").withColumn(f"{name}_isa", F.lit(curie))
     rows = rows.distinct()
     return rows if limit is None else rows.orderBy(*rows.columns).limit(limit)
 
@@ -104,6 +127,24 @@ def autocomplete(nodes: DataFrame, prefix: str, top_n: int = 100) -> DataFrame:
     return one.select("key", F.col("top.name").alias("name"), F.col("top.curie").alias("curie")).orderBy("key").limit(min(top_n, 100))
 
 
+#: What each kind of autocompletion offers: a label, and whether only nodes of the ontology.
+COMPLETIONS = {"alert geolocations": ("geoloc", True), "indicator geolocations": ("geoloc", False), "diseases": ("disease", False), "pathogens": ("pathogen", False), "symptoms": ("disease", False), "indicators": ("indicator", False), "alerts": ("alert", False)}
+
+
+def complete(graph: Graph, kind: str, prefix: str, top_n: int = 100, ontology: str = "MESH", definitions: DataFrame | None = None) -> DataFrame:
+    """match, name, curie, definition of the first names of a kind (COMPLETIONS) with a prefix, in the order of their keys; definitions has curie and definition, else it is empty."""
+    label, own = COMPLETIONS[kind]
+    nodes = graph.labelled(label)
+    if own:
+        nodes = nodes.where(F.col("curie").startswith(ontology))
+    rows = autocomplete(nodes, prefix, top_n)
+    if definitions is None:
+        rows = rows.withColumn("definition", F.lit(""))
+    else:
+        rows = rows.join(definitions.select("curie", "definition"), "curie", "left").withColumn("definition", F.coalesce("definition", F.lit(""))).orderBy("key")
+    return rows.select(F.col("key").alias("match"), "name", "curie", "definition")
+
+
 def ground(names: DataFrame, dictionary: DataFrame, namespaces: list[str]) -> DataFrame:
     """names.name with the curie of the best entry: the namespace first in the list, then the smallest curie. A name with a colon is a curie already; unknown ones get null."""
     order = F.array_position(F.array(*map(F.lit, namespaces)), F.col("db"))

@@ -27,10 +27,10 @@ def prefiltered(doc_term: DataFrame, query: list[str]) -> DataFrame:
 
 def ranked(doc_term: DataFrame, query: list[str], type_of: Column, limit: int = 20) -> DataFrame:
     """doc, overlap, relevant_coverage, coverage, pval, the best first; type_of is a term's type."""
-    sums = summed(doc_term)
-    unknown = set(query) - {r[0] for r in sums.where(F.col("term").isin(query)).select("term").distinct().collect()}
-    if unknown:
+    known = doc_term.where(F.col("term").isin(query)).select("term").distinct().collect()  # as many rows as the query has terms
+    if unknown := set(query) - {r[0] for r in known}:
         raise KeyError(sorted(unknown)[0])
+    sums = summed(doc_term)
     passed = prefiltered(sums, query)
     terms = sums.agg(F.countDistinct("term").alias("n"))
     inside = F.col("term").isin(query)
@@ -42,3 +42,23 @@ def ranked(doc_term: DataFrame, query: list[str], type_of: Column, limit: int =
     )
     tested = each.join(F.broadcast(terms)).withColumn("pval", fisher_greater(F.col("overlap"), F.lit(len(query)), F.col("size"), F.col("n")))
     return tested.orderBy(F.desc("relevant_coverage"), F.desc("coverage"), F.round("pval", 9), "doc").limit(limit).select("doc", "overlap", "relevant_coverage", "coverage", "pval")
+
+
+def totals(doc_term: DataFrame) -> DataFrame:
+    """n_docs, n_terms: different documents and terms."""
+    return doc_term.agg(F.countDistinct("doc").alias("n_docs"), F.countDistinct("term").alias("n_terms"))
+
+
+def with_type_counts(ranked_rows: DataFrame, doc_term: DataFrame, query: list[str], type_of: Column) -> DataFrame:
+    """ranked rows with overlap_counts: how many of the query's terms a document has of each type, as a map."""
+    chosen = doc_term.where(F.col("term").isin(query)).join(F.broadcast(ranked_rows.select("doc")), "doc", "left_semi").select("doc", "term").distinct()
+    each = chosen.groupBy("doc", type_of.alias("type")).agg(F.count("*").alias("n"))
+    counts = each.groupBy("doc").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("overlap_counts"))
+    rows = ranked_rows.join(counts, "doc", "left")
+    return rows.withColumn("overlap_counts", F.coalesce("overlap_counts", F.create_map().cast("map<string,bigint>"))).orderBy(F.desc("relevant_coverage"), F.desc("coverage"), F.round("pval", 9), "doc")
+
+
+def find_literature(doc_term: DataFrame, terms: str, type_of: Column, prefix: str = "", limit: int = 20) -> DataFrame:
+    """ranked() for a comma list of term ids or curies, whose leading characters in prefix are cut off; an unknown id raises KeyError."""
+    names = [t.strip().lstrip(prefix) for t in terms.split(",") if t.strip()]
+    return with_type_counts(ranked(doc_term, names, type_of, limit), doc_term, names, type_of)

@@ -219,6 +219,15 @@ class Planner:
         self.distinct = distinct
         self.tracked = {h.name for hops in branch.paths.values() for h in hops}
         self.hop_of = {h.name: h for h in branch.hops}
+        # Conditions of WHERE that fix a node's curie narrow the node before it is joined, and seed closures.
+        self.fixed: dict[str, list[Column]] = {}
+        for left, sign, right in branch.where:
+            for (name, what), (other, value) in ((left, right), (right, left)):
+                if name in branch.nodes and what == "curie" and other is None:
+                    if sign == "=":
+                        self.fixed.setdefault(name, []).append(F.col("curie") == F.lit(value))
+                    elif sign == "IN" and (name, what) == left:
+                        self.fixed.setdefault(name, []).append(F.lit(False) if value is None else F.col("curie").isin(list(value)))
 
     def node_rows(self, name: str) -> DataFrame:
         rows, node = self.graph.nodes, self.branch.nodes[name]
@@ -226,6 +235,8 @@ class Planner:
             rows = rows.where(F.array_contains("labels", label))
         for key, value in node.equal:
             rows = rows.where(F.col(_property(key)) == F.lit(value))
+        for condition in self.fixed.get(name, []):
+            rows = rows.where(condition)
         return rows
 
     def hop_rows(self, hop: Hop) -> DataFrame:
@@ -235,7 +246,7 @@ class Planner:
             source, target = (a, b) if hop.forward else (b, a)
             found = edges.select(F.col("src").alias(source), F.col("dst").alias(target), F.col("type").alias(_at(hop.name, "type")), F.col("years_data").alias(_at(hop.name, "years")))
         else:
-            left_bound = any(k == "curie" for k, _ in self.branch.nodes[hop.left].equal)
+            left_bound = hop.left in self.fixed or any(k == "curie" for k, _ in self.branch.nodes[hop.left].equal)
             seeds = self.node_rows(hop.left if left_bound else hop.right).select("curie")
             backwards = hop.forward != left_bound
             near, far = (a, b) if left_bound else (b, a)
@@ -248,7 +259,7 @@ class Planner:
                 whole = whole if left_bound else F.reverse(whole)
                 found = walked.select(F.col("start").alias(near), F.col("node").alias(far), F.slice(whole, F.lit(2), F.size(whole) - 1).alias(_at(hop.name, "path")))
         for name, column in ((hop.left, a), (hop.right, b)):
-            if self.branch.nodes[name].labels or self.branch.nodes[name].equal:
+            if self.branch.nodes[name].labels or self.branch.nodes[name].equal or name in self.fixed:
                 found = found.join(self.node_rows(name).select(F.col("curie").alias(column)), column, "left_semi")
         if hop.left == hop.right:
             raise ValueError(f"an edge from {hop.left} to itself can't be matched")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.functions.tables import materialised
+from fathom.functions.tables import materialised, together
 
 #: Levels at most; a closure that isn't complete by then raises.
 LEVELS = 100
@@ -16,15 +16,16 @@ def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
     Walks edges (src, dst) backwards level by level; nodes seen before are
     left out, so cycles end and many paths to a node cost no more than one.
+    Edges are stored once, and each level adds a file to what was seen.
     """
-    steps = edges.select("src", "dst").distinct()
+    steps = materialised(edges.select("src", "dst").distinct())
     seen = frontier = materialised(seeds.select("curie", F.col("curie").alias("root")).distinct())
     for _ in range(LEVELS):
         found = frontier.join(steps, frontier["curie"] == steps["dst"]).select(F.col("src").alias("curie"), "root").distinct()
         frontier = materialised(found.join(seen, ["curie", "root"], "left_anti"))
         if frontier.isEmpty():
             return seen
-        seen = seen.unionByName(frontier)
+        seen = together(seen._paths + frontier._paths, seen)
     raise ValueError(f"closure deeper than {LEVELS} levels")
 
 
