@@ -6,18 +6,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.operators.graph import Graph
-from fathom.operators.pattern_query import run
-
-INDICATORS = """
-MATCH (i:indicator)<-[r:has_indicator]-(place:geoloc)
-MATCH path = (place){}(end:geoloc {{curie: $place}})
-WHERE i.name CONTAINS $part
-RETURN i AS indicator, r AS relation, place, nodes(path)[1..] AS path"""
-
+from fathom.operators.traverse import paths
 
 def find_indicators(graph: Graph, geolocation: str | None, part: str | None) -> DataFrame:
-    """indicator, relation, place, path of places under or above a geolocation (a curie) whose indicator's name contains part; a null finds nothing."""
-    return run(graph, " UNION ".join(INDICATORS.format(way) for way in ("-[:isa*0..]->", "<-[:isa*0..]-")), place=geolocation, part=part)
+    """indicator, relation, place, path of places under or above a geolocation (a curie) whose indicator's name contains part; a null finds nothing.
+
+    A place that reaches the geolocation by several paths has a row for each;
+    path has the curies from the place's parent, or child, to the geolocation.
+    """
+    isa, has = graph.typed("isa"), graph.typed("has_indicator")
+    target = graph.labelled("geoloc").where(F.col("curie") == F.lit(geolocation)).select("curie")
+    indicators = graph.labelled("indicator").where(F.col("name").contains(F.lit(part)))
+    ways = []
+    for backwards in (True, False):
+        walked = paths(isa, target, None, backwards=backwards)
+        # From the geolocation outwards; turned round, the place comes first and is left out.
+        whole = F.reverse(F.concat(F.array("start"), F.col("path")))
+        ways.append(walked.select(F.col("node").alias("place_curie"), F.slice(whole, F.lit(2), F.size(whole) - 1).alias("path")))
+    reached = ways[0].unionByName(ways[1]).distinct()
+    whole_node = lambda rows, key, name: rows.select(F.col("curie").alias(key), F.struct("curie", "name", "labels", "timestamp").alias(name))
+    edges = has.select(F.col("src").alias("place_curie"), F.col("dst").alias("indicator_curie"), F.struct("type", F.array_sort(F.map_entries("years_data")).alias("years_data")).alias("relation"))
+    rows = reached.join(edges, "place_curie").join(whole_node(indicators, "indicator_curie", "indicator"), "indicator_curie").join(whole_node(graph.labelled("geoloc"), "place_curie", "place"), "place_curie")
+    return rows.select("indicator", "relation", "place", "path").distinct()
 
 
 def last_alerts(alerts: DataFrame) -> DataFrame:

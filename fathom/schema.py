@@ -10,3 +10,5 @@ DOC_TERMS = "mesh_id string, major int, pmid long"
 CONTEXTS = "documents array<struct<sentences:array<struct<timexes:array<struct<text:string,intervals:array<map<string,string>>>>,geolocs:array<struct<text:string,geoID:string>>>>>>"
 EDGE_TSV = "`:START_ID` string, `:TYPE` string, `:END_ID` string"
 NODE_TSV = "`curie:ID` string, `name:string` string, `:LABEL` string"
+MENTIONS = "doc string, surface string, start int, db string, id string, name string"
+TERMS = "doc string, terms array<struct<db:string,id:string,name:string>>"

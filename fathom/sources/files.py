@@ -49,3 +49,59 @@ def write_tsv(rows: DataFrame, path: str) -> None:
 def write_alerts(alerts: DataFrame, path: str) -> None:
     """JSON lines, one per archive number; of a repeated number the last file's alert."""
     last_alerts(alerts).write.mode("overwrite").json(path)
+
+
+def doc_terms(spark: SparkSession, path: str) -> DataFrame:
+    """doc, term, weight of a table of documents' terms: 2 for a major term, else 1."""
+    rows = spark.read.schema(schema.DOC_TERMS).csv(path, header=True)
+    return rows.select(F.col("pmid").alias("doc"), F.col("mesh_id").alias("term"), (F.col("major") + 1).cast("long").alias("weight"))
+
+
+def write_matrix(doc_term: DataFrame, types: DataFrame, path: str) -> None:
+    """The matrix without repeated entries, dealt by document, and its terms' types."""
+    doc_term.groupBy("doc", "term").agg(F.sum("weight").alias("weight")).write.mode("overwrite").parquet(f"{path}/matrix")
+    types.select("term", "type").distinct().write.mode("overwrite").parquet(f"{path}/types")
+
+
+def matrix(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """What write_matrix() wrote: doc, term, weight; and term, type."""
+    return spark.read.schema("doc long, term string, weight long").parquet(f"{path}/matrix"), spark.read.schema("term string, type string").parquet(f"{path}/types")
+
+
+def write_annotations(mentions: DataFrame, path: str) -> None:
+    mentions.write.mode("overwrite").parquet(path)
+
+
+def annotations(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(schema.MENTIONS).parquet(path)
+
+
+def write_terms(terms: DataFrame, path: str) -> None:
+    """JSON lines of doc and terms; terms_by_alert() makes them."""
+    terms.write.mode("overwrite").json(path)
+
+
+def terms(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(schema.TERMS).json(path)
+
+
+def write_stats(counts: DataFrame, path: str) -> None:
+    """A TSV file with a header, in the order of the rows: the most frequent first, then by the other columns."""
+    names = [f"`{c}`" for c in counts.columns if c != "count"]
+    counts.orderBy(F.desc("count"), *names).write.mode("overwrite").csv(path, sep="\t", header=True, quote='"', escape='"', nullValue="")
+
+
+def write_contexts(contexts: DataFrame, path: str) -> None:
+    """JSON lines of id and its sentences."""
+    contexts.write.mode("overwrite").json(path)
+
+
+def write_texts(alerts: DataFrame, path: str) -> None:
+    """One text file for each archive number, in a folder named by it; of a repeated number the last file's alert."""
+    last_alerts(alerts).select("archive_number", "text").write.mode("overwrite").partitionBy("archive_number").option("lineSep", "\n").text(path)
+
+
+def file_index(alerts: DataFrame) -> DataFrame:
+    """archive_number, files: the names of the files that hold an alert, sorted."""
+    name = F.regexp_extract("file", r"([^/]+)$", 1)
+    return alerts.groupBy("archive_number").agg(F.array_sort(F.collect_set(name)).alias("files"))
