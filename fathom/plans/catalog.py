@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from fathom.functions import text as T
 from fathom.functions.fixed_values import GENERAL_NAMES, GENERAL_TERMS, PLACE_ALIASES
-from fathom.operators import assemble, literature
+from fathom.functions.tables import materialised
+from fathom.operators import answers, assemble, literature
 from fathom.operators import graph as G
 from fathom.operators import pattern_query
 from fathom.operators.traverse import closure, paths
@@ -102,12 +103,7 @@ ROOTS = {"disease": "DIS:root", "geoloc": "GEO:world", "pathogen": "PGRP:3"}
 
 def flagged(spark: SparkSession, d: str) -> DataFrame:
     """curie and is_disease, is_geoloc, is_pathogen by the hierarchy's roots."""
-    g = S.graph(spark, d)
-    roots = spark.createDataFrame(list(ROOTS.items()), "kind string, curie string")
-    under = closure(g.typed("isa"), roots.select("curie")).join(roots.select("kind", F.col("curie").alias("root")), "root")
-    flags = under.groupBy("curie").agg(*(F.bool_or(F.col("kind") == k).alias(f"is_{k}") for k in ROOTS))
-    ends = g.typed("isa").select(F.explode(F.array("src", "dst")).alias("curie")).distinct()
-    return ends.join(flags, "curie", "left").select("curie", *(F.coalesce(f"is_{k}", F.lit(False)).alias(f"is_{k}") for k in ROOTS))
+    return assemble.type_flags(S.graph(spark, d).typed("isa"), {k: [v] for k, v in ROOTS.items()})
 
 
 FLAGS_SQL = ", ".join(reach_sql(f"u_{k}", v) for k, v in ROOTS.items()) + f", ends AS (SELECT src AS curie FROM ({ISA}) UNION SELECT dst FROM ({ISA})), flags AS (SELECT curie, " + ", ".join(f"curie IN (SELECT curie FROM u_{k}) AS is_{k}" for k in ROOTS) + " FROM ends)"
@@ -216,9 +212,7 @@ def indicator_unpivot_map(spark, d):
 @query("SELECT 'REGION:' || r_regionkey AS curie, c.label FROM (VALUES ('Asia', 'ASIA'), ('EUROPE', 'EUROPE'), ('Nowhere', 'Nowhere'), ('Gambia, The', 'Gambia')) c(label, name) JOIN region ON r_name = c.name")
 def indicator_alias_join(spark, d):
     """Places of an indicator table by their aliases, or else by name, joined with places of the graph."""
-    aliases = {**PLACE_ALIASES, "Asia": "ASIA"}
-    lookup = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair])
-    rows = spark.createDataFrame([("Asia",), ("EUROPE",), ("Nowhere",), ("Gambia, The",)], "label string").withColumn("name", F.coalesce(F.element_at(lookup, F.col("label")), "label"))
+    rows = spark.createDataFrame([("Asia",), ("EUROPE",), ("Nowhere",), ("Gambia, The",)], "label string").withColumn("name", assemble.renamed(F.col("label"), {**PLACE_ALIASES, "Asia": "ASIA"}))
     return rows.join(S.graph(spark, d).labelled("geoloc").where(F.col("curie").startswith("REGION:")), "name").select("curie", "label")
 
 
@@ -226,12 +220,12 @@ def indicator_alias_join(spark, d):
 def series_anti_join(spark, d):
     """Series of a second table whose codes the first one hasn't."""
     part = S.table(spark, d, "part")
-    return part.where("p_size > 25").join(part.where("p_size = 1").select("p_brand").distinct(), "p_brand", "left_anti").groupBy(F.col("p_brand").alias("code")).agg(F.count("*").alias("n"))
+    return assemble.without_series(part.where("p_size > 25"), part.where("p_size = 1"), "p_brand").groupBy(F.col("p_brand").alias("code")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT p_name AS name, min('PART:' || p_partkey) AS curie FROM part GROUP BY 1")
 def name_first_match(spark, d):
-    return S.graph(spark, d).nodes.where(F.col("curie").startswith("PART:")).groupBy("name").agg(F.min("curie").alias("curie"))
+    return assemble.first_curies(S.graph(spark, d).nodes.where(F.col("curie").startswith("PART:")))
 
 
 # -- co-occurrence
@@ -260,11 +254,8 @@ FROM c WHERE {NUMBER.format('a')} < 3 AND {NUMBER.format('b')} < 3 AND {NUMBER.f
 def typed_pair_counts(spark, d):
     """Pairs of a place and a pathogen, a disease and a pathogen, or a place and a disease, counted for each orientation that fits."""
     kinds = lambda side: F.element_at(F.array(F.lit("disease"), F.lit("geoloc"), F.lit("pathogen"), F.lit("other")), (F.regexp_extract(side, r"(\d+)$", 1).cast("long") % 4 + 1).cast("int"))
-    wanted = [("geoloc", "pathogen"), ("disease", "pathogen"), ("geoloc", "disease")]
-    fits = lambda x, y: sum((((x == a) & (y == b)).cast("long") for a, b in wanted), F.lit(0))
-    a, b = kinds("a"), kinds("b")
     rows = assemble.cooccurrence(S.doc_term(spark, d).where(~F.col("term").isin(*GENERAL_NAMES)))
-    return rows.withColumn("times", fits(a, b) + fits(b, a)).where("times > 0").select("a", "b", (F.col("count") * F.col("times")).alias("count"))
+    return rows.withColumn("times", assemble.pair_orientations(kinds("a"), kinds("b"))).where("times > 0").select("a", "b", (F.col("count") * F.col("times")).alias("count"))
 
 
 QUERY_TERMS = ["Brand#1", "Brand#2", "Brand#3"]
@@ -283,7 +274,7 @@ def realism_class(spark, d):
     scores = assemble.cooccurrence(S.doc_term(spark, d)).where("a = 'Brand#1'")
     terms = S.doc_term(spark, d).select("term").distinct()
     rows = terms.join(scores, F.col("term") == F.col("b"), "left")
-    return rows.select("term", F.when(F.col("score") > -4.5, "high").when(F.col("score") > -7, "medium").otherwise("low").alias("class"))
+    return rows.select("term", assemble.score_class(F.col("score")).alias("class"))
 
 
 # -- text relations
@@ -384,8 +375,17 @@ def edge_type_consistency(spark, d):
 
 @query("SELECT 'outbreak:' || o_custkey AS curie, min_by(o_orderpriority, o_orderkey) AS name FROM orders GROUP BY o_custkey")
 def outbreak_nodes_first_wins(spark, d):
-    rows = S.table(spark, d, "orders").select(S.key("outbreak:", "o_custkey").alias("curie"), F.col("o_orderpriority").alias("name"), "o_orderkey")
-    return assemble.first_per(rows, "curie", "o_orderkey").select("curie", "name")
+    return assemble.outbreaks(outbreak_rows(spark, d), "archiveNumber_n")[0].select("curie", "name")
+
+
+def outbreak_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as rows of an outbreak table: the customer's outbreak, named by the order's priority."""
+    return S.table(spark, d, "orders").select(F.col("o_custkey").alias("ID"), F.col("o_orderpriority").alias("outbreakName"), F.col("o_orderkey").cast("string").alias("archiveNumber"), F.col("o_orderkey").alias("archiveNumber_n"))
+
+
+@query("SELECT DISTINCT 'alert:' || o_orderkey AS src, 'has_outbreak' AS type, 'outbreak:' || o_custkey AS dst FROM orders")
+def outbreak_edges(spark, d):
+    return assemble.outbreaks(outbreak_rows(spark, d), "archiveNumber_n")[1]
 
 
 @query("SELECT 'alert:' || c_custkey AS curie, d AS timestamp FROM customer LEFT JOIN (SELECT o_custkey, strftime(min_by(o_orderdate, o_orderkey), '%Y-%m-%d') AS d FROM orders GROUP BY 1) ON o_custkey = c_custkey")
@@ -395,38 +395,123 @@ def alert_nodes_left_join(spark, d):
     return S.table(spark, d, "customer").join(first, F.col("c_custkey") == F.col("o_custkey"), "left").select(S.key("alert:", "c_custkey").alias("curie"), "timestamp")
 
 
-@query("SELECT DISTINCT 'MESH:B' || p_brand AS src, 'MESH:S' || s_nationkey AS dst FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE p_size % 2 = 0 AND s_suppkey % 3 <> 0")
+@query("""SELECT DISTINCT 'MESH:S' || s_nationkey AS dst, 'has_pathogen' AS type, 'MESH:B' || p_brand AS src FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
+WHERE p_size % 2 = 0 AND s_suppkey % 3 <> 0 AND l_linenumber <> 2 AND l_linenumber <> 3""")
 def xref_map_edges(spark, d):
-    """Pairs mapped to another namespace; pairs with an unmapped side go."""
-    pairs = S.table(spark, d, "lineitem").select(S.key("p:", "l_partkey").alias("a"), S.key("s:", "l_suppkey").alias("b"))
-    parts = S.table(spark, d, "part").where("p_size % 2 = 0").select(S.key("p:", "p_partkey").alias("id"), S.key("MESH:B", "p_brand").alias("target"))
-    suppliers = S.table(spark, d, "supplier").where("s_suppkey % 3 <> 0").select(S.key("s:", "s_suppkey").alias("id"), S.key("MESH:S", "s_nationkey").alias("target"))
-    pairs = pairs.where(~F.col("a").startswith("umls") & ~F.col("b").startswith("umls"))
-    return assemble.cross_referenced(pairs, parts.unionByName(suppliers))
+    """Pairs mapped to another namespace: pairs with an unmapped side go, and so do those of an unwanted vocabulary, although it is mapped too."""
+    number = F.col("l_linenumber")
+    rows = S.table(spark, d, "lineitem").select(F.concat(F.when(number == 2, "umls:").otherwise("s:"), F.col("l_suppkey").cast("string")).alias("pathogen"), F.concat(F.when(number == 3, "umls:").otherwise("p:"), F.col("l_partkey").cast("string")).alias("disease"))
+    parts = S.table(spark, d, "part").where("p_size % 2 = 0").select(F.explode(F.array(F.lit("p"), F.lit("umls"))).alias("ns"), F.col("p_partkey").cast("string").alias("id"), S.key("MESH:B", "p_brand").alias("target"))
+    suppliers = S.table(spark, d, "supplier").where("s_suppkey % 3 <> 0").select(F.explode(F.array(F.lit("s"), F.lit("umls"))).alias("ns"), F.col("s_suppkey").cast("string").alias("id"), S.key("MESH:S", "s_nationkey").alias("target"))
+    return assemble.pathogen_edges(rows, parts.unionByName(suppliers))
 
 
-@query("SELECT DISTINCT upper('mesh:' || p_type) AS src, upper('mesh:d' || p_size) AS dst FROM part WHERE p_partkey % 2 = 0")
+@query("SELECT DISTINCT upper('mesh:' || p_type) AS src, 'has_phenotype' AS type, upper('mesh:d' || p_size) AS dst FROM part WHERE p_partkey % 2 = 0")
 def prefix_upper_edges(spark, d):
     prefix = F.when(F.col("p_partkey") % 2 == 0, "mesh:").otherwise("umls:")
-    rows = S.table(spark, d, "part").select(F.concat(prefix, "p_type").alias("src"), F.concat(prefix, F.lit("d"), F.col("p_size").cast("string")).alias("dst"))
-    return rows.where(F.col("src").startswith("mesh") & F.col("dst").startswith("mesh")).select(F.upper("src").alias("src"), F.upper("dst").alias("dst")).distinct()
+    return assemble.symptom_edges(S.table(spark, d, "part").select(F.concat(prefix, "p_type").alias("src"), F.concat(prefix, F.lit("d"), F.col("p_size").cast("string")).alias("dst")))
+
 
+def gazetteer(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of a gazetteer of nations and customers; even nations can be grounded, but only every fourth is a node of the ontology."""
+    nation, customer = S.table(spark, d, "nation"), S.table(spark, d, "customer")
+    places = nation.select(S.key("geonames:N", "n_nationkey").alias("curie"), F.col("n_name").alias("name")).unionByName(customer.select(S.key("geonames:C", "c_custkey").alias("curie"), F.col("c_name").alias("name")))
+    part_of = customer.select(S.key("geonames:C", "c_custkey").alias("child"), S.key("geonames:N", "c_nationkey").alias("parent")).unionByName(nation.select(S.key("geonames:N", "n_nationkey").alias("child"), S.key("geonames:R", "n_regionkey").alias("parent")))
+    dictionary = answers.grounding_dictionary(nation.where("n_nationkey % 2 = 0").select(S.key("MESH:", "n_nationkey").alias("curie"), F.col("n_name").alias("name")))
+    grounded = G.ground(places.select("name").distinct().select("name", T.normalised(F.col("name")).alias("plain")).select(F.col("plain").alias("name")), dictionary, ["MESH"])
+    named = places.select("name").distinct().withColumn("plain", T.normalised(F.col("name"))).join(grounded.select(F.col("name").alias("plain"), "curie"), "plain").select("name", "curie")
+    return assemble.place_graph(places, part_of, named, nation.where("n_nationkey % 4 = 0").select(S.key("MESH:", "n_nationkey").alias("curie")))
 
-@query("SELECT 'CUST:' || c_custkey AS curie, c_name AS name FROM customer WHERE c_name NOT IN (SELECT s_name FROM supplier) AND c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey < 5)")
+
+@query("SELECT 'geonames:N' || n_nationkey AS curie, n_name AS name FROM nation WHERE n_nationkey % 4 <> 0 UNION ALL SELECT 'geonames:C' || c_custkey, c_name FROM customer")
 def geoname_anti_join(spark, d):
-    """Places that can't be grounded in the other vocabulary."""
-    grounded = S.table(spark, d, "supplier").where("s_suppkey < 5").select(F.col("s_nationkey").alias("c_nationkey")).distinct()
-    names = S.table(spark, d, "supplier").select(F.col("s_name").alias("c_name"))
-    rows = S.table(spark, d, "customer").join(grounded, "c_nationkey", "left_anti").join(names, "c_name", "left_anti")
-    return rows.select(S.key("CUST:", "c_custkey").alias("curie"), F.col("c_name").alias("name"))
+    """Places that the ontology hasn't."""
+    return gazetteer(spark, d)[0].select("curie", "name")
 
 
-@query("SELECT 'CUST:' || c_custkey AS src, 'isa' AS type, CASE WHEN n_regionkey = 2 THEN 'MESH:' || n_name ELSE 'NATION:' || n_nationkey END AS dst FROM customer JOIN nation ON c_nationkey = n_nationkey")
+@query("""SELECT 'geonames:C' || c_custkey AS src, 'isa' AS type, CASE WHEN c_nationkey % 4 = 0 THEN 'MESH:' || c_nationkey ELSE 'geonames:N' || c_nationkey END AS dst FROM customer
+UNION ALL SELECT 'geonames:N' || n_nationkey, 'isa', 'geonames:R' || n_regionkey FROM nation WHERE n_nationkey % 4 <> 0""")
 def geoname_parent_rewrite(spark, d):
-    """Parents under their grounded curie where there is one."""
-    mesh = S.table(spark, d, "nation").where("n_regionkey = 2").select(S.key("NATION:", "n_nationkey").alias("dst"), S.key("MESH:", "n_name").alias("mesh"))
-    edges = S.graph(spark, d).typed("isa").where(F.col("src").startswith("CUST:"))
-    return edges.join(mesh, "dst", "left").select("src", "type", F.coalesce("mesh", "dst").alias("dst"))
+    """Their parents, under their ontology curie where there is one."""
+    return gazetteer(spark, d)[1]
+
+
+def alert_parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as alerts that mention brands: every third part in another namespace, every fifth under a general name; brands of even number have a type."""
+    rows = S.table(spark, d, "lineitem").join(S.table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    mentions = rows.select(F.col("l_orderkey").cast("string").alias("alert"), F.when(F.col("p_partkey") % 3 == 0, "geonames").otherwise("MESH").alias("db"), F.col("p_brand").alias("id"), F.when(F.col("p_partkey") % 5 == 0, GENERAL_NAMES[0]).otherwise(F.col("p_name")).alias("name"))
+    dates = S.table(spark, d, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").cast("string").alias("archiveNumber"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("datePublished"))
+    even = F.regexp_extract("p_brand", r"(\d+)$", 1).cast("long") % 2 == 0
+    flags = S.table(spark, d, "part").select(S.key("MESH:", "p_brand").alias("curie"), even.alias("is_disease"), F.lit(False).alias("is_geoloc"), F.lit(False).alias("is_pathogen")).distinct()
+    return assemble.alert_relations(mentions, dates, flags, "datePublished")
+
+
+@query("SELECT DISTINCT 'alert:' || l_orderkey AS curie, CAST(l_orderkey AS VARCHAR) AS name, CASE WHEN l_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS timestamp FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+def alert_mention_nodes(spark, d):
+    """Alerts stay whatever they mention, with a date where there is one."""
+    return alert_parts(spark, d)[0].select("curie", "name", "timestamp")
+
+
+@query("""SELECT DISTINCT 'alert:' || l_orderkey AS src, 'mentions' AS type, 'MESH:' || p_brand AS dst FROM lineitem JOIN part ON l_partkey = p_partkey
+WHERE p_partkey % 3 <> 0 AND p_partkey % 5 <> 0 AND CAST(regexp_extract(p_brand, '([0-9]+)$', 1) AS BIGINT) % 2 = 0""")
+def alert_mention_edges(spark, d):
+    """Mentions stay if they are in the ontology, typed and off the stop list."""
+    return alert_parts(spark, d)[1]
+
+
+TERMS_SQL = "SELECT 'NATION:' || n_nationkey AS curie, n_name AS name FROM nation UNION ALL SELECT 'REGION:' || r_regionkey, r_name FROM region UNION ALL SELECT DISTINCT 'BRAND:' || p_brand, p_brand FROM part UNION ALL SELECT 'SUPP:' || s_suppkey, s_name FROM supplier"
+HIERARCHY_SQL = f"{FLAGS_SQL}, terms AS ({TERMS_SQL}), nodes AS (SELECT f.curie, t.name, CASE WHEN is_disease THEN 'disease' WHEN is_pathogen THEN 'pathogen' ELSE 'geoloc' END AS kind FROM flags f JOIN terms t ON f.curie = t.curie WHERE is_disease OR is_pathogen OR is_geoloc)"
+
+
+def hierarchy(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    g = S.graph(spark, d)
+    terms = g.nodes.where(F.split_part("curie", F.lit(":"), F.lit(1)).isin("NATION", "REGION", "BRAND", "SUPP")).select("curie", "name")
+    return assemble.hierarchy(terms, g.typed("isa"), materialised(flagged(spark, d)))
+
+
+@query(f"WITH RECURSIVE {HIERARCHY_SQL} SELECT curie, name, kind || ';entity' AS labels FROM nodes")
+def hierarchy_nodes(spark, d):
+    return hierarchy(spark, d)[0].withColumn("labels", F.array_join("labels", ";"))
+
+
+@query(f"""WITH RECURSIVE {HIERARCHY_SQL} SELECT DISTINCT e.src, 'isa' AS type, e.dst FROM ({ISA}) e JOIN flags c ON c.curie = e.src JOIN flags p ON p.curie = e.dst
+WHERE (NOT c.is_disease OR p.is_disease) AND (NOT c.is_geoloc OR p.is_geoloc) AND (NOT c.is_pathogen OR p.is_pathogen) AND e.src IN (SELECT curie FROM nodes)""")
+def hierarchy_edges(spark, d):
+    return hierarchy(spark, d)[1]
+
+
+WIDE_NAMES = "CASE n_nationkey % 3 WHEN 0 THEN n_name WHEN 1 THEN 'The ' || n_name ELSE 'no place' END"
+
+
+def wide_indicators(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The yearly revenue as a wide table by names of nations, of which a third are aliases and a third unknown."""
+    lineitem = S.table(spark, d, "lineitem")
+    years = sorted(r[0] for r in lineitem.select(F.year("l_shipdate").cast("string")).distinct().collect() if r[0] is not None)
+    wide = S.revenue(spark, d).groupBy("nation", F.col("p_type").alias("code")).pivot("year", years).agg(F.first(F.col("value").cast("string")))
+    nation = S.table(spark, d, "nation").withColumn("country", F.expr(WIDE_NAMES))
+    wide = wide.join(F.broadcast(nation.select(F.col("n_nationkey").alias("nation"), "country")), "nation").drop("nation").withColumn("series", F.concat(F.lit("revenue of "), "code"))
+    aliases = {r["country"]: r["n_name"] for r in nation.where("n_nationkey % 3 = 1").collect()}  # 25 nations at most
+    return assemble.indicator_graph(wide, S.graph(spark, d).nodes.where(F.col("curie").startswith("NATION:")), aliases)
+
+
+@query(f"SELECT DISTINCT 'wdi:' || p_type AS curie, 'revenue of ' || p_type AS name FROM ({REVENUE}) WHERE nation % 3 < 2")
+def indicator_nodes(spark, d):
+    return wide_indicators(spark, d)[0].select("curie", "name")
+
+
+@query(f"SELECT 'NATION:' || nation AS src, 'wdi:' || p_type AS dst, year, value FROM ({REVENUE}) WHERE nation % 3 < 2")
+def indicator_edges(spark, d):
+    """Edges with their yearly values written as JSON text and read again."""
+    rows = wide_indicators(spark, d)[1].withColumn("text", answers.years_as_text(F.col("years_data")))
+    return rows.select("src", "dst", F.explode(answers.years_from_text(F.col("text"))).alias("year", "value"))
+
+
+@query("SELECT 'N:' || s_nationkey AS curie, min(s_name) AS name FROM supplier GROUP BY 1 UNION ALL SELECT 'N:' || n_nationkey, n_name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)")
+def load_in_file_order(spark, d):
+    """Of two files of nodes the first one's row stays; in a file the smallest."""
+    first = S.table(spark, d, "supplier").select(S.key("N:", "s_nationkey").alias("curie"), F.col("s_name").alias("name"))
+    second = S.table(spark, d, "nation").select(S.key("N:", "n_nationkey").alias("curie"), F.col("n_name").alias("name"))
+    return assemble.load_files([first, second], [spark.createDataFrame([], "src string, type string, dst string")])[0]
 
 
 # -- autocomplete
@@ -446,7 +531,14 @@ def autocomplete_collision(spark, d):
 
 @query(KEYED.format("SELECT 'NATION:' || n_nationkey AS curie, n_name AS name FROM nation", "", 20))
 def autocomplete_mesh_only(spark, d):
-    return G.autocomplete(S.graph(spark, d).labelled("geoloc").where(F.col("curie").startswith("NATION:")), "", 20)
+    return G.complete(S.graph(spark, d), "alert geolocations", "", 20, ontology="NATION:").select(F.col("match").alias("key"), "name", "curie")
+
+
+@query("SELECT * FROM (SELECT lower(n_name) AS match, n_name AS name, 'NATION:' || n_nationkey AS curie, CASE WHEN n_nationkey % 2 = 0 THEN 'in region ' || n_regionkey ELSE '' END AS definition FROM nation WHERE starts_with(lower(n_name), 'nation_1') ORDER BY 1 LIMIT 7)")
+def autocomplete_definitions(spark, d):
+    """Names of ontology places with definitions, empty where there is none."""
+    definitions = S.table(spark, d, "nation").where("n_nationkey % 2 = 0").select(S.key("NATION:", "n_nationkey").alias("curie"), S.key("in region ", "n_regionkey").alias("definition"))
+    return G.complete(S.graph(spark, d), "alert geolocations", "Nation_1", 7, "NATION:", definitions)
 
 
 # -- extraction
@@ -528,16 +620,183 @@ def ground_name(spark, d):
 @query("SELECT event_type AS text, CASE WHEN user_id % 2 = 0 THEN CAST(user_id % 5 AS VARCHAR) END AS geoid, count(*) AS count FROM events GROUP BY 1, 2")
 def geo_stats(spark, d):
     """Places by text and id; a missing id is a group."""
-    rows = S.table(spark, d, "events").select(F.array(F.struct(F.col("event_type").alias("text"), F.when(F.col("user_id") % 2 == 0, (F.col("user_id") % 5).cast("string")).alias("geoid"))).alias("geolocs"))
-    return rows.select(F.inline("geolocs")).groupBy("text", "geoid").agg(F.count("*").alias("count"))
+    place = F.struct(F.col("event_type").alias("text"), F.when(F.col("user_id") % 2 == 0, (F.col("user_id") % 5).cast("string")).alias("geoID"))
+    return assemble.geo_counts(S.table(spark, d, "events").select(F.array(place).alias("geolocs")))
 
 
 @query("SELECT event_type AS text, CASE WHEN user_id % 3 = 0 THEN '' ELSE strftime(date_trunc('month', ts), '%Y-%m') END AS intervals, count(*) AS count FROM events GROUP BY 1, 2")
 def timex_stats(spark, d):
     """Times by text and their intervals joined; none is an empty string."""
-    intervals = F.when(F.col("user_id") % 3 == 0, F.array().cast("array<struct<start:string>>")).otherwise(F.array(F.struct(F.date_format("ts", "yyyy-MM").alias("start"))))
-    rows = S.table(spark, d, "events").select(F.array(F.struct(F.col("event_type").alias("text"), intervals.alias("intervals"))).alias("timexes")).select(F.inline("timexes"))
-    return rows.groupBy("text", F.array_join(F.transform("intervals", lambda x: x["start"]), ",").alias("intervals")).agg(F.count("*").alias("count"))
+    month = F.create_map(F.lit("start"), F.date_format("ts", "yyyy-MM"), F.lit("@id"), F.lit("x"))
+    intervals = F.when(F.col("user_id") % 3 != 0, F.array(month))
+    rows = S.table(spark, d, "events").select(F.array(F.struct(F.col("event_type").alias("text"), intervals.alias("intervals"))).alias("timexes"))
+    return assemble.time_counts(rows.select(assemble.bare_times(F.col("timexes"), "@id", "@type").alias("timexes")))
+
+
+@query("SELECT event_id, 'start' AS key, strftime(ts, '%Y-%m') AS value FROM events WHERE user_id % 3 <> 0")
+def interval_key_drop(spark, d):
+    """Keys of nested intervals without the bookkeeping ones."""
+    month = F.create_map(F.lit("start"), F.date_format("ts", "yyyy-MM"), F.lit("@id"), F.lit("x"))
+    rows = S.table(spark, d, "events").where("user_id % 3 <> 0").select("event_id", F.array(F.struct(F.col("event_type").alias("text"), F.array(month).alias("intervals"))).alias("timexes"))
+    return rows.select("event_id", F.explode(assemble.bare_times(F.col("timexes"), "@id")[0]["intervals"][0]).alias("key", "value"))
+
+
+# -- from text to answer
+
+TEXT = "Cases of small ring, RED widget and blue bolt near Supplier#000000003 and supplier 000000005; small ring again."
+SPACES = ["PART", "SUPP"]
+ANNOTATED = """dict AS (SELECT p_name AS entry, p_name AS name, 'PART:' || min(p_partkey) AS curie, 'disease' AS type FROM part GROUP BY p_name
+  UNION ALL SELECT replace(lower(s_name), '#', ' '), s_name, 'SUPP:' || s_suppkey, CASE WHEN s_nationkey = 3 THEN 'pathogen' ELSE 'other' END FROM supplier),
+ann AS (SELECT w.i AS start, dict.entry AS text, dict.name, dict.curie, dict.type FROM (SELECT unnest(range(1, 18)) AS i,
+  ['cases', 'of', 'small', 'ring', 'red', 'widget', 'and', 'blue', 'bolt', 'near', 'supplier', '000000003', 'and', 'supplier', '000000005', 'small', 'ring', 'again'] AS w) w JOIN dict ON w.w[w.i] || ' ' || w.w[w.i + 1] = dict.entry)"""
+
+
+def vocabulary(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """A dictionary of part names, each for its first part, and suppliers; and types by the hierarchy."""
+    part = S.table(spark, d, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("k")).select(S.key("PART:", "k").alias("curie"), "name")
+    supplier = S.table(spark, d, "supplier").select(S.key("SUPP:", "s_suppkey").alias("curie"), F.col("s_name").alias("name"))
+    kinds = assemble.type_by_helper(F.col("is_disease"), F.col("is_pathogen"), F.col("is_geoloc"))
+    return answers.grounding_dictionary(part, supplier), flagged(spark, d).select("curie", kinds.alias("type"))
+
+
+def part_scores(spark: SparkSession, d: str) -> DataFrame:
+    return assemble.cooccurrence(S.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_partkey").cast("string").alias("term")))
+
+
+def text_answer(spark: SparkSession, d: str) -> answers.Answer:
+    return answers.answer(S.graph(spark, d), TEXT, *vocabulary(spark, d), part_scores(spark, d), SPACES, "PART:")
+
+
+PART_PAIRS = """t AS (SELECT DISTINCT l_orderkey AS doc, CAST(l_partkey AS VARCHAR) AS term FROM lineitem), q AS (SELECT DISTINCT replace(curie, 'PART:', '') AS term FROM ann WHERE starts_with(curie, 'PART:')),
+s AS (SELECT x.term AS a, y.term AS b, (SELECT count(*) FROM t i JOIN t j ON i.doc = j.doc WHERE i.term = x.term AND j.term = y.term) AS n FROM q x JOIN q y ON x.term < y.term)"""
+
+
+@query(f"WITH {ANNOTATED} SELECT start, text, name, curie, type FROM ann")
+def text_annotations(spark, d):
+    return text_answer(spark, d).annotations
+
+
+@query(f"WITH {ANNOTATED} SELECT 0 AS doc, array_to_string(list_sort(list(DISTINCT curie)), ',') AS curies FROM ann")
+def text_curies(spark, d):
+    documents = spark.createDataFrame([(0, TEXT)], "doc int, text string")
+    return answers.curies_of(answers.annotate(documents, *vocabulary(spark, d), SPACES)).withColumn("curies", F.array_join("curies", ","))
+
+
+@query(f"WITH {ANNOTATED} SELECT src, l.type, dst FROM ({LINKS}) l WHERE src IN (SELECT curie FROM ann) AND dst IN (SELECT curie FROM ann)")
+def text_direct(spark, d):
+    return text_answer(spark, d).direct
+
+
+@query(f"""WITH {ANNOTATED}, m AS ({MENTIONS}), pairs AS (SELECT a.alert, a.node AS a FROM m a JOIN m b ON a.alert = b.alert AND a.node <> b.node WHERE a.node IN (SELECT curie FROM ann) AND b.node IN (SELECT curie FROM ann))
+SELECT alert, string_agg(DISTINCT a, ',' ORDER BY a) AS entities, count(DISTINCT a) AS n_entities FROM pairs GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 500""")
+def text_alerts(spark, d):
+    return text_answer(spark, d).alerts
+
+
+@query(f"WITH {ANNOTATED}, {PART_PAIRS} SELECT a, b, CASE WHEN n = 0 THEN 'none' ELSE CAST(CAST(round(1000 * (ln(n) - ln((SELECT count(DISTINCT doc) FROM t)))) AS BIGINT) AS VARCHAR) END AS score FROM s")
+def text_pair_scores(spark, d):
+    """Scores of the text's pairs in thousandths; `none` stands for minus infinity."""
+    score = F.when(F.col("score") == float("-inf"), "none").otherwise(F.when(F.col("score") > float("-inf"), F.round(F.col("score") * 1000)).otherwise(0).cast("long").cast("string"))
+    return text_answer(spark, d).scores.select("a", "b", score.alias("score"))
+
+
+@query(f"WITH {ANNOTATED}, {PART_PAIRS}, x AS (SELECT CAST(sum(n) AS DOUBLE) / (SELECT count(DISTINCT doc) FROM t) AS share FROM s) SELECT CASE WHEN coalesce(share, 0) = 0 THEN 'low' WHEN ln(share) > -4.5 THEN 'high' WHEN ln(share) > -7 THEN 'medium' ELSE 'low' END AS classification, round(coalesce(share, 0), 9) AS share FROM x")
+def text_score(spark, d):
+    """The class and score of a text by the terms of one namespace."""
+    dictionary, types = vocabulary(spark, d)
+    return answers.score_text(TEXT, dictionary, types, part_scores(spark, d), "PART").select("classification", F.round(F.exp("score_sum"), 9).alias("share"))
+
+
+GENERAL_SQL = "(" + ", ".join(f"'{t}'" for t in GENERAL_TERMS) + ")"
+
+
+def general_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Orders and the brands of their parts as term ids: a fifth of the brands are ids on the stop list."""
+    n = F.regexp_extract("term", r"(\d+)$", 1).cast("int")
+    ids = F.array(*[F.lit(t) for t in GENERAL_TERMS])
+    return S.doc_term(spark, d).select("doc", F.when(n % 5 == 0, F.element_at(ids, (n / 5).cast("int") % len(GENERAL_TERMS) + 1)).otherwise(F.concat(F.lit("T"), n.cast("string"))).alias("term"))
+
+
+@query(f"WITH {PAIRS} SELECT count(*) AS n_pairs, round(sum(exp(score)), 6) AS share FROM s WHERE {NUMBER.format('a').replace('% 4', '% 5')} <> 0 AND {NUMBER.format('b').replace('% 4', '% 5')} <> 0 AND {NUMBER.format('a').replace('% 4', '')} <> 7 AND {NUMBER.format('b').replace('% 4', '')} <> 7")
+def score_without_general_terms(spark, d):
+    """All pairs of terms but those on the stop list and one without a type."""
+    rows = materialised(general_terms(spark, d))
+    terms = rows.select("term").distinct()
+    names = [r[0] for r in terms.collect()]  # the query's terms
+    pairs = answers.pair_scores(assemble.cooccurrence(rows), names, terms.where("term <> 'T7'"))
+    return pairs.agg(F.count(F.when(F.col("score") > float("-inf"), 1)).alias("n_pairs"), F.round(F.sum(F.exp("score")), 6).alias("share"))
+
+
+NAMES_SQL = "(" + ", ".join(repr(n) for n in GENERAL_NAMES) + ")"
+KIND = "['disease', 'geoloc', 'pathogen', 'other'][CAST(regexp_extract({}, '([0-9]+)$', 1) AS BIGINT) % 4 + 1]"
+
+
+@query(f"""WITH m AS (SELECT DISTINCT l_orderkey AS doc, 'B:' || p_brand AS curie, CASE WHEN p_brand = 'Brand#6' THEN 'Health' ELSE substr(p_brand, 7) || 'x' END AS name, {KIND.format('p_brand')} AS kind FROM lineitem JOIN part ON l_partkey = p_partkey)
+SELECT a.curie AS a, b.curie AS b, a.name AS name_a, b.name AS name_b, count(*) AS count FROM m a JOIN m b ON a.doc = b.doc AND (a.name, a.curie) < (b.name, b.curie)
+WHERE a.kind <> b.kind AND a.kind <> 'other' AND b.kind <> 'other' AND a.name NOT IN {NAMES_SQL} AND b.name NOT IN {NAMES_SQL} GROUP BY ALL""")
+def typed_pairs_by_name(spark, d):
+    """Pairs of typed entities in the order of their names, one name of which is on the stop list."""
+    rows = S.doc_term(spark, d)
+    name = F.when(F.col("term") == "Brand#6", "Health").otherwise(F.concat(F.substring("term", 7, 10), F.lit("x")))
+    mentions = rows.select("doc", S.key("B:", "term").alias("curie"), name.alias("name"))
+    kinds = rows.select(S.key("B:", "term").alias("curie"), S.brand_type().alias("kind")).distinct()
+    return assemble.typed_pairs(mentions, kinds.select("curie", *(F.col("kind").eqNullSafe(k).alias(f"is_{k}") for k in ROOTS)))
+
+
+def region_names(spark: SparkSession, d: str) -> DataFrame:
+    return answers.grounding_dictionary(S.graph(spark, d).labelled("geoloc").where(F.split_part("curie", F.lit(":"), F.lit(1)).isin("REGION", "NATION")))
+
+
+@query(ORACLES["alerts_by_geo"])
+def alerts_by_name(spark, d):
+    """Alert search by a place's name."""
+    return answers.alerts_by_name(S.graph(spark, d), region_names(spark, d), ["REGION", "NATION"], geolocation="Asia", timestamp="")
+
+
+@query("SELECT '' AS alert, '' AS timestamp, '' AS geoloc, '' AS geoloc_isa WHERE false")
+def alerts_unknown_name(spark, d):
+    return answers.alerts_by_name(S.graph(spark, d), region_names(spark, d), ["REGION", "NATION"], geolocation="Atlantis")
+
+
+@query("SELECT n_nationkey AS key, CASE n_nationkey % 4 WHEN 0 THEN 'nation ' || n_nationkey || ' 2' WHEN 1 THEN 'nation ' || n_nationkey || ' alpha virus' WHEN 2 THEN 'nation ' || n_nationkey || ' hepatitis sigma 14' ELSE 'iv nation ' || n_nationkey END AS name FROM nation")
+def names_normalised(spark, d):
+    """Dashes, Greek letters and Roman numbers in names."""
+    more = F.element_at(F.array(F.concat("n_name", F.lit("\u2013II")), F.concat("n_name", F.lit(" \u0391-Virus")), F.concat("n_name", F.lit(" hepatitis-\u03c2  xiv ")), F.concat(F.lit("IV "), "n_name")), (F.col("n_nationkey") % 4 + 1).cast("int"))
+    return S.table(spark, d, "nation").select(F.col("n_nationkey").alias("key"), T.normalised(more).alias("name"))
+
+
+@query("SELECT s_suppkey AS key, ltrim('MESH:' || CASE WHEN s_suppkey % 2 = 0 THEN 'D' ELSE 'HS' END || s_suppkey, 'MESH:') AS id FROM supplier")
+def trimmed_characters(spark, d):
+    """Leading characters of a set are cut off, not a prefix."""
+    curie = F.concat(F.lit("MESH:"), F.when(F.col("s_suppkey") % 2 == 0, "D").otherwise("HS"), F.col("s_suppkey").cast("string"))
+    return S.table(spark, d, "supplier").select(F.col("s_suppkey").alias("key"), T.trimmed_front(curie, "MESH:").alias("id"))
+
+
+@query("""SELECT '{"curie":"NATION:' || n_nationkey || '","name":"' || n_name || '","labels":["geoloc","entity"]}' AS json FROM nation""")
+def json_rows(spark, d):
+    """Nodes as JSON texts; what is null is left out."""
+    return answers.as_json(S.graph(spark, d).nodes.where(F.col("curie").startswith("NATION:")))
+
+
+@query(f"WITH {MATRIX}, c AS (SELECT doc, {KIND.format('term')} AS type, count(*) AS n FROM w WHERE term IN {IN_QUERY} AND doc IN (SELECT doc FROM ({fisher_sql(QUERY_TERMS, 2)})) GROUP BY 1, 2) SELECT doc, string_agg(type || '=' || n, ',' ORDER BY type) AS overlap_counts FROM c GROUP BY 1")
+def fisher_type_counts(spark, d):
+    """How many of the query's terms the best documents have of each type; terms come as a comma list of curies."""
+    rows = literature.find_literature(S.doc_term(spark, d), "x:Brand#1,x:Brand#2, x:Brand#3", S.brand_type(), prefix="x:")
+    counts = F.array_join(F.transform(F.array_sort(F.map_entries("overlap_counts")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return rows.select("doc", counts.alias("overlap_counts"))
+
+
+@query(f"WITH {MATRIX} SELECT count(DISTINCT doc) AS n_docs, count(DISTINCT term) AS n_terms FROM w")
+def matrix_totals(spark, d):
+    return literature.totals(S.doc_term(spark, d))
+
+
+@query(f"WITH t AS ({BRANDS}), q AS (SELECT doc, list_sort(list(term)) AS own FROM t GROUP BY 1) SELECT doc, array_to_string(list_sort(list_intersect(own, ['Brand#1', 'Brand#2', 'Brand#3'])), ',') AS common, CAST(3 - len(list_intersect(own, ['Brand#1', 'Brand#2', 'Brand#3'])) AS INT) AS n_missing, CAST(len(list_distinct(list_concat(own, ['Brand#1', 'Brand#2', 'Brand#3']))) AS INT) AS n_union FROM q")
+def term_set_operations(spark, d):
+    """Each document's terms against a query's: intersection, difference, union."""
+    asked = F.array(*map(F.lit, QUERY_TERMS))
+    rows = S.doc_term(spark, d).groupBy("doc").agg(F.collect_set("term").alias("own"))
+    return rows.select("doc", F.array_join(F.array_sort(F.array_intersect("own", asked)), ",").alias("common"), F.size(F.array_except(asked, "own")).alias("n_missing"), F.size(F.array_union("own", asked)).alias("n_union"))
 
 
 # -- patterns as text
@@ -553,32 +812,32 @@ def pattern_text_chain(spark, d):
     return pattern_query.run(S.graph(spark, d), text, region="REGION:2")
 
 
-@query(f"SELECT DISTINCT 'NATION:' || nation AS place, 'wdi:' || p_type AS indicator, 'REGION:' || n_regionkey || ',GEO:world' AS path FROM ({REVENUE}) JOIN nation ON n_nationkey = nation WHERE contains('revenue of ' || p_type, 'A')")
+@query(f"SELECT DISTINCT 'NATION:' || nation AS land, 'revenue of ' || p_type AS series, 'REGION:' || n_regionkey || ',GEO:world' AS via FROM ({REVENUE}) JOIN nation ON n_nationkey = nation WHERE contains('revenue of ' || p_type, 'A') UNION SELECT DISTINCT 'NATION:' || nation, 'revenue of ' || p_type, '' FROM ({REVENUE}) WHERE nation = 7 AND starts_with(p_type, 'E')")
 def pattern_text_indicators(spark, d):
-    """Indicators whose name contains a string, of places under or above a place, with the path; two branches."""
+    """Series of all lands with their way to the top, and of one land those whose key begins so."""
     text = """
-        MATCH (i:indicator)<-[r:has_indicator]-(place:geoloc)
-        MATCH path = (place)-[t:isa*0..]->(under:geoloc {curie: $place})
-        WHERE i.name CONTAINS $part
-        RETURN place.curie AS place, i.curie AS indicator, nodes(path)[1..] AS path
+        MATCH way = (land:geoloc)-[step:isa*0..]->(top:geoloc) MATCH (land)-[has:has_indicator]->(series:indicator)
+        WHERE top.curie = $top AND series.name CONTAINS 'A'
+        RETURN land.curie AS land, series.name AS series, nodes(way)[1..] AS via
         UNION
-        MATCH (i:indicator)<-[r:has_indicator]-(place:geoloc)
-        MATCH path = (place)<-[t:isa*0..]-(under:geoloc {curie: $place})
-        WHERE i.name CONTAINS $part
-        RETURN place.curie AS place, i.curie AS indicator, nodes(path)[1..] AS path"""
-    return pattern_query.run(S.graph(spark, d), text, place="GEO:world", part="A").withColumn("path", F.array_join("path", ","))
+        MATCH stay = (land:geoloc)<-[step:isa*0..]-(top:geoloc) MATCH (land)-[has:has_indicator]->(series:indicator)
+        WHERE top.curie = $one AND land.curie = $one AND series.curie STARTS WITH 'wdi:E'
+        RETURN land.curie AS land, series.name AS series, nodes(stay)[1..] AS via"""
+    return pattern_query.run(S.graph(spark, d), text, top="GEO:world", one="NATION:7").withColumn("via", F.array_join("via", ","))
 
 
-@query(ORACLES["direct_relations"])
-def pattern_text_direct(spark, d):
-    text = "MATCH (a:entity)-[r]->(b:entity) WHERE a.curie IN $curies AND b.curie IN $curies RETURN a.curie AS src, r.type AS type, b.curie AS dst"
-    return pattern_query.run(S.graph(spark, d), text, curies=CURIES)
+@query("SELECT DISTINCT 'PART:' || l_partkey AS part, 'has_pathogen' AS how, 'SUPP:' || l_suppkey AS supplier, s_name AS name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_partkey IN (1, 7, 11)")
+def pattern_text_edges(spark, d):
+    """Typed edges from listed nodes, backwards, with a property of the other end."""
+    text = "MATCH (supplier:pathogen)<-[link:has_pathogen]-(part:disease) WHERE part.curie IN $parts RETURN part.curie AS part, link.type AS how, supplier.curie AS supplier, supplier.name AS name"
+    return pattern_query.run(S.graph(spark, d), text, parts=["PART:1", "PART:7", "PART:11", "SUPP:1"])
 
 
-@query(ORACLES["comention_pairs"])
-def pattern_text_comentions(spark, d):
+@query("SELECT DISTINCT 'ORD:' || o_orderkey AS report, 'CUST:' || o_custkey AS buyer FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_suppkey = 4 AND strftime(o_orderdate, '%Y-%m-%d') <> '1996-03-01'")
+def pattern_text_shared_report(spark, d):
+    """Two mentions of one report, the second fixed by its key."""
     text = """
-        MATCH (n:alert)-[:mentions]->(a) MATCH (n:alert)-[:mentions]->(b)
-        WHERE a.curie IN $curies AND b.curie IN $curies AND a <> b
-        RETURN n.curie AS alert, a.curie AS a, b.curie AS b"""
-    return pattern_query.run(S.graph(spark, d), text, curies=CURIES)
+        MATCH (report:alert)-[:mentions]->(buyer:geoloc) MATCH (report)-[:mentions]->(maker:pathogen)
+        WHERE maker.curie = 'SUPP:4' AND report.timestamp <> '1996-03-01'
+        RETURN DISTINCT report.curie AS report, buyer.curie AS buyer"""
+    return pattern_query.run(S.graph(spark, d), text)

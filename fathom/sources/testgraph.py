@@ -7,11 +7,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fathom import schema
 from fathom.operators.graph import Graph
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    read = spark.read.schema(schema.TABLES[name]) if name in schema.TABLES else spark.read
+    return read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def key(prefix: str, column: str) -> Column:
