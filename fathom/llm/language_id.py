@@ -118,30 +118,31 @@ class Model:
         return langs, sure
 
 
-def _machine(x: np.ndarray, y: np.ndarray, cost: float = 4.0, rounds: int = 12) -> np.ndarray:
-    """Weights and bias of a linear machine with squared hinge loss, by dual coordinate descent in a fixed random order; classes weigh alike."""
-    x = np.hstack([x, np.ones((len(x), 1), dtype=np.float32)])
+def _machine(x: np.ndarray, norms: np.ndarray, rows: np.ndarray, y: np.ndarray, cost: float = 4.0, rounds: int = 12) -> np.ndarray:
+    """Weights and bias of a linear machine with squared hinge loss over some rows of x, by dual coordinate descent in a fixed random order; classes weigh alike. Rows aren't copied."""
     each = np.where(y > 0, len(y) / max(1, 2 * (y > 0).sum()), len(y) / max(1, 2 * (y < 0).sum()))
     ridge = 1 / (2 * cost * each)
-    square = (x * x).sum(1) + ridge
-    w, alpha, order = np.zeros(x.shape[1], dtype=np.float32), np.zeros(len(x)), np.random.default_rng(7)
+    square = norms[rows] + ridge
+    w, alpha, order = np.zeros(x.shape[1], dtype=np.float32), np.zeros(len(rows)), np.random.default_rng(7)
     for _ in range(rounds):
-        for i in order.permutation(len(x)):
-            gradient = y[i] * float(w @ x[i]) - 1 + ridge[i] * alpha[i]
+        for i in order.permutation(len(rows)):
+            row = x[rows[i]]
+            gradient = y[i] * float(w @ row) - 1 + ridge[i] * alpha[i]
             new = max(0.0, alpha[i] - gradient / square[i])
             if new != alpha[i]:
-                w += np.float32((new - alpha[i]) * y[i]) * x[i]
+                w += np.float32((new - alpha[i]) * y[i]) * row
                 alpha[i] = new
     return w
 
 
-def _votes(x: np.ndarray, labels: np.ndarray) -> Votes:
-    classes = sorted(set(labels))
+def _votes(x: np.ndarray, norms: np.ndarray, rows: np.ndarray, labels: np.ndarray) -> Votes:
+    """Machines for each pair of the labels of some rows; the last column of x is 1, for the bias."""
+    classes = sorted(set(labels[rows]))
     pairs, weights = list(combinations(range(len(classes)), 2)), []
     for i, j in pairs:
-        rows = np.flatnonzero((labels == classes[i]) | (labels == classes[j]))
-        weights.append(_machine(x[rows], np.where(labels[rows] == classes[i], 1.0, -1.0)))
-    return Votes(classes, np.array(weights, dtype=np.float32).reshape(len(pairs), x.shape[1] + 1), pairs)
+        own = rows[(labels[rows] == classes[i]) | (labels[rows] == classes[j])]
+        weights.append(_machine(x, norms, own, np.where(labels[own] == classes[i], 1.0, -1.0)))
+    return Votes(classes, np.array(weights, dtype=np.float32).reshape(len(pairs), x.shape[1]), pairs)
 
 
 def _pieces(text: str) -> Iterator[str]:
@@ -207,12 +208,15 @@ def fit(documents: DataFrame) -> Model | None:
     rows = sorted(map(tuple, sample.collect()), key=lambda r: (r[0], bytes(r[1]), bytes(r[2])))
     if not rows:
         return None
-    x = np.zeros((len(rows), DIMENSIONS), dtype=np.float32)
+    x = np.zeros((len(rows), DIMENSIONS + 1), dtype=np.float32)
+    x[:, -1] = 1
     for i, (_, at, values) in enumerate(rows):
         x[i, np.frombuffer(at, dtype=np.uint16)] = np.frombuffer(values, dtype=np.float32)
     langs = np.array([r[0] for r in rows], dtype=object)
+    del rows
     families = np.array([family(r) for r in langs], dtype=object)
-    return Model(_votes(x, families), {f: _votes(x[families == f], langs[families == f]) for f in sorted(set(families))})
+    norms, every = np.einsum("ij,ij->i", x, x), np.arange(len(x))
+    return Model(_votes(x, norms, every, families), {f: _votes(x, norms, every[families == f], langs) for f in sorted(set(families))})
 
 
 def _predictor(model: Model | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
