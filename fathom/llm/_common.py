@@ -73,12 +73,16 @@ def spread_join(rows: DataFrame, right: DataFrame, key: list[str], total: int, h
     """rows joined with right (one row per key, with the key's number of rows as _n) so that no key fills a task.
 
     Hot keys, 1000 at most whatever the data, are broadcast; the others meet
-    in an ordinary join. how is inner, left or left_semi; keys aren't null, _n goes.
+    in an ordinary join. how is inner, left or left_semi; keys aren't null, _n
+    goes. right is a stored table, since it is read several times.
     """
-    hot = right.where(F.col("_n") > max(1.0, total * HOT_SHARE))
+    limit = max(1.0, total * HOT_SHARE)
+    hot = right.where(F.col("_n") > limit)
+    if hot.isEmpty():
+        return rows.join(right.drop("_n"), key, how)
     keys = F.broadcast(hot.select(*key))
-    few = rows.join(keys, key, "left_anti").join(right.where(F.col("_n") <= max(1.0, total * HOT_SHARE)).drop("_n"), key, how)
-    many = rows.join(keys if how == "left_semi" else F.broadcast(hot.drop("_n")), key, "left_semi" if how == "left_semi" else "inner")
+    few = rows.join(keys, key, "left_anti").join(right.where(F.col("_n") <= limit).drop("_n"), key, how)
+    many = rows.join(keys, key, "left_semi") if how == "left_semi" else rows.join(F.broadcast(hot.drop("_n")), key, "inner")
     return few.unionByName(many.select(*few.columns))
 
 
