@@ -46,8 +46,10 @@ def quantized(x: Column, scale: int = 64) -> Column:
     """floor(scale * x) of every component, computed in double precision. A component beyond 64 bits raises when the row is read: its products couldn't be told."""
 
     def one(v: Column) -> Column:
-        y = F.lit(float(scale)) * v.cast("double")
-        return F.when(F.abs(y) < 2.0**63, F.floor(y).cast("long")).when(y.isNotNull(), F.raise_error(F.lit("a component doesn't fit 64 bits")).cast("long"))
+        x = v.cast("double")
+        y = F.lit(float(scale)) * x
+        # What isn't finite gives null here, wherever the optimizer puts the filter that drops it.
+        return F.when(F.abs(y) < 2.0**63, F.floor(y).cast("long")).when(F.abs(x) < float("inf"), F.raise_error(F.lit("a component doesn't fit 64 bits")).cast("long"))
 
     return F.transform(x, one)
 
