@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -65,6 +66,24 @@ def batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+@contextmanager
+def held(spark: SparkSession, **settings: str) -> Iterator[None]:
+    """Settings, with `_` for `.`, for what is run inside; for jobs that end inside only. Those before come back."""
+    names = {k: k.replace("_", ".") for k in settings}
+    before = {k: spark.conf.get(name) for k, name in names.items()}
+    try:
+        for k, name in names.items():
+            spark.conf.set(name, settings[k])
+        yield
+    finally:
+        for k, name in names.items():
+            spark.conf.set(name, before[k])
+
+
+#: Rows of an Arrow batch of a job whose rows are short and of fixed width.
+SHORT_ROWS = "8192"
+
+
 #: A key with more than this share of all rows is hot: there are at most as many hot keys as its inverse.
 HOT_SHARE = 1 / 1000
 

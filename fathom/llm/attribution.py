@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from fathom.llm._common import batches, scratch_dir, stored, table
+from fathom.llm._common import SHORT_ROWS, batches, held, scratch_dir, stored, table
 
 HOUR = 3_600_000_000
 DAY = 24 * HOUR
@@ -271,11 +271,9 @@ def attributed(clicks: DataFrame, sales: DataFrame, number: int = 8, rules: Rule
     path = spark._jvm.org.apache.hadoop.fs.Path
     files = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
     files.mkdirs(path(f"{folder}/in"))
-    setting = "spark.sql.streaming.noDataMicroBatches.enabled"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, "false")  # a batch sees the watermark of the batches before it
     clock = 0
-    try:
+    # Without data-free batches a batch sees the watermark of the batches before it.
+    with held(spark, spark_sql_streaming_noDataMicroBatches_enabled="false", spark_sql_execution_arrow_maxRecordsPerBatch=SHORT_ROWS):
         for k, mark in enumerate([*marks, END]):
             following = marks[k + 1] if k + 1 < number else END
             clock = END_CLOCK if following == END else max(clock + 1, min(-(-(following or 0) // 1000), LATEST))
@@ -284,8 +282,6 @@ def attributed(clicks: DataFrame, sales: DataFrame, number: int = 8, rules: Rule
             found = rows.groupBy("cell").applyInPandasWithState(updater(k, mark, rules.window), FOUND, STATE, "append", GroupStateTimeout.EventTimeTimeout)
             running = found.writeStream.format("parquet").option("path", f"{folder}/found").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start()
             running.awaitTermination()
-    finally:
-        spark.conf.set(setting, before)
     return together(spark.read.schema(FOUND).parquet(f"{folder}/found"))
 
 

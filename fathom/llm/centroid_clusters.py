@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fathom.llm._common import batches, drop_stored, stored, table
+from fathom.llm._common import SHORT_ROWS, batches, drop_stored, held, stored, table
 from fathom.llm.topk_search import usable
 
 #: Next nearest centroids with a bound of their own.
@@ -139,7 +139,8 @@ def _pass(rows: DataFrame, dimension: int, k: int, step: Callable[[np.ndarray, n
         none = lambda kind: pa.nulls(len(tail), kind)
         yield pa.RecordBatch.from_arrays([none(pa.int64()), none(pa.binary()), none(pa.binary()), pa.array(cluster, pa.int32()), pa.array(count, pa.int64()), pa.array(total, pa.list_(pa.int64()))], names)
 
-    return stored(rows.select("id", "vector", "state").mapInArrow(run, PASS))
+    with held(rows.sparkSession, spark_sql_execution_arrow_maxRecordsPerBatch=SHORT_ROWS):
+        return stored(rows.select("id", "vector", "state").mapInArrow(run, PASS))
 
 
 def _changes(passed: DataFrame, k: int, dimension: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -215,7 +216,8 @@ def clustered(vectors: DataFrame, k: int, rounds: int, *, seed: int = 3, listed:
                 gap = _rows(part.column(1), 8 * dimension).view("<i8") - c[own]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own.astype("<i4")), pa.array(np.einsum("ij,ij->i", gap, gap))], ["id", "cluster", "distance"])
 
-    found = stored(passed.where("cluster IS NULL").select("id", "vector", "state").mapInArrow(measured, "id long, cluster int, distance long"))
+    with held(spark, spark_sql_execution_arrow_maxRecordsPerBatch=SHORT_ROWS):
+        found = stored(passed.where("cluster IS NULL").select("id", "vector", "state").mapInArrow(measured, "id long, cluster int, distance long"))
     drop_stored(passed)
     return found, centroids, costs
 
