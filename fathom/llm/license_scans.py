@@ -112,19 +112,24 @@ def anchors(words: list[str], weights: dict[str, float]) -> list[int]:
 
 
 def _places(words: Column, templates: list[list[str]], weights: dict[str, float]) -> Column:
-    """(t, shift) of every place where an anchor of a template stands, from the postings of the anchors."""
+    """Every place where an anchor of a template stands, from the postings of the anchors: t and shift in one long, see _place(), since distinct longs are found by hashing and distinct structs by comparing all pairs."""
     postings: dict[str, list[tuple[int, int]]] = {}
     for t, own in enumerate(templates):
         for at in anchors(own, weights):
             postings.setdefault(own[at], []).append((t, at))
     index = F.create_map(*[x for w, places in postings.items() for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(at).alias("at")) for t, at in places]))])
     hits = F.filter(F.transform(words, lambda w, i: F.when(w.isin(*postings), F.struct(w.alias("w"), i.alias("i")))), lambda x: x.isNotNull())
-    shifted = F.flatten(F.transform(hits, lambda x: F.transform(F.element_at(index, x["w"]), lambda p: F.struct(p["t"].alias("t"), (x["i"] - p["at"]).alias("shift")))))
+    shifted = F.flatten(F.transform(hits, lambda x: F.transform(F.element_at(index, x["w"]), lambda p: p["t"] * F.lit(2**32) + (x["i"] - p["at"] + F.lit(2**31)))))
     return F.array_distinct(shifted)
 
 
+def _place(code: Column) -> Column:
+    """(t, shift) of a place as _places() gives it."""
+    return F.struct(F.shiftright(code, 32).cast("int").alias("t"), (code.bitwiseAND(F.lit(2**32 - 1)) - F.lit(2**31)).cast("int").alias("shift"))
+
+
 def _shares(words: Column, places: Column, templates: list[list[str]], weights: dict[str, float]) -> Column:
-    """(t, share) of each place: the share of the template's weight that stands at its relative positions there, by all of its words."""
+    """(t, share) of each template found: the share of its weight that stands at its relative positions in a place, by all of its words, and of its places the greatest."""
     whole = F.array(*[F.array(*[F.struct(F.lit(w).alias("w"), F.lit(weights[w]).alias("weight")) for w in own]) for own in templates])
     totals = F.array(*[F.lit(sum(weights[w] for w in own)) for own in templates])
 
@@ -134,7 +139,10 @@ def _shares(words: Column, places: Column, templates: list[list[str]], weights:
         total = F.aggregate(met, F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n")), lambda s, x: F.struct((s["sum"] + F.coalesce(x, F.lit(0.0))).alias("sum"), (s["n"] + x.isNotNull().cast("int")).alias("n")))
         return let(total, lambda s: F.struct(place["t"].alias("t"), F.when(s["n"] >= LEAST_WORDS, F.least(s["sum"] / F.get(totals, place["t"]), F.lit(1.0))).otherwise(0.0).alias("share")))
 
-    return F.filter(F.transform(places, share), lambda x: x["share"] >= SHARE)
+    met = F.filter(F.transform(F.transform(places, _place), share), lambda x: x["share"] >= SHARE)
+    # Of each template the greatest share; one pass a template, so that what follows costs the same however often a notice stands.
+    best = lambda found: F.transform(F.sequence(F.lit(0), F.lit(len(templates) - 1)), lambda t: F.struct(t.alias("t"), F.aggregate(found, F.lit(0.0), lambda m, x: F.when(x["t"] == t, F.greatest(m, x["share"])).otherwise(m)).alias("share")))
+    return F.filter(let(met, best), lambda x: x["share"] > 0)
 
 
 def scan(documents: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:

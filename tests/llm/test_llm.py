@@ -213,6 +213,12 @@ def test_targets_stop_at_three_times_a_source(spark):
     assert got == {"a": 3.0, "b": 98.0, None: 0.0}
 
 
+def test_licenses_named_over_and_over(spark):
+    """Time grows with the hits of a text, not with their square."""
+    found = license_scans.scan(docs(spark, "all rights reserved now " * 100_000, "all rights reserved now", "nothing")).collect()
+    assert [(r.n_words, r.labels, r.score) for r in sorted(found, key=lambda r: r.doc_id)][0][1:] == (found[1].labels, found[1].score)
+
+
 def test_licenses(spark, odd):
     texts = ["MIT\n\nLicense mit-LICENSE, General  Public\tLicense. mit licenses éMIT license", "Licensed under CC BY-NC 4.0.", "license"]
     got = {r.doc_id: r for r in license_scans.scan(docs(spark, *texts)).collect()}
