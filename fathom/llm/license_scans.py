@@ -16,6 +16,7 @@ are. Documents aren't shuffled.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from dataclasses import dataclass
@@ -111,13 +112,18 @@ def anchors(words: list[str], weights: dict[str, float]) -> list[int]:
     return chosen
 
 
+def _constant(value: object, kind: str) -> Column:
+    """A nested value as one constant: the optimizer folds it, and the plan has no column for each of its parts."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
 def _places(words: Column, templates: list[list[str]], weights: dict[str, float]) -> Column:
     """Every place where an anchor of a template stands, from the postings of the anchors: t and shift in one long, see _place(), since distinct longs are found by hashing and distinct structs by comparing all pairs."""
     postings: dict[str, list[tuple[int, int]]] = {}
     for t, own in enumerate(templates):
         for at in anchors(own, weights):
             postings.setdefault(own[at], []).append((t, at))
-    index = F.create_map(*[x for w, places in postings.items() for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(at).alias("at")) for t, at in places]))])
+    index = _constant({w: [{"t": t, "at": at} for t, at in places] for w, places in postings.items()}, "map<string,array<struct<t:bigint,at:int>>>")
     hits = F.filter(F.transform(words, lambda w, i: F.when(w.isin(*postings), F.struct(w.alias("w"), i.alias("i")))), lambda x: x.isNotNull())
     shifted = F.flatten(F.transform(hits, lambda x: F.transform(F.element_at(index, x["w"]), lambda p: p["t"] * F.lit(2**32) + (x["i"] - p["at"] + F.lit(2**31)))))
     return F.array_distinct(shifted)
@@ -130,8 +136,8 @@ def _place(code: Column) -> Column:
 
 def _shares(words: Column, places: Column, templates: list[list[str]], weights: dict[str, float]) -> Column:
     """(t, share) of each template found: the share of its weight that stands at its relative positions in a place, by all of its words, and of its places the greatest."""
-    whole = F.array(*[F.array(*[F.struct(F.lit(w).alias("w"), F.lit(weights[w]).alias("weight")) for w in own]) for own in templates])
-    totals = F.array(*[F.lit(sum(weights[w] for w in own)) for own in templates])
+    whole = _constant([[{"w": w, "weight": weights[w]} for w in own] for own in templates], "array<array<struct<w:string,weight:double>>>")
+    totals = _constant([sum(weights[w] for w in own) for own in templates], "array<double>")
 
     def share(place: Column) -> Column:
         own = F.get(whole, place["t"])
