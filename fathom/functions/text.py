@@ -85,14 +85,25 @@ GREEK = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu x
 ROMAN = "i ii iii iv v vi vii viii ix x xi xii xiii xiv xv xvi xvii xviii xix xx".split()
 
 
-def normalised(text: Column) -> Column:
-    """A name as dictionaries hold it: lower case, dashes and other marks as spaces, Greek letters spelled out, Roman numbers behind another word as digits, single spaces."""
-    out = F.lower(text)
+def plain_words(text: Column) -> Column:
+    """Words of a text or a name in lower case, parted at dashes and other marks, Greek letters spelled out."""
+    out = lower = F.lower(text)
     for i, name in enumerate(GREEK):
         out = F.replace(out, F.lit(chr(0x3B1 + i)), F.lit(f" {name} "))
-    words = F.filter(F.split(out, r"[^\p{L}\p{N}]+", -1), lambda w: w != "")
+    # Few texts have any, and each letter costs a pass.
+    out = F.when(F.rlike(lower, F.lit("[\u03b1-\u03c9]")), out).otherwise(lower)
+    return F.filter(F.split(out, r"[^\p{L}\p{N}]+", -1), lambda w: w != "")
+
+
+def later_word(word: Column) -> Column:
+    """A word as it stands behind another one: Roman numbers as digits."""
     numbers = F.create_map(*[F.lit(x) for n, r in enumerate(ROMAN, 1) for x in (r, str(n))])
-    return F.array_join(F.transform(words, lambda w, i: F.when((i > 0) & w.isin(*ROMAN), F.element_at(numbers, w)).otherwise(w)), " ")
+    return F.when(word.isin(*ROMAN), F.element_at(numbers, word)).otherwise(word)
+
+
+def normalised(text: Column) -> Column:
+    """A name as dictionaries hold it: lower case, dashes and other marks as spaces, Greek letters spelled out, Roman numbers behind another word as digits, single spaces."""
+    return F.array_join(F.transform(plain_words(text), lambda w, i: F.when(i > 0, later_word(w)).otherwise(w)), " ")
 
 
 def trimmed_front(text: Column, characters: str) -> Column:
@@ -100,19 +111,45 @@ def trimmed_front(text: Column, characters: str) -> Column:
     return F.ltrim(text, F.lit(characters))
 
 
-def mentions(documents: DataFrame, dictionary: DataFrame, longest: int) -> DataFrame:
+#: Words of a text that are looked at together.
+CHUNK_WORDS = 1024
+
+
+def mentions(documents: DataFrame, dictionary: DataFrame) -> DataFrame:
     """doc, surface, start, db, id, name: the longest dictionary entries in doc, text, none inside another.
 
-    dictionary has entry (lower-case words parted by single spaces), db, id,
-    name. Every run of up to `longest` words is a candidate, built in one pass;
-    they join the dictionary on the run, so that no document meets the whole
-    dictionary.
+    dictionary has entry (a normalised name of any number of words), db, id,
+    name; texts are normalised alike, so a Greek letter or a Roman number may
+    be spelled either way. start counts the text's words from 1.
+
+    Texts are cut into chunks that overlap by an entry's length. A chunk's
+    different words meet the entries' first words, with the lengths of the
+    entries that begin so; only runs of these lengths that start at such a
+    word are built, and they meet the dictionary as a whole. Neither side is
+    assumed small: all three joins are by key, and Spark broadcasts what it
+    finds to be small.
     """
-    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+", -1), lambda w: w != "")
-    rows = documents.select("doc", words.alias("words")).where(F.size("words") > 0)
-    run = lambda w, i, n: F.struct((i + 1).alias("start"), n.alias("n"), F.array_join(F.slice(w, i + 1, n), " ").alias("surface"))
-    runs = lambda w: F.flatten(F.transform(w, lambda _, i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size(w) - i)), lambda n: run(w, i, n))))
-    spans = rows.select("doc", F.inline(let(F.col("words"), runs)))
+    words = F.split("entry", " ")
+    firsts = dictionary.select(words[0].alias("first"), F.size(words).alias("n")).groupBy("first").agg(F.array_sort(F.collect_set("n")).alias("lengths"))
+    longest = dictionary.agg(F.coalesce(F.max(F.size(words)), F.lit(1))).first()[0]
+    cut = lambda w, at: F.slice(w, at + 1, CHUNK_WORDS + longest - 1)
+
+    def chunks(plain: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(plain), F.lit(CHUNK_WORDS)), lambda at: at < F.size(plain))
+        return F.transform(starts, lambda at: F.struct(at.alias("at"), cut(plain, at).alias("words")))
+
+    parts = documents.select("doc", F.inline(let(plain_words(F.col("text")), chunks)))
+    known = parts.select("doc", "at", F.explode(F.array_distinct("words")).alias("first")).join(firsts, "first")
+    known = known.groupBy("doc", "at").agg(F.map_from_entries(F.collect_list(F.struct("first", "lengths"))).alias("known"))
+
+    def runs(later: Column) -> Column:
+        """Runs of the chunk's words; a word that begins a run is taken as it is, others as later words."""
+        here = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: (x["i"] < CHUNK_WORDS) & F.map_contains_key("known", x["w"]))
+        fits = lambda x: F.filter(F.element_at("known", x["w"]), lambda n: x["i"] + n <= F.size("words"))
+        run = lambda x, n: F.struct((F.col("at") + x["i"] + 1).alias("start"), n.alias("n"), F.array_join(F.concat(F.array(x["w"]), F.slice(later, x["i"] + 2, n - 1)), " ").alias("surface"))
+        return F.flatten(F.transform(here, lambda x: F.transform(fits(x), lambda n: run(x, n))))
+
+    spans = parts.join(known, ["doc", "at"]).select("doc", F.inline(let(F.transform("words", later_word), runs)))
     found = spans.join(dictionary, spans["surface"] == dictionary["entry"]).drop("entry")
     reach = Window.partitionBy("doc").orderBy("start").rangeBetween(Window.unboundedPreceding, -1)
     same = Window.partitionBy("doc", "start").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

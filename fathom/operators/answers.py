@@ -20,15 +20,16 @@ def grounding_dictionary(*vocabularies: DataFrame) -> DataFrame:
     return rows.select(T.normalised(F.col("name")).alias("entry"), F.split_part("curie", F.lit(":"), F.lit(1)).alias("db"), F.split_part("curie", F.lit(":"), F.lit(2)).alias("id"), "name", "curie").where("entry <> ''")
 
 
-def annotate(documents: DataFrame, dictionary: DataFrame, types: DataFrame, namespaces: list[str], longest: int = 4) -> DataFrame:
+def annotate(documents: DataFrame, dictionary: DataFrame, types: DataFrame, namespaces: list[str]) -> DataFrame:
     """doc, start, text, name, curie, type of the mentions in documents (doc, text).
 
-    Of a place's entries the one of the first namespace counts, then the
-    smallest id. types has curie and type; what has none is `other`.
+    Names of any length are found, with Greek letters and Roman numbers spelled
+    either way. Of a place's entries the one of the first namespace counts,
+    then the smallest id. types has curie and type; what has none is `other`.
     """
     entries = dictionary.where(F.col("db").isin(namespaces)).select("entry", "db", "id", "name")
     order = F.array_position(F.array(*map(F.lit, namespaces)), F.col("db"))
-    best = T.mentions(documents, entries, longest).groupBy("doc", "start", "surface").agg(F.min(F.struct(order.alias("o"), "db", "id", "name")).alias("best"))
+    best = T.mentions(documents, entries).groupBy("doc", "start", "surface").agg(F.min(F.struct(order.alias("o"), "db", "id", "name")).alias("best"))
     rows = best.select("doc", "start", F.col("surface").alias("text"), "best.name", F.concat_ws(":", "best.db", "best.id").alias("curie"))
     return rows.join(types.select("curie", "type"), "curie", "left").select("doc", "start", "text", "name", "curie", F.coalesce("type", F.lit("other")).alias("type"))
 
@@ -67,7 +68,7 @@ class Answer:
     score: DataFrame
 
 
-def answer(graph: Graph, text: str, dictionary: DataFrame, types: DataFrame, scores: DataFrame, namespaces: list[str], term_prefix: str, longest: int = 4) -> Answer:
+def answer(graph: Graph, text: str, dictionary: DataFrame, types: DataFrame, scores: DataFrame, namespaces: list[str], term_prefix: str) -> Answer:
     """The answer to one text.
 
     scores has a, b, score of terms, which are curies without term_prefix;
@@ -75,7 +76,7 @@ def answer(graph: Graph, text: str, dictionary: DataFrame, types: DataFrame, sco
     the curies found in it; the graph is only joined with them.
     """
     spark = graph.nodes.sparkSession
-    annotations = annotate(spark.createDataFrame([(0, text)], "doc int, text string"), dictionary, types, namespaces, longest)
+    annotations = annotate(spark.createDataFrame([(0, text)], "doc int, text string"), dictionary, types, namespaces)
     curies = [r[0] for r in annotations.select("curie").distinct().orderBy("curie").collect()]
     direct, pairs, alerts = text_relations(graph, curies)
     terms = [c.removeprefix(term_prefix) for c in curies if c.startswith(term_prefix)]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fathom.functions import text as T
 from fathom.functions.fixed_values import GENERAL_NAMES, GENERAL_TERMS, PLACE_ALIASES
 from fathom.functions.tables import materialised
-from fathom.operators import answers, assemble, literature
+from fathom.operators import answers, assemble, literature, services
 from fathom.operators import graph as G
 from fathom.operators import pattern_query
 from fathom.operators.traverse import closure, paths
@@ -587,7 +587,7 @@ k AS (SELECT * FROM f a WHERE n = (SELECT max(n) FROM f b WHERE b.doc = a.doc AN
 
 
 def found(spark: SparkSession, d: str) -> DataFrame:
-    return T.mentions(S.table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text"), S.dictionary(spark), 2)
+    return T.mentions(S.table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text"), S.dictionary(spark))
 
 
 @query(f"WITH {DICT}, {SPANS} SELECT doc, surface, start, db, id, name FROM k")
@@ -597,15 +597,40 @@ def ner_mentions(spark, d):
 
 @query(f"WITH {DICT}, {SPANS} SELECT surface, db, id, name, count(*) AS count FROM k WHERE name NOT IN ({', '.join(repr(n) for n in GENERAL_NAMES)}) GROUP BY ALL")
 def ner_stats(spark, d):
-    return found(spark, d).where(~F.col("name").isin(*GENERAL_NAMES)).groupBy("surface", "db", "id", "name").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "surface", "db")
+    stats = services.mention_stats(found(spark, d).where(~F.col("name").isin(*GENERAL_NAMES)))
+    return stats.select(F.col("text").alias("surface"), F.col("term_db").alias("db"), F.col("term_id").alias("id"), F.col("term_name").alias("name"), "count")
 
 
 @query(f"WITH {DICT}, {SPANS} SELECT doc, start, min_by(db, CASE db WHEN 'MESH' THEN 1 ELSE 2 END) AS db, min_by(id, CASE db WHEN 'MESH' THEN 1 ELSE 2 END) AS id FROM k WHERE db IN ('MESH', 'geonames') GROUP BY 1, 2")
 def ns_priority(spark, d):
     """Of a place's entries the one in the first allowed namespace."""
-    order = F.array_position(F.array(F.lit("MESH"), F.lit("geonames")), F.col("db"))
-    rows = found(spark, d).where(F.col("db").isin("MESH", "geonames"))
-    return rows.groupBy("doc", "start").agg(F.min(F.struct(order.alias("o"), "db", "id")).alias("best")).select("doc", "start", "best.db", "best.id")
+    documents = S.table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text")
+    types = spark.createDataFrame([], "curie string, type string")
+    rows = answers.annotate(documents, S.dictionary(spark), types, ["MESH", "geonames"])
+    return rows.select("doc", "start", F.split_part("curie", F.lit(":"), F.lit(1)).alias("db"), F.split_part("curie", F.lit(":"), F.lit(2)).alias("id"))
+
+
+SYNDROME = ("severe", "acute", "respiratory", "distress", "syndrome", "of", "late", "onset", "in", "adult", "patients")
+SYNDROME_SQL = "['" + "', '".join(SYNDROME) + "']"
+LONG_NAME = f"array_to_string(list_concat(['fever'], {SYNDROME_SQL}[1:n_nationkey % 12]), ' ')"
+
+
+@query(f"""SELECT 'CUST:' || c_custkey AS doc, 3 AS start, {LONG_NAME} || CASE n_nationkey % 3 WHEN 0 THEN ' beta' WHEN 1 THEN ' 4' ELSE ' ' || n_nationkey END || ' n' || n_nationkey AS text,
+  'MESH:' || n_nationkey AS curie, CASE WHEN n_nationkey % 2 = 0 THEN 'disease' ELSE 'other' END AS type FROM customer JOIN nation ON n_nationkey = c_nationkey
+  UNION ALL SELECT 'CUST:' || c_custkey, 12 + n_nationkey % 12, 'iv fluids', 'MESH:iv', 'other' FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 2 = 0""")
+def ner_long_names(spark, d):
+    """Names of one word to fourteen, in which Greek letters and Roman numbers are spelled otherwise than in the texts."""
+    nation = S.table(spark, d, "nation")
+    n = F.col("n_nationkey")
+    long = F.array_join(F.concat(F.array(F.lit("Fever")), F.slice(F.array(*map(F.lit, SYNDROME)), F.lit(1), n % 12)), " ")
+    last = lambda greek, roman: F.when(n % 3 == 0, greek).when(n % 3 == 1, roman).otherwise(n.cast("string"))
+    key = F.concat(F.lit(" n"), n.cast("string"))
+    names = nation.select(S.key("MESH:", "n_nationkey").alias("curie"), F.concat(long, F.lit("-"), last(F.lit("\u0392"), F.lit("4")), key).alias("name"))
+    names = names.unionByName(spark.createDataFrame([("MESH:iv", "IV fluids"), ("MESH:none", "of late onset in no patient")], "curie string, name string"))
+    said = F.concat(F.lit("Cases of "), F.upper(long), F.lit(", "), last(F.lit("beta"), F.lit("IV")), key, F.lit("; given with some of the usual "), F.when(F.col("c_custkey") % 2 == 0, "IV fluids").otherwise("fluids"))
+    documents = S.table(spark, d, "customer").join(nation, F.col("c_nationkey") == n).select(S.key("CUST:", "c_custkey").alias("doc"), said.alias("text"))
+    types = nation.where("n_nationkey % 2 = 0").select(S.key("MESH:", "n_nationkey").alias("curie"), F.lit("disease").alias("type"))
+    return answers.annotate(documents, answers.grounding_dictionary(names), types, ["MESH"]).select("doc", "start", "text", "curie", "type")
 
 
 @query("SELECT n_name AS name, CASE WHEN n_nationkey % 2 = 0 THEN 'MESH:' || n_nationkey WHEN n_nationkey % 3 = 0 THEN 'geonames:' || n_nationkey END AS curie FROM nation UNION ALL SELECT 'MESH:7', 'MESH:7'")
