@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathom.functions.fixed_values import GENERAL_NAMES
+from fathom.functions import text as T
+from fathom.functions.fixed_values import GENERAL_NAMES, PLACE_ALIASES
+from fathom.operators.graph import ground
 from fathom.operators.traverse import closure
 
 
@@ -141,14 +143,17 @@ def outbreaks(rows: DataFrame, *order: Column | str, prefix: str = "outbreak:",
     return nodes, edges.where("src IS NOT NULL").distinct()
 
 
-def alert_relations(mentions: DataFrame, dates: DataFrame, flags: DataFrame, *order: Column | str, db: str = "MESH", prefix: str = "alert:") -> tuple[DataFrame, DataFrame]:
+def alert_relations(mentions: DataFrame, dates: DataFrame, flags: DataFrame, *order: Column | str, db: str = "MESH", prefix: str = "alert:", alerts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes of all alerts with the date of their first row in dates (archiveNumber, datePublished), and edges to what they mention.
 
-    mentions has alert, db, id, name. An alert is kept whatever it mentions; an
-    edge needs the ontology's namespace, a type and a name off the stop list.
+    mentions has alert, db, id, name; alerts (alert) has those that mention
+    nothing too, and without it only alerts with a mention are known. An alert
+    is kept whatever it mentions; an edge needs the ontology's namespace, a
+    type and a name off the stop list.
     """
     first = first_per(dates, "archiveNumber", *order).select(F.col("archiveNumber").alias("alert"), F.col("datePublished").alias("timestamp"))
-    alerts = mentions.select("alert").distinct().join(first, "alert", "left")
+    every = mentions.select("alert") if alerts is None else mentions.select("alert").unionByName(alerts.select("alert"))
+    alerts = every.distinct().join(first, "alert", "left")
     nodes = alerts.select(F.concat(F.lit(prefix), "alert").alias("curie"), F.col("alert").alias("name"), F.array(F.lit("alert")).alias("labels"), "timestamp")
     typed = flags.where("is_disease OR is_pathogen OR is_geoloc").select(F.col("curie").alias("dst"))
     good = mentions.where((F.col("db") == db) & ~F.col("name").isin(*GENERAL_NAMES))
@@ -179,6 +184,13 @@ def renamed(column: Column, aliases: dict[str, str]) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair]), column), column)
 
 
+def grounded_places(places: DataFrame, dictionary: DataFrame, namespaces: list[str], aliases: dict[str, str] = PLACE_ALIASES) -> DataFrame:
+    """name, curie of each different name of places: its alias, else itself, normalised and looked up in the dictionary by namespaces in their order; null if it is unknown."""
+    names = places.select("name").distinct().withColumn("plain", T.normalised(renamed(F.col("name"), aliases)))
+    found = ground(names.select(F.col("plain").alias("name")).distinct(), dictionary, namespaces)
+    return names.join(found.withColumnRenamed("name", "plain"), "plain", "left").select("name", "curie")
+
+
 def without_series(rows: DataFrame, others: DataFrame, code: str) -> DataFrame:
     """rows whose series code others doesn't have."""
     return rows.join(others.select(code).distinct(), code, "left_anti").select(*rows.columns)

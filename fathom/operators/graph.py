@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.functions.tables import materialised
@@ -120,11 +120,45 @@ def text_relations(graph: Graph, curies: list[str], most: int = 500) -> tuple[Da
     return direct, pairs, ranked.orderBy(F.desc("n_entities"), "alert").limit(most)
 
 
+def completions(nodes: DataFrame) -> DataFrame:
+    """key, name, curie: lower-case names, of nodes with one key the one with the greatest curie."""
+    one = nodes.groupBy(F.lower("name").alias("key")).agg(F.max(F.struct("curie", "name")).alias("top"))
+    return one.select("key", F.col("top.name").alias("name"), F.col("top.curie").alias("curie"))
+
+
+def after_prefix(prefix: str) -> str | None:
+    """The least string behind all that begin with prefix, in the order of code points; None if there is none."""
+    for i in range(len(prefix), 0, -1):
+        if (code := ord(prefix[i - 1])) < 0x10FFFF:
+            return prefix[: i - 1] + chr(0xE000 if code + 1 == 0xD800 else code + 1)
+    return None
+
+
+def first_completions(keyed: DataFrame, prefix: str, top_n: int = 100) -> DataFrame:
+    """The first rows of completions() with a prefix, 100 at most; a prefix with a colon finds nothing.
+
+    The prefix is a range of keys, which readers of a table in their order,
+    see write_completions(), take to skip all files and row groups but a few.
+    """
+    low = prefix.lower()
+    rows = keyed.where(F.col("key") >= low) if ":" not in prefix else keyed.limit(0)
+    if (end := after_prefix(low)) is not None:
+        rows = rows.where(F.col("key") < end)
+    return rows.orderBy("key").limit(min(top_n, 100))
+
+
+def write_completions(nodes: DataFrame, path: str) -> None:
+    """completions() as a table in the order of keys, dealt by their ranges."""
+    completions(nodes).repartitionByRange("key").sortWithinPartitions("key").write.mode("overwrite").parquet(path)
+
+
+def stored_completions(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("key string, name string, curie string").parquet(path)
+
+
 def autocomplete(nodes: DataFrame, prefix: str, top_n: int = 100) -> DataFrame:
-    """key, name, curie of the first keys (lower-case names) with a prefix, 100 at most. Nodes with one key leave the one with the greatest curie; a prefix with a colon finds nothing."""
-    keyed = nodes.select(F.lower("name").alias("key"), "name", "curie").where(F.col("key").startswith(prefix.lower()) & F.lit(":" not in prefix))
-    one = keyed.groupBy("key").agg(F.max(F.struct("curie", "name")).alias("top"))
-    return one.select("key", F.col("top.name").alias("name"), F.col("top.curie").alias("curie")).orderBy("key").limit(min(top_n, 100))
+    """first_completions() of nodes without a stored table."""
+    return first_completions(completions(nodes.where(F.lower("name").startswith(prefix.lower()))), prefix, top_n)
 
 
 #: What each kind of autocompletion offers: a label, and whether only nodes of the ontology.

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathom.operators.answers import curie_of
 from fathom.operators.graph import Graph
 from fathom.operators.traverse import paths
 
+
 def find_indicators(graph: Graph, geolocation: str | None, part: str | None) -> DataFrame:
     """indicator, relation, place, path of places under or above a geolocation (a curie) whose indicator's name contains part; a null finds nothing.
 
@@ -30,6 +32,11 @@ def find_indicators(graph: Graph, geolocation: str | None, part: str | None) ->
     return rows.select("indicator", "relation", "place", "path").distinct()
 
 
+def indicators_by_name(graph: Graph, dictionary: DataFrame, namespaces: list[str], geolocation: str | None, part: str | None) -> DataFrame:
+    """find_indicators() of a place's name or curie; a name that can't be grounded finds nothing."""
+    return find_indicators(graph, curie_of(geolocation, dictionary, namespaces) if geolocation else None, part)
+
+
 def last_alerts(alerts: DataFrame) -> DataFrame:
     """One row per archive number: of several the one from the last file, then with the greatest text."""
     order = Window.partitionBy("archive_number").orderBy(F.desc("file"), F.desc("text"))
@@ -56,9 +63,13 @@ def names_from(nodes: DataFrame, prefix: str, top_n: int = 100) -> DataFrame:
     return nodes.where(F.col("name").startswith(prefix)).select("name").distinct().orderBy("name").limit(min(top_n, 100))
 
 
-def terms_by_alert(mentions: DataFrame) -> DataFrame:
-    """doc, terms: the different (db, id, name) of each document's mentions, sorted."""
-    return mentions.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("db", "id", "name"))).alias("terms"))
+def terms_by_alert(mentions: DataFrame, alerts: DataFrame | None = None) -> DataFrame:
+    """doc, terms: the different (db, id, name) of each document's mentions, sorted; with alerts (doc), also those without a mention, whose list is empty."""
+    rows = mentions.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("db", "id", "name"))).alias("terms"))
+    if alerts is None:
+        return rows
+    none = F.array().cast(rows.schema["terms"].dataType)
+    return alerts.select("doc").distinct().join(rows, "doc", "full").select("doc", F.coalesce("terms", none).alias("terms"))
 
 
 def mention_stats(mentions: DataFrame) -> DataFrame:

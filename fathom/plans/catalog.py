@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,11 +10,12 @@ from pyspark.sql import functions as F
 
 from fathom.functions import text as T
 from fathom.functions.fixed_values import GENERAL_NAMES, GENERAL_TERMS, PLACE_ALIASES
-from fathom.functions.tables import materialised
+from fathom.functions.tables import materialised, shared_folder
 from fathom.operators import answers, assemble, literature, services
 from fathom.operators import graph as G
 from fathom.operators import pattern_query
 from fathom.operators.traverse import closure, paths
+from fathom.sources import files
 from fathom.sources import testgraph as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -336,6 +338,51 @@ def fisher_single_term(spark, d):
     return rank(spark, d, ["Brand#2"])
 
 
+def stored_postings(spark: SparkSession, rows: DataFrame) -> literature.Postings:
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    files.write_postings(rows, path)
+    return files.postings(spark, path)
+
+
+def by_postings(spark: SparkSession, d: str, terms: list[str]) -> DataFrame:
+    return literature.ranked_by_postings(stored_postings(spark, S.doc_term(spark, d)), terms, S.brand_type()).withColumn("pval", F.round("pval", 6))
+
+
+@query(ORACLES["fisher_rank"])
+def fisher_rank_postings(spark, d):
+    """The best documents from a matrix stored by terms."""
+    return by_postings(spark, d, QUERY_TERMS).drop("overlap_ids", "overlap_counts")
+
+
+@query(ORACLES["fisher_single_term"])
+def fisher_single_postings(spark, d):
+    return by_postings(spark, d, ["Brand#2"]).drop("overlap_ids", "overlap_counts")
+
+
+@query(f"WITH {MATRIX}, f AS ({fisher_sql(QUERY_TERMS, 2)}) SELECT f.doc, string_agg(term, ',' ORDER BY term) AS overlap_ids FROM f JOIN w ON w.doc = f.doc WHERE term IN {IN_QUERY} GROUP BY 1")
+def fisher_overlap_ids(spark, d):
+    """The query's terms that each of the best documents has."""
+    return by_postings(spark, d, QUERY_TERMS).select("doc", F.array_join("overlap_ids", ",").alias("overlap_ids"))
+
+
+#: Terms of a query whose binomials are beyond doubles.
+MANY = 150
+
+
+@query(f"""WITH w AS (SELECT l_orderkey AS doc, l_partkey AS term, count(*) AS weight FROM lineitem GROUP BY 1, 2), n AS (SELECT count(DISTINCT term) AS n FROM w),
+e AS (SELECT doc, count(*) AS size, count(*) FILTER (WHERE term <= {MANY}) AS overlap, count(DISTINCT term % 4) FILTER (WHERE term <= {MANY} AND term % 4 <> 3) AS relevant_coverage, count(DISTINCT term % 4) FILTER (WHERE term <= {MANY}) AS coverage,
+  sum(weight) FILTER (WHERE term <= {MANY}) AS weight FROM w GROUP BY 1),
+f AS (SELECT e.*, least(1.0, (SELECT sum(exp(lgamma(size + 1) - lgamma(i + 1) - lgamma(size - i + 1) + lgamma(n - size + 1) - lgamma({MANY} - i + 1) - lgamma(n - size - {MANY} + i + 1) - lgamma(n + 1) + lgamma({MANY} + 1) + lgamma(n - {MANY} + 1)))
+  FROM (SELECT unnest(range(overlap, least({MANY}, size) + 1)) AS i) WHERE n - size - {MANY} + i >= 0)) AS pval FROM e, n WHERE weight >= 3)
+SELECT doc, overlap, relevant_coverage, coverage, round(pval, 6) AS pval FROM f ORDER BY relevant_coverage DESC, coverage DESC, round(f.pval, 9), doc LIMIT 20""")
+def fisher_many_terms(spark, d):
+    """A query of many terms, orders and their parts as the matrix."""
+    rows = S.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc"), F.lpad(F.col("l_partkey").cast("string"), 9, "0").alias("term"), F.lit(1).cast("long").alias("weight"))
+    kind = F.element_at(F.array(*map(F.lit, ("disease", "geoloc", "pathogen", "other"))), (F.col("term").cast("int") % 4 + 1))
+    found = literature.ranked_by_postings(stored_postings(spark, rows), [f"{i:09}" for i in range(1, MANY + 1)], kind)
+    return found.select("doc", "overlap", "relevant_coverage", "coverage", F.round("pval", 6).alias("pval"))
+
+
 @query(f"WITH {MATRIX} SELECT doc, CAST(sum(weight) AS BIGINT) AS weight FROM w WHERE term IN ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4', 'Brand#5') GROUP BY 1 HAVING sum(weight) >= 3")
 def weighted_prefilter(spark, d):
     return literature.prefiltered(S.doc_term(spark, d), [*QUERY_TERMS, "Brand#4", "Brand#5"])
@@ -418,11 +465,24 @@ def gazetteer(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     places = nation.select(S.key("geonames:N", "n_nationkey").alias("curie"), F.col("n_name").alias("name")).unionByName(customer.select(S.key("geonames:C", "c_custkey").alias("curie"), F.col("c_name").alias("name")))
     part_of = customer.select(S.key("geonames:C", "c_custkey").alias("child"), S.key("geonames:N", "c_nationkey").alias("parent")).unionByName(nation.select(S.key("geonames:N", "n_nationkey").alias("child"), S.key("geonames:R", "n_regionkey").alias("parent")))
     dictionary = answers.grounding_dictionary(nation.where("n_nationkey % 2 = 0").select(S.key("MESH:", "n_nationkey").alias("curie"), F.col("n_name").alias("name")))
-    grounded = G.ground(places.select("name").distinct().select("name", T.normalised(F.col("name")).alias("plain")).select(F.col("plain").alias("name")), dictionary, ["MESH"])
-    named = places.select("name").distinct().withColumn("plain", T.normalised(F.col("name"))).join(grounded.select(F.col("name").alias("plain"), "curie"), "plain").select("name", "curie")
+    named = assemble.grounded_places(places, dictionary, ["MESH"])
     return assemble.place_graph(places, part_of, named, nation.where("n_nationkey % 4 = 0").select(S.key("MESH:", "n_nationkey").alias("curie")))
 
 
+@query("SELECT n_name AS name, 'MESH:' || (n_nationkey - n_nationkey % 2) AS curie FROM nation UNION ALL SELECT r_name, NULL FROM region WHERE r_regionkey > 0 UNION ALL SELECT r_name, 'MESH:0' FROM region WHERE r_regionkey = 0 UNION ALL SELECT 'Czechia', 'geonames:cz'")
+def place_grounding(spark, d):
+    """Places by their alias or name; every odd nation is known by the name of the one before, and one region by a nation's."""
+    nation, region = S.table(spark, d, "nation"), S.table(spark, d, "region")
+    names = {r.n_nationkey: r.n_name for r in nation.collect()}  # a nation is a constant of the aliases
+    first = region.where("r_regionkey = 0").first()["r_name"]
+    aliases = PLACE_ALIASES | {name: names[k - 1] for k, name in names.items() if k % 2} | {first: names[0]}
+    places = nation.select(F.col("n_name").alias("name")).unionByName(region.select(F.col("r_name").alias("name"))).unionByName(spark.createDataFrame([("Czechia",)], "name string"))
+    even = nation.where("n_nationkey % 2 = 0")
+    other = spark.createDataFrame([("geonames:cz", "Czech  Republic")], "curie string, name string").unionByName(even.select(S.key("geonames:", "n_nationkey").alias("curie"), F.col("n_name").alias("name")))
+    dictionary = answers.grounding_dictionary(even.select(S.key("MESH:", "n_nationkey").alias("curie"), F.col("n_name").alias("name")), other)
+    return assemble.grounded_places(places, dictionary, ["MESH", "geonames"], aliases)
+
+
 @query("SELECT 'geonames:N' || n_nationkey AS curie, n_name AS name FROM nation WHERE n_nationkey % 4 <> 0 UNION ALL SELECT 'geonames:C' || c_custkey, c_name FROM customer")
 def geoname_anti_join(spark, d):
     """Places that the ontology hasn't."""
@@ -446,6 +506,24 @@ def alert_parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return assemble.alert_relations(mentions, dates, flags, "datePublished")
 
 
+@query("SELECT DISTINCT 'alert:' || o_orderkey AS curie, strftime(o_orderdate, '%Y-%m-%d') AS timestamp FROM orders UNION ALL SELECT 'alert:c' || c_custkey, NULL FROM customer")
+def alert_nodes_without_mentions(spark, d):
+    """Nodes of alerts of which only those of dear parts mention something, and customers' alerts nothing."""
+    rows = S.table(spark, d, "lineitem").where("l_extendedprice > 50000").select(F.col("l_orderkey").cast("string").alias("alert"), F.lit("MESH").alias("db"), F.col("l_partkey").cast("string").alias("id"), F.lit("x").alias("name"))
+    orders = S.table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("archiveNumber"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("datePublished"))
+    alerts = orders.select(F.col("archiveNumber").alias("alert")).unionByName(S.table(spark, d, "customer").select(S.key("c", "c_custkey").alias("alert")))
+    flags = spark.createDataFrame([], "curie string, is_disease boolean, is_geoloc boolean, is_pathogen boolean")
+    return assemble.alert_relations(rows, orders, flags, "datePublished", alerts=alerts)[0].select("curie", "timestamp")
+
+
+@query("SELECT o_orderkey AS doc, coalesce(string_agg(DISTINCT CASE WHEN l_extendedprice > 50000 THEN 'MESH:' || l_partkey END, ',' ORDER BY CASE WHEN l_extendedprice > 50000 THEN 'MESH:' || l_partkey END), '') AS terms FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
+def terms_per_alert(spark, d):
+    """Each alert's terms, none of some."""
+    rows = S.table(spark, d, "lineitem").where("l_extendedprice > 50000").select(F.col("l_orderkey").alias("doc"), F.lit("MESH").alias("db"), F.col("l_partkey").cast("string").alias("id"), F.lit("x").alias("name"))
+    found = services.terms_by_alert(rows, S.table(spark, d, "orders").select(F.col("o_orderkey").alias("doc")))
+    return found.select("doc", F.array_join(F.transform("terms", lambda t: F.concat_ws(":", t["db"], t["id"])), ",").alias("terms"))
+
+
 @query("SELECT DISTINCT 'alert:' || l_orderkey AS curie, CAST(l_orderkey AS VARCHAR) AS name, CASE WHEN l_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS timestamp FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 def alert_mention_nodes(spark, d):
     """Alerts stay whatever they mention, with a date where there is one."""
@@ -524,6 +602,14 @@ def autocomplete_prefix(spark, d):
     return G.autocomplete(S.graph(spark, d).labelled("disease"), "B", 30)
 
 
+@query(ORACLES["autocomplete_prefix"])
+def autocomplete_index(spark, d):
+    """The same from a stored table in the order of keys."""
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    G.write_completions(S.graph(spark, d).labelled("disease"), path)
+    return G.first_completions(G.stored_completions(spark, path), "B", 30)
+
+
 @query(KEYED.format("SELECT 'CUST:' || c_custkey AS curie, c_name AS name FROM customer", "cust", 100))
 def autocomplete_collision(spark, d):
     return G.autocomplete(S.graph(spark, d).nodes.where(F.col("curie").startswith("CUST:")), "CUST", 500)
@@ -778,6 +864,13 @@ def alerts_by_name(spark, d):
     return answers.alerts_by_name(S.graph(spark, d), region_names(spark, d), ["REGION", "NATION"], geolocation="Asia", timestamp="")
 
 
+@query(f"SELECT DISTINCT 'wdi:' || p_type AS indicator, 'NATION:' || nation AS place, 'REGION:2' AS path FROM ({REVENUE}) JOIN nation ON n_nationkey = nation WHERE n_regionkey = 2 AND contains('revenue of ' || p_type, 'A')")
+def indicators_by_name(spark, d):
+    """Indicators of places under or above a place given by its name."""
+    rows = services.indicators_by_name(S.graph(spark, d), region_names(spark, d), ["REGION", "NATION"], "asia", "A")
+    return rows.select("indicator.curie", F.col("place.curie").alias("place"), F.array_join("path", ",").alias("path")).withColumnRenamed("curie", "indicator")
+
+
 @query("SELECT '' AS alert, '' AS timestamp, '' AS geoloc, '' AS geoloc_isa WHERE false")
 def alerts_unknown_name(spark, d):
     return answers.alerts_by_name(S.graph(spark, d), region_names(spark, d), ["REGION", "NATION"], geolocation="Atlantis")

@@ -7,6 +7,7 @@ EDGES = "src string, type string, dst string, years_data map<string,double>"
 RAW_ALERTS = "header array<string>, body array<string>"
 OUTBREAKS = "ID string, outbreakName string, archiveNumber string, datePublished string"
 DOC_TERMS = "mesh_id string, major int, pmid long"
+POSTINGS = "term string, doc long, weight long, size long"
 CONTEXTS = "documents array<struct<sentences:array<struct<timexes:array<struct<text:string,intervals:array<map<string,string>>>>,geolocs:array<struct<text:string,geoID:string>>>>>>"
 EDGE_TSV = "`:START_ID` string, `:TYPE` string, `:END_ID` string"
 NODE_TSV = "`curie:ID` string, `name:string` string, `:LABEL` string"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fathom import schema
 from fathom.functions.text import full_text, parsed_header, sections
+from fathom.operators.literature import Postings, postings_of, totals
 from fathom.operators.services import last_alerts
 
 
@@ -68,6 +69,21 @@ def matrix(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.schema("doc long, term string, weight long").parquet(f"{path}/matrix"), spark.read.schema("term string, type string").parquet(f"{path}/types")
 
 
+def write_postings(doc_term: DataFrame, path: str) -> None:
+    """The matrix in the order of terms, then documents, dealt by ranges, so that a reader of few terms skips other files and row groups; with its documents and totals."""
+    postings_of(doc_term).write.mode("overwrite").parquet(f"{path}/unordered")
+    rows = doc_term.sparkSession.read.schema(schema.POSTINGS).parquet(f"{path}/unordered")
+    rows.repartitionByRange("term", "doc").sortWithinPartitions("term", "doc").write.mode("overwrite").parquet(f"{path}/postings")
+    rows.select("doc", "size").distinct().repartitionByRange("doc").sortWithinPartitions("doc").write.mode("overwrite").parquet(f"{path}/documents")
+    totals(rows).write.mode("overwrite").parquet(f"{path}/totals")
+
+
+def postings(spark: SparkSession, path: str) -> Postings:
+    """What write_postings() wrote."""
+    n_docs, n_terms = spark.read.schema("n_docs long, n_terms long").parquet(f"{path}/totals").first()
+    return Postings(spark.read.schema(schema.POSTINGS).parquet(f"{path}/postings"), spark.read.schema("doc long, size long").parquet(f"{path}/documents"), n_docs, n_terms)
+
+
 def write_annotations(mentions: DataFrame, path: str) -> None:
     mentions.write.mode("overwrite").parquet(path)
 
