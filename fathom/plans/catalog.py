@@ -629,7 +629,7 @@ def autocomplete_definitions(spark, d):
 
 # -- extraction
 
-RAW = """SELECT doc_id AS id, 'Published Date: ' || strftime(DATE '2016-01-01' + CAST(doc_id % 1000 AS INT), '%Y-%m-%d') || ' 16:59:45 EDT' AS line, source, text, strftime(DATE '2016-01-01' + CAST(doc_id % 1000 AS INT), '%Y%m%d') || '.' || doc_id AS number FROM documents"""
+RAW = """SELECT doc_id AS id, 'Published Date: ' || strftime(DATE '2016-01-01' + CAST(doc_id % 1000 AS INT), '%Y-%m-%d') || ' 07:03:21 CET' AS line, source, text, strftime(DATE '2016-01-01' + CAST(doc_id % 1000 AS INT), '%Y%m%d') || '.' || doc_id AS number FROM documents"""
 
 
 @query(f"SELECT id, CASE WHEN id % 7 <> 0 THEN number END AS archive_number, 'PRO/' || source || ' news' AS subject FROM ({RAW})")
@@ -637,7 +637,7 @@ def header_regex(spark, d):
     return S.alert_raw(spark, d).select("id", T.parsed_header(F.col("header")).alias("h")).select("id", "h.archive_number", "h.subject")
 
 
-@query("SELECT doc_id AS id, strftime(DATE '2016-01-01' + CAST(doc_id % 1000 AS INT), '%Y-%m-%d') || ' 16:59:45' AS date FROM documents")
+@query("SELECT doc_id AS id, strftime(DATE '2016-01-01' + CAST(doc_id % 1000 AS INT), '%Y-%m-%d') || ' 07:03:21' AS date FROM documents")
 def header_timestamp(spark, d):
     return S.alert_raw(spark, d).select("id", F.date_format(T.parsed_header(F.col("header"))["date"], "yyyy-MM-dd HH:mm:ss").alias("date"))
 
@@ -930,18 +930,29 @@ def pattern_text_chain(spark, d):
     return pattern_query.run(S.graph(spark, d), text, region="REGION:2")
 
 
-@query(f"SELECT DISTINCT 'NATION:' || nation AS land, 'revenue of ' || p_type AS series, 'REGION:' || n_regionkey || ',GEO:world' AS via FROM ({REVENUE}) JOIN nation ON n_nationkey = nation WHERE contains('revenue of ' || p_type, 'A') UNION SELECT DISTINCT 'NATION:' || nation, 'revenue of ' || p_type, '' FROM ({REVENUE}) WHERE nation = 7 AND starts_with(p_type, 'E')")
+@query(f"SELECT DISTINCT n_name AS land, 'revenue of ' || p_type AS series, 'has_indicator' AS how FROM ({REVENUE}) JOIN nation ON n_nationkey = nation WHERE n_regionkey = 2 AND starts_with(p_type, 'E')")
 def pattern_text_indicators(spark, d):
-    """Series of all lands with their way to the top, and of one land those whose key begins so."""
+    """Series of the lands of one region whose key begins so."""
     text = """
-        MATCH way = (land:geoloc)-[step:isa*0..]->(top:geoloc) MATCH (land)-[has:has_indicator]->(series:indicator)
-        WHERE top.curie = $top AND series.name CONTAINS 'A'
-        RETURN land.curie AS land, series.name AS series, nodes(way)[1..] AS via
+        MATCH (land:geoloc)-[:isa]->(region:geoloc {curie: $region}) MATCH (land)-[has:has_indicator]->(series:indicator)
+        WHERE series.curie STARTS WITH 'wdi:E'
+        RETURN DISTINCT land.name AS land, series.name AS series, has.type AS how"""
+    return pattern_query.run(S.graph(spark, d), text, region="REGION:2")
+
+
+@query("""SELECT p_name AS thing, 'BRAND:' || p_brand || ',DIS:root' AS trail FROM part WHERE p_partkey IN (1, 7, 11) UNION SELECT p_name, 'TYPE:' || p_type || ',DIS:root' FROM part WHERE p_partkey IN (1, 7, 11)
+UNION SELECT p_name, 'SIZE:10' FROM part WHERE p_size = 10 UNION SELECT 'size 10', ''""")
+def pattern_text_trails(spark, d):
+    """Ways of some parts to the root, and of all things to a size, over edges of two types."""
+    text = """
+        MATCH trail = (thing:disease)-[:has_phenotype|isa*0..]->(top:disease)
+        WHERE thing.curie IN $parts AND top.curie = $root
+        RETURN thing.name AS thing, nodes(trail)[1..] AS trail
         UNION
-        MATCH stay = (land:geoloc)<-[step:isa*0..]-(top:geoloc) MATCH (land)-[has:has_indicator]->(series:indicator)
-        WHERE top.curie = $one AND land.curie = $one AND series.curie STARTS WITH 'wdi:E'
-        RETURN land.curie AS land, series.name AS series, nodes(stay)[1..] AS via"""
-    return pattern_query.run(S.graph(spark, d), text, top="GEO:world", one="NATION:7").withColumn("via", F.array_join("via", ","))
+        MATCH trail = (thing:disease)-[:has_phenotype|isa*0..]->(top:disease {curie: $size})
+        RETURN thing.name AS thing, nodes(trail)[1..] AS trail"""
+    rows = pattern_query.run(S.graph(spark, d), text, parts=["PART:1", "PART:7", "PART:11"], root="DIS:root", size="SIZE:10")
+    return rows.withColumn("trail", F.array_join("trail", ","))
 
 
 @query("SELECT DISTINCT 'PART:' || l_partkey AS part, 'has_pathogen' AS how, 'SUPP:' || l_suppkey AS supplier, s_name AS name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_partkey IN (1, 7, 11)")

@@ -109,6 +109,6 @@ def alert_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     date = F.date_format(F.date_add(F.lit("2016-01-01").cast("date"), (F.col("doc_id") % 1000).cast("int")), "yyyy-MM-dd")
     number = F.concat(F.replace(date, F.lit("-"), F.lit("")), F.lit("."), F.col("doc_id").cast("string"))
-    header = F.concat(F.lit("Published Date: "), date, F.lit(" 16:59:45 EDT\nSubject: PRO/"), F.col("source"), F.lit(" news\nArchive Number: "), F.when(F.col("doc_id") % 7 != 0, number).otherwise(""))
+    header = F.concat(F.lit("Published Date: "), date, F.lit(" 07:03:21 CET\nSubject: PRO/"), F.col("source"), F.lit(" news\nArchive Number: "), F.when(F.col("doc_id") % 7 != 0, number).otherwise(""))
     body = F.concat(F.lit("intro\nTitle "), F.col("source"), F.lit("\n------\n"), F.col("text"), F.lit("\n"), F.when(F.col("doc_id") % 3 != 0, "--\nSecond\n******\nend of it\n--").otherwise("never closed"))
     return rows.select(F.col("doc_id").alias("id"), header.alias("header"), body.alias("body"))

@@ -46,6 +46,16 @@ def test_normalised_names(spark):
     assert [r[0] for r in rows.select(T.normalised(F.col("x"))).collect()] == ["type 2 beta", "iv", "foo bar 20", None]
 
 
+def test_names_of_any_length_and_spelling(spark, monkeypatch):
+    names = ["Severe acute respiratory syndrome coronavirus 2", "Respiratory syndrome", "Interferon-β", "Hepatitis II", "IV fluids", "a b c d e f g h i j k l", "Sigma factor"]
+    dictionary = answers.grounding_dictionary(spark.createDataFrame([(f"M:{i}", n) for i, n in enumerate(names)], "curie string, name string"))
+    texts = ["SARS is severe acute respiratory syndrome coronavirus II", "interferon beta, Interferon-Β; hepatitis 2 and HEPATITIS ii by iv fluids", "a b c d e f g h i j k l", "IV", "", None, "ς factor " + "x " * 3000 + "hepatitis ii"]
+    monkeypatch.setattr(T, "CHUNK_WORDS", 16)
+    found = answers.annotate(spark.createDataFrame(list(enumerate(texts)), "doc int, text string"), dictionary, spark.createDataFrame([], "curie string, type string"), ["M"]).collect()
+    assert sorted((r.doc, r.start, r.curie) for r in found) == [(0, 3, "M:0"), (1, 1, "M:2"), (1, 3, "M:2"), (1, 5, "M:3"), (1, 8, "M:3"), (1, 11, "M:4"), (2, 1, "M:5"), (6, 1, "M:6"), (6, 3003, "M:3")]
+    assert answers.annotate(spark.createDataFrame([(1, "x")], "doc int, text string"), dictionary.limit(0), spark.createDataFrame([], "curie string, type string"), ["M"]).count() == 0
+
+
 def test_long_sections_stay_linear(spark):
     body = "T\n---\n" + "x\n" * 20_000 + "--\n--"
     row = spark.createDataFrame([(body,)], "b string").select(T.sections(F.col("b")).alias("s")).first()

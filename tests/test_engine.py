@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from fathom.functions import text as T
 from fathom.functions.statistics import fisher_greater
-from fathom.operators import assemble
-from fathom.operators.graph import autocomplete
+from fathom.operators import assemble, literature
+from fathom.operators.graph import autocomplete, first_completions, stored_completions, write_completions
 from fathom.operators.traverse import closure, paths
 from fathom.plans import catalog
+from fathom.sources import files
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -69,8 +70,8 @@ def test_sections(spark, lines, wanted):
 
 
 def test_header_without_archive_or_subject(spark):
-    h = spark.createDataFrame([("Published Date: 2016-04-28 16:59:45 EDT\n",)], "h string").select(T.parsed_header(F.col("h")).alias("p")).first().p
-    assert (str(h.date), h.subject, h.archive_number) == ("2016-04-28 16:59:45", None, None)
+    h = spark.createDataFrame([("Published Date: 2019-11-05 07:03:21 CET\n",)], "h string").select(T.parsed_header(F.col("h")).alias("p")).first().p
+    assert (str(h.date), h.subject, h.archive_number) == ("2019-11-05 07:03:21", None, None)
 
 
 def test_fisher_against_exact_fractions(spark):
@@ -81,6 +82,44 @@ def test_fisher_against_exact_fractions(spark):
         assert r.p == pytest.approx(float(exact), abs=1e-12)
 
 
+def test_fisher_with_many_terms(spark):
+    """Binomials beyond doubles, overlaps on either side of the mean."""
+    cases = [(a, k, t, 30_000) for k in (1, 20, 108, 150, 400, 1000) for t in (1, 20, 50, 300) for a in (0, 1, 2, 3, 5, 10, 19) if a <= min(k, t)]
+    cases += [(a, 700, 600, 1000) for a in (300, 301, 380, 419, 420, 421, 450, 600)] + [(4, 3, 9, 20)]
+    rows = spark.createDataFrame(cases, "a long, k long, t long, n long").select("*", fisher_greater(F.col("a"), F.col("k"), F.col("t"), F.col("n")).alias("p")).collect()
+    for r in rows:
+        exact = sum(Fraction(math.comb(r.t, i) * math.comb(r.n - r.t, r.k - i), math.comb(r.n, r.k)) for i in range(r.a, min(r.k, r.t) + 1))
+        assert r.p == pytest.approx(float(exact), rel=1e-8, abs=1e-12), r
+
+
+def test_postings_answer_like_the_matrix(spark, tmp_path):
+    rows = [(d, f"t{t}", 1 + (d + t) % 2) for d in range(60) for t in range(8) if (d * 7 + t * 3) % 5 < 2] + [(3, "t1", 1)]
+    matrix = spark.createDataFrame(rows, "doc long, term string, weight long")
+    files.write_postings(matrix, str(tmp_path))
+    stored = files.postings(spark, str(tmp_path))
+    kind = F.when(F.col("term") < "t3", "disease").when(F.col("term") < "t6", "geoloc").otherwise("other")
+    for query in (["t1"], ["t0", "t4"], ["t0", "t1", "t2", "t5", "t7"]):
+        wanted = literature.with_type_counts(literature.ranked(matrix, query, kind, 50), matrix, query, kind)
+        pick = lambda x: [(r.doc, r.overlap, r.relevant_coverage, r.coverage, round(r.pval, 9), r.overlap_ids, r.overlap_counts) for r in x.collect()]
+        assert pick(literature.ranked_by_postings(stored, query, kind, 50)) == pick(wanted)
+    with pytest.raises(KeyError):
+        literature.ranked_by_postings(stored, ["t1", "none"], kind)
+    plan = stored.rows.where(F.col("term").isin("t1", "t2"))._jdf.queryExecution().toString()
+    assert "PushedFilters: [In(term" in plan
+
+
+def test_completions_by_ranges_of_keys(spark, tmp_path):
+    names = ["Abc", "abd", "ABD", "ab", "a\U0010ffff", "b", "é", "\ud7ffx", "\ue000y", None]
+    nodes = spark.createDataFrame([(f"c{i}", n) for i, n in enumerate(names)], "curie string, name string")
+    write_completions(nodes, str(tmp_path / "keys"))
+    stored = stored_completions(spark, str(tmp_path / "keys"))
+    for prefix in ("", "a", "AB", "abd", "b", "\ud7ff", "a\U0010ffff", "z", "a:b"):
+        wanted = sorted({n.lower() for n in names if n and n.lower().startswith(prefix.lower())} if ":" not in prefix else [])
+        assert [r.key for r in first_completions(stored, prefix).collect()] == [r.key for r in autocomplete(nodes, prefix).collect()] == wanted
+    assert {r.key: r.curie for r in stored.collect()}["abd"] == "c2"
+    assert "GreaterThanOrEqual(key,ab), LessThan(key,ac)" in first_completions(stored, "ab")._jdf.queryExecution().toString()
+
+
 def test_cooccurrence_and_plausibility(spark):
     terms = spark.createDataFrame([("A", "1"), ("A", "2"), ("A", "3"), ("B", "1"), ("B", "2"), ("C", "4"), ("C", "4")], "doc string, term string")
     scores = assemble.cooccurrence(terms)

@@ -5,7 +5,7 @@ import json
 from fathom import schema
 from fathom.sources import files
 
-HEADER = "Published Date: 2016-04-28 16:59:45 EDT\nSubject: Fever - Land\nArchive Number: 20160428.4189378\n"
+HEADER = "Published Date: 2019-11-05 07:03:21 CET\nSubject: Fever - Land\nArchive Number: 20191105.77\n"
 
 
 def test_alerts(spark, tmp_path):
@@ -15,7 +15,7 @@ def test_alerts(spark, tmp_path):
         (tmp_path / f"{name}.json").write_text(json.dumps(alerts))
     found = files.alerts(files.raw_alerts(spark, str(tmp_path / "*.json")))
     rows = sorted(found.collect(), key=lambda r: r.file)
-    assert [r.subject for r in rows] == ["Old", "Fever - Land"] and str(rows[0].date) == "2016-04-28 16:59:45"
+    assert [r.subject for r in rows] == ["Old", "Fever - Land"] and str(rows[0].date) == "2019-11-05 07:03:21"
     assert [tuple(x) for x in rows[1].sections] == [("T", "x y")] and rows[1].text == "Fever - Land\n\nT\n\nx y\n\n"
     files.write_alerts(found, str(tmp_path / "out"))
     assert [r.subject for r in spark.read.json(str(tmp_path / "out")).collect()] == ["Fever - Land"]
@@ -32,8 +32,8 @@ def test_tables(spark, tmp_path):
     (tmp_path / "edges.tsv").write_bytes(b':START_ID\tyears_data:string\t:TYPE\t:END_ID\r\na\t"{""2000"": 1.5}"\tisa\tb\r\n')
     row = files.tsv(spark, str(tmp_path / "edges.tsv"), "src string, years string, type string, dst string").first()
     assert tuple(row) == ("a", '{"2000": 1.5}', "isa", "b")
-    (tmp_path / "o.csv").write_text('ID,outbreakName,archiveNumber,datePublished\n1,"""Flu""",20160428.10,2016-04-28\n')
-    assert tuple(files.csv(spark, str(tmp_path / "o.csv"), schema.OUTBREAKS).first()) == ("1", "Flu", "20160428.10", "2016-04-28")
+    (tmp_path / "o.csv").write_text('ID,outbreakName,archiveNumber,datePublished\n1,"""Flu""",20191105.10,2019-11-05\n')
+    assert tuple(files.csv(spark, str(tmp_path / "o.csv"), schema.OUTBREAKS).first()) == ("1", "Flu", "20191105.10", "2019-11-05")
     rows = spark.createDataFrame([("b", "x\ty"), ("a", 'q"'), ("a", 'q"')], "k string, v string")
     files.write_tsv(rows, str(tmp_path / "out"))
     assert [tuple(r) for r in files.tsv(spark, str(tmp_path / "out"), "k string, v string").orderBy("k").collect()] == [("a", 'q"'), ("b", "x\ty")]
