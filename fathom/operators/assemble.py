@@ -63,11 +63,37 @@ def year_values(wide: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.substring("year", 1, 4).alias("year"), "number")))).alias("years_data"))
 
 
-def cooccurrence(terms: DataFrame) -> DataFrame:
+#: Rows of a document that meet in one group at most, about: twice as many from two blocks of a wider one.
+BLOCK_ROWS = 1000
+
+
+def in_blocks(rows: DataFrame, *key: str, width: int = BLOCK_ROWS) -> DataFrame:
+    """rows with _i, _j and _own: a document's rows in blocks by the hash of their key, once for each pair of blocks that their own is in.
+
+    Pairs of rows of one document meet in the group (doc, _i, _j) of their
+    blocks, so that a document of many rows is spread over as many groups as
+    it has pairs of blocks. pair_counts() tells where a pair counts. A
+    document of one block has one group and no copies.
+    """
+    blocks = F.ceil(F.count("*").over(Window.partitionBy("doc")) / width).cast("int")
+    dealt = rows.withColumn("_blocks", blocks).withColumn("_own", F.pmod(F.xxhash64(*key), F.col("_blocks")).cast("int"))
+    each = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    return each.withColumn("_i", F.least("_own", "_other")).withColumn("_j", F.greatest("_own", "_other")).drop("_blocks", "_other")
+
+
+def pair_counts(i: Column, j: Column, own: Column, other: Column) -> Column:
+    """Whether a pair counts in a group: rows of one block meet in several groups, but only that of the block with itself is theirs."""
+    return (i == j) | (own != other)
+
+
+def cooccurrence(terms: DataFrame, width: int = BLOCK_ROWS) -> DataFrame:
     """a, b, count, score for term pairs (a < b) of (doc, term): ln(documents with both) - ln(documents)."""
     distinct = terms.select("doc", "term").distinct()
     total = distinct.agg(F.countDistinct("doc").alias("total"))
-    pairs = distinct.withColumnRenamed("term", "a").join(distinct.withColumnRenamed("term", "b"), "doc").where("a < b").groupBy("a", "b").agg(F.count("*").alias("count"))
+    dealt = in_blocks(distinct, "term", width=width)
+    side = lambda name: dealt.select("doc", "_i", "_j", F.col("_own").alias(f"_{name}"), F.col("term").alias(name))
+    met = side("a").join(side("b"), ["doc", "_i", "_j"]).where((F.col("a") < F.col("b")) & pair_counts(F.col("_i"), F.col("_j"), F.col("_a"), F.col("_b")))
+    pairs = met.groupBy("a", "b").agg(F.count("*").alias("count"))
     return pairs.join(F.broadcast(total)).select("a", "b", "count", (F.ln("count") - F.ln("total")).alias("score"))
 
 
@@ -107,7 +133,7 @@ def pair_orientations(a: Column | dict[str, Column], b: Column | dict[str, Colum
     return fits(a, b) + fits(b, a)
 
 
-def typed_pairs(mentions: DataFrame, flags: DataFrame) -> DataFrame:
+def typed_pairs(mentions: DataFrame, flags: DataFrame, width: int = BLOCK_ROWS) -> DataFrame:
     """a, b, name_a, name_b, count: how many documents mention two typed entities of PAIR_KINDS.
 
     mentions has doc, curie, name; names on the stop list take no part. Pairs
@@ -115,8 +141,9 @@ def typed_pairs(mentions: DataFrame, flags: DataFrame) -> DataFrame:
     """
     kinds = ("disease", "geoloc", "pathogen")
     typed = mentions.where(~F.col("name").isin(*GENERAL_NAMES)).select("doc", "curie", "name").distinct().join(flags, "curie")
-    side = lambda tag: typed.select("doc", F.struct("name", "curie").alias(tag), *(F.col(f"is_{k}").alias(f"{tag}_{k}") for k in kinds))
-    pairs = side("x").join(side("y"), "doc").where(F.col("x") < F.col("y"))
+    dealt = in_blocks(typed, "name", "curie", width=width)
+    side = lambda tag: dealt.select("doc", "_i", "_j", F.col("_own").alias(f"_{tag}"), F.struct("name", "curie").alias(tag), *(F.col(f"is_{k}").alias(f"{tag}_{k}") for k in kinds))
+    pairs = side("x").join(side("y"), ["doc", "_i", "_j"]).where((F.col("x") < F.col("y")) & pair_counts(F.col("_i"), F.col("_j"), F.col("_x"), F.col("_y")))
     of = lambda tag: {k: F.col(f"{tag}_{k}") for k in kinds}
     good = pairs.where(pair_orientations(of("x"), of("y")) > 0)
     return good.groupBy("x", "y").agg(F.count("*").alias("count")).select(F.col("x.curie").alias("a"), F.col("y.curie").alias("b"), F.col("x.name").alias("name_a"), F.col("y.name").alias("name_b"), "count")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,8 +14,11 @@ from fathom.operators.traverse import closure
 
 @dataclass(frozen=True)
 class Graph:
+    """Nodes and edges; ancestors may have, for types of edges in alphabetical order, the stored table of what reaches what over them."""
+
     nodes: DataFrame
     edges: DataFrame
+    ancestors: dict[tuple[str, ...], DataFrame] = field(default_factory=dict)
 
     def labelled(self, label: str) -> DataFrame:
         return self.nodes.where(F.array_contains("labels", label))
@@ -23,10 +26,20 @@ class Graph:
     def typed(self, *types: str) -> DataFrame:
         return self.edges.where(F.col("type").isin(*types))
 
+    def under(self, curies: list[str], *types: str) -> DataFrame:
+        """curie, root: the nodes that reach each of some nodes over edges of the types, itself included; a range of a stored table if there is one, else a walk level by level."""
+        known = self.nodes.where(F.col("curie").isin(curies)).select("curie")
+        if (stored := self.ancestors.get(tuple(sorted(types)))) is None:
+            return closure(self.typed(*types), known)
+        # A node without such edges isn't in the table.
+        return stored.where(F.col("root").isin(curies)).select("curie", "root").unionByName(known.select("curie", F.col("curie").alias("root"))).distinct()
+
     def reach(self, curie: str, *types: str, label: str | None = None) -> DataFrame:
         """curie of the nodes that reach a node with the given curie, and label if one is asked for, over edges of the types."""
-        target = (self.labelled(label) if label else self.nodes).where(F.col("curie") == curie).select("curie")
-        return closure(self.typed(*types), target).select("curie").distinct()
+        found = self.under([curie], *types)
+        if label:
+            found = found.join(self.labelled(label).where(F.col("curie") == curie).select(F.col("curie").alias("root")), "root", "left_semi")
+        return found.select("curie").distinct()
 
 
 class Match:
@@ -96,8 +109,7 @@ def find_alerts(graph: Graph, disease: str | None = None, geolocation: str | Non
         found = []
         for types in sorted({types for _, _, types, _ in wanted}):
             own = [(name, label, curie) for name, label, t, curie in wanted if t == types]
-            ends = [graph.labelled(label).where(F.col("curie") == curie).select("curie") for _, label, curie in own]
-            reached = closure(graph.typed(*types), reduce(DataFrame.unionByName, ends))
+            reached = graph.under(sorted({curie for _, _, curie in own}), *types)
             for name, label, curie in own:
                 under = reached.where(F.col("root") == curie).join(graph.labelled(label).select("curie"), "curie", "left_semi")
                 # The target itself may lack the label although another filter's target is the same node.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.functions.tables import materialised, together
@@ -29,6 +29,35 @@ def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     raise ValueError(f"closure deeper than {LEVELS} levels")
 
 
+def ancestors(edges: DataFrame) -> DataFrame:
+    """curie, root: closure() of every node of edges (src, dst) at once.
+
+    Each round joins what was reached with itself, so that the length of the
+    ways doubles: a hierarchy of 16 levels takes four joins. Cycles end as
+    soon as nothing new is reached.
+    """
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("curie"))
+    reached = materialised(edges.select(F.col("src").alias("curie"), F.col("dst").alias("root")).unionByName(ends.select("curie", F.col("curie").alias("root"))).distinct())
+    size = reached.count()
+    while True:
+        # A node's way to itself adds nothing to another one.
+        first = reached.where("curie <> root").select("curie", F.col("root").alias("via"))
+        second = reached.where("curie <> root").select(F.col("curie").alias("via"), "root")
+        reached = materialised(reached.unionByName(first.join(second, "via").select("curie", "root")).distinct())
+        if (grown := reached.count()) == size:
+            return reached
+        size = grown
+
+
+def write_ancestors(edges: DataFrame, path: str) -> None:
+    """ancestors() as a table in the order of roots: what lies under a root is one range of it, however deep."""
+    ancestors(edges).repartitionByRange("root", "curie").sortWithinPartitions("root", "curie").write.mode("overwrite").parquet(path)
+
+
+def stored_ancestors(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("curie string, root string").parquet(path)
+
+
 def paths(edges: DataFrame, seeds: DataFrame, levels: int | None, backwards: bool = False) -> DataFrame:
     """start, node, path: every path of up to `levels` edges from seeds.curie, the empty one included.
 

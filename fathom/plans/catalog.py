@@ -14,7 +14,7 @@ from fathom.functions.tables import materialised, shared_folder
 from fathom.operators import answers, assemble, literature, services
 from fathom.operators import graph as G
 from fathom.operators import pattern_query
-from fathom.operators.traverse import closure, paths
+from fathom.operators.traverse import closure, paths, stored_ancestors, write_ancestors
 from fathom.sources import files
 from fathom.sources import testgraph as S
 
@@ -128,6 +128,15 @@ def alerts_by_geo(spark, d):
     return G.find_alerts(S.graph(spark, d), geolocation="REGION:2")
 
 
+@query(ORACLES["alerts_by_geo"])
+def alerts_by_geo_index(spark, d):
+    """The same by a stored table of what lies under what."""
+    graph = S.graph(spark, d)
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    write_ancestors(graph.typed("isa"), path)
+    return G.find_alerts(G.Graph(graph.nodes, graph.edges, {("isa",): stored_ancestors(spark, path)}), geolocation="REGION:2")
+
+
 @query(alerts_sql([("disease", "BRAND:Brand#11", DISEASES)]))
 def alerts_by_disease(spark, d):
     return G.find_alerts(S.graph(spark, d), disease="BRAND:Brand#11")

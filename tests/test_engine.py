@@ -1,6 +1,8 @@
 """Operators on small hand-made inputs, and registered queries against their SQL."""
 
 import math
+import random
+from collections import Counter
 from fractions import Fraction
 from itertools import product
 
@@ -12,8 +14,8 @@ import __spark_entry__ as entry
 from fathom.functions import text as T
 from fathom.functions.statistics import fisher_greater
 from fathom.operators import assemble, literature
-from fathom.operators.graph import autocomplete, first_completions, stored_completions, write_completions
-from fathom.operators.traverse import closure, paths
+from fathom.operators.graph import Graph, autocomplete, first_completions, stored_completions, write_completions
+from fathom.operators.traverse import closure, paths, stored_ancestors, write_ancestors
 from fathom.plans import catalog
 from fathom.sources import files
 
@@ -82,6 +84,37 @@ def test_fisher_against_exact_fractions(spark):
         assert r.p == pytest.approx(float(exact), abs=1e-12)
 
 
+def test_stored_ancestors_are_the_closure(spark, tmp_path):
+    r = random.Random(4)
+    tree = [(f"n{i}", f"n{r.randrange(i)}") for i in range(1, 60)] + [(f"n{r.randrange(60)}", f"n{r.randrange(60)}") for _ in range(8)]
+    line = [(f"l{i}", f"l{i + 1}") for i in range(37)] + [("x", "x"), ("n3", "l30")]
+    found = edges(spark, *tree, *line)
+    write_ancestors(found, str(tmp_path / "up"))
+    stored = stored_ancestors(spark, str(tmp_path / "up"))
+    names = sorted({x for pair in tree + line for x in pair})
+    wanted = closure(found, spark.createDataFrame([(n,) for n in names], "curie string"))
+    assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, wanted.collect()))
+    nodes = spark.createDataFrame([(n, n, ["geoloc"], None) for n in [*names, "alone"]], "curie string, name string, labels array<string>, timestamp string")
+    graph = Graph(nodes, found, {("isa",): stored})
+    for name in ("n0", "l37", "x", "alone", "unknown"):
+        assert sorted(r.curie for r in graph.reach(name, "isa", label="geoloc").collect()) == sorted(r.curie for r in Graph(nodes, found).reach(name, "isa").collect())
+    assert "EqualTo(root,n0)" in stored.where("root = 'n0'")._jdf.queryExecution().toString()
+
+
+def test_wide_documents_count_each_pair_once(spark):
+    r = random.Random(6)
+    rows = [(d, f"t{t}") for d in range(12) for t in range(60) if r.random() < (0.9 if d < 3 else 0.05)] + [(0, "t1"), (0, "t1")]
+    terms = spark.createDataFrame(rows, "doc int, term string")
+    pick = lambda x: sorted((r.a, r.b, r["count"]) for r in x.collect())
+    wanted = Counter((a, b) for d in range(12) for a in {t for x, t in rows if x == d} for b in {t for x, t in rows if x == d} if a < b)
+    assert pick(assemble.cooccurrence(terms, width=7)) == pick(assemble.cooccurrence(terms)) == sorted((*k, n) for k, n in wanted.items())
+    mentions = terms.select("doc", F.col("term").alias("curie"), F.concat(F.lit("name "), "term").alias("name"))
+    n = F.substring("term", 2, 9).cast("int")
+    flags = terms.select(F.col("term").alias("curie"), (n % 3 == 0).alias("is_disease"), (n % 3 == 1).alias("is_geoloc"), (n % 3 == 2).alias("is_pathogen")).distinct()
+    narrow, wide = (sorted(map(tuple, assemble.typed_pairs(mentions, flags, width=w).collect())) for w in (5, 1000))
+    assert narrow == wide and len(narrow) > 500
+
+
 def test_fisher_with_many_terms(spark):
     """Binomials beyond doubles, overlaps on either side of the mean."""
     cases = [(a, k, t, 30_000) for k in (1, 20, 108, 150, 400, 1000) for t in (1, 20, 50, 300) for a in (0, 1, 2, 3, 5, 10, 19) if a <= min(k, t)]
