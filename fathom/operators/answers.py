@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from fathom.functions import text as T
 from fathom.functions.fixed_values import GENERAL_TERMS
 from fathom.operators import assemble
-from fathom.operators.graph import FILTERS, Graph, find_alerts, ground, text_relations
+from fathom.operators.graph import FILTERS, Graph, find_alerts, ground_scored, text_relations
 
 
 def grounding_dictionary(*vocabularies: DataFrame) -> DataFrame:
@@ -34,6 +34,19 @@ def annotate(documents: DataFrame, dictionary: DataFrame, types: DataFrame, name
     return rows.join(types.select("curie", "type"), "curie", "left").select("doc", "start", "text", "name", "curie", F.coalesce("type", F.lit("other")).alias("type"))
 
 
+def top_terms(documents: DataFrame, dictionary: DataFrame, namespaces: list[str], order: list[str]) -> DataFrame:
+    """doc, start, text, db, id, name: the term that stands for each mention of documents (doc, text) with an entry of one of the namespaces.
+
+    That is the mention's first term by the order of all databases, then the
+    smallest id, of whatever namespace: an entry of the namespaces only lets
+    the mention count.
+    """
+    known = dictionary.where(F.col("db").isin(order)).select("entry", "db", "id", "name")
+    place = F.array_position(F.array(*map(F.lit, order)), F.col("db"))
+    each = T.mentions(documents, known).groupBy("doc", "start", "surface").agg(F.min(F.struct(place.alias("o"), "db", "id", "name")).alias("top"), F.bool_or(F.col("db").isin(namespaces)).alias("counts"))
+    return each.where("counts").select("doc", "start", F.col("surface").alias("text"), "top.db", "top.id", "top.name")
+
+
 def curies_of(annotations: DataFrame) -> DataFrame:
     """doc, curies: each document's different curies, sorted."""
     return annotations.groupBy("doc").agg(F.array_sort(F.collect_set("curie")).alias("curies"))
@@ -95,12 +108,11 @@ def score_text(text: str, dictionary: DataFrame, types: DataFrame, scores: DataF
 
 
 def curie_of(name: str, dictionary: DataFrame, namespaces: list[str]) -> str | None:
-    """The curie of a name, None if it is unknown; a name with a colon is a curie already."""
+    """The curie of the entry that fits a name best, None if it is unknown; a name with a colon is a curie already."""
     if ":" in name:
         return name
-    spark = dictionary.sparkSession
-    names = spark.createDataFrame([(name,)], "raw string").select(T.normalised(F.col("raw")).alias("name"))
-    return ground(names, dictionary, namespaces).first()["curie"]
+    names = dictionary.sparkSession.createDataFrame([(name,)], "name string")
+    return ground_scored(names, dictionary, namespaces).first()["curie"]
 
 
 def alerts_by_name(graph: Graph, dictionary: DataFrame, namespaces: list[str], *, disease: str | None = None, geolocation: str | None = None, pathogen: str | None = None, symptom: str | None = None, timestamp: str | None = None, limit: int | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.functions.tables import materialised
+from fathom.functions.text import normalised
 from fathom.operators.traverse import closure
 
 
@@ -197,3 +198,24 @@ def ground(names: DataFrame, dictionary: DataFrame, namespaces: list[str]) -> Da
     best = dictionary.where(F.col("db").isin(namespaces)).groupBy("entry").agg(F.min(F.struct(order.alias("o"), "curie")).alias("best"))
     found = names.join(best, F.lower("name") == F.col("entry"), "left")
     return found.select("name", F.when(F.col("name").contains(":"), F.col("name")).otherwise(F.col("best.curie")).alias("curie"))
+
+
+def match_score(name: Column, entry: Column) -> Column:
+    """How well a name fits a dictionary's name with the same normalised form: 1 if they are alike, 0.75 but for case, 0.5 but for dashes and other marks too, 0.25 if Greek letters or Roman numbers are spelled otherwise."""
+    marks = lambda x: F.array_join(F.filter(F.split(F.lower(x), r"[^\p{L}\p{N}]+", -1), lambda w: w != ""), " ")
+    return F.when(name == entry, 1.0).when(F.lower(name) == F.lower(entry), 0.75).when(marks(name) == marks(entry), 0.5).otherwise(0.25)
+
+
+def ground_scored(names: DataFrame, dictionary: DataFrame, namespaces: list[str]) -> DataFrame:
+    """name, curie, score of each different name: of the entries (entry, db, name, curie) with its normalised form the one that fits best, then of the namespace first in the list, then with the smallest curie.
+
+    A name with a colon is a curie already, with score 1; unknown ones get nulls.
+    """
+    order = F.array_position(F.array(*map(F.lit, namespaces)), F.col("db"))
+    asked = names.select("name").distinct().withColumn("entry", F.when(~F.col("name").contains(":"), normalised(F.col("name"))))
+    entries = dictionary.where(F.col("db").isin(namespaces)).select("entry", F.col("name").alias("known"), order.alias("place"), "curie")
+    each = asked.join(entries, "entry", "left")
+    fit = F.when(F.col("curie").isNotNull(), F.struct((-match_score(F.col("name"), F.col("known"))).alias("worse"), "place", "curie"))
+    best = each.groupBy("name").agg(F.min(fit).alias("best"))
+    own = F.col("name").contains(":")
+    return best.select("name", F.when(own, F.col("name")).otherwise(F.col("best.curie")).alias("curie"), F.when(own, 1.0).otherwise(-F.col("best.worse")).alias("score"))

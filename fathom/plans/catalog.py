@@ -705,6 +705,24 @@ def ns_priority(spark, d):
     return rows.select("doc", "start", F.split_part("curie", F.lit(":"), F.lit(1)).alias("db"), F.split_part("curie", F.lit(":"), F.lit(2)).alias("id"))
 
 
+@query(f"WITH {DICT}, {SPANS} SELECT doc, start, surface AS text, min_by(db, CASE db WHEN 'geonames' THEN 1 WHEN 'other' THEN 2 ELSE 3 END) AS db, min_by(id, CASE db WHEN 'geonames' THEN 1 WHEN 'other' THEN 2 ELSE 3 END) AS id FROM k GROUP BY 1, 2, 3 HAVING bool_or(db = 'MESH')")
+def ner_top_terms(spark, d):
+    """The first term of each mention with an entry of one namespace, be the term of it or not."""
+    documents = S.table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text")
+    return answers.top_terms(documents, S.dictionary(spark), ["MESH"], ["geonames", "other", "MESH"]).drop("name")
+
+
+@query("SELECT n_name AS name, CASE WHEN n_nationkey % 2 = 0 THEN 'MESH:' ELSE 'geonames:' END || n_nationkey AS curie, CAST(CASE WHEN n_nationkey % 2 = 0 OR n_nationkey % 3 <> 0 THEN 1 ELSE 0.75 END AS DOUBLE) AS score FROM nation UNION ALL SELECT 'x:1', 'x:1', 1.0 UNION ALL SELECT 'Atlantis', NULL, NULL")
+def ground_by_score(spark, d):
+    """Names by the entry that fits best; only of equally good ones the namespace decides."""
+    nation = S.table(spark, d, "nation")
+    n = F.col("n_nationkey")
+    mesh = nation.select(S.key("MESH:", "n_nationkey").alias("curie"), F.when(n % 2 == 0, F.col("n_name")).otherwise(F.upper(F.replace("n_name", F.lit("_"), F.lit(" ")))).alias("name"))
+    places = nation.select(S.key("geonames:", "n_nationkey").alias("curie"), F.when(n % 3 == 0, F.lower("n_name")).otherwise(F.col("n_name")).alias("name"))
+    names = nation.select(F.col("n_name").alias("name")).unionByName(spark.createDataFrame([("x:1",), ("Atlantis",)], "name string"))
+    return G.ground_scored(names, answers.grounding_dictionary(mesh, places), ["MESH", "geonames"])
+
+
 SYNDROME = ("severe", "acute", "respiratory", "distress", "syndrome", "of", "late", "onset", "in", "adult", "patients")
 SYNDROME_SQL = "['" + "', '".join(SYNDROME) + "']"
 LONG_NAME = f"array_to_string(list_concat(['fever'], {SYNDROME_SQL}[1:n_nationkey % 12]), ' ')"
