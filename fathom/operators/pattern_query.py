@@ -7,8 +7,9 @@
 Several MATCH clauses join on their variables, `p = (a)-[:isa*0..]->(b)` names
 a path for `nodes(p)[1..]`, UNION merges branches without repeated rows. A
 query is read on the driver into one plan of scans, semi-joins and joins;
-`*0..` becomes a closure where rows are made distinct and no path is asked for,
-else one row per path. Nodes come back as structs, relationships as
+`*0..` becomes a closure where rows are made distinct, no path is asked for and
+no other edge of the MATCH may be one of its own, else one row per path; an
+edge is used once in a MATCH. Nodes come back as structs, relationships as
 struct(type, years_data as sorted entries), paths as arrays of curies. A
 missing or null parameter's comparison holds for no row. LIMIT takes the first
 rows in the order of all columns.
@@ -219,6 +220,9 @@ class Planner:
         self.distinct = distinct
         self.tracked = {h.name for hops in branch.paths.values() for h in hops}
         self.hop_of = {h.name: h for h in branch.hops}
+        # Hops of one clause that may use the same edge; of `*0..` among them each path is needed, not only its ends.
+        self.overlaps = [(one, other) for i, one in enumerate(branch.hops) for other in branch.hops[:i] if one.clause == other.clause and (not one.types or not other.types or set(one.types) & set(other.types))]
+        self.sharing = {h.name for pair in self.overlaps for h in pair}
         # Conditions of WHERE that fix a node's curie narrow the node before it is joined, and seed closures.
         self.fixed: dict[str, list[Column]] = {}
         for left, sign, right in branch.where:
@@ -239,31 +243,37 @@ class Planner:
             rows = rows.where(condition)
         return rows
 
+    def bound(self, name: str) -> bool:
+        """Whether a curie or another property of a node is given."""
+        return name in self.fixed or bool(self.branch.nodes[name].equal)
+
     def hop_rows(self, hop: Hop) -> DataFrame:
         edges = self.graph.typed(*hop.types) if hop.types else self.graph.edges
-        a, b = _at(hop.left, "curie"), _at(hop.right, "curie")
         if not hop.many:
-            source, target = (a, b) if hop.forward else (b, a)
+            source, target = ("_left", "_right") if hop.forward else ("_right", "_left")
             found = edges.select(F.col("src").alias(source), F.col("dst").alias(target), F.col("type").alias(_at(hop.name, "type")), F.col("years_data").alias(_at(hop.name, "years")))
         else:
             left_bound = hop.left in self.fixed or any(k == "curie" for k, _ in self.branch.nodes[hop.left].equal)
-            seeds = self.node_rows(hop.left if left_bound else hop.right).select("curie")
+            first, last = (hop.left, hop.right) if left_bound else (hop.right, hop.left)
+            seeds = self.node_rows(first).select("curie")
             backwards = hop.forward != left_bound
-            near, far = (a, b) if left_bound else (b, a)
-            if self.distinct and hop.name not in self.tracked:
+            near, far = ("_left", "_right") if left_bound else ("_right", "_left")
+            if self.distinct and hop.name not in self.tracked | self.sharing:
                 steps = edges if backwards else edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
                 found = closure(steps, seeds).select(F.col("root").alias(near), F.col("curie").alias(far))
             else:
-                walked = paths(edges, seeds, None, backwards=backwards)
+                ends = self.node_rows(last).select("curie") if self.bound(last) else None
+                walked = paths(edges, seeds, None, backwards=backwards, ends=ends, with_edges=True)
                 whole = F.concat(F.array("start"), F.col("path"))
                 whole = whole if left_bound else F.reverse(whole)
-                found = walked.select(F.col("start").alias(near), F.col("node").alias(far), F.slice(whole, F.lit(2), F.size(whole) - 1).alias(_at(hop.name, "path")))
-        for name, column in ((hop.left, a), (hop.right, b)):
-            if self.branch.nodes[name].labels or self.branch.nodes[name].equal or name in self.fixed:
+                path = F.slice(whole, F.lit(2), F.size(whole) - 1)
+                found = walked.select(F.col("start").alias(near), F.col("node").alias(far), path.alias(_at(hop.name, "path")), F.col("used").alias(_at(hop.name, "edges")))
+        for name, column in ((hop.left, "_left"), (hop.right, "_right")):
+            if self.branch.nodes[name].labels or self.bound(name):
                 found = found.join(self.node_rows(name).select(F.col("curie").alias(column)), column, "left_semi")
         if hop.left == hop.right:
-            raise ValueError(f"an edge from {hop.left} to itself can't be matched")
-        return found
+            return found.where("_left = _right").drop("_right").withColumnRenamed("_left", _at(hop.left, "curie"))
+        return found.withColumnsRenamed({"_left": _at(hop.left, "curie"), "_right": _at(hop.right, "curie")})
 
     def matched(self) -> DataFrame:
         """One row per match, with a column for the curie of each node."""
@@ -282,20 +292,18 @@ class Planner:
             known = known | following[0]
         return rows.where(self.edges_differ())
 
+    def edges(self, hop: Hop) -> Column:
+        """The edges of a match's hop, as structs in an array."""
+        if hop.many:
+            return F.col(_at(hop.name, "edges"))
+        source, target = (hop.left, hop.right) if hop.forward else (hop.right, hop.left)
+        return F.array(F.struct(F.col(_at(source, "curie")).alias("src"), F.col(_at(hop.name, "type")).alias("type"), F.col(_at(target, "curie")).alias("dst")))
+
     def edges_differ(self) -> Column:
-        """No edge is used twice in a MATCH clause; edges that agree in source, type and target count as one."""
+        """No edge is used twice in a MATCH clause, within `*0..` or beside it; edges that agree in source, type and target count as one."""
         differ = F.lit(True)
-        for i, one in enumerate(self.branch.hops):
-            for other in self.branch.hops[:i]:
-                overlap = one.clause == other.clause and (not one.types or not other.types or set(one.types) & set(other.types))
-                if overlap and (one.many or other.many):
-                    raise ValueError("in one MATCH, `*0..` and another edge can't share a type; use two MATCH clauses")
-                if overlap:
-                    ends = [(h.left, h.right) if h.forward else (h.right, h.left) for h in (one, other)]
-                    same = F.col(_at(one.name, "type")) == F.col(_at(other.name, "type"))
-                    for x, y in zip(*ends, strict=True):
-                        same &= F.col(_at(x, "curie")) == F.col(_at(y, "curie"))
-                    differ &= ~same
+        for one, other in self.overlaps:
+            differ &= ~F.arrays_overlap(self.edges(one), self.edges(other))
         return differ
 
     def column(self, term: tuple) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathom.functions.tables import materialised
 from fathom.operators.answers import curie_of
 from fathom.operators.graph import Graph
 from fathom.operators.traverse import paths
@@ -15,13 +16,15 @@ def find_indicators(graph: Graph, geolocation: str | None, part: str | None) ->
 
     A place that reaches the geolocation by several paths has a row for each;
     path has the curies from the place's parent, or child, to the geolocation.
+    Only paths to places with such an indicator are followed.
     """
     isa, has = graph.typed("isa"), graph.typed("has_indicator")
     target = graph.labelled("geoloc").where(F.col("curie") == F.lit(geolocation)).select("curie")
     indicators = graph.labelled("indicator").where(F.col("name").contains(F.lit(part)))
+    places = materialised(has.join(indicators.select(F.col("curie").alias("dst")), "dst", "left_semi").select(F.col("src").alias("curie")).distinct())
     ways = []
     for backwards in (True, False):
-        walked = paths(isa, target, None, backwards=backwards)
+        walked = paths(isa, target, None, backwards=backwards, ends=places)
         # From the geolocation outwards; turned round, the place comes first and is left out.
         whole = F.reverse(F.concat(F.array("start"), F.col("path")))
         ways.append(walked.select(F.col("node").alias("place_curie"), F.slice(whole, F.lit(2), F.size(whole) - 1).alias("path")))

@@ -58,24 +58,63 @@ def stored_ancestors(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("curie string, root string").parquet(path)
 
 
-def paths(edges: DataFrame, seeds: DataFrame, levels: int | None, backwards: bool = False) -> DataFrame:
-    """start, node, path: every path of up to `levels` edges from seeds.curie, the empty one included.
+def reached(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """curie: the nodes that can be reached from any of seeds.curie over edges (src, dst), those included; each once, however many seeds lead there."""
+    turned = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")).distinct()
+    steps = materialised(turned)
+    seen = frontier = materialised(seeds.select("curie").distinct())
+    for _ in range(LEVELS):
+        found = steps.join(frontier, steps["dst"] == frontier["curie"], "left_semi").select(F.col("src").alias("curie")).distinct()
+        frontier = materialised(found.join(seen, "curie", "left_anti"))
+        if frontier.isEmpty():
+            return seen
+        seen = together(seen._paths + frontier._paths, seen)
+    raise ValueError(f"nodes further than {LEVELS} levels away")
+
+
+def useful_edges(edges: DataFrame, seeds: DataFrame, ends: DataFrame) -> DataFrame:
+    """The edges that lie on a way from seeds.curie to ends.curie: their source is reached from a seed, and from their target an end is.
+
+    Forward reach comes first and narrows what the backward one walks.
+    """
+    ahead = reached(edges, seeds)
+    left = materialised(edges.join(ahead.select(F.col("curie").alias("src")), "src", "left_semi").select(edges.columns))
+    turned = left.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    back = reached(turned, ends.join(ahead, "curie", "left_semi"))
+    return materialised(left.join(back.select(F.col("curie").alias("dst")), "dst", "left_semi").select(edges.columns))
+
+
+def paths(edges: DataFrame, seeds: DataFrame, levels: int | None, backwards: bool = False, ends: DataFrame | None = None, with_edges: bool = False) -> DataFrame:
+    """start, node, path: every path of up to `levels` edges from seeds.curie, the empty one included; with ends, only those that end at one of ends.curie.
 
     Without a number of levels all paths are followed to their ends, at most
-    LEVELS edges long; longer ones raise. path has the nodes behind the start. An edge isn't used twice in a path;
-    nodes may repeat.
+    LEVELS edges long; longer ones raise. path has the nodes behind the start.
+    An edge isn't used twice in a path; nodes may repeat. with_edges adds
+    used, the edges in their order.
+
+    With ends, edges that lead to none are taken out beforehand. In a
+    hierarchy without cycles every path begun then is the beginning of one
+    that is returned, so that the rows of a level are never more than those.
     """
+    if ends is not None:
+        ends = materialised(ends.select("curie").distinct())
+        turned = edges.select(F.col("dst").alias("src"), "type", F.col("src").alias("dst")) if backwards else edges.select("src", "type", "dst")
+        kept = useful_edges(turned, seeds, ends)
+        edges = kept.select(F.col("dst").alias("src"), "type", F.col("src").alias("dst")) if backwards else kept
     a, b = ("dst", "src") if backwards else ("src", "dst")
     steps = edges.select(F.col(a).alias("a"), F.col(b).alias("b"), F.struct("src", "type", "dst").alias("edge"))
     level = seeds.select(F.col("curie").alias("start"), F.col("curie").alias("node"), F.array().cast("array<string>").alias("path"), F.array().cast("array<struct<src:string,type:string,dst:string>>").alias("used"))
-    found = level
+    found, whole = level, levels is not None
     for _ in range(LEVELS + 1 if levels is None else levels):
         level = level.join(steps, F.col("node") == F.col("a")).where(~F.array_contains("used", F.col("edge"))).select("start", F.col("b").alias("node"), F.concat("path", F.array("b")).alias("path"), F.concat("used", F.array("edge")).alias("used"))
         if levels is None:
             level = materialised(level)
             if level.isEmpty():
-                return found.drop("used")
+                whole = True
+                break
         found = found.unionByName(level)
-    if levels is None:
+    if not whole:
         raise ValueError(f"paths longer than {LEVELS} edges")
-    return found.drop("used")
+    if ends is not None:
+        found = found.join(ends.select(F.col("curie").alias("node")), "node", "left_semi").select(found.columns)
+    return found if with_edges else found.drop("used")

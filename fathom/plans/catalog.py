@@ -997,3 +997,148 @@ def pattern_text_shared_report(spark, d):
         WHERE maker.curie = 'SUPP:4' AND report.timestamp <> '1996-03-01'
         RETURN DISTINCT report.curie AS report, buyer.curie AS buyer"""
     return pattern_query.run(S.graph(spark, d), text)
+
+
+@query("""SELECT one.curie AS land, other.curie AS other FROM (SELECT 'NATION:' || n_nationkey AS curie FROM nation WHERE n_regionkey = 2) one
+JOIN (SELECT 'REGION:2' AS curie, '' AS over UNION ALL SELECT 'NATION:' || n_nationkey, 'NATION:' || n_nationkey FROM nation WHERE n_regionkey = 2
+UNION ALL SELECT 'CUST:' || c_custkey, 'NATION:' || c_nationkey FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = 2) other ON other.over <> one.curie""")
+def pattern_text_used_once(spark, d):
+    """One edge and a way of any length over edges of its type in one MATCH: the way can't lead over that edge."""
+    text = "MATCH (land:geoloc)-[:isa]->(region:geoloc {curie: $region})<-[:isa*0..]-(other:geoloc) RETURN DISTINCT land.curie AS land, other.curie AS other"
+    return pattern_query.run(S.graph(spark, d), text, region="REGION:2")
+
+
+def supply_ring(spark, d) -> G.Graph:
+    """Numbers up to 25 as nodes; each supplier is an edge from its key's remainder to its nation's."""
+    s = S.table(spark, d, "supplier")
+    number = lambda c: F.concat(F.lit("N:"), (F.col(c) % 25).cast("string"))
+    edges = s.select(number("s_suppkey").alias("src"), F.lit("next").alias("type"), number("s_nationkey").alias("dst"), F.lit(None).cast("map<string,double>").alias("years_data")).dropDuplicates(["src", "dst"])
+    nodes = s.select(F.explode(F.array(number("s_suppkey"), number("s_nationkey"))).alias("curie")).distinct()
+    return G.Graph(nodes.select("curie", F.col("curie").alias("name"), F.array(F.lit("number")).alias("labels"), F.lit(None).cast("string").alias("timestamp")), edges)
+
+
+@query("SELECT DISTINCT 'N:' || s_nationkey % 25 AS node FROM supplier WHERE s_suppkey % 25 = s_nationkey % 25")
+def pattern_text_loops(spark, d):
+    """Nodes with an edge to themselves."""
+    return pattern_query.run(supply_ring(spark, d), "MATCH (n:number)-[:next]->(n) RETURN n.curie AS node")
+
+
+@query("SELECT 'CUST:' || c_custkey AS start, 'NATION:' || n_nationkey || ',REGION:2' AS path FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = 2 UNION ALL SELECT 'PART:' || p_partkey, 'BRAND:' || p_brand || ',DIS:root' FROM part UNION ALL SELECT 'PART:' || p_partkey, 'TYPE:' || p_type || ',DIS:root' FROM part")
+def paths_to_ends(spark, d):
+    """Ways from all customers and parts to two ends: edges that lead to neither are taken out before paths are walked."""
+    g = S.graph(spark, d)
+    starts = g.nodes.where(F.col("curie").startswith("CUST:") | F.col("curie").startswith("PART:"))
+    found = paths(g.typed("isa"), starts, None, ends=g.nodes.where(F.col("curie").isin("REGION:2", "DIS:root")))
+    return found.select("start", F.array_join("path", ",").alias("path"))
+
+
+# -- files written and read back
+
+
+def folder(spark) -> str:
+    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+
+
+@query(f"SELECT number AS archive_number, 'PRO/' || source || ' news' AS subject, 'PRO/' || source || ' news' || chr(10) || chr(10) || CASE WHEN id % 3 <> 0 THEN 'Title ' || source || chr(10) || chr(10) || {JOINED} || chr(10) || chr(10) || 'Second' || chr(10) || chr(10) || 'end of it' || chr(10) || chr(10) ELSE '' END AS text FROM ({RAW}) WHERE id % 7 <> 0")
+def alerts_from_dumps(spark, d):
+    """All documents as alerts in JSON dumps, read by byte ranges; those without an archive number drop out."""
+    path = folder(spark)
+    S.alert_raw(spark, d).select(F.array("header").alias("header"), F.array("body").alias("body")).write.json(path, lineSep=",\n")
+    return files.alerts(files.raw_alerts(spark, path)).select("archive_number", "subject", "text")
+
+
+def customer_alerts(spark, d):
+    """One alert for each order, its customer's key as archive number."""
+    orders = S.table(spark, d, "orders")
+    return orders.select(F.col("o_custkey").cast("string").alias("archive_number"), F.concat("o_orderpriority", F.lit("\n\u00e9 "), "o_orderkey").alias("text"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("file"))
+
+
+LAST = "SELECT CAST(o_custkey AS VARCHAR) AS name, max_by(o_orderpriority || chr(10) || '\u00e9 ' || o_orderkey, o_orderkey) AS text, lpad(CAST(max(o_orderkey) AS VARCHAR), 12, '0') AS file FROM orders GROUP BY o_custkey"
+
+
+@query(f"SELECT name, text FROM ({LAST})")
+def alert_text_files(spark, d):
+    """A text file for each archive number, of its last alert, written by the data source and read back."""
+    path = folder(spark)
+    files.write_texts(customer_alerts(spark, d), path)
+    return files.named_texts(spark, path)
+
+
+@query(LAST)
+def alert_json_files(spark, d):
+    """The same as JSON files."""
+    path = folder(spark)
+    files.write_alert_files(customer_alerts(spark, d), path)
+    return files.named_texts(spark, path).select("name", F.from_json("text", "archive_number string, text string, file string").alias("alert")).select("name", "alert.text", "alert.file")
+
+
+@query("SELECT CAST(o_custkey AS VARCHAR) AS archive_number, string_agg(DISTINCT lpad(CAST(o_orderkey AS VARCHAR), 12, '0'), ',' ORDER BY lpad(CAST(o_orderkey AS VARCHAR), 12, '0')) AS files FROM orders GROUP BY 1")
+def alert_file_index(spark, d):
+    rows = files.file_index(customer_alerts(spark, d).withColumn("file", F.concat(F.lit("dumps/"), "file")))
+    return rows.select("archive_number", F.array_join("files", ",").alias("files"))
+
+
+@query("""SELECT DISTINCT p_brand || chr(9) || '"' || p_size || '"' AS name, p_type AS label, p_size AS size FROM part""")
+def tsv_round_trip(spark, d):
+    """Sorted rows of a TSV file with tabs and quotes in strings."""
+    path = folder(spark)
+    part = S.table(spark, d, "part")
+    files.write_tsv(part.select(F.concat("p_brand", F.lit('\t"'), "p_size", F.lit('"')).alias("name"), F.col("p_type").alias("label"), F.col("p_size").alias("size")), path)
+    return files.tsv(spark, path, "name string, label string, size int")
+
+
+@query("SELECT l_orderkey AS doc, 'D' || l_partkey AS term, CAST(CASE WHEN l_returnflag = 'R' THEN 2 ELSE 1 END AS BIGINT) AS weight FROM lineitem")
+def doc_terms_round_trip(spark, d):
+    """Documents' terms from a CSV file, major ones weighing 2."""
+    path = folder(spark)
+    S.table(spark, d, "lineitem").select(F.concat(F.lit("D"), "l_partkey").alias("mesh_id"), (F.col("l_returnflag") == "R").cast("int").alias("major"), F.col("l_orderkey").alias("pmid")).write.csv(path, header=True)
+    return files.doc_terms(spark, path)
+
+
+@query("SELECT l_orderkey AS doc, 'D' || l_partkey AS term, CAST(sum(l_linenumber) AS BIGINT) AS weight, min(p_brand) AS type FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2")
+def matrix_round_trip(spark, d):
+    """A stored matrix and its terms' types."""
+    path, term = folder(spark), lambda c: F.concat(F.lit("D"), c)
+    entries = S.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc"), term("l_partkey").alias("term"), F.col("l_linenumber").cast("long").alias("weight"))
+    files.write_matrix(entries, S.table(spark, d, "part").select(term("p_partkey").alias("term"), F.col("p_brand").alias("type")), path)
+    rows, types = files.matrix(spark, path)
+    return rows.join(types, "term").select("doc", "term", "weight", "type")
+
+
+ORDER_TERMS = "SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS doc, p_type AS surface, CASE WHEN p_size > 25 THEN 'A' ELSE 'B' END AS db, CAST(l_partkey AS VARCHAR) AS id, p_name AS name FROM lineitem JOIN part ON p_partkey = l_partkey"
+
+
+def order_mentions(spark, d):
+    rows = S.table(spark, d, "lineitem").join(S.table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return rows.select(F.col("l_orderkey").cast("string").alias("doc"), F.col("p_type").alias("surface"), F.lit(1).alias("start"), F.when(F.col("p_size") > 25, "A").otherwise("B").alias("db"), F.col("l_partkey").cast("string").alias("id"), F.col("p_name").alias("name")).distinct()
+
+
+@query(f"SELECT doc, string_agg(db || ':' || id || ':' || name, ',' ORDER BY db, id, name) AS terms FROM (SELECT DISTINCT doc, db, id, name FROM ({ORDER_TERMS})) GROUP BY doc")
+def terms_round_trip(spark, d):
+    """Annotations stored and read, each document's terms of them written as JSON and read."""
+    path = folder(spark)
+    files.write_annotations(order_mentions(spark, d), f"{path}/mentions")
+    files.write_terms(services.terms_by_alert(files.annotations(spark, f"{path}/mentions")), f"{path}/terms")
+    return files.terms(spark, f"{path}/terms").select("doc", F.array_join(F.transform("terms", lambda t: F.concat_ws(":", t["db"], t["id"], t["name"])), ",").alias("terms"))
+
+
+@query(f"SELECT surface AS text, db AS term_db, id AS term_id, name AS term_name, count(*) AS count FROM ({ORDER_TERMS}) GROUP BY ALL")
+def stats_round_trip(spark, d):
+    """Statistics of mentions as a TSV file."""
+    path = folder(spark)
+    files.write_stats(services.mention_stats(order_mentions(spark, d)), path)
+    return files.tsv(spark, path, "text string, term_db string, term_id string, term_name string, count long")
+
+
+@query("SELECT CASE WHEN n > 0 THEN key || '_' || n ELSE key END AS key, match, curie FROM (SELECT lower(p_type) AS key, p_type AS match, 'PART:' || p_partkey AS curie, row_number() OVER (PARTITION BY lower(p_type) ORDER BY 'PART:' || p_partkey) - 1 AS n FROM part)")
+def synonym_key_suffixes(spark, d):
+    """A key for each part's type; those after the first get a number."""
+    rows = S.table(spark, d, "part").select(F.col("p_type").alias("match"), F.col("p_name").alias("name"), F.concat(F.lit("PART:"), "p_partkey").alias("curie"))
+    return services.synonym_keys(rows).select("key", "match", "curie")
+
+
+@query("SELECT DISTINCT n_name AS name FROM nation WHERE starts_with(n_name, 'NATION_1') ORDER BY 1 LIMIT 7")
+def names_in_this_case(spark, d):
+    """Names by a prefix whose case counts, beside the same names in another case."""
+    nodes = S.table(spark, d, "nation").select(F.col("n_name").alias("name"))
+    return services.names_from(nodes.unionByName(nodes.select(F.lower("name").alias("name"))), "NATION_1", 7)

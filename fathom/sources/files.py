@@ -9,12 +9,14 @@ from fathom import schema
 from fathom.functions.text import full_text, parsed_header, sections
 from fathom.operators.literature import Postings, postings_of, totals
 from fathom.operators.services import last_alerts
+from fathom.sources.json_dump import objects
+from fathom.sources.text_files import write_files
 
 
 def raw_alerts(spark: SparkSession, path: str) -> DataFrame:
-    """file, header, body of JSON lists of alerts."""
-    rows = spark.read.schema(schema.RAW_ALERTS).json(path, multiLine=True)
-    return rows.select(F.input_file_name().alias("file"), F.get("header", F.lit(0)).alias("header"), F.get("body", F.lit(0)).alias("body"))
+    """file, header, body of JSON lists of alerts; one file is read by as many tasks as it has byte ranges."""
+    rows = objects(spark, path).select("file", F.from_json("json", schema.RAW_ALERTS).alias("alert"))
+    return rows.select("file", F.get("alert.header", F.lit(0)).alias("header"), F.get("alert.body", F.lit(0)).alias("body"))
 
 
 def alerts(raw: DataFrame) -> DataFrame:
@@ -113,8 +115,21 @@ def write_contexts(contexts: DataFrame, path: str) -> None:
 
 
 def write_texts(alerts: DataFrame, path: str) -> None:
-    """One text file for each archive number, in a folder named by it; of a repeated number the last file's alert."""
-    last_alerts(alerts).select("archive_number", "text").write.mode("overwrite").partitionBy("archive_number").option("lineSep", "\n").text(path)
+    """A text file for each archive number, named by it; of a repeated number the last file's alert."""
+    write_files(last_alerts(alerts).select(F.concat("archive_number", F.lit(".txt")).alias("name"), "text"), path)
+
+
+def write_alert_files(alerts: DataFrame, path: str) -> None:
+    """A JSON file for each archive number, named by it; of a repeated number the last file's alert. Dates are text."""
+    last = last_alerts(alerts)
+    columns = [F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) if t.startswith("timestamp") else F.col(f"`{c}`") for c, t in last.dtypes]
+    write_files(last.select(F.concat("archive_number", F.lit(".json")).alias("name"), F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("text")), path)
+
+
+def named_texts(spark: SparkSession, path: str) -> DataFrame:
+    """name, text of a folder's files, each a row."""
+    rows = spark.read.text(path, wholetext=True)
+    return rows.select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.\w+)?$", 1).alias("name"), F.col("value").alias("text"))
 
 
 def file_index(alerts: DataFrame) -> DataFrame:

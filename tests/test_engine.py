@@ -15,7 +15,7 @@ from fathom.functions import text as T
 from fathom.functions.statistics import fisher_greater
 from fathom.operators import assemble, literature
 from fathom.operators.graph import Graph, autocomplete, first_completions, stored_completions, write_completions
-from fathom.operators.traverse import closure, paths, stored_ancestors, write_ancestors
+from fathom.operators.traverse import closure, paths, stored_ancestors, useful_edges, write_ancestors
 from fathom.plans import catalog
 from fathom.sources import files
 
@@ -201,3 +201,18 @@ def test_query_equals_sql(spark, name):
     ours = sorted(repr(tuple(r[c] for c in columns)) for r in df.collect())
     rows = db.execute(catalog.ORACLES[name]).df()[columns]
     assert ours == sorted(repr(tuple(x.item() if hasattr(x, "item") else x for x in r)) for r in rows.itertuples(index=False, name=None))
+
+
+def test_paths_to_ends_equal_all_paths_that_end_there(spark):
+    """On random graphs with cycles, in both directions; dead ends aren't walked."""
+    rng = random.Random(5)
+    for _ in range(3):
+        edges = spark.createDataFrame([(f"n{rng.randrange(7)}", "e", f"n{rng.randrange(7)}") for _ in range(9)], "src string, type string, dst string").distinct()
+        seeds, ends = (spark.createDataFrame([(n,) for n in names], "curie string") for names in (["n0", "n1"], ["n3", "n4", "absent"]))
+        for backwards in (False, True):
+            plain = sorted(map(tuple, paths(edges, seeds, None, backwards=backwards).where("node in ('n3', 'n4')").collect()))
+            assert sorted(map(tuple, paths(edges, seeds, None, backwards=backwards, ends=ends).collect())) == plain
+    tree = spark.createDataFrame([("r", "e", "a"), ("a", "e", "goal")] + [("r", "e", f"x{i}") for i in range(5)] + [(f"x{i}", "e", "dead") for i in range(5)], "src string, type string, dst string")
+    one = lambda n: spark.createDataFrame([(n,)], "curie string")
+    assert sorted((r.src, r.dst) for r in useful_edges(tree, one("r"), one("goal")).collect()) == [("a", "goal"), ("r", "a")]
+    assert paths(tree, one("goal"), None, ends=one("r")).count() == 0
