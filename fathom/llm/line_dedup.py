@@ -120,7 +120,16 @@ def later_runs(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     place, run = F.struct("_d", "_h", "_from"), ["_size", "_a", "_b"]
     earliest = stored(runs.groupBy(*run).agg(F.min(place).alias("_first"), F.count("*").alias("_n")).where("_n > 1"))
     later = spread_join(runs, earliest, run, runs.count()).where(place > F.col("_first"))
-    return stored(later.groupBy(*DOC).agg(F.collect_list(F.struct("_from", "_to")).alias("_ranges")))
+    return stored(_merged(later.select(*DOC, "_from", "_to")).groupBy(*DOC).agg(F.collect_list(F.struct("_from", "_to")).alias("_ranges")))
+
+
+def _merged(ranges: DataFrame) -> DataFrame:
+    """Ranges of places of each document without overlaps: of a text's lines two ranges each may begin and end everywhere."""
+    order = Window.partitionBy(*DOC).orderBy("_from", "_to")
+    reached = F.max("_to").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opened = ranges.withColumn("_new", F.when(F.col("_from") <= reached + 1, 0).otherwise(1))
+    islands = opened.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return islands.groupBy(*DOC, "_island").agg(F.min("_from").alias("_from"), F.max("_to").alias("_to"))
 
 
 def deduped(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -138,7 +147,7 @@ def deduped(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     def cut(lines: Column) -> Column:
         places = F.flatten(F.transform("_ranges", lambda r: F.sequence(r["_from"], r["_to"])))
-        gone = let(_filled(lines), lambda filled: F.transform(F.array_distinct(places), lambda s: F.get(filled, s)))
+        gone = let(_filled(lines), lambda filled: F.transform(places, lambda s: F.get(filled, s)))
         left = lambda g: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), g)
         return let(gone, lambda g: F.struct(F.array_join(F.transform(left(g), lambda i: F.get(lines, i)), "\n").alias("text"), F.size(g).alias("n")))
 

@@ -109,6 +109,16 @@ def test_line_dedup_against_brute_force(spark):
     assert got == {d: "\n".join(x for i, x in enumerate(ls) if (d, i) not in gone) for d, ls in enumerate(lines)}
 
 
+def test_line_dedup_of_many_lines(spark):
+    """Ranges that begin at every line are merged: of overlapping ones a text keeps one."""
+    text = "\n".join(f"w{i}" for i in range(3000))
+    some = docs(spark, text, text, "x\n" + "\n".join(f"w{i}" for i in [*range(200), 5000, *range(900, 949), *range(2000, 2060)]))
+    ranges = {r._d: sorted((x._from, x._to) for x in r._ranges) for r in line_dedup.later_runs(some).collect()}
+    assert ranges == {1: [(0, 2999)], 2: [(1, 200), (251, 310)]}
+    got = {r.doc_id: (r._n_lines, r._n_deleted) for r in line_dedup.deduped(some).collect()}
+    assert got == {0: (3000, 0), 1: (3000, 3000), 2: (311, 260)}
+
+
 def test_near_dedup_against_brute_force(spark):
     r = random.Random(7)
     texts = [None, "", "one", "ONE", "a b"]
