@@ -7,16 +7,18 @@ by ranges, and a suffix's rank is the number of suffixes with a smaller
 prefix, ties being dealt out by counts, so that a line which a third of all
 rows share fills no task. At each level the suffixes of one rank are an
 interval of the suffix array whose longest common prefix is at least the
-level's; intervals of one suffix drop out, and doubling ends when none is
-left. So a run of any length is named by the ranks of its two overlapping
-power-of-two blocks, and equal names are equal runs.
+level's; intervals of one suffix drop out. Doubling ends when none is left, or
+when a level is as long as any run that is looked up (below). So such a run is
+named by the ranks of its two overlapping power-of-two blocks, and equal names
+are equal runs.
 
 A line is deleted if it lies in a run of MIN_WORDS words or more that occurs
 earlier, in the order of (doc_id, line). Such runs are covered exactly by the
 shortest runs of MIN_WORDS words that start or end at their lines: of a
 maximal repeated run, the first such run from its start and, for each line
 behind that, the one that ends there lie inside it. So only these are looked
-up, two for each position.
+up, two for each position; a line has a word, so they have MIN_WORDS lines at
+most, however long the maximal run is.
 
 Lines compare by their SHA-256 digests, of which no two texts are known to
 share one; ranks of longer runs are exact.
@@ -66,11 +68,13 @@ def _ranked(rows: DataFrame, prefix: list[str]) -> DataFrame:
     return out
 
 
-def suffix_ranks(lines: DataFrame) -> list[DataFrame]:
-    """For each k the suffixes (_d, _h, _s) that share their first 2**k lines with others, and their _rank among these; lines has _line, a line's digest."""
+def suffix_ranks(lines: DataFrame, longest: int) -> list[DataFrame]:
+    """For each k with 2**k up to longest the suffixes (_d, _h, _s) that share their first 2**k lines with others, and their _rank among these; lines has _line, a line's digest."""
     level, levels = _ranked(lines, ["_line"]), []
     while not level.isEmpty():
         levels.append(level)
+        if 2 ** len(levels) > longest:
+            break
         step = 2 ** (len(levels) - 1)
         right = level.select(*DOC, (F.col("_s") - step).alias("_s"), F.col("_rank").alias("_next"))
         longer = stored(level.join(right, [*DOC, "_s"]))
@@ -84,7 +88,7 @@ def later_runs(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     words = F.filter(_split(F.col("_row.text")), lambda line: line.rlike(WORD))
     each = _keyed(documents).select(*DOC, F.posexplode(words).alias("_s", "_text")).select(*DOC, "_s", n_words(F.col("_text")).alias("_w"), F.unhex(F.sha2(F.col("_text").cast("binary"), 256)).alias("_line"))
     lines = stored(each.dropDuplicates([*DOC, "_s"]))
-    levels = suffix_ranks(lines.drop("_w"))
+    levels = suffix_ranks(lines.drop("_w"), min_words)
     spark = documents.sparkSession
     empty = "_d long, _h long, _ranges array<struct<_from:int,_to:int>>"
     if not levels:
