@@ -957,8 +957,22 @@ def pattern_text_chain(spark, d):
     return pattern_query.run(S.graph(spark, d), text, region="REGION:2")
 
 
-@query(f"SELECT DISTINCT n_name AS land, 'revenue of ' || p_type AS series, 'has_indicator' AS how FROM ({REVENUE}) JOIN nation ON n_nationkey = nation WHERE n_regionkey = 2 AND starts_with(p_type, 'E')")
+@query(f"SELECT DISTINCT 'NATION:' || nation AS land, 'revenue of ' || p_type AS series, 'REGION:' || n_regionkey || ',GEO:world' AS via FROM ({REVENUE}) JOIN nation ON n_nationkey = nation WHERE contains('revenue of ' || p_type, 'A') UNION SELECT DISTINCT 'NATION:' || nation, 'revenue of ' || p_type, '' FROM ({REVENUE}) WHERE nation = 7 AND starts_with(p_type, 'E')")
 def pattern_text_indicators(spark, d):
+    """Series of all lands with their way to the top, and of one land those whose key begins so, with the way from it to itself."""
+    text = """
+        MATCH trail = (land:geoloc)-[:isa*0..]->(top:geoloc {curie: $top}), (land)-[:has_indicator]->(series)
+        WHERE series.name CONTAINS 'A'
+        RETURN DISTINCT land.curie AS land, series.name AS series, nodes(trail)[1..] AS via
+        UNION
+        MATCH (land:geoloc {curie: $one})-[:has_indicator]->(series), trail = (self {curie: $one})-[:isa*0..]->(land)
+        WHERE series.curie STARTS WITH 'wdi:E'
+        RETURN DISTINCT land.curie AS land, series.name AS series, nodes(trail)[1..] AS via"""
+    return pattern_query.run(S.graph(spark, d), text, top="GEO:world", one="NATION:7").withColumn("via", F.array_join("via", ","))
+
+
+@query(f"SELECT DISTINCT n_name AS land, 'revenue of ' || p_type AS series, 'has_indicator' AS how FROM ({REVENUE}) JOIN nation ON n_nationkey = nation WHERE n_regionkey = 2 AND starts_with(p_type, 'E')")
+def pattern_text_region_series(spark, d):
     """Series of the lands of one region whose key begins so."""
     text = """
         MATCH (land:geoloc)-[:isa]->(region:geoloc {curie: $region}) MATCH (land)-[has:has_indicator]->(series:indicator)

@@ -203,6 +203,24 @@ def test_query_equals_sql(spark, name):
     assert ours == sorted(repr(tuple(x.item() if hasattr(x, "item") else x for x in r)) for r in rows.itertuples(index=False, name=None))
 
 
+def equal_to_sql(spark, name, tables=("region", "nation", "customer", "supplier", "part", "orders", "lineitem")):
+    """The rows of a query, which must be those of its SQL."""
+    db = duckdb.connect()
+    for t in tables:
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
+    df = catalog.QUERIES[name](spark, SMALL)
+    columns = sorted(df.columns)
+    rows = sorted(tuple(r[c] for c in columns) for r in df.collect())
+    assert rows == sorted(db.sql(catalog.ORACLES[name]).select(*columns).fetchall())
+    return rows
+
+
+def test_series_of_all_lands_come_with_their_ways(spark):
+    rows = equal_to_sql(spark, "pattern_text_indicators")
+    ways = {via for _, _, via in rows}
+    assert "" in ways and len(ways) > 4 and all(w == "" or w.endswith(",GEO:world") for w in ways)
+
+
 def test_paths_to_ends_equal_all_paths_that_end_there(spark):
     """On random graphs with cycles, in both directions; dead ends aren't walked."""
     rng = random.Random(5)
