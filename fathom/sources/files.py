@@ -10,7 +10,7 @@ from fathom.functions.text import full_text, parsed_header, sections
 from fathom.operators.literature import Postings, postings_of, totals
 from fathom.operators.services import last_alerts
 from fathom.sources.json_dump import objects
-from fathom.sources.text_files import write_files
+from fathom.sources.text_files import read_files, write_files
 
 
 def raw_alerts(spark: SparkSession, path: str) -> DataFrame:
@@ -127,9 +127,8 @@ def write_alert_files(alerts: DataFrame, path: str) -> None:
 
 
 def named_texts(spark: SparkSession, path: str) -> DataFrame:
-    """name, text of a folder's files, each a row."""
-    rows = spark.read.text(path, wholetext=True)
-    return rows.select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.\w+)?$", 1).alias("name"), F.col("value").alias("text"))
+    """name, text of a folder's files, each a row; the name is without its ending, and files whose name begins with `_` or `.` are left out."""
+    return read_files(spark, path).select(F.regexp_extract("name", r"^(.*?)(\.\w+)?$", 1).alias("name"), "text")
 
 
 def file_index(alerts: DataFrame) -> DataFrame:

@@ -84,6 +84,22 @@ def test_files_by_name(spark, tmp_path):
         files.write_texts(rows.withColumn("archive_number", F.concat(F.lit("../"), "archive_number")), str(path))
 
 
+def test_many_small_files_are_read_by_a_fixed_number_of_tasks(spark, tmp_path):
+    """The driver holds neither their list nor a task for every few of them."""
+    for i in range(450):
+        (tmp_path / f"{i}.txt").write_bytes(b"" if i == 7 else f"text {i}\n\u00e9".encode() * (1 + i % 3))
+    (tmp_path / "bare").write_bytes(b"\xff")
+    for hidden in ("_SUCCESS", ".bare.crc"):
+        (tmp_path / hidden).write_text("x")
+    (tmp_path / "deeper").mkdir()
+    found = files.named_texts(spark, f"file://{tmp_path}")
+    assert found.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism and not found.inputFiles()
+    wanted = {str(i): "" if i == 7 else f"text {i}\n\u00e9" * (1 + i % 3) for i in range(450)}
+    rows = found.where("name <> 'bare'").collect()
+    assert len(rows) == 450 and {r.name: r.text for r in rows} == wanted
+    assert found.where("name = 'bare'").select(F.hex("text")).first()[0] == "FF"
+
+
 def test_a_repeated_task_leaves_one_file(tmp_path):
     writer = FilesWriter(str(tmp_path), True)
     done = [writer.write(iter([("a", "x"), ("b", "y")])) for _ in range(2)]
