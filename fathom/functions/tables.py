@@ -35,3 +35,16 @@ def together(paths: list[str], like: DataFrame) -> DataFrame:
     out = like.sparkSession.read.schema(like.schema).parquet(*paths)
     out._paths = paths
     return out
+
+
+#: Rows of a stored table that a task takes together where it sorts, hashes and counts them.
+ROWS_A_TASK = 500_000
+
+
+def tasks_for(rows: DataFrame) -> int:
+    """Partitions that rows are dealt to so that each gets about ROWS_A_TASK at most, however many there are.
+
+    Adaptive execution goes by compressed bytes, which says little of the
+    memory that rows of short, alike keys take; so the rows are counted.
+    """
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // ROWS_A_TASK))

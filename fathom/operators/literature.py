@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.functions.statistics import fisher_greater
+from fathom.functions.tables import tasks_for
 
 #: Types that count as relevant coverage.
 RELEVANT = ("geoloc", "disease", "pathogen")
@@ -61,8 +62,8 @@ class Postings:
 
 
 def postings_of(doc_term: DataFrame) -> DataFrame:
-    """term, doc, weight, size of doc, term, weight with repeated entries; one shuffle, by document."""
-    sums = doc_term.repartition("doc").groupBy("doc", "term").agg(F.sum("weight").alias("weight"))
+    """term, doc, weight, size of doc, term, weight with repeated entries; one shuffle, by document, into as many tasks as the entries need."""
+    sums = doc_term.repartition(tasks_for(doc_term), "doc").groupBy("doc", "term").agg(F.sum("weight").alias("weight"))
     return sums.select("term", "doc", "weight", F.count("*").over(Window.partitionBy("doc")).alias("size"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom import schema
+from fathom.functions.tables import tasks_for
 from fathom.functions.text import full_text, parsed_header, sections
 from fathom.operators.literature import Postings, postings_of, totals
 from fathom.operators.services import last_alerts
@@ -75,7 +76,7 @@ def write_postings(doc_term: DataFrame, path: str) -> None:
     """The matrix in the order of terms, then documents, dealt by ranges, so that a reader of few terms skips other files and row groups; with its documents and totals."""
     postings_of(doc_term).write.mode("overwrite").parquet(f"{path}/unordered")
     rows = doc_term.sparkSession.read.schema(schema.POSTINGS).parquet(f"{path}/unordered")
-    rows.repartitionByRange("term", "doc").sortWithinPartitions("term", "doc").write.mode("overwrite").parquet(f"{path}/postings")
+    rows.repartitionByRange(tasks_for(rows), "term", "doc").sortWithinPartitions("term", "doc").write.mode("overwrite").parquet(f"{path}/postings")
     rows.select("doc", "size").distinct().repartitionByRange("doc").sortWithinPartitions("doc").write.mode("overwrite").parquet(f"{path}/documents")
     totals(rows).write.mode("overwrite").parquet(f"{path}/totals")
 
