@@ -72,16 +72,28 @@ def reached(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     raise ValueError(f"nodes further than {LEVELS} levels away")
 
 
+def edges_at(edges: DataFrame, column: str, nodes: DataFrame) -> DataFrame:
+    """The edges whose src or dst (column) is one of nodes.curie.
+
+    A few nodes may have most of the edges, and a join by node would bring all
+    of one to one task. So the edges' different nodes are looked for first;
+    where they are few, Spark sends them to the edges.
+    """
+    own = materialised(edges.select(F.col(column).alias("curie")).distinct().join(nodes.select("curie"), "curie", "left_semi"))
+    return edges.join(own.select(F.col("curie").alias(column)), column, "left_semi").select(edges.columns)
+
+
 def useful_edges(edges: DataFrame, seeds: DataFrame, ends: DataFrame) -> DataFrame:
     """The edges that lie on a way from seeds.curie to ends.curie: their source is reached from a seed, and from their target an end is.
 
     Forward reach comes first and narrows what the backward one walks.
     """
+    edges = materialised(edges)
     ahead = reached(edges, seeds)
-    left = materialised(edges.join(ahead.select(F.col("curie").alias("src")), "src", "left_semi").select(edges.columns))
+    left = materialised(edges_at(edges, "src", ahead))
     turned = left.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     back = reached(turned, ends.join(ahead, "curie", "left_semi"))
-    return materialised(left.join(back.select(F.col("curie").alias("dst")), "dst", "left_semi").select(edges.columns))
+    return materialised(edges_at(left, "dst", back))
 
 
 def paths(edges: DataFrame, seeds: DataFrame, levels: int | None, backwards: bool = False, ends: DataFrame | None = None, with_edges: bool = False) -> DataFrame:
@@ -106,7 +118,9 @@ def paths(edges: DataFrame, seeds: DataFrame, levels: int | None, backwards: boo
     level = seeds.select(F.col("curie").alias("start"), F.col("curie").alias("node"), F.array().cast("array<string>").alias("path"), F.array().cast("array<struct<src:string,type:string,dst:string>>").alias("used"))
     found, whole = level, levels is not None
     for _ in range(LEVELS + 1 if levels is None else levels):
-        level = level.join(steps, F.col("node") == F.col("a")).where(~F.array_contains("used", F.col("edge"))).select("start", F.col("b").alias("node"), F.concat("path", F.array("b")).alias("path"), F.concat("used", F.array("edge")).alias("used"))
+        # Many paths may have come to a few nodes: what leads on from there then is small, and is sent to the paths.
+        onward = steps if levels is not None or level is found else materialised(edges_at(steps, "a", level.select(F.col("node").alias("curie")).distinct()))
+        level = level.join(onward, F.col("node") == F.col("a")).where(~F.array_contains("used", F.col("edge"))).select("start", F.col("b").alias("node"), F.concat("path", F.array("b")).alias("path"), F.concat("used", F.array("edge")).alias("used"))
         if levels is None:
             level = materialised(level)
             if level.isEmpty():

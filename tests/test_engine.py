@@ -11,11 +11,12 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from fathom.functions import tables
 from fathom.functions import text as T
 from fathom.functions.statistics import fisher_greater
 from fathom.operators import assemble, literature
 from fathom.operators.graph import Graph, autocomplete, first_completions, stored_completions, write_completions
-from fathom.operators.traverse import closure, paths, stored_ancestors, useful_edges, write_ancestors
+from fathom.operators.traverse import closure, edges_at, paths, stored_ancestors, useful_edges, write_ancestors
 from fathom.plans import catalog
 from fathom.sources import files
 
@@ -221,6 +222,44 @@ def test_series_of_all_lands_come_with_their_ways(spark):
     assert "" in ways and len(ways) > 4 and all(w == "" or w.endswith(",GEO:world") for w in ways)
 
 
+def test_a_matrix_is_dealt_to_as_many_tasks_as_its_entries_need(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(tables, "ROWS_A_TASK", 100)
+    matrix = spark.range(1000).select((F.col("id") % 300).alias("doc"), (F.col("id") % 7).cast("string").alias("term"), F.lit(1).cast("long").alias("weight"))
+    rows = literature.postings_of(matrix)
+    assert rows.count() == 1000 and rows.rdd.getNumPartitions() == 10
+    files.write_postings(matrix, str(tmp_path))
+    assert len(list((tmp_path / "postings").glob("*.parquet"))) == 10
+    assert files.postings(spark, str(tmp_path)).rows.count() == 1000
+
+
+def test_edges_of_few_nodes_are_not_brought_together_by_node(spark):
+    """Nine in ten edges end at one node: those it has are sent to the edges, not the edges to its task."""
+    spark.range(20000).select(F.concat(F.lit("n"), "id").alias("src"), F.lit("e").alias("type"), F.when(F.col("id") % 10 > 0, "hub").otherwise(F.concat(F.lit("m"), F.col("id") % 50)).alias("dst")).createOrReplaceTempView("hub_edges")
+    edges, wide = spark.table("hub_edges"), spark.range(500_000).select(F.concat(F.lit("x"), F.sha2(F.col("id").cast("string"), 256)).alias("curie"))
+    kept = edges_at(edges, "dst", wide.unionByName(spark.createDataFrame([("hub",), ("m10",)], "curie string")))
+    assert kept.count() == 18000 + 400
+    assert "BroadcastHashJoin" in kept._jdf.queryExecution().executedPlan().toString() and "SortMergeJoin" not in kept._jdf.queryExecution().executedPlan().toString()
+
+
+def test_edges_of_a_text_are_filtered_before_they_are_joined(spark):
+    """All filters on the curies stand right above the tables' scans."""
+    for name in ("direct_relations", "comention_pairs"):
+        equal_to_sql(spark, name)
+        plan = catalog.QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+        read = [line for line in plan.splitlines() if "Filter" in line and "l_suppkey" in line]
+        assert read and all("SUPP:" in line for line in read)
+
+
+@pytest.mark.parametrize("name", ["pattern_text_shared_report", "pattern_text_chain", "pattern_text_edges"])
+def test_hops_of_a_given_node_narrow_the_others(spark, name):
+    equal_to_sql(spark, name)
+    plan = catalog.QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    # Nothing is made distinct before what is given has cut the rows down.
+    for tree in plan.split("Aggregate")[1:]:
+        below = tree.split("Relation")[0]
+        assert "l_orderkey" not in below or "LeftSemi" in below or "Filter (" in below
+
+
 def test_paths_to_ends_equal_all_paths_that_end_there(spark):
     """On random graphs with cycles, in both directions; dead ends aren't walked."""
     rng = random.Random(5)
