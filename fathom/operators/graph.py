@@ -126,8 +126,10 @@ def find_alerts(graph: Graph, disease: str | None = None, geolocation: str | Non
 def text_relations(graph: Graph, curies: list[str], most: int = 500) -> tuple[DataFrame, DataFrame, DataFrame]:
     """For entities found in a text: edges between them, pairs of them that an alert mentions, and the alerts that mention most of them."""
     entities = graph.labelled("entity").where(F.col("curie").isin(curies)).select("curie")
-    direct = graph.edges.join(entities.withColumnRenamed("curie", "src"), "src", "left_semi").join(entities.withColumnRenamed("curie", "dst"), "dst", "left_semi").select("src", "type", "dst")
-    mentions = graph.typed("mentions").join(entities.withColumnRenamed("curie", "dst"), "dst", "left_semi").select(F.col("src").alias("alert"), F.col("dst").alias("entity"))
+    # The curies are on the driver, so edges are filtered where they are read and the joins get few.
+    inside = graph.edges.where(F.col("src").isin(curies) & F.col("dst").isin(curies))
+    direct = inside.join(entities.withColumnRenamed("curie", "src"), "src", "left_semi").join(entities.withColumnRenamed("curie", "dst"), "dst", "left_semi").select("src", "type", "dst")
+    mentions = graph.typed("mentions").where(F.col("dst").isin(curies)).join(entities.withColumnRenamed("curie", "dst"), "dst", "left_semi").select(F.col("src").alias("alert"), F.col("dst").alias("entity"))
     pairs = mentions.withColumnRenamed("entity", "a").join(mentions.withColumnRenamed("entity", "b"), "alert").where("a <> b").select("alert", "a", "b")
     ranked = pairs.groupBy("alert").agg(F.array_join(F.array_sort(F.collect_set("a")), ",").alias("entities"), F.countDistinct("a").alias("n_entities"))
     return direct, pairs, ranked.orderBy(F.desc("n_entities"), "alert").limit(most)
