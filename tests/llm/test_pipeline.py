@@ -47,6 +47,19 @@ def test_language_stage_drops_only_rejected_documents(spark, stages):
     assert len(after) >= 0.95 * len(letters)
 
 
+def test_language_stage_changes_what_follows(spark):
+    """Random letters, hex digits and languages that weren't learned don't reach the later stages; the documents do."""
+    rng = np.random.default_rng(3)
+    letters = [" ".join("".join(map(chr, rng.integers(97, 123, rng.integers(2, 10)))) for _ in range(n)) for n in (5, 40, 200)]
+    odd = [*letters, " ".join(f"{x:016x}" for x in rng.integers(0, 2**62, 40)), "Съешь же ещё этих мягких французских булок да выпей чаю. " * 5, "敏捷的棕色狐狸跳过懒狗，天气很好。" * 5]
+    documents = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rows = [(10**9 + i, text, None, "src0", len(text)) for i, text in enumerate(odd)]
+    both = documents.unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+    kept = {r[0] for r in language_id.filtered(both).select("doc_id").collect()}
+    assert not {i for i in kept if i >= 10**9}
+    assert kept == {r[0] for r in language_id.filtered(documents).select("doc_id").collect()} and len(kept) > 150
+
+
 def test_line_stage_against_sql(stages):
     before, after = stages[1], stages[2]
     connection = duckdb.connect()
