@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathom.functions.tables import materialised, tasks_for
+
 
 def stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
@@ -115,43 +117,63 @@ def trimmed_front(text: Column, characters: str) -> Column:
 CHUNK_WORDS = 1024
 
 
+def places(documents: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """doc, at, start, surface: where the longest dictionary entries (entry) stand in doc, text, none inside another; at is the chunk's first word, start counts the text's words from 1.
+
+    Texts are cut into chunks that overlap by an entry's length on both sides,
+    so that a chunk tells by itself what covers what. Each of its words, with
+    as many behind it as an entry may have, meets the entries' first words and
+    the lengths of the entries that begin so; only these runs are built, and
+    they meet the entries as a whole. The words and the entries are stored, so
+    that Spark knows their size and sends them to the texts if they are small;
+    if not, both joins are by key. What is found is short rows, dealt by chunk
+    to as many tasks as their count needs.
+    """
+    words = F.split("entry", " ")
+    entries = materialised(dictionary.select("entry").where(F.col("entry").isNotNull()).distinct().select("entry", words[0].alias("first"), F.size(words).alias("n")))
+    firsts = materialised(entries.groupBy("first").agg(F.array_sort(F.collect_set("n")).alias("lengths")))
+    behind = entries.agg(F.coalesce(F.max("n"), F.lit(1))).first()[0] - 1
+
+    def chunks(plain: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(plain), F.lit(CHUNK_WORDS)), lambda at: at < F.size(plain))
+        before = lambda at: F.greatest(at - behind, F.lit(0))
+        return F.transform(starts, lambda at: F.struct(at.alias("at"), before(at).alias("before"), F.slice(plain, before(at) + 1, at - before(at) + CHUNK_WORDS + behind).alias("words")))
+
+    def runs(later: Column) -> Column:
+        """A word that begins a run is taken as it is, others as later words."""
+        own = F.slice("words", F.lit(1), F.col("at") - F.col("before") + CHUNK_WORDS)
+        # A few words are got one by one, which costs less; what would lie behind the chunk is null then.
+        tail = lambda i: F.array(*[F.get(later, i + k) for k in range(1, behind + 1)]) if 0 < behind <= 8 else F.slice(later, i + 2, F.lit(behind))
+        return F.transform(own, lambda w, i: F.struct((F.col("before") + i + 1).alias("start"), w.alias("first"), tail(i).alias("tail")))
+
+    # The outer forms, since for the others Spark would compute the arrays a second time, to leave out empty ones; rows without a first word meet nothing.
+    parts = documents.select("doc", F.inline_outer(let(plain_words(F.col("text")), chunks)))
+    each = parts.select("doc", "at", F.inline_outer(let(F.transform("words", later_word), runs)))
+    begun = each.join(firsts, "first").select("doc", "at", "start", "first", "tail", F.explode("lengths").alias("n")).where((F.col("n") == 1) | F.get("tail", F.col("n") - 2).isNotNull())
+    spans = begun.select("doc", "at", "start", "n", F.array_join(F.concat(F.array("first"), F.slice("tail", F.lit(1), F.col("n") - 1)), " ").alias("surface"))
+    found = materialised(spans.join(entries.select(F.col("entry").alias("surface")), "surface", "left_semi"))
+
+    reach = Window.partitionBy("doc", "at").orderBy("start").rangeBetween(Window.unboundedPreceding, -1)
+    dealt = found.repartition(tasks_for(found), "doc", "at")
+    kept = dealt.withColumn("top", F.max("n").over(Window.partitionBy("doc", "at", "start"))).withColumn("covered", F.max(F.col("start") + F.col("n")).over(reach))
+    # The words before a chunk's own only cover.
+    own = (F.col("start") > F.col("at")) & (F.col("n") == F.col("top")) & (F.col("covered").isNull() | (F.col("covered") < F.col("start") + F.col("n")))
+    return kept.where(own).select("doc", "at", "start", "surface")
+
+
 def mentions(documents: DataFrame, dictionary: DataFrame) -> DataFrame:
     """doc, surface, start, db, id, name: the longest dictionary entries in doc, text, none inside another.
 
     dictionary has entry (a normalised name of any number of words), db, id,
     name; texts are normalised alike, so a Greek letter or a Roman number may
     be spelled either way. start counts the text's words from 1.
-
-    Texts are cut into chunks that overlap by an entry's length. A chunk's
-    different words meet the entries' first words, with the lengths of the
-    entries that begin so; only runs of these lengths that start at such a
-    word are built, and they meet the dictionary as a whole. Neither side is
-    assumed small: all three joins are by key, and Spark broadcasts what it
-    finds to be small.
     """
-    words = F.split("entry", " ")
-    firsts = dictionary.select(words[0].alias("first"), F.size(words).alias("n")).groupBy("first").agg(F.array_sort(F.collect_set("n")).alias("lengths"))
-    longest = dictionary.agg(F.coalesce(F.max(F.size(words)), F.lit(1))).first()[0]
-    cut = lambda w, at: F.slice(w, at + 1, CHUNK_WORDS + longest - 1)
+    known = materialised(dictionary.select(F.col("entry").alias("surface"), "db", "id", "name"))
+    return places(documents, known.select(F.col("surface").alias("entry"))).join(known, "surface").select("doc", "surface", "start", "db", "id", "name")
 
-    def chunks(plain: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.size(plain), F.lit(CHUNK_WORDS)), lambda at: at < F.size(plain))
-        return F.transform(starts, lambda at: F.struct(at.alias("at"), cut(plain, at).alias("words")))
 
-    parts = documents.select("doc", F.inline(let(plain_words(F.col("text")), chunks)))
-    known = parts.select("doc", "at", F.explode(F.array_distinct("words")).alias("first")).join(firsts, "first")
-    known = known.groupBy("doc", "at").agg(F.map_from_entries(F.collect_list(F.struct("first", "lengths"))).alias("known"))
-
-    def runs(later: Column) -> Column:
-        """Runs of the chunk's words; a word that begins a run is taken as it is, others as later words."""
-        here = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: (x["i"] < CHUNK_WORDS) & F.map_contains_key("known", x["w"]))
-        fits = lambda x: F.filter(F.element_at("known", x["w"]), lambda n: x["i"] + n <= F.size("words"))
-        run = lambda x, n: F.struct((F.col("at") + x["i"] + 1).alias("start"), n.alias("n"), F.array_join(F.concat(F.array(x["w"]), F.slice(later, x["i"] + 2, n - 1)), " ").alias("surface"))
-        return F.flatten(F.transform(here, lambda x: F.transform(fits(x), lambda n: run(x, n))))
-
-    spans = parts.join(known, ["doc", "at"]).select("doc", F.inline(let(F.transform("words", later_word), runs)))
-    found = spans.join(dictionary, spans["surface"] == dictionary["entry"]).drop("entry")
-    reach = Window.partitionBy("doc").orderBy("start").rangeBetween(Window.unboundedPreceding, -1)
-    same = Window.partitionBy("doc", "start").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    kept = found.withColumn("top", F.max("n").over(same)).withColumn("covered", F.max(F.col("start") + F.col("n")).over(reach))
-    return kept.where((F.col("n") == F.col("top")) & (F.col("covered").isNull() | (F.col("covered") < F.col("start") + F.col("n")))).select("doc", "surface", "start", "db", "id", "name")
+def first_mentions(documents: DataFrame, best: DataFrame) -> DataFrame:
+    """doc, surface, start and best's columns: mentions by one row for each entry, a place once."""
+    known = materialised(best)
+    once = places(documents, known.select("entry")).dropDuplicates(["doc", "at", "start", "surface"])
+    return once.join(known.withColumnRenamed("entry", "surface"), "surface").drop("at")

@@ -29,8 +29,8 @@ def annotate(documents: DataFrame, dictionary: DataFrame, types: DataFrame, name
     """
     entries = dictionary.where(F.col("db").isin(namespaces)).select("entry", "db", "id", "name")
     order = F.array_position(F.array(*map(F.lit, namespaces)), F.col("db"))
-    best = T.mentions(documents, entries).groupBy("doc", "start", "surface").agg(F.min(F.struct(order.alias("o"), "db", "id", "name")).alias("best"))
-    rows = best.select("doc", "start", F.col("surface").alias("text"), "best.name", F.concat_ws(":", "best.db", "best.id").alias("curie"))
+    best = entries.groupBy("entry").agg(F.min(F.struct(order.alias("o"), "db", "id", "name")).alias("best"))
+    rows = T.first_mentions(documents, best).select("doc", "start", F.col("surface").alias("text"), "best.name", F.concat_ws(":", "best.db", "best.id").alias("curie"))
     return rows.join(types.select("curie", "type"), "curie", "left").select("doc", "start", "text", "name", "curie", F.coalesce("type", F.lit("other")).alias("type"))
 
 
@@ -43,8 +43,9 @@ def top_terms(documents: DataFrame, dictionary: DataFrame, namespaces: list[str]
     """
     known = dictionary.where(F.col("db").isin(order)).select("entry", "db", "id", "name")
     place = F.array_position(F.array(*map(F.lit, order)), F.col("db"))
-    each = T.mentions(documents, known).groupBy("doc", "start", "surface").agg(F.min(F.struct(place.alias("o"), "db", "id", "name")).alias("top"), F.bool_or(F.col("db").isin(namespaces)).alias("counts"))
-    return each.where("counts").select("doc", "start", F.col("surface").alias("text"), "top.db", "top.id", "top.name")
+    best = known.groupBy("entry").agg(F.min(F.struct(place.alias("o"), "db", "id", "name")).alias("top"), F.bool_or(F.col("db").isin(namespaces)).alias("counts"))
+    # All entries take part, so that one of another namespace still covers what stands inside it.
+    return T.first_mentions(documents, best).where("counts").select("doc", "start", F.col("surface").alias("text"), "top.db", "top.id", "top.name")
 
 
 def curies_of(annotations: DataFrame) -> DataFrame:

@@ -232,6 +232,33 @@ def test_a_matrix_is_dealt_to_as_many_tasks_as_its_entries_need(spark, monkeypat
     assert files.postings(spark, str(tmp_path)).rows.count() == 1000
 
 
+@pytest.mark.parametrize("chunk", [1, 3, 1024])
+def test_mentions_across_chunks_equal_brute_force(spark, monkeypatch, chunk):
+    """A chunk tells by itself which entries stand inside others, also in those that begin before it."""
+    monkeypatch.setattr(T, "CHUNK_WORDS", chunk)
+    rng = random.Random(chunk)
+    for longest in (1, 3, 11):
+        entries = sorted({" ".join(rng.choice("abc") for _ in range(rng.randint(1, longest))) for _ in range(12)})
+        texts = [(i, " ".join(rng.choice("abcd") for _ in range(rng.randint(0, 40)))) for i in range(20)] + [(20, None), (21, "...")]
+        wanted = []
+        for doc, words in ((i, (t or "").replace(".", "").split()) for i, t in texts):
+            found = [(s, s + n) for s in range(len(words)) for n in range(1, longest + 1) if s + n <= len(words) and " ".join(words[s : s + n]) in entries]
+            wanted += [(doc, " ".join(words[a:b]), a + 1) for a, b in found if not any((c < a and d >= b) or (c == a and d > b) for c, d in found)]
+        dictionary = spark.createDataFrame([(e, "M", e, e) for e in [*entries, None]], "entry string, db string, id string, name string")
+        rows = T.mentions(spark.createDataFrame(texts, "doc long, text string"), dictionary)
+        assert sorted((r.doc, r.surface, r.start) for r in rows.collect()) == sorted(wanted)
+
+
+@pytest.mark.parametrize("name", ["ner_stats", "ner_mentions", "ner_top_terms", "ns_priority"])
+def test_mentions_are_dealt_to_as_many_tasks_as_their_count_needs(spark, monkeypatch, name):
+    """Texts stay where they are read; only the short rows of what is found are dealt, by chunk, and no task gets more as texts become more."""
+    dealt = []
+    monkeypatch.setattr(tables, "ROWS_A_TASK", 100)
+    monkeypatch.setattr(T, "tasks_for", lambda rows: dealt.append((rows.columns, rows.count(), tables.tasks_for(rows))) or dealt[-1][2], raising=False)
+    equal_to_sql(spark, name, ("documents",))
+    assert dealt and all(set(columns) == {"doc", "at", "start", "n", "surface"} and n > 1000 and tasks == -(-n // 100) for columns, n, tasks in dealt)
+
+
 def test_edges_of_few_nodes_are_not_brought_together_by_node(spark):
     """Nine in ten edges end at one node: those it has are sent to the edges, not the edges to its task."""
     spark.range(20000).select(F.concat(F.lit("n"), "id").alias("src"), F.lit("e").alias("type"), F.when(F.col("id") % 10 > 0, "hub").otherwise(F.concat(F.lit("m"), F.col("id") % 50)).alias("dst")).createOrReplaceTempView("hub_edges")
