@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -48,3 +49,15 @@ def tasks_for(rows: DataFrame) -> int:
     memory that rows of short, alike keys take; so the rows are counted.
     """
     return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // ROWS_A_TASK))
+
+
+#: Rows of short keys, at most, that are sent to all tasks.
+ROWS_TO_SEND = 2_000_000
+
+
+def sent(rows: DataFrame, size: int) -> DataFrame:
+    """rows, if their number (size) allows it to be sent to what they are joined with, which then isn't shuffled.
+
+    Spark by itself goes by the compressed bytes of the whole stored table.
+    """
+    return F.broadcast(rows) if size <= ROWS_TO_SEND else rows

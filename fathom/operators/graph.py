@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.functions.tables import materialised
+from fathom.functions.tables import materialised, sent
 from fathom.functions.text import normalised
 from fathom.operators.traverse import closure
 
@@ -88,6 +88,12 @@ class Match:
         return rows.orderBy(*names).limit(limit)
 
 
+def _counted(rows: DataFrame) -> tuple[int, DataFrame]:
+    """Different rows, stored, and how many they are."""
+    rows = materialised(rows.distinct())
+    return rows.count(), rows
+
+
 #: Filters of find_alerts: column, label of both ends, types of edges between them.
 FILTERS = (("disease", "disease", ("isa",)), ("geoloc", "geoloc", ("isa",)), ("pathogen", "pathogen", ("isa",)), ("symptom", "disease", ("has_phenotype", "isa")))
 
@@ -95,8 +101,10 @@ FILTERS = (("disease", "disease", ("isa",)), ("geoloc", "geoloc", ("isa",)), ("p
 def find_alerts(graph: Graph, disease: str | None = None, geolocation: str | None = None, pathogen: str | None = None, symptom: str | None = None, timestamp: str | None = None, limit: int | None = None) -> DataFrame:
     """Distinct alerts with a mention, and for each filter (a curie; empty means none) the mentioned node and what it is found under.
 
-    Filters over the same types of edges share one closure, and mentions are
-    read once for all filters.
+    Filters over the same types of edges share one closure. The filter with
+    the fewest nodes comes first; the next ones read only mentions by alerts
+    that are left. Mentions are cut down where they are read, before they are
+    made distinct.
     """
     alerts = graph.labelled("alert")
     if timestamp:
@@ -116,9 +124,21 @@ def find_alerts(graph: Graph, disease: str | None = None, geolocation: str | Non
                 # The target itself may lack the label although another filter's target is the same node.
                 under = under.join(graph.labelled(label).where(F.col("curie") == curie).select(F.col("curie").alias("root")), "root", "left_semi")
                 found.append(under.select(F.col("curie").alias("node"), F.lit(name).alias("filter")))
-        hits = materialised(mentions.join(reduce(DataFrame.unionByName, found), "node").select("filter", "alert", "node"))
+        nodes = materialised(reduce(DataFrame.unionByName, found))
+        sizes = {name: size for name, size in nodes.groupBy("filter").count().collect()}
+        left, hits = _counted(rows.select("alert")) if timestamp else None, {}
+        for name in sorted((name for name, *_ in wanted), key=lambda n: sizes.get(n, 0)):
+            cuts = [(sizes.get(name, 0), nodes.where(F.col("filter") == name).select("node"))] + ([left] if left else [])
+            own = mentions
+            for size, few in sorted(cuts, key=lambda c: c[0]):
+                own = own.join(sent(few, size), few.columns, "left_semi")
+            hits[name] = materialised(own)
+            if timestamp or len(wanted) > 1:
+                left = _counted(hits[name].select("alert"))
+        if left:
+            rows = rows.join(sent(left[1], left[0]), "alert", "left_semi")
         for name, _, _, curie in wanted:
-            rows = rows.join(hits.where(F.col("filter") == name).select("alert", F.col("node").alias(name)), "alert").withColumn(f"{name}_isa", F.lit(curie))
+            rows = rows.join(hits[name].withColumnRenamed("node", name), "alert").withColumn(f"{name}_isa", F.lit(curie))
     rows = rows.distinct()
     return rows if limit is None else rows.orderBy(*rows.columns).limit(limit)
 

@@ -15,6 +15,7 @@ from fathom.functions import tables
 from fathom.functions import text as T
 from fathom.functions.statistics import fisher_greater
 from fathom.operators import assemble, literature, pattern_query
+from fathom.operators import graph as G
 from fathom.operators.graph import Graph, autocomplete, first_completions, stored_completions, write_completions
 from fathom.operators.traverse import closure, edges_at, paths, stored_ancestors, useful_edges, write_ancestors
 from fathom.plans import catalog
@@ -304,6 +305,35 @@ def test_a_given_node_narrows_hops_away_from_it(spark):
     assert have("one", "alert") <= have("two", "alert") or have("two", "alert") <= have("one", "alert")
 
 
+@pytest.mark.parametrize("most", [0, 2_000_000])
+@pytest.mark.parametrize("name", ["alerts_multi_filter", "alerts_by_symptom"])
+def test_each_filter_reads_mentions_of_the_alerts_that_are_left(spark, monkeypatch, name, most):
+    """The filter with the fewest nodes comes first; the alerts that it leaves cut down what the next ones store, whether they are sent or shuffled."""
+    stored, plain = [], G.materialised
+    monkeypatch.setattr(tables, "ROWS_TO_SEND", most, raising=False)
+    monkeypatch.setattr(G, "materialised", lambda rows: stored.append(plain(rows)) or stored[-1])
+    rows = equal_to_sql(spark, name)
+    alerts = [{r.alert for r in t.select("alert").collect()} for t in stored if "alert" in t.columns]
+    assert rows and alerts and all(later <= earlier for earlier, later in zip(alerts, alerts[1:], strict=False))
+    assert alerts[-1] == {r[0] for r in rows}
+    if name == "alerts_multi_filter":
+        # What the widest filter, the last, stores are the mentions that the result has, and no others.
+        read = [t for t in stored if set(t.columns) == {"alert", "node"}]
+        assert len(read) == 3 and {tuple(r) for r in read[-1].select("alert", "node").collect()} == {r[:2] for r in rows}
+
+
+def test_filters_on_repeated_and_odd_mentions(spark):
+    """Mentions, nodes and alerts that come twice, one node for two filters, a filter without nodes."""
+    nodes = spark.createDataFrame([("a1", "1", ["alert"], "d1"), ("a1", "1", ["alert"], "d1"), ("a2", "2", ["alert"], "d1"), ("a3", "3", ["alert"], None), ("n", "n", ["disease", "geoloc"], None), ("n", "n", ["disease", "geoloc"], None), ("m", "m", ["disease"], None), ("p", "p", ["geoloc"], None)], "curie string, name string, labels array<string>, timestamp string")
+    links = [("a1", "mentions", "m"), ("a1", "mentions", "m"), ("a1", "mentions", "n"), ("a2", "mentions", "m"), ("a3", "mentions", "p"), ("a3", "mentions", "m"), ("absent", "mentions", "m"), ("absent", "mentions", "p"), ("m", "isa", "n"), ("p", "isa", "n"), ("n", "isa", "n")]
+    graph = Graph(nodes, spark.createDataFrame(links, "src string, type string, dst string"))
+    found = lambda **k: sorted(map(tuple, G.find_alerts(graph, **k).collect()), key=repr)
+    assert found(disease="n", geolocation="n") == [("a1", "d1", "m", "n", "n", "n"), ("a1", "d1", "n", "n", "n", "n"), ("a3", None, "m", "n", "p", "n")]
+    assert found(disease="n", geolocation="n", timestamp="d1") == [("a1", "d1", "m", "n", "n", "n"), ("a1", "d1", "n", "n", "n", "n")]
+    assert found(disease="n") == [("a1", "d1", "m", "n"), ("a1", "d1", "n", "n"), ("a2", "d1", "m", "n"), ("a3", None, "m", "n")]
+    assert found(disease="n", pathogen="n") == found(disease="n", timestamp="d9") == []
+
+
 def test_paths_to_ends_equal_all_paths_that_end_there(spark):
     """On random graphs with cycles, in both directions; dead ends aren't walked."""
     rng = random.Random(5)
