@@ -120,7 +120,8 @@ def find_alerts(graph: Graph, disease: str | None = None, geolocation: str | Non
             own = [(name, label, curie) for name, label, t, curie in wanted if t == types]
             reached = graph.under(sorted({curie for _, _, curie in own}), *types)
             for name, label, curie in own:
-                under = reached.where(F.col("root") == curie).join(graph.labelled(label).select("curie"), "curie", "left_semi")
+                # Of a label's many nodes Spark's estimate knows little more than the columns' widths, and would send them all.
+                under = reached.where(F.col("root") == curie).join(graph.labelled(label).select("curie").hint("merge"), "curie", "left_semi")
                 # The target itself may lack the label although another filter's target is the same node.
                 under = under.join(graph.labelled(label).where(F.col("curie") == curie).select(F.col("curie").alias("root")), "root", "left_semi")
                 found.append(under.select(F.col("curie").alias("node"), F.lit(name).alias("filter")))

@@ -322,6 +322,13 @@ def test_each_filter_reads_mentions_of_the_alerts_that_are_left(spark, monkeypat
         assert len(read) == 3 and {tuple(r) for r in read[-1].select("alert", "node").collect()} == {r[:2] for r in rows}
 
 
+def test_nodes_of_a_label_are_not_sent_whole(spark, monkeypatch):
+    plans, plain = [], G.materialised
+    monkeypatch.setattr(G, "materialised", lambda rows: plans.append(rows._jdf.queryExecution().executedPlan().toString()) or plain(rows))
+    G.find_alerts(S.graph(spark, SMALL), geolocation="REGION:2")
+    assert plans[0].count("SortMergeJoin") == 1
+
+
 def test_filters_on_repeated_and_odd_mentions(spark):
     """Mentions, nodes and alerts that come twice, one node for two filters, a filter without nodes."""
     nodes = spark.createDataFrame([("a1", "1", ["alert"], "d1"), ("a1", "1", ["alert"], "d1"), ("a2", "2", ["alert"], "d1"), ("a3", "3", ["alert"], None), ("n", "n", ["disease", "geoloc"], None), ("n", "n", ["disease", "geoloc"], None), ("m", "m", ["disease"], None), ("p", "p", ["geoloc"], None)], "curie string, name string, labels array<string>, timestamp string")
